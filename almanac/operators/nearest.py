@@ -49,12 +49,12 @@ def curve_key(coords: Sequence[Column], lo: float, hi: float) -> Column:
     return key
 
 
-def _range_blocks(df: DataFrame, key: str, size: int, out: str) -> DataFrame:
-    """Number the rows' blocks: about ``size`` rows each along ``key``; crowded keys split by hash."""
+def _range_blocks(df: DataFrame, key: str, size: int, out: str) -> tuple[DataFrame, int]:
+    """Number the rows' blocks, and say how many there are: about ``size`` rows each along ``key``; crowded keys split by hash."""
     n = df.count()
     parts = min(MAX_BLOCKS, math.ceil(n / size))
     if parts <= 1:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
+        return df.withColumn(out, F.lit(0).cast("bigint")), parts
     size = max(size, math.ceil(n / parts))
     at = [i / parts for i in range(1, parts)]
     bounds = sorted(set(df.agg(F.percentile_approx(key, at, 8 * parts)).first()[0]))
@@ -73,7 +73,54 @@ def _range_blocks(df: DataFrame, key: str, size: int, out: str) -> DataFrame:
     for r in crowded:
         pieces = math.ceil(r["count"] / size)
         split = F.when(F.col(out) == r[out], F.pmod(F.xxhash64("id"), F.lit(pieces))).otherwise(split)
-    return ranged.withColumn(out, F.col(out) * 1_000_000 + split)
+    return ranged.withColumn(out, F.col(out) * 1_000_000 + split), parts
+
+
+def _block_search(coords: Sequence[str], k: int, max_dist: float, rule: str | None, segments: bool):
+    """The ``k`` best targets of one block for each query of one query block."""
+    limit2 = max_dist * max_dist * (1 + 1e-9)
+
+    def best(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        ts = ts.sort_values("id")
+        tid, tx = ts["id"].to_numpy(), [ts[x].to_numpy(float) for x in coords]
+        way = [ts[f"{x}2"].to_numpy(float) - v for x, v in zip(coords, tx)] if segments else []
+        length2 = sum(w * w for w in way)[None, :] if segments else None
+        rows = max(1, 1_000_000 // max(1, len(ts)))
+        for at in range(0, len(qs), rows):
+            b = qs.iloc[at : at + rows]
+            d2 = np.zeros((len(b), len(ts)))
+            along = np.zeros_like(d2) if segments else None
+            if segments:
+                for d, x in enumerate(coords):
+                    along += (b[x].to_numpy(float)[:, None] - tx[d][None, :]) * way[d][None, :]
+                along = np.clip(np.divide(along, length2, out=np.zeros_like(along), where=length2 > 0), 0, 1)
+            for d, x in enumerate(coords):
+                near = tx[d][None, :] + along * way[d][None, :] if segments else tx[d][None, :]
+                d2 += (b[x].to_numpy(float)[:, None] - near) ** 2
+            if rule:
+                a, ta = b["attr"].to_numpy()[:, None], ts["attr"].to_numpy()[None, :]
+                d2[~((ta != a) if rule == "other" else (ta > a))] = np.inf
+            d2[d2 > limit2] = np.inf
+            take = min(k, len(ts))
+            # A stable sort keeps the smaller id first among equal distances.
+            order = np.argsort(d2, axis=1, kind="stable")[:, :take]
+            picked = np.take_along_axis(d2, order, axis=1)
+            i, j = np.nonzero(np.isfinite(picked))
+            parts.append(
+                pd.DataFrame({"id": b["id"].to_numpy()[i], "other": tid[order[i, j]], "d2": picked[i, j]})
+            )
+        return pd.concat(parts) if parts else pd.DataFrame({"id": [], "other": [], "d2": []})
+
+    return best
+
+
+def _top(grouped, best, queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    id_type = queries.schema["id"].dataType.simpleString()
+    other_type = targets.schema["id"].dataType.simpleString()
+    found = grouped.applyInPandas(best, f"id {id_type}, other {other_type}, d2 double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def nearest(
@@ -99,8 +146,13 @@ def nearest(
     cols = ["id", *coords] + (["attr"] if rule else [])
     tails = [f"{x}2" for x in coords] if segments else []
     c = [F.col(x) for x in coords]
-    t = _range_blocks(targets.select(*cols, *tails, curve_key(c, lo, hi).alias("_key")), "_key", block, "_tb").drop("_key")
-    q = _range_blocks(queries.select(*cols, curve_key(c, lo, hi).alias("_key")), "_key", QUERY_BLOCK, "_qb").drop("_key")
+    t, t_blocks = _range_blocks(targets.select(*cols, *tails, curve_key(c, lo, hi).alias("_key")), "_key", block, "_tb")
+    q, q_blocks = _range_blocks(queries.select(*cols, curve_key(c, lo, hi).alias("_key")), "_key", QUERY_BLOCK, "_qb")
+    t, q = t.drop("_key"), q.drop("_key")
+    best = _block_search(coords, k, max_dist, rule, segments)
+    if t_blocks <= 1 and q_blocks <= 1:
+        # One block on each side: nothing to route.
+        return _top(q.groupBy("_qb").cogroup(t.groupBy("_tb")), best, queries, targets, k)
     stats = []
     for x in coords:
         less, more = (F.least(x, f"{x}2"), F.greatest(x, f"{x}2")) if segments else (F.col(x), F.col(x))
@@ -163,45 +215,7 @@ def nearest(
     wanted = visits.select(F.col("_tb").alias("_wt"), F.col("_qb").alias("_wq")).distinct()
     copies = t.join(wanted, F.col("_tb") == F.col("_wt"))
 
-    def best(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        ts = ts.sort_values("id")
-        tid, tx = ts["id"].to_numpy(), [ts[x].to_numpy(float) for x in coords]
-        way = [ts[f"{x}2"].to_numpy(float) - v for x, v in zip(coords, tx)] if segments else []
-        length2 = sum(w * w for w in way)[None, :] if segments else None
-        rows = max(1, 1_000_000 // max(1, len(ts)))
-        for at in range(0, len(qs), rows):
-            b = qs.iloc[at : at + rows]
-            d2 = np.zeros((len(b), len(ts)))
-            along = np.zeros_like(d2) if segments else None
-            if segments:
-                for d, x in enumerate(coords):
-                    along += (b[x].to_numpy(float)[:, None] - tx[d][None, :]) * way[d][None, :]
-                along = np.clip(np.divide(along, length2, out=np.zeros_like(along), where=length2 > 0), 0, 1)
-            for d, x in enumerate(coords):
-                near = tx[d][None, :] + along * way[d][None, :] if segments else tx[d][None, :]
-                d2 += (b[x].to_numpy(float)[:, None] - near) ** 2
-            if rule:
-                a, ta = b["attr"].to_numpy()[:, None], ts["attr"].to_numpy()[None, :]
-                d2[~((ta != a) if rule == "other" else (ta > a))] = np.inf
-            d2[d2 > limit2] = np.inf
-            take = min(k, len(ts))
-            # A stable sort keeps the smaller id first among equal distances.
-            order = np.argsort(d2, axis=1, kind="stable")[:, :take]
-            picked = np.take_along_axis(d2, order, axis=1)
-            i, j = np.nonzero(np.isfinite(picked))
-            parts.append(
-                pd.DataFrame({"id": b["id"].to_numpy()[i], "other": tid[order[i, j]], "d2": picked[i, j]})
-            )
-        return pd.concat(parts) if parts else pd.DataFrame({"id": [], "other": [], "d2": []})
-
-    found = (
-        visits.groupBy("_tb", "_qb")
-        .cogroup(copies.groupBy("_wt", "_wq"))
-        .applyInPandas(best, f"id {id_type}, other {other_type}, d2 double")
-    )
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _top(visits.groupBy("_tb", "_qb").cogroup(copies.groupBy("_wt", "_wq")), best, queries, targets, k)
 
 
 def locations(df: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
@@ -301,7 +315,7 @@ def nearest_edge_km(points: DataFrame, edges: DataFrame, key: str, lat: str, lon
     """
     ends = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
     pieces = densify(edges.select(*ends), step_deg).distinct()
-    pieces = pieces.withColumn("id", F.xxhash64(*ends)).dropDuplicates(["id"])
+    pieces = pieces.withColumn("id", F.concat_ws("|", *ends))
     head, tail = unit_xyz(ends[0], ends[1]), unit_xyz(ends[2], ends[3])
     t = pieces.select(
         "id", *[c.alias(n) for c, n in zip(head, "xyz")], *[c.alias(f"{n}2") for c, n in zip(tail, "xyz")]
