@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions.labels import pure_label, require_mapped, rule_bucket
 from almanac.functions.values import distance_tier, merge_values
+from almanac.operators.ranks import percentiles
 from almanac.operators.upsert import first_per_key
 
 Z_LIMIT = 3.0
@@ -92,8 +93,8 @@ def tukey_outliers(counts: DataFrame, n: str, log: bool = False, multiplier: flo
     """Fence rule on raw or log counts: outside the quartiles by ``multiplier`` times their distance."""
     x = F.log1p(n) if log else F.col(n).cast("double")
     valued = counts.withColumn("_x", x)
-    quart = lambda p: valued.select(F.percentile("_x", p)).scalar()
-    q1, q3 = quart(0.25), quart(0.75)
+    quart = percentiles(valued, "_x", {"q1": 0.25, "q3": 0.75})
+    q1, q3 = quart.select("q1").scalar(), quart.select("q3").scalar()
     reach = (q3 - q1) * multiplier
     return valued.withColumn("is_outlier", (F.col("_x") < q1 - reach) | (F.col("_x") > q3 + reach)).drop("_x")
 
@@ -325,7 +326,7 @@ def histogram(df: DataFrame, col: str, bins: int = 39, cap: float = 0.99) -> Dat
     The last bin includes its upper edge.
     """
     lo = df.select(F.min(col)).scalar()
-    hi = df.select(F.percentile(col, cap)).scalar()
+    hi = percentiles(df, col, {"cap": cap}).scalar()
     x = F.col(col)
     width = (hi - lo) / bins
     at = F.least(F.floor((x - lo) / width), F.lit(bins - 1)).cast("int")
@@ -334,7 +335,5 @@ def histogram(df: DataFrame, col: str, bins: int = 39, cap: float = 0.99) -> Dat
 
 def five_numbers(df: DataFrame, group: str, col: str) -> DataFrame:
     """Minimum, quartiles and maximum per group, by linear interpolation."""
-    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(group).agg(F.min(col).alias("low"), q.alias("_q"), F.max(col).alias("high")).select(
-        group, "low", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "high"
-    )
+    ends = df.groupBy(group).agg(F.min(col).alias("low"), F.max(col).alias("high"))
+    return ends.join(percentiles(df, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group]), group)

@@ -83,3 +83,34 @@ def with_average_rank(df: DataFrame, value: str, out: str = "rank", by: Sequence
     """Every row with the average rank of its value."""
     ranks = average_ranks(df, value, by).drop("n").withColumnRenamed("rank", out)
     return df.join(ranks, [*by, value])
+
+
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles by linear interpolation, one column per name in ``shares``.
+
+    Read off the running totals of the value histogram, so no task holds all values.
+    """
+    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    keyed = hist if by else hist.withColumn("_all", F.lit(0))
+    groups = list(by) or ["_all"]
+    placed = running_total(keyed, groups, value, F.col("n"), "_before", order_bounds(hist, value))
+    totals = keyed.groupBy(*groups).agg(F.sum("n").alias("_total"))
+    upto, x = F.col("_before") + F.col("n"), F.col(value).cast("double")
+    out = []
+    for name, p in shares.items():
+        at = (F.col("_total") - 1) * p
+        low = F.min(F.when(upto > F.floor(at), x))
+        high = F.min(F.when(upto > F.ceil(at), x))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return placed.join(totals, groups).groupBy(*groups).agg(*out).drop("_all")
+
+
+def later_minimum(df: DataFrame, order: str, value: str, out: str, bounds: Sequence[float]) -> DataFrame:
+    """Adds ``out``: the smallest ``value`` among this row and all rows after it."""
+    sliced = df.withColumn("_slice", slice_of(F.col(order), bounds))
+    rest = Window.partitionBy("_slice").orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, 0)
+    later = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    tails = sliced.groupBy("_slice").agg(F.min(value).alias("_m")).withColumn("_later", F.min("_m").over(later))
+    joined = sliced.withColumn("_here", F.min(value).over(rest)).join(tails.select("_slice", "_later"), "_slice")
+    return joined.withColumn(out, F.least("_here", "_later")).drop("_slice", "_here", "_later")

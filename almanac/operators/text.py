@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.operators.ranks import percentiles
+
 MERGE_GAP = 15
 WINDOW_PAD = 500
 CHUNK_CHARS = 500
@@ -186,7 +188,7 @@ def keyword_hit_rate(occurrences: DataFrame, keyword: str, is_hit: str) -> DataF
     per = occurrences.groupBy(keyword).agg(F.count("*").alias("total"), F.count_if(F.col(is_hit)).alias("hits"))
     per = per.withColumn("rate", F.col("hits") / F.col("total"))
     pooled = per.select(F.sum("hits") / F.sum("total")).scalar()
-    middle = per.select(F.median("rate")).scalar()
+    middle = percentiles(per, "rate", {"median": 0.5}).scalar()
     return per.withColumn("pooled_rate", pooled).withColumn("median_rate", middle)
 
 
