@@ -100,7 +100,7 @@ def kmeans_sweep(
 ) -> tuple[DataFrame, DataFrame]:
     """Sweep table (k, silhouette, silhouette_sq, davies_bouldin, inertia, best, structure) and rows with the best clustering."""
     ready = materialise(df, "kmeans")
-    vectors = assemble(ready, columns)
+    vectors = assemble(ready, columns).persist()  # iterated by every fit; recomputed from the written table if lost
     square = ClusteringEvaluator(featuresCol="features")
     found = []
     for k in ks:
@@ -112,6 +112,7 @@ def kmeans_sweep(
             (k, silhouette(rows, columns, "prediction"), square.evaluate(rows), davies_bouldin(rows, columns, "prediction", centres),
              float(model.summary.trainingCost), model)
         )
+    vectors.unpersist()
     best = max(found, key=lambda f: f[1])
     structure = "meaningful" if best[1] >= SILHOUETTE_OK else "weak/none"
     sweep = df.sparkSession.createDataFrame(

@@ -303,7 +303,7 @@ def scored(spark, sf):
 
 @query(
     "m08_threshold_sweep",
-    f"""WITH {SCORED_SQL}, th AS (SELECT i AS step, 0.01 + i * (0.98 / 199.0::DOUBLE) AS threshold FROM range(200) r(i)),
+    f"""WITH {SCORED_SQL}, th AS (SELECT i AS step, CASE WHEN i = 199 THEN 0.99::DOUBLE ELSE 0.01 + i * (0.98 / 199.0::DOUBLE) END AS threshold FROM range(200) r(i)),
     c AS (SELECT step, threshold, count(*) FILTER (y = 1 AND score >= threshold) AS tp, count(*) FILTER (y = 0 AND score >= threshold) AS fp,
         count(*) FILTER (y = 1 AND score < threshold) AS fn FROM th, sc GROUP BY ALL)
     SELECT CAST(step AS INTEGER) AS step, round(threshold, 6) AS threshold, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
