@@ -79,8 +79,8 @@ def active_entities(sites: DataFrame, pages: DataFrame, entity: str, site: str,
 def find_outliers(counts: DataFrame, n: str = "n", limit: float = Z_LIMIT) -> DataFrame:
     """z of ``log1p(n)`` by population spread, flagged beyond ``limit``."""
     logged = counts.withColumn("log_n", F.log1p(n))
-    mean, sd = logged.select(F.avg("log_n")).scalar(), logged.select(F.stddev_pop("log_n")).scalar()
-    z = (F.col("log_n") - mean) / sd
+    spread = logged.select(F.struct(F.avg("log_n").alias("mean"), F.stddev_pop("log_n").alias("sd"))).scalar()
+    z = (F.col("log_n") - spread["mean"]) / spread["sd"]
     return logged.withColumn("zscore", z).withColumn("is_outlier", F.abs("zscore") > limit)
 
 
@@ -93,8 +93,8 @@ def tukey_outliers(counts: DataFrame, n: str, log: bool = False, multiplier: flo
     """Fence rule on raw or log counts: outside the quartiles by ``multiplier`` times their distance."""
     x = F.log1p(n) if log else F.col(n).cast("double")
     valued = counts.withColumn("_x", x)
-    quart = percentiles(valued, "_x", {"q1": 0.25, "q3": 0.75})
-    q1, q3 = quart.select("q1").scalar(), quart.select("q3").scalar()
+    quart = percentiles(valued, "_x", {"q1": 0.25, "q3": 0.75}).select(F.struct("q1", "q3")).scalar()
+    q1, q3 = quart["q1"], quart["q3"]
     reach = (q3 - q1) * multiplier
     return valued.withColumn("is_outlier", (F.col("_x") < q1 - reach) | (F.col("_x") > q3 + reach)).drop("_x")
 

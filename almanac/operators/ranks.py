@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.session import materialise
+
 SLICE_ROWS = 2_000_000
 MAX_SLICES = 512
 
@@ -64,13 +66,18 @@ def row_number_within(
     return numbered.withColumn(out, F.col(out) + 1)
 
 
+def _histogram(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Written once, as the bounds, the totals and the ranks all read it."""
+    return materialise(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), "histogram")
+
+
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), bounds: Sequence[float] | None = None) -> DataFrame:
     """Average rank per distinct value: (by, value, n, rank).
 
     Ranks come from the histogram of distinct values, so a value shared by a third
     of all rows is one row, and continuous values are ranked slice by slice.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    hist = _histogram(df, value, by)
     cuts = order_bounds(hist, value) if bounds is None else bounds
     keyed = hist if by else hist.withColumn("_all", F.lit(0))
     groups = list(by) or ["_all"]
@@ -90,7 +97,7 @@ def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequenc
 
     Read off the running totals of the value histogram, so no task holds all values.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    hist = _histogram(df, value, by)
     keyed = hist if by else hist.withColumn("_all", F.lit(0))
     groups = list(by) or ["_all"]
     placed = running_total(keyed, groups, value, F.col("n"), "_before", order_bounds(hist, value))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions.dist import chi2_p, normal_p, t_p
 from almanac.operators.ranks import average_ranks, later_minimum, order_bounds, running_total, slice_of
+from almanac.session import materialise
 
 
 def _cube(n: Column) -> Column:
@@ -24,11 +25,12 @@ def _cube(n: Column) -> Column:
 
 
 def group_histogram(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    return (
+    hist = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
         .agg(F.count("*").alias("n"))
     )
+    return materialise(hist, "histogram")  # read several times below; the data behind it only once
 
 
 def ranked_groups(hist: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -187,6 +189,7 @@ def dunn(df: DataFrame, group: str, value: str, method: str = "fdr_bh") -> DataF
 
 def adjust(table: DataFrame, p: str, method: str = "fdr_bh") -> DataFrame:
     """Adds ``p_adj``: Bonferroni, or Benjamini-Hochberg by a reverse running minimum."""
+    table = materialise(table, "p-values")  # read for the size, the bounds, the ranks and the result
     m = table.select(F.count(p)).scalar()
     if method == "bonferroni":
         return table.withColumn("p_adj", bonferroni(F.col(p), m))
@@ -325,11 +328,9 @@ def mardia(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace columns by z-scores of population spread."""
-    out = df
-    for c in columns:
-        mean, sd = df.select(F.avg(c)).scalar(), df.select(F.stddev_pop(c)).scalar()
-        out = out.withColumn(c, (F.col(c) - mean) / sd)
-    return out
+    parts = [F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(c) for c in columns]
+    spread = df.select(F.struct(*parts)).scalar()  # one pass for all columns
+    return df.withColumns({c: (F.col(c) - spread[c]["mean"]) / spread[c]["sd"] for c in columns})
 
 
 # ---- spatial association -------------------------------------------------------

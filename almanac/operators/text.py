@@ -16,17 +16,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.operators.ranks import percentiles
+from almanac.session import materialise
 
 MERGE_GAP = 15
 WINDOW_PAD = 500
 CHUNK_CHARS = 500
+OUTPUT_CHARS = 8_000_000  # text handed back to Spark at a time
 
 
 def lexicon_pattern(exact: Sequence[str], prefixes: Sequence[str] = ()) -> str:
-    """One pattern: exact words first, then word prefixes; earlier entries win."""
-    words = [rf"\b{re.escape(w)}\b" for w in exact]
-    words += [rf"\b{re.escape(p.rstrip('*'))}\w*\b" for p in prefixes]
-    return "(?iU)(?:" + "|".join(words) + ")"
+    """One pattern: exact words first, then word prefixes; earlier entries win.
+
+    The word boundary and the first letter are tested once per place, before any entry.
+    """
+    stems = [p.rstrip("*") for p in prefixes]
+    words = [re.escape(w) + r"\b" for w in exact] + [re.escape(p) + r"\w*\b" for p in stems]
+    first = "".join(sorted({re.escape(w[0].lower()) for w in (*exact, *stems)}))
+    return rf"(?iU)\b(?=[{first}])(?:" + "|".join(words) + ")"
 
 
 def span_pattern(lexicon: str, gap: int = MERGE_GAP) -> str:
@@ -153,15 +159,23 @@ def fixed_chunks(df: DataFrame, key: str, text: str, size: int = CHUNK_CHARS) ->
     """Windows of ``size`` characters snapped back to the last space, as (key, chunk_index, chunk_text).
 
     Each cut depends on the one before it, so the cutting runs once over the text in
-    Arrow batches; chunks stream out and a long page never becomes one big value.
+    Arrow batches; chunks go back to Spark after every few megabytes of text.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            keys, at, pieces, held = [], [], [], 0
             for k, body in zip(b[key], b[text]):
-                pieces = list(_chunks_of(body, size))
-                if pieces:
-                    yield pd.DataFrame({key: k, "chunk_index": range(len(pieces)), "chunk_text": pieces})
+                for i, piece in enumerate(_chunks_of(body, size)):
+                    keys.append(k)
+                    at.append(i)
+                    pieces.append(piece)
+                held += len(body or "")
+                if held > OUTPUT_CHARS:
+                    yield pd.DataFrame({key: keys, "chunk_index": at, "chunk_text": pieces})
+                    keys, at, pieces, held = [], [], [], 0
+            if pieces:
+                yield pd.DataFrame({key: keys, "chunk_index": at, "chunk_text": pieces})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, chunk_index int, chunk_text string")
@@ -186,7 +200,8 @@ def hit_rate(hits: Column, total: Column) -> Column:
 def keyword_hit_rate(occurrences: DataFrame, keyword: str, is_hit: str) -> DataFrame:
     """Total, hits and rate per keyword, with the pooled and the median rate beside them."""
     per = occurrences.groupBy(keyword).agg(F.count("*").alias("total"), F.count_if(F.col(is_hit)).alias("hits"))
-    per = per.withColumn("rate", F.col("hits") / F.col("total"))
+    # One row per keyword; written so that the two summary rates do not read the text again.
+    per = materialise(per.withColumn("rate", F.col("hits") / F.col("total")), "keyword-rates")
     pooled = per.select(F.sum("hits") / F.sum("total")).scalar()
     middle = percentiles(per, "rate", {"median": 0.5}).scalar()
     return per.withColumn("pooled_rate", pooled).withColumn("median_rate", middle)

@@ -11,6 +11,7 @@ from almanac.plans import tables as t
 from almanac.plans.registry import query
 from almanac.plans.scalar_plans import CANON_SQL, HAV_SQL
 from almanac.plans.tables import table, with_views
+from almanac.presets import DENSE_BOXES
 from almanac.plans.text_plans import CENTROID_SQL, phrases
 
 
@@ -296,21 +297,19 @@ def j14(spark, sf):
     return edges.select("id", "neighbour", "rank", F.round("km", 6).alias("km"), F.lit(1.0 / k).alias("weight"))
 
 
-DENSE = ((40.4, 41.4, -74.5, -71.8), (33.5, 34.5, -118.7, -117.5), (36.0, 37.2, -97.0, -94.9))
+DENSE = (*DENSE_BOXES, (36.0, 37.2, -97.0, -94.9))
+BOX_SQL = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE, {i})" for i, (a, b, c, d) in enumerate(DENSE, 1))
 
 
 @query(
     "j15_assign_to_grid",
     with_views(
         "geo",
-        f"""+ c AS (SELECT 24.0 + i AS lat, -125.0 + j AS lon FROM range(26) a(i), range(60) b(j)),
-        coarse AS (SELECT * FROM c WHERE NOT (lat BETWEEN 40.4 AND 41.4 AND lon BETWEEN -74.5 AND -71.8)
-            AND NOT (lat BETWEEN 33.5 AND 34.5 AND lon BETWEEN -118.7 AND -117.5)
-            AND NOT (lat BETWEEN 36.0 AND 37.2 AND lon BETWEEN -97.0 AND -94.9)),
-        grid AS (SELECT lat, lon FROM coarse
-            UNION SELECT 40.4 + i * 0.5, -74.5 + j * 0.5 FROM range(3) a(i), range(6) b(j)
-            UNION SELECT 33.5 + i * 0.5, -118.7 + j * 0.5 FROM range(3) a(i), range(3) b(j)
-            UNION SELECT 36.0 + i * 0.5, -97.0 + j * 0.5 FROM range(3) a(i), range(5) b(j)),
+        f"""+ box AS (SELECT * FROM (VALUES {BOX_SQL}) v(a, b, c, d, r)),
+        pts AS (SELECT 24.0::DOUBLE + i AS lat, -125.0::DOUBLE + j AS lon, 0 AS r FROM range(26) x(i), range(60) y(j)
+            UNION ALL SELECT round(a + i * 0.5, 6), round(c + j * 0.5, 6), r FROM box, range(4) x(i), range(7) y(j)
+            WHERE a + i * 0.5 <= b + 1e-9 AND c + j * 0.5 <= d + 1e-9),
+        grid AS (SELECT DISTINCT lat, lon FROM pts p WHERE NOT EXISTS (SELECT 1 FROM box WHERE box.r > p.r AND lat BETWEEN a AND b AND lon BETWEEN c AND d)),
         near AS (SELECT id, round(grid.lat, 6) AS c_lat, round(grid.lon, 6) AS c_lon FROM geo JOIN grid
             ON {HAV_SQL.format('geo.lat', 'grid.lat', 'geo.lon', 'grid.lon')} <= 50)
         SELECT id, CAST(c_lat AS DOUBLE) AS c_lat, CAST(c_lon AS DOUBLE) AS c_lon FROM near

@@ -9,6 +9,7 @@ from almanac.operators import rollups
 from almanac.plans import tables as t
 from almanac.plans.registry import query
 from almanac.plans.tables import table, with_views
+from almanac.session import spread
 
 # ---- names -----------------------------------------------------------------
 
@@ -515,7 +516,7 @@ def f20_quick(spark, sf):
 
 @query("f20_page_text")
 def f20(spark, sf):
-    return pages.page_text(table(spark, sf, "pages").select("page_id", "html"))
+    return pages.page_text(spread(table(spark, sf, "pages")).select("page_id", "html"))
 
 
 # ---- labels ----------------------------------------------------------------

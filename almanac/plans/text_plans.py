@@ -8,6 +8,7 @@ from almanac.operators import search, text
 from almanac.operators.upsert import scoped_replace
 from almanac.plans.registry import query
 from almanac.plans.tables import table
+from almanac.session import spread
 
 LEXICON = text.lexicon_pattern(["that", "with", "this"], ["th*"])
 NARROW_LEXICON = text.lexicon_pattern(["that", "with", "this"])
@@ -31,7 +32,7 @@ SPANS_SQL = HITS_SQL + """,
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 @query("t01_lexicon_hits_by_lang", f"""WITH {HITS_SQL} SELECT lang, count(*) AS hits, CAST(sum(s) AS BIGINT) AS start_sum

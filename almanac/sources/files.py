@@ -43,6 +43,12 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("value")).where("value <> ''").distinct()
 
 
+def read_quoted_list(spark: SparkSession, path: str) -> list[str]:
+    """Entries of a keyword file of quoted, comma-separated strings, in order; short by nature, so a plain list."""
+    body = spark.read.text(path, wholetext=True)
+    return body.select(F.regexp_extract_all("value", F.lit('"([^"]+)"'), 1).alias("k")).first()["k"]
+
+
 def read_padded(spark: SparkSession, path: str, names: Sequence[str], sep: str = "|") -> DataFrame:
     """Separated lines; missing trailing fields are blank, further ones are dropped."""
     parts = F.split("value", f"\\Q{sep}\\E")
