@@ -264,7 +264,7 @@ def per_entity(spark, sf):
         round(100.0 * count(*) FILTER (n > 0) / count(*), 6) AS pct_active,
         round(100.0 * sqrt((count(*) FILTER (n > 0) / count(*)) * (1 - count(*) FILTER (n > 0) / count(*)) / count(*)), 6) AS pct_sd,
         round(avg(n), 6) AS mean_all, round(stddev_samp(n), 6) AS sd_all, round(avg(n) FILTER (n > 0), 6) AS mean_active,
-        round(stddev_samp(n) FILTER (n > 0) / sqrt(count(*) FILTER (n > 0)), 6) AS sem_active
+        round(coalesce(stddev_samp(n) FILTER (n > 0) / sqrt(count(*) FILTER (n > 0)), 0), 6) AS sem_active
         FROM s JOIN entity USING (entity_id) GROUP BY grp""",
     ),
 )

@@ -63,6 +63,12 @@ def ranked_sql(rows: str) -> str:
     tie AS (SELECT sum(CAST(c AS DOUBLE) * c * c - c) AS ties, CAST(sum(c) AS DOUBLE) AS nn FROM (SELECT count(*) AS c FROM rows_ GROUP BY v))"""
 
 
+KRUSKAL_SQL = f"""h AS (SELECT (12 / (max(nn) * (max(nn) + 1)) * sum(rs * rs / n) - 3 * (max(nn) + 1)) / (1 - max(ties) / (pow(max(nn), 3) - max(nn))) AS h,
+            CAST(max(nn) AS BIGINT) AS nn, count(*) AS k FROM g, tie WHERE n > 1)
+        SELECT round(h, 6) AS "H", CAST(k - 1 AS INTEGER) AS df, k AS n_groups, nn AS n_total, round(CASE k
+        {' '.join(f"WHEN {d + 1} THEN {chi2_p_sql('h', d)}" for d in range(1, 8))} END, 6) AS p FROM h"""
+
+
 ENTITY_N_SQL = f"{COUNTS_SQL}, e AS (SELECT grp, region, n AS v FROM entity JOIN cnt USING (entity_id))"
 
 
@@ -75,9 +81,7 @@ def entity_counts(spark, sf):
     with_views(
         "entity",
         f"""+ {ENTITY_N_SQL}, {ranked_sql('SELECT grp, v FROM e')},
-        h AS (SELECT (12 / (max(nn) * (max(nn) + 1)) * sum(rs * rs / n) - 3 * (max(nn) + 1)) / (1 - max(ties) / (pow(max(nn), 3) - max(nn))) AS h,
-            CAST(max(nn) AS BIGINT) AS nn FROM g, tie)
-        SELECT round(h, 6) AS "H", CAST(4 AS INTEGER) AS df, 5 :: BIGINT AS n_groups, nn AS n_total, round({chi2_p_sql('h', 4)}, 6) AS p FROM h""",
+        {KRUSKAL_SQL}""",
     ),
 )
 def x02(spark, sf):
@@ -164,17 +168,17 @@ def x05_paired(spark, sf):
     return rounded(st.pairwise_paired(customer_matrix(spark, sf), CATS), "z", "p", "p_bonf")
 
 
-def dunn_sql(m: int) -> str:
+def dunn_sql() -> str:
     return f"""dz AS (SELECT x.grp AS group1, y.grp AS group2, x.n AS n1, y.n AS n2, x.mean AS mean1, y.mean AS mean2, (x.rs / x.n - y.rs / y.n)
             / sqrt((nn * (nn + 1) / 12 - ties / (12 * (nn - 1))) * (1.0::DOUBLE / x.n + 1.0::DOUBLE / y.n)) AS z FROM g x JOIN g y ON x.grp < y.grp, tie),
         dp AS (SELECT *, {normal_p_sql('z')} AS p FROM dz),
-        dr AS (SELECT *, p * {m} / rank() OVER (ORDER BY p) AS scaled FROM dp),
+        dr AS (SELECT *, p * count(*) OVER () / (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1) AS scaled FROM dp),
         dunn AS (SELECT *, least(1, min(scaled) OVER (ORDER BY p DESC)) AS p_adj FROM dr)
         SELECT group1, group2, n1, n2, round(mean1, 6) AS mean1, round(mean2, 6) AS mean2, round(z, 6) AS z, round(p, 6) AS p,
         round(p_adj, 6) AS p_adj, p_adj < 0.05 AS sig FROM dunn"""
 
 
-@query("x06_dunn", with_views("entity", f"+ {ENTITY_N_SQL}, {ranked_sql('SELECT grp, v FROM e')}, {dunn_sql(10)}"))
+@query("x06_dunn", with_views("entity", f"+ {ENTITY_N_SQL}, {ranked_sql('SELECT grp, v FROM e')}, {dunn_sql()}"))
 def x06(spark, sf):
     return rounded(st.dunn(entity_counts(spark, sf), "grp", "n"), "mean1", "mean2", "z", "p", "p_adj")
 
@@ -325,9 +329,7 @@ def x17(spark, sf):
     with_views(
         "action entity",
         f"""+ {CLICK_SQL}, {ranked_sql('SELECT grp, click / CAST(n AS DOUBLE) AS v FROM s JOIN entity USING (entity_id) WHERE n > 0')},
-        h AS (SELECT (12 / (max(nn) * (max(nn) + 1)) * sum(rs * rs / n) - 3 * (max(nn) + 1)) / (1 - max(ties) / (pow(max(nn), 3) - max(nn))) AS h,
-            CAST(max(nn) AS BIGINT) AS nn FROM g, tie)
-        SELECT round(h, 6) AS "H", CAST(4 AS INTEGER) AS df, 5 :: BIGINT AS n_groups, nn AS n_total, round({chi2_p_sql('h', 4)}, 6) AS p FROM h""",
+        {KRUSKAL_SQL}""",
     ),
 )
 def x18(spark, sf):
@@ -339,7 +341,7 @@ def x18(spark, sf):
     "x18_share_posthoc",
     with_views(
         "action entity",
-        f"""+ {CLICK_SQL}, {ranked_sql('SELECT grp, click / CAST(n AS DOUBLE) AS v FROM s JOIN entity USING (entity_id) WHERE n > 0')}, {dunn_sql(10)}""",
+        f"""+ {CLICK_SQL}, {ranked_sql('SELECT grp, click / CAST(n AS DOUBLE) AS v FROM s JOIN entity USING (entity_id) WHERE n > 0')}, {dunn_sql()}""",
     ),
 )
 def x18_posthoc(spark, sf):
