@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from almanac.functions.dist import chi2_p, normal_two_sided
 from almanac.operators.nearest import nearest
 from almanac.operators.ranks import row_number_within
-from almanac.operators.sampling import shuffle_key
+from almanac.operators.sampling import hash_order
 from almanac.operators.statistics import group_histogram, ranked_groups, standardise
 from almanac.session import materialise
 
@@ -192,8 +192,7 @@ def likelihood_ratio(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame
 
 def cross_validate(df: DataFrame, y: str, columns: Sequence[str], key: str, folds: int = 5, seed: int = 0) -> DataFrame:
     """Accuracy, AUC and majority baseline of out-of-fold logistic predictions; folds are dealt inside each class."""
-    order = F.conv(F.substring(shuffle_key(key, seed), 1, 13), 16, 10).cast("bigint")
-    dealt = row_number_within(df.withColumn("_o", order), [y], "_o", "_n", ties=[key]).withColumn("_fold", F.col("_n") % folds)
+    dealt = row_number_within(df.withColumn("_o", hash_order(key, seed)), [y], "_o", "_n", ties=[key]).withColumn("_fold", F.col("_n") % folds)
     dealt = materialise(dealt.drop("_o", "_n"), "folds")
     scored = None
     for f in range(folds):

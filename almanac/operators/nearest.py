@@ -70,9 +70,9 @@ def _range_blocks(df: DataFrame, key: str, size: int, out: str) -> tuple[DataFra
     ranged = df.mapInPandas(number, f"{schema}, `{out}` bigint")
     crowded = ranged.groupBy(out).count().where(F.col("count") > 2 * size).collect()  # at most one row per block
     split = F.lit(0)
-    for r in crowded:
-        pieces = math.ceil(r["count"] / size)
-        split = F.when(F.col(out) == r[out], F.pmod(F.xxhash64("id"), F.lit(pieces))).otherwise(split)
+    if crowded:
+        pairs = [F.lit(x) for r in crowded for x in (r[out], math.ceil(r["count"] / size))]
+        split = F.pmod(F.xxhash64("id"), F.coalesce(F.create_map(*pairs)[F.col(out)], F.lit(1)))
     return ranged.withColumn(out, F.col(out) * 1_000_000 + split), parts
 
 

@@ -22,11 +22,22 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("_r", shuffle_key(key, seed)).orderBy("_r", key).limit(n).drop("_r")
 
 
+GROUP_LIMIT = 1_000  # up to here Spark cuts each group before the shuffle
+
+
+def hash_order(key: str, seed: int) -> Column:
+    """The leading 52 bits of the shuffle key as a number, for slicing."""
+    return F.conv(F.substring(shuffle_key(key, seed), 1, 13), 16, 10).cast("bigint")
+
+
 def seeded_sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows per group; the rank limit is applied before the shuffle, so a crowded group stays small."""
-    order = Window.partitionBy(group).orderBy("_r", key)
-    ranked = df.withColumn("_r", shuffle_key(key, seed)).withColumn("_n", F.row_number().over(order))
-    return ranked.where(F.col("_n") <= n).drop("_r", "_n")
+    """``n`` rows per group; small samples are cut before the shuffle, large ones numbered slice by slice."""
+    if n <= GROUP_LIMIT:
+        order = Window.partitionBy(group).orderBy("_r", key)
+        ranked = df.withColumn("_r", shuffle_key(key, seed)).withColumn("_n", F.row_number().over(order))
+        return ranked.where(F.col("_n") <= n).drop("_r", "_n")
+    numbered = row_number_within(df.withColumn("_r", hash_order(key, seed)), [group], "_r", "_n", ties=[key])
+    return numbered.where(F.col("_n") <= n).drop("_r", "_n")
 
 
 def seeded_order(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -63,8 +74,7 @@ def stratified_split(df: DataFrame, label: str, key: str, parts: Sequence[tuple[
 
     The class is numbered slice by slice along the shuffle key, as a class may hold most rows.
     """
-    order = F.conv(F.substring(shuffle_key(key, seed), 1, 13), 16, 10).cast("bigint")
-    numbered = row_number_within(df.withColumn("_o", order), [label], "_o", "_n", ties=[key])
+    numbered = row_number_within(df.withColumn("_o", hash_order(key, seed)), [label], "_o", "_n", ties=[key])
     sizes = df.groupBy(label).agg(F.count("*").alias("_size"))
     share, split = 0.0, None
     for name, part in parts[:-1]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.operators.ranks import percentiles
-from almanac.session import materialise
+from almanac.session import keep_keys, materialise
 
 MERGE_GAP = 15
 WINDOW_PAD = 500
@@ -79,6 +79,12 @@ def keyword_hits(df: DataFrame, key: str, text: str, lexicon: str, carry: Sequen
     return hits.withColumn("keyword", F.lower("found")).drop("found")
 
 
+def keyword_occurrences(df: DataFrame, key: str, text: str, lexicon: str) -> DataFrame:
+    """(key, keyword) per hit, without offsets: a narrow explode, no shuffle."""
+    hits = F.regexp_extract_all(F.col(text), F.lit(lexicon), 0)
+    return df.select(key, F.explode(hits).alias("keyword")).withColumn("keyword", F.lower("keyword"))
+
+
 def merge_hits(hits: DataFrame, key: str, gap: int = MERGE_GAP, sep: str = ", ") -> DataFrame:
     """Merge listed hits closer than ``gap`` into spans (key, keywords, start, end).
 
@@ -216,7 +222,7 @@ def budgeted_text(
     per_page: int = 4_000,
     total: int = 6_000,
     sep: str = "\n\n---\n\n",
-    salts: int = 64,
+    salts: int = 1024,
 ) -> DataFrame:
     """One text per group from its best pages until the character budget is used up.
 
@@ -236,7 +242,7 @@ def budgeted_text(
 
     chosen = within_budget(within_budget(narrow, group, "_salt").drop("_used"), group)
     take = F.least(F.col("_len"), (F.lit(total) - F.col("_used")).cast("int"))
-    pieces = pages.select(key, text).join(chosen.drop("_salt"), key)
+    pieces = keep_keys(pages.select(key, text), chosen.drop("_salt"), key, "inner")
     piece = F.struct("_used", F.substring(F.col(text), F.lit(1), take).alias("t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), sep)
     return pieces.groupBy(group).agg(joined.alias("agg_text"), F.count("*").alias("pages_used"))

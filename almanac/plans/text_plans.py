@@ -8,7 +8,7 @@ from almanac.operators import search, text
 from almanac.operators.upsert import scoped_replace
 from almanac.plans.registry import query
 from almanac.plans.tables import table
-from almanac.session import spread
+from almanac.session import keep_keys, spread
 
 LEXICON = text.lexicon_pattern(["that", "with", "this"], ["th*"])
 NARROW_LEXICON = text.lexicon_pattern(["that", "with", "this"])
@@ -131,9 +131,9 @@ def t08(spark, sf):
 def t09(spark, sf):
     docs = documents(spark, sf)
     toxic = table(spark, sf, "labels").where("toxic = 1")
-    scope = docs.join(toxic, "doc_id", "left_semi").select("source").distinct()
+    scope = table(spark, sf, "documents").select("doc_id", "source").join(toxic, "doc_id", "left_semi").select("source").distinct()
     stored = text.site_rollup(docs, "source", "text", NARROW_LEXICON)
-    fresh = text.site_rollup(docs.join(scope, "source", "left_semi"), "source", "text", LEXICON)
+    fresh = text.site_rollup(keep_keys(docs, scope, "source"), "source", "text", LEXICON)
     return scoped_replace(stored, fresh, scope, "source")
 
 
@@ -244,13 +244,15 @@ def t14(spark, sf):
 )
 def t15(spark, sf):
     docs, lab = documents(spark, sf), table(spark, sf, "labels")
-    in_list = lambda cond: docs.join(lab.where(cond), "doc_id", "left_semi").select("source")
+    owners = table(spark, sf, "documents").select("doc_id", "source")
+    in_list = lambda cond: owners.join(lab.where(cond), "doc_id", "left_semi").select("source")
     overlap = in_list("toxic = 1").intersect(in_list("quality = 1"))
     names, matrix = phrases(spark, sf)
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     missed = (
-        docs.join(overlap, "source", "left_semi")
-        .select("doc_id", text.has_keyword(F.col("text"), NARROW_LEXICON).alias("caught"))
+        docs.select("doc_id", "source", text.has_keyword(F.col("text"), NARROW_LEXICON).alias("caught"))
+        .join(overlap, "source", "left_semi")
+        .select("doc_id", "caught")
         .join(search.best_phrase(vectors, "embedding", names, matrix), "doc_id")
     )
     top = search.top_missed(missed, "score", "doc_id", F.col("caught"), search.MAX_SIM, 40)
@@ -289,8 +291,8 @@ def t17(spark, sf):
     round((SELECT median(rate) FROM r), 6) AS median_rate FROM r""",
 )
 def t18(spark, sf):
-    labelled = documents(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    hits = text.keyword_hits(labelled, "doc_id", "text", LEXICON, carry=["quality"])
+    hits = text.keyword_occurrences(documents(spark, sf), "doc_id", "text", LEXICON)
+    hits = hits.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     rates = text.keyword_hit_rate(hits.withColumn("hit", F.col("quality") == 1), "keyword", "hit")
     return rates.select("keyword", "total", "hits", *[F.round(c, 6).alias(c) for c in ("rate", "pooled_rate", "median_rate")])
 

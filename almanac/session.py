@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -53,6 +54,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 500_000
+
+
+def keep_keys(big: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Semi, anti or inner join of wide rows with a narrow frame without moving the wide rows.
+
+    The narrow side is written and counted: up to ``BROADCAST_ROWS`` rows it is sent to
+    the rows, beyond that the join is left to the optimizer.
+    """
+    small = materialise(keys, "keys")
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out the rows of a small scan whose few splits would leave cores idle.
 
