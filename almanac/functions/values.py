@@ -35,11 +35,8 @@ def clean_int(col: Column, below: int = SENTINEL_BELOW) -> Column:
 
 def sum_present(cols: Sequence[Column]) -> Column:
     """Sum of the non-null values; null when all are null."""
-    any_present = F.coalesce(*cols).isNotNull()
-    total = F.lit(0)
-    for c in cols:
-        total = total + F.coalesce(c, F.lit(0))
-    return F.when(any_present, total)
+    nothing = F.lit(None).cast("bigint")
+    return F.aggregate(F.array(*cols), nothing, lambda total, x: F.coalesce(total + x, total, x))
 
 
 def language_groups(variables: Mapping[int, Column]) -> dict[str, Column]:

@@ -12,7 +12,7 @@ from almanac.plans.join_plans import BOXES_SQL, boxes
 from almanac.plans.registry import query
 from almanac.plans.tables import table, with_views
 from almanac.plans.text_plans import CHUNKS_SQL, LEXICON, ROLLUP_SQL, SPANS_SQL
-from almanac.session import scratch_path
+from almanac.session import scratch_path, spread
 from almanac.sources import files, snapshots
 from almanac.streaming import incremental
 
@@ -76,7 +76,7 @@ def s03(spark, sf):
 )
 def s04(spark, sf):
     root = scratch_path(spark, "html-tree")
-    pages = t.site(spark, sf).select("domain", "page_id", F.col("html").alias("value"))
+    pages = spread(t.site(spark, sf).select("domain", "page_id", F.col("html").alias("value")))
     pages.write.partitionBy("domain", "page_id").option("lineSep", "\n").text(root)
     known = t.site(spark, sf).where("domain <> 'spam-farm.example.org'").select("domain")
     found = files.read_html_tree(spark, root, known)

@@ -29,7 +29,7 @@ def crowd(n, seed, copies=0.3):
 @pytest.mark.parametrize("block", [2000, 16])
 def test_knn_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(nearest, "QUERY_BLOCK", 50)
-    pts = crowd(150, 1)
+    pts = crowd(120, 1)
     df = spark.createDataFrame(pts, "id long, lat double, lon double")
     original = nearest.nearest
     monkeypatch.setattr(nearest, "nearest", lambda *a, **k: original(*a, **{**k, "block": block}))
@@ -51,7 +51,7 @@ def greedy(left, right, max_km):
 
 
 def test_greedy_pairs_equal_sorted_loop(spark):
-    left, right = crowd(40, 3), crowd(35, 4)
+    left, right = crowd(26, 3), crowd(22, 4)
     schema = "id long, lat double, lon double"
     got = matching.greedy_nearest_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
     assert {(r.left_id, r.right_id) for r in got.collect()} == greedy(left, right, 1.0)
@@ -99,7 +99,7 @@ def test_merge_equals_sequential_loop(spark):
             for i, la, lo in crowd(n, seed, 0.25)
         ]
 
-    left, right = side(45, 11), side(40, 12)
+    left, right = side(26, 11), side(22, 12)
     schema = "id long, name string, state string, lat double, lon double"
     frames = []
     for rows in (left, right):
