@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from almanac.functions.stemming import stem
+from almanac.operators.text import has_keyword, lexicon_pattern
 
 WORD_SPLIT = r"(?U)[^\w]+"
 MAX_SIM = 0.25
@@ -54,6 +55,19 @@ def matches_all(lex: Column, terms: Sequence[str]) -> Column:
     return F.size(F.array_intersect(lex, F.array(*[F.lit(t) for t in terms]))) == len(set(terms))
 
 
+def any_word(text: Column, terms: Sequence[str]) -> Column:
+    """OR query over unstemmed words; one pattern, so the text is not cut into words."""
+    return has_keyword(text, lexicon_pattern(terms))
+
+
+def all_words(text: Column, terms: Sequence[str]) -> Column:
+    """AND query over unstemmed words; stops at the first missing one."""
+    out = has_keyword(text, lexicon_pattern(terms[:1]))
+    for t in terms[1:]:
+        out = out & has_keyword(text, lexicon_pattern([t]))
+    return out
+
+
 def inverted_index(df: DataFrame, key: str, lex: Column) -> DataFrame:
     """(lexeme, key) rows, for storing by lexeme."""
     return df.select(F.explode(lex).alias("lexeme"), key)

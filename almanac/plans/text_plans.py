@@ -143,14 +143,19 @@ LEX_SQL = f"""lex AS (SELECT doc_id, list_distinct(list_transform(regexp_extract
 
 @query("t10_full_text_or", f"WITH {LEX_SQL} SELECT doc_id FROM lex WHERE list_has_any(ws, ['whether', 'nicht', 'thereble', 'para'])")
 def t10(spark, sf):
-    lex = search.lexemes(F.col("text"), stop=())
-    return documents(spark, sf).where(search.matches_any(lex, ["whether", "nicht", "thereble", "para"])).select("doc_id")
+    return documents(spark, sf).where(search.any_word(F.col("text"), ["whether", "nicht", "thereble", "para"])).select("doc_id")
 
 
 @query("t10_full_text_and", f"WITH {LEX_SQL} SELECT doc_id FROM lex WHERE list_has_all(ws, ['that', 'ering', 'with'])")
 def t10_and(spark, sf):
+    return documents(spark, sf).where(search.all_words(F.col("text"), ["that", "ering", "with"])).select("doc_id")
+
+
+@query("t10_lexeme_query", f"WITH {LEX_SQL} SELECT doc_id FROM lex WHERE list_has_all(ws, ['thereble', 'of']) OR list_has_any(ws, ['nicht'])")
+def t10_lexemes(spark, sf):
     lex = search.lexemes(F.col("text"), stop=())
-    return documents(spark, sf).where(search.matches_all(lex, ["that", "ering", "with"])).select("doc_id")
+    wanted = search.matches_all(lex, ["thereble", "of"]) | search.matches_any(lex, ["nicht"])
+    return documents(spark, sf).where(wanted).select("doc_id")
 
 
 @query("t10_stemmed_index")
@@ -210,7 +215,7 @@ def hybrid_flags(spark, sf):
         .select(
             "doc_id",
             "source",
-            search.matches_any(search.lexemes(body, stop=()), ["thand", "thin", "para"]).alias("lexical"),
+            search.any_word(body, ["thand", "thin", "para"]).alias("lexical"),
             text.has_keyword(body, NARROW_LEXICON).alias("keyword"),
         )
         .join(vectors, "doc_id", "left")
