@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions.addresses import lookup
+from almanac.session import join_counted
 
 UNMAPPED = "??UNMAPPED"
 # Texts that stand for "no particular action".
@@ -141,4 +142,4 @@ def taxonomy_match(labels: DataFrame, label: str, canon: Sequence[str], cutoff:
     mapped = distinct.where(n.isNotNull()).select(
         label, best["c"].alias("entry"), best["tier"].cast("int").alias("tier")
     )
-    return labels.join(mapped, label, "left")
+    return join_counted(labels, mapped, label, "left")

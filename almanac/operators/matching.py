@@ -12,7 +12,7 @@ from almanac.functions.names import GENERIC_STOP_WORDS, NAME_MATCH_SHARE, name_t
 from almanac.functions.values import blank_to_null
 from almanac.operators.nearest import locations, nearest_places
 from almanac.operators.ranks import order_bounds, row_number_within, slice_of
-from almanac.session import materialise
+from almanac.session import join_counted, materialise
 
 ANY_STATE = "*"
 
@@ -175,7 +175,7 @@ def first_match_fill(
         .groupBy(F.col("l_norm").alias("norm"), "state")
         .agg(F.min_by("rec", F.col(f"rec.{seq}")).alias("rec"))
     )
-    return asked.join(winners, ["norm", "state"]).select(key, "rec.*")
+    return join_counted(asked, winners, ["norm", "state"], "inner").select(key, "rec.*")
 
 
 def fill_cascade(rows: DataFrame, key: str, field: str, stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:

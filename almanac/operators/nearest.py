@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.geo import chord, haversine_km, unit_xyz
-from almanac.session import materialise
+from almanac.session import join_counted, materialise
 
 BLOCK = 2_000
 QUERY_BLOCK = 20_000
@@ -249,10 +249,11 @@ def knn_join(
 ) -> DataFrame:
     """(key, neighbour, km, rank) of the ``k`` nearest targets, ties by target key."""
     want = k + 1 if exclude_self else k
-    q_loc, t_loc = locations(queries, key, lat, lon), locations(targets, key, lat, lon)
+    q_loc = materialise(locations(queries, key, lat, lon), "places")
+    t_loc = q_loc if targets is queries else materialise(locations(targets, key, lat, lon), "places")
     pairs = nearest_places(q_loc, t_loc, want, max_km).select("id", "other")
     pairs = (
-        pairs.join(q_loc.select("id", F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon")), "id")
+        pairs.join(q_loc.select(F.col("id"), F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon")), "id")
         .join(t_loc.select(F.col("id").alias("other"), F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon")), "other")
         .withColumn("km", haversine_km(F.col("_qlat"), F.col("_qlon"), F.col("_tlat"), F.col("_tlon")))
     )
@@ -271,13 +272,12 @@ def knn_join(
         .where(F.col("rank") <= want)
         .select("_qlat", "_qlon", "neighbour", "km", "rank")
     )
-    out = rows.join(ranked, ["_qlat", "_qlon"])
-    if exclude_self:
-        me = F.when(F.col("neighbour") == F.col(key), F.col("rank"))
-        own = F.max(me).over(Window.partitionBy(key))
-        shifted = F.col("rank") - F.when(own < F.col("rank"), 1).otherwise(0)
-        out = out.withColumn("rank", F.when(F.col("neighbour") != F.col(key), shifted)).where(F.col("rank") <= k)
-    return out.select(key, "neighbour", "km", "rank")
+    near = F.array_sort(F.collect_list(F.struct("rank", "neighbour", "km"))).alias("_near")
+    ranked = ranked.groupBy("_qlat", "_qlon").agg(near)  # at most k + 1 neighbours per place
+    out = join_counted(rows, ranked, ["_qlat", "_qlon"], "inner")
+    kept = F.filter("_near", lambda n: n["neighbour"] != F.col(key)) if exclude_self else F.col("_near")
+    out = out.select(key, F.posexplode(F.slice(kept, 1, k)).alias("_pos", "_n"))
+    return out.select(key, "_n.neighbour", "_n.km", (F.col("_pos") + 1).alias("rank"))
 
 
 def densify(edges: DataFrame, step_deg: float = 0.1) -> DataFrame:
@@ -315,12 +315,12 @@ def nearest_edge_km(points: DataFrame, edges: DataFrame, key: str, lat: str, lon
     """
     ends = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
     pieces = densify(edges.select(*ends), step_deg).distinct()
-    pieces = pieces.withColumn("id", F.concat_ws("|", *ends))
+    pieces = materialise(pieces.withColumn("id", F.concat_ws("|", *ends)), "pieces")
     head, tail = unit_xyz(ends[0], ends[1]), unit_xyz(ends[2], ends[3])
     t = pieces.select(
         "id", *[c.alias(n) for c, n in zip(head, "xyz")], *[c.alias(f"{n}2") for c, n in zip(tail, "xyz")]
     )
-    places = locations(points, key, lat, lon)
+    places = materialise(locations(points, key, lat, lon), "places")
     hit = nearest(places, t, ["x", "y", "z"], 1, -1.0, 1.0, segments=True)
     at = places.select("id", "lat", "lon").join(hit.select("id", F.col("other")), "id")
     at = at.join(pieces.withColumnRenamed("id", "other"), "other")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.session import materialise
+from almanac.session import join_counted, materialise
 
 SLICE_ROWS = 2_000_000
 MAX_SLICES = 512
@@ -89,7 +89,7 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), bounds: Seq
 def with_average_rank(df: DataFrame, value: str, out: str = "rank", by: Sequence[str] = ()) -> DataFrame:
     """Every row with the average rank of its value."""
     ranks = average_ranks(df, value, by).drop("n").withColumnRenamed("rank", out)
-    return df.join(ranks, [*by, value])
+    return join_counted(df, ranks, [*by, value], "inner")
 
 
 def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:

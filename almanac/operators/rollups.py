@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions.values import blank_to_null, merge_values
+from almanac.session import join_counted
 
 
 def duplicate_domains(sites: DataFrame, domain: str, owner: str, platforms: Sequence[str]) -> DataFrame:
@@ -25,7 +26,7 @@ def duplicate_domains(sites: DataFrame, domain: str, owner: str, platforms: Sequ
         .when(F.col("_rows") > 1, "variants")
         .otherwise("no")
     )
-    return sites.join(per, domain, "left").withColumn("flag", flag).drop("_rows")
+    return join_counted(sites, per, domain, "left").withColumn("flag", flag).drop("_rows")
 
 
 def content_retag(

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.operators.ranks import percentiles
-from almanac.session import keep_keys, materialise
+from almanac.session import join_counted, materialise
 
 MERGE_GAP = 15
 WINDOW_PAD = 500
@@ -242,7 +242,7 @@ def budgeted_text(
 
     chosen = within_budget(within_budget(narrow, group, "_salt").drop("_used"), group)
     take = F.least(F.col("_len"), (F.lit(total) - F.col("_used")).cast("int"))
-    pieces = keep_keys(pages.select(key, text), chosen.drop("_salt"), key, "inner")
+    pieces = join_counted(pages.select(key, text), chosen.drop("_salt"), key, "inner")
     piece = F.struct("_used", F.substring(F.col(text), F.lit(1), take).alias("t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), sep)
     return pieces.groupBy(group).agg(joined.alias("agg_text"), F.count("*").alias("pages_used"))

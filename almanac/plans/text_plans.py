@@ -8,7 +8,7 @@ from almanac.operators import search, text
 from almanac.operators.upsert import scoped_replace
 from almanac.plans.registry import query
 from almanac.plans.tables import table
-from almanac.session import keep_keys, spread
+from almanac.session import join_counted, spread
 
 LEXICON = text.lexicon_pattern(["that", "with", "this"], ["th*"])
 NARROW_LEXICON = text.lexicon_pattern(["that", "with", "this"])
@@ -133,7 +133,7 @@ def t09(spark, sf):
     toxic = table(spark, sf, "labels").where("toxic = 1")
     scope = table(spark, sf, "documents").select("doc_id", "source").join(toxic, "doc_id", "left_semi").select("source").distinct()
     stored = text.site_rollup(docs, "source", "text", NARROW_LEXICON)
-    fresh = text.site_rollup(keep_keys(docs, scope, "source"), "source", "text", LEXICON)
+    fresh = text.site_rollup(join_counted(docs, scope, "source"), "source", "text", LEXICON)
     return scoped_replace(stored, fresh, scope, "source")
 
 

@@ -57,14 +57,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-def keep_keys(big: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Semi, anti or inner join of wide rows with a narrow frame without moving the wide rows.
+def join_counted(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Join many or wide rows with a frame that is narrow and has one row per key.
 
     The narrow side is written and counted: up to ``BROADCAST_ROWS`` rows it is sent to
-    the rows, beyond that the join is left to the optimizer.
+    the rows, which then neither move nor pile up on a crowded key; beyond that the join
+    is left to the optimizer and its skew handling.
     """
-    small = materialise(keys, "keys")
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+    side = materialise(small, "side")
+    return big.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
 
 
 def spread(df: DataFrame) -> DataFrame:
