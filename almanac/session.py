@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def build_session(master: str = "local[8]", app: str = "almanac", shuffle_partitions: int = 8) -> SparkSession:
+def build_session(
+    master: str = "local[8]", app: str = "almanac", shuffle_partitions: int = 8, shared: str | None = None
+) -> SparkSession:
     """Local session for tests and the bench; a cluster passes its own session in."""
     return (
         SparkSession.builder.master(master)
@@ -22,6 +24,7 @@ def build_session(master: str = "local[8]", app: str = "almanac", shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config(CHECKPOINT_CONF, shared or tempfile.mkdtemp(prefix="almanac-"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -32,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master without that setting gets a temporary folder of its own.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    context = spark.sparkContext
+    configured = context.getConf().get(CHECKPOINT_CONF) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    local = tempfile.mkdtemp(prefix="almanac-")
-    spark.conf.set(CHECKPOINT_CONF, local)
-    return local
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="almanac-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
