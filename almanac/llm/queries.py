@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import chat, mixing, quality_rules, sharding, simhash
+from almanac.llm import bpe, chat, language, mixing, prefix_forest, quality_rules, sharding, simhash, wavelet
 from almanac.llm.common import table
 from almanac.llm.registry import ORACLES, QUERIES, query
 
@@ -149,3 +150,26 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query("op2_wavelet")
+def op2_wavelet(spark: SparkSession, sf: str) -> DataFrame:
+    shards = wavelet.encode_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return wavelet.read_documents(shards)
+
+
+@query("op7_language")
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op9_prefix_forest")
+def op9_prefix_forest(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return prefix_forest.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
