@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, chat, language, mixing, prefix_forest, quality_rules, sharding, simhash, wavelet
+from almanac.llm import bpe, chat, language, license_scan, mixing, prefix_forest, quality_rules, sharding, simhash, wavelet
 from almanac.llm.common import table
 from almanac.llm.registry import ORACLES, QUERIES, query
 
@@ -173,3 +173,47 @@ def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
 def op9_prefix_forest(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return prefix_forest.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def _document_path(doc_id: str, source: str, text: str) -> str:
+    """SQL of the stand-in path: the source is a repository, ids are filed by thousands and hundreds."""
+    return f"concat_ws('/', coalesce({source}, 'unnamed'), {text.format(f'{doc_id} // 1000')}, {text.format(f'{doc_id} // 100 % 10')}, {text.format(doc_id)})"
+
+
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+OP3_SQL = rf"""
+WITH files AS (SELECT doc_id, {_document_path("doc_id", "source", "CAST({} AS VARCHAR)")} AS path, text FROM documents),
+stated AS (
+  SELECT DISTINCT doc_id, path, trim(line) AS line FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line FROM files)
+  WHERE regexp_matches(line, '(?i)licen[sc]|copyright|spdx')),
+known AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) t(i, license, line)),
+lines AS (SELECT 's' || line AS k, line, count(*) AS n FROM stated GROUP BY line UNION ALL SELECT 't' || i, line, 1 FROM known),
+terms AS (SELECT k, n, term, count(*) AS tf
+  FROM (SELECT k, n, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM lines) GROUP BY ALL),
+idf AS (SELECT term, ln(((SELECT sum(n) FROM lines)::DOUBLE + 1) / (sum(n)::DOUBLE + 1)) + 1 AS idf FROM terms GROUP BY term),
+w AS (SELECT k, term, (1 + ln(tf::DOUBLE)) * idf AS w FROM terms JOIN idf USING (term)),
+norms AS (SELECT k, sqrt(sum(w * w)) AS norm FROM w GROUP BY k),
+dots AS (SELECT a.k, t.i, t.license, sum(a.w * b.w / bn.norm) AS dot FROM w a JOIN w b USING (term)
+  JOIN known t ON b.k = 't' || t.i JOIN norms bn ON bn.k = b.k WHERE a.k LIKE 's%' GROUP BY ALL),
+scored AS (SELECT substr(k, 2) AS line, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (k)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
+own AS (SELECT doc_id, path, license, score FROM stated JOIN best USING (line) WHERE score >= {license_scan.LEAST}
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
+standing AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS from_dir, license, score FROM own
+  QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY doc_id, path) = 1),
+near AS (SELECT f.doc_id, s.* FROM files f JOIN standing s ON starts_with(f.path, s.from_dir || '/') OR s.from_dir = ''
+  QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(s.from_dir) DESC) = 1)
+SELECT f.doc_id, f.path, coalesce(o.license, u.license) AS license, coalesce(o.score, u.score) AS score,
+  CASE WHEN o.path IS NOT NULL THEN 'own' WHEN u.doc_id IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN o.path IS NULL THEN u.from_dir END AS from_dir
+FROM files f LEFT JOIN own o ON o.path = f.path LEFT JOIN near u ON u.doc_id = f.doc_id
+"""
+
+
+@query("op3_license_scan", OP3_SQL)
+def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents have no paths: the source stands for a repository, and ids are filed by thousands and hundreds."""
+    docs = table(spark, sf, "documents")
+    path = F.expr(_document_path("doc_id", "source", "CAST({} AS STRING)").replace("//", "div"))
+    found = license_scan.scan(docs.select(F.col("doc_id").alias("rank"), path.alias("path"), "text"))
+    return found.withColumnRenamed("rank", "doc_id")
