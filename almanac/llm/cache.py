@@ -2,25 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 
-class Recent(dict):
-    """``recent[key]`` computes what it does not hold; it holds the last ``most`` to twice ``most`` keys."""
 
-    def __init__(self, compute: Callable[[Hashable], object], most: int) -> None:
-        super().__init__()
-        self.compute, self.most, self.older = compute, most, {}
+class Recent:
+    """Values of the words met lately, at most about twice ``most`` of them.
 
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.compute(key)
-        self[key] = value
-        return value
+    When the younger half is full it becomes the older one, and words still in use move over.
+    """
 
-    def trim(self) -> None:
-        """Called between texts: drops the values that were not asked for since the last but one trim."""
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.older = most, {}, {}
+
+    def know(self, wanted: set, compute: Callable[[list], list]) -> dict:
+        """A dictionary that holds a value for all ``wanted``; the unknown ones are computed together."""
+        new = wanted - self.young.keys()
+        if len(self.young) + len(new) > self.most:
+            self.older, self.young, new = self.young, {}, wanted
+        met = new & self.older.keys()
+        self.young.update((w, self.older[w]) for w in met)
+        missing = sorted(new - met, key=len)
+        if missing:
+            self.young.update(zip(missing, compute(missing), strict=True))
+        return self.young
+
+
+def portions(texts: pa.Array, most: int) -> Iterator[list[str]]:
+    """Texts in portions of about ``most`` characters, null as empty; a longer text is a portion of its own."""
+    held, size = [], 0
+    for t in texts:
+        value = t.as_py() or ""
+        if held and size + len(value) > most:
+            yield held
+            held, size = [], 0
+        held.append(value)
+        size += len(value)
+    if held:
+        yield held
+
+
+def numbered(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of lists of words, the number of each word in order, and where each list begins and the last ends."""
+    coded = lists.flatten().dictionary_encode()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets - offsets[0]
+
+
+def gathered(values: list[bytes], number: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values (arrays of ``kind`` as bytes) of the numbered words on end, and where each list's begin and the last end."""
+    width = np.dtype(kind).itemsize
+    lengths = np.array([len(v) // width for v in values], np.int64)
+    flat, starts = np.frombuffer(b"".join(values), kind), np.cumsum(lengths) - lengths
+    counts = lengths[number]
+    ends = np.r_[0, np.cumsum(counts)]
+    places = np.repeat(starts[number] - ends[:-1], counts) + np.arange(ends[-1])
+    return flat[places], ends[offsets]

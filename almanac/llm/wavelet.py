@@ -18,18 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.cache import Recent
+from almanac.llm.cache import Recent, gathered, numbered, portions
 from almanac.session import scratch_path
 
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 20  # a shard closes behind the document that fills it
 BLOCK = 64  # bytes of a plane to a rank count
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000  # words of a younger and of an older half
+JOINED_WORDS = 1_000  # words encoded in one call
+PORTION = 4_000_000  # characters whose new words are encoded together
 HEAD = struct.Struct("<4sBxxxQQ")
 
 
@@ -171,22 +174,52 @@ def unpack(blob: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
     return WaveletMatrix(planes, zeros, size), [d if k else None for d, k in zip(ids, known, strict=True)], lengths
 
 
-_ENCODERS: dict[str, Recent] = {}
+class WordEncoder:
+    """Ids of texts as little-endian unsigned 32-bit integers, by the tokenizers library.
 
-
-def word_encoder(path: str) -> Recent:
-    """Ids of a word (bytes) as little-endian unsigned 32-bit integers, by the tokenizers library.
-
-    The vocabulary's splitting drops white space and never joins across it, so a text is encoded as its
-    words are; A-Z may be lower-cased before, as the tokenizer does so itself.  Strings of special tokens are text.
+    The vocabulary's splitting drops white space and never joins across it, so a text is encoded as its words
+    are.  Words a task has not met are encoded together, as one text whose tokens are told apart by their places.
+    A-Z may be lower-cased before, as the tokenizer does so itself.  Strings of special tokens are text.
     """
-    if path not in _ENCODERS:
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        encode = lambda w: np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        _ENCODERS[path] = Recent(encode, CACHED_WORDS)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.known = Recent(CACHED_WORDS)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        lower = pc.ascii_lower(pa.array(texts, pa.large_string()).cast(pa.string()))
+        words, number, offsets = numbered(pc.ascii_split_whitespace(lower))
+        # a comma or full stop behind a letter is a token of its own, which the words before it share
+        stops = [w[-1] if w[-1:] in (",", ".") and "a" <= w[-2:-1] <= "z" else "" for w in words]
+        stems = [w[: len(w) - len(x)] for w, x in zip(words, stops, strict=True)]
+        known = self.known.know({*stems, ",", ".", ""}, self._words)
+        ids, ends = gathered([known[w] + known[x] for w, x in zip(stems, stops, strict=True)], number, offsets, "<u4")
+        raw = ids.tobytes()
+        return [raw[4 * i : 4 * j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), JOINED_WORDS):
+            part = words[at : at + JOINED_WORDS]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            first = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+            cuts = np.searchsorted(first, starts).tolist()
+            raw = ids.tobytes()
+            out += [raw[4 * i : 4 * j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
@@ -213,12 +246,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shar
             return pa.RecordBatch.from_pylist([row | {"blob": pack(matrix, doc_ids, np.array(lengths))}], SHARD_ARROW)
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = b"".join(map(encoder.__getitem__, text.as_py().encode("utf-8", "replace").lower().split())) + end
-                encoder.trim()
-                held.append(ids)
+            encoded = (x for texts in portions(b.column("text"), PORTION) for x in encoder.encode(texts))
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoded, strict=True):
+                held += (ids, end)
                 doc_ids.append(doc_id)
-                lengths.append(len(ids) // 4)
+                lengths.append(len(ids) // 4 + 1)
                 total += lengths[-1]
                 if total >= shard_tokens:
                     yield shard()
