@@ -9,6 +9,7 @@ by a join with the vocabulary and an aggregation in order of position.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import duckdb
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almanac.llm.cache import Recent, portions
+
 CACHED_WORDS = 300_000
 BATCH_WORDS = 50_000  # distinct words of a recursive query
 BATCH_BYTES = 1_000_000  # and their bytes; a longer match is a query of its own
 STEPS = 64  # contractions of a word in one query; what is not finished then goes into the next
-PORTION = 2_000_000  # characters of text encoded and decoded together
+PORTION = 4_000_000  # characters of text encoded and decoded together
 
 #: Words whose last step found no pair are final; ``n`` counts the contractions of this query.
 CONTRACT = f"""
@@ -65,7 +68,7 @@ class Codec:
         self._table("merges", l=merges[:, 0], r=merges[:, 1], merged=merges[:, 2])
         # a byte is written as the character of that code point, so pieces that are no UTF-8 join as text
         self._table("vocabulary", id=np.array(list(ranks.values()), np.int32), piece=[t.decode("latin-1") for t in ranks])
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(CACHED_WORDS)
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
@@ -92,31 +95,23 @@ class Codec:
             w, pos, tok = w[live], pos[live], tok[live]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that are not known yet, in portions of bounded size."""
-        new = [x for x in words if x not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(words)
-        held, size = [], 0
-        for word in sorted(new, key=len):
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Encodes words, sorted by length, in portions of bounded size."""
+        out, held, size = [], [], 0
+        for word in words:
             raw = word.encode("utf-8", "replace")
             if held and (len(held) >= BATCH_WORDS or size + len(raw) > BATCH_BYTES):
-                self._encode(held)
+                out += self.contract(held)
                 held, size = [], 0
-            held.append((word, raw))
+            held.append(raw)
             size += len(raw)
-        if held:
-            self._encode(held)
-
-    def _encode(self, held: list[tuple[str, bytes]]) -> None:
-        self.known.update(zip([w for w, _ in held], self.contract([raw for _, raw in held]), strict=True))
+        return out + self.contract(held)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, each match of the pattern encoded separately."""
         cut = [self.pattern.findall(t) for t in texts]
-        self.learn(set().union(*cut))
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        place = self.known.know(set().union(*cut), self._learn).__getitem__
+        return [b"".join(map(place, words)) for words in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each sequence of ids."""
@@ -141,19 +136,6 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _portions(texts: pa.Array) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        value = t.as_py() or ""
-        held.append(value)
-        size += len(value)
-        if size >= PORTION:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, columns: list[str] | None = None, text: str = "text") -> DataFrame:
     """The columns (all but the text) and ``ids``, little-endian unsigned 32-bit integers; null and empty texts have none.
 
@@ -165,7 +147,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, columns: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            ids = [x for texts in _portions(b.column("_text")) for x in own.encode(texts)]
+            ids = [x for texts in portions(b.column("_text"), PORTION) for x in own.encode(texts)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(ids, pa.binary())], names=[*columns, "ids"])
 
     schema = docs.select(*columns).schema.add("ids", T.BinaryType())
@@ -193,14 +175,23 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, columns: list[
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the bytes decoded from them, for every whole text."""
-    encoded = encode_documents(docs.select("doc_id", "text"), path, pattern, ["doc_id"])
-    both = decode_documents(encoded.withColumn("raw", F.col("ids")), path, pattern, ["doc_id", "raw"])
-    return both.select(
-        "doc_id",
-        (F.octet_length("raw") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2(F.col("raw"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens and digests of the ids and of the bytes decoded from them, for every whole text.
 
+    One pass: the ids of a portion are decoded where they were made.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for b in batches:
+            counts, ids_digests, digests = [], [], []
+            for texts in portions(b.column("text"), PORTION):
+                ids = own.encode(texts)
+                counts += [len(x) // 4 for x in ids]
+                ids_digests += [hashlib.sha256(x).hexdigest() for x in ids]
+                digests += [hashlib.sha256(x).hexdigest() for x in own.decode(ids)]
+            columns = [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_digests), pa.array(digests)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = docs.select("doc_id").schema.add("n_tokens", T.LongType())
+    schema = schema.add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
