@@ -10,30 +10,40 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almanac.llm.cache import Recent, numbered, portions
 from almanac.session import materialise
 
-LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+BETWEEN = r"[^\pL\pM]+"
 LONGEST = 8  # code points of a piece
 FIT_ROWS = 20_000  # labelled rows the probabilities are learned on; a hash of the id draws them
 ROUNDS = 2
 FLOOR = 1e-9  # probability of a character that the vocabulary does not have
-CACHED_WORDS = 400_000
+CACHED_WORDS = 400_000  # words of a younger and of an older half
+PORTION = 4_000_000  # characters whose new words are scored together
 _PIECES: dict[str, dict[str, int]] = {}
 
 
-def words_in(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of lower-cased texts, the number of each word in order, and where each text begins and the last ends.
+
+    A word is a run of letters and marks that has a letter; null has none.
+    """
+    lower = pc.utf8_lower(texts.fill_null(""))
+    words, number, offsets = numbered(pc.split_pattern_regex(lower, BETWEEN))
+    real = np.fromiter((bool(w) and any(map(str.isalpha, w)) for w in words), bool, len(words))
+    kept = real[number]
+    place = np.cumsum(real) - 1
+    return [w for w, r in zip(words, real, strict=True) if r], place[number[kept]], np.r_[0, np.cumsum(kept)][offsets]
 
 
 def pieces(path: str) -> dict[str, int]:
@@ -53,26 +63,51 @@ def pieces(path: str) -> dict[str, int]:
     return _PIECES[path]
 
 
-def _tables(words: list[str], vocabulary: dict[str, int]) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Words of equal length together: their places and the piece (or -1) that ends at i with length k + 1.
-
-    A character without a piece has the number after the last piece.
-    """
-    by_length: dict[int, list[int]] = {}
-    for n, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(n)
-    other, get = len(vocabulary), vocabulary.get
-    for length, places in by_length.items():
-        step = max(1, 40_000 // length)
+class Trie:
+    """The pieces as transitions (node, character) -> node, sorted so that many words are walked at once."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        letters = sorted(set().union(*vocabulary)) if vocabulary else []
+        self.code = np.zeros(0x110000, np.int64)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.base, self.other = len(letters) + 1, len(vocabulary)
+        nodes = {p[:i] for p in vocabulary for i in range(1, len(p) + 1)}
+        number = {"": 0} | {p: n for n, p in enumerate(sorted(nodes), 1)}
+        self.piece = np.full(len(number) + 1, -1, np.int32)  # the last is where no transition leads
+        self.piece[[number[p] for p in vocabulary]] = list(vocabulary.values())
+        steps = sorted((number[p[:-1]] * self.base + int(self.code[ord(p[-1])]), number[p]) for p in nodes)
+        self.keys, self.next = np.array(steps, np.int64).reshape(-1, 2).T.copy()
+
+    def pieces_in(self, words: list[str]) -> np.ndarray:
+        """[word, i, k]: the piece of k + 1 characters that ends at i, or -1, of words of equal length."""
+        length = len(words[0])
+        code = self.code[np.array(words).view(np.uint32).reshape(len(words), length)]
+        ids = np.full((len(words), length, LONGEST), -1, np.int32)
+        node = np.zeros((len(words), length), np.int64)
+        for k in range(min(LONGEST, length)):
+            key = node[:, : length - k] * self.base + code[:, k:]
+            at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            known = (self.keys[at] == key) if len(self.keys) else np.zeros(key.shape, bool)
+            node = np.where(known, self.next[at] if len(self.keys) else -1, -1)
+            ids[:, k:, k] = self.piece[node]
+        first = ids[:, :, 0]
+        first[first < 0] = self.other
+        return ids
+
+
+_TRIES: dict[str, Trie] = {}
+
+
+def _tables(words: list[str], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of equal length together: their places and pieces; a character without one has the number after the last."""
+    if path not in _TRIES:
+        _TRIES[path] = Trie(pieces(path))
+    lengths = np.array([len(w) for w in words])
+    for length in np.unique(lengths).tolist():
+        places, step = np.flatnonzero(lengths == length), max(1, 40_000 // length)
         for at in range(0, len(places), step):
             part = places[at : at + step]
-            ids = np.full((len(part), length, LONGEST), -1, np.int32)
-            for row, n in enumerate(part):
-                w = words[n]
-                ids[row] = [
-                    [get(w[i - k : i + 1], -1 if k else other) if k <= i else -1 for k in range(LONGEST)] for i in range(length)
-                ]
-            yield part, ids
+            yield part, _TRIES[path].pieces_in([words[n] for n in part])
 
 
 @dataclass
@@ -113,7 +148,7 @@ class Model:
     def score(self, words: list[str]) -> np.ndarray:
         """Log probability [word, language]."""
         out = np.empty((len(words), len(self.languages)))
-        for part, ids in _tables(words, pieces(self.path)):
+        for part, ids in _tables(words, self.path):
             out[part] = self.forward(ids, self._terms(ids))[:, :, -1].T
         return out
 
@@ -121,7 +156,7 @@ class Model:
         """Expected uses of every piece in counted words of one language."""
         own = Model(self.path, [self.languages[language]], self.priors[[language]], self.logp[[language]])
         out = np.zeros(self.logp.shape[1])
-        for part, ids in _tables(words, pieces(self.path)):
+        for part, ids in _tables(words, self.path):
             terms = own._terms(ids)
             a, b = own.forward(ids, terms), own.backward(ids, terms)
             total = a[0, :, -1]
@@ -170,10 +205,13 @@ def learn(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS, round
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[str, Counter] = {}
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-                seen.setdefault(lang, Counter()).update(words_in(text.as_py()))
-            flat = [(lang, w, n) for lang, words in seen.items() for w, n in words.items()]
+            lang = np.array(b.column("lang").to_pylist(), object)
+            words, number, offsets = words_of(b.column("text"))
+            of = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+            flat = []
+            for x in set(lang.tolist()):
+                uses = np.bincount(number[(lang == x)[of]], minlength=len(words))
+                flat += [(x, words[i], int(uses[i])) for i in np.flatnonzero(uses)]
             names = ["lang", "word", "n"]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=names
@@ -221,8 +259,7 @@ class _Scored:
     last: _Scored | None = None
 
     def __init__(self, token: str, model: Model) -> None:
-        self.token, self.model, self.rows = token, model, {}
-        self.scores = np.empty((0, len(model.languages)))
+        self.token, self.model, self.known = token, model, Recent(CACHED_WORDS)
 
     @classmethod
     def of(cls, token: str, model: Model) -> _Scored:
@@ -230,31 +267,14 @@ class _Scored:
             cls.last = cls(token, model)
         return cls.last
 
-    def totals(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Summed scores of each text's words, the new words of all texts scored together."""
-        wanted = set().union(*texts)
-        new = list(wanted - self.rows.keys())
-        if len(self.rows) + len(new) > CACHED_WORDS:
-            self.rows, self.scores, new = {}, self.scores[:0], list(wanted)
-        if new:
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, self.model.score(new)])
-        place = self.rows.__getitem__
-        return [self.scores[np.fromiter(map(place, words), np.int64, len(words))].sum(axis=0) for words in texts]
-
-
-def _portions(texts: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
-    """Texts in portions of about two million characters, as plain strings."""
-    held, size = [], 0
-    for t in texts:
-        value = t.as_py() or ""
-        held.append(value)
-        size += len(value)
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    def totals(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Summed scores of each text's words, the new words of all texts scored together; None without a word."""
+        words, number, offsets = words_of(pa.array(texts, pa.string()))
+        known = self.known.know(set(words), lambda new: [x.tobytes() for x in self.model.score(new)])
+        wide = len(self.model.languages)
+        scores = np.frombuffer(b"".join([known[w] for w in words])).reshape(-1, wide)
+        spans = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        return [scores[number[i:j]].sum(axis=0) if j > i else None for i, j in spans]
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
@@ -266,10 +286,9 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text
         scored = _Scored.of(token, model)
         for b in batches:
             labels, values = [], []
-            for texts in _portions(b.column("_text")):
-                cut = [words_in(t) for t in texts]
-                for total, words in zip(scored.totals(cut), cut, strict=True):
-                    if not words or not model.languages:
+            for texts in portions(b.column("_text"), PORTION):
+                for total in scored.totals(texts) if model.languages else [None] * len(texts):
+                    if total is None:
                         labels.append("und")
                         values.append(0.0)
                         continue
