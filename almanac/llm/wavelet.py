@@ -32,7 +32,7 @@ SHARD_TOKENS = 1 << 20  # a shard closes behind the document that fills it
 BLOCK = 64  # bytes of a plane to a rank count
 CACHED_WORDS = 600_000  # words of a younger and of an older half
 JOINED_WORDS = 1_000  # words encoded in one call
-PORTION = 4_000_000  # characters whose new words are encoded together
+PORTION = 12_000_000  # characters whose new words are encoded together
 HEAD = struct.Struct("<4sBxxxQQ")
 
 
@@ -188,6 +188,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known = Recent(CACHED_WORDS)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[n for piece, n in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         lower = pc.ascii_lower(pa.array(texts, pa.large_string()).cast(pa.string()))
@@ -201,17 +204,30 @@ class WordEncoder:
         return [raw[4 * i : 4 * j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(words), JOINED_WORDS):
-            part = words[at : at + JOINED_WORDS]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            first = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(first, starts).tolist()
-            raw = ids.tobytes()
-            out += [raw[4 * i : 4 * j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        return out
+        """Runs of letters end with their only token that closes a word; other words are told apart by places."""
+        out: dict[str, bytes] = {}
+        letters = [w for w in words if w.isalpha()]
+        for at in range(0, len(letters), JOINED_WORDS):
+            part = letters[at : at + JOINED_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.r_[0, np.flatnonzero(self.closes[ids]) + 1]
+            out.update(_cut(part, ids, cuts) if len(cuts) == len(part) + 1 and cuts[-1] == len(ids) else self._placed(part))
+        others = [w for w in words if not w.isalpha()]
+        for at in range(0, len(others), JOINED_WORDS):
+            out.update(self._placed(others[at : at + JOINED_WORDS]))
+        return [out[w] for w in words]
+
+    def _placed(self, part: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+        first = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+        return _cut(part, ids, np.searchsorted(first, starts))
+
+
+def _cut(words: list[str], ids: np.ndarray, cuts: np.ndarray) -> dict[str, bytes]:
+    raw, at = ids.tobytes(), (4 * cuts).tolist()
+    return {w: raw[i:j] for w, i, j in zip(words, at[:-1], at[1:], strict=True)}
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
