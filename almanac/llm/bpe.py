@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almanac.llm.cache import Recent, portions
+from almanac.llm.cache import Recent, held, portions
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000  # words of a younger and of an older half
 BATCH_WORDS = 50_000  # distinct words of a recursive query
 BATCH_BYTES = 1_000_000  # and their bytes; a longer match is a query of its own
 STEPS = 64  # contractions of a word in one query; what is not finished then goes into the next
@@ -97,15 +97,15 @@ class Codec:
 
     def _learn(self, words: list[str]) -> list[bytes]:
         """Encodes words, sorted by length, in portions of bounded size."""
-        out, held, size = [], [], 0
+        out, part, size = [], [], 0
         for word in words:
             raw = word.encode("utf-8", "replace")
-            if held and (len(held) >= BATCH_WORDS or size + len(raw) > BATCH_BYTES):
-                out += self.contract(held)
-                held, size = [], 0
-            held.append(raw)
+            if part and (len(part) >= BATCH_WORDS or size + len(raw) > BATCH_BYTES):
+                out += self.contract(part)
+                part, size = [], 0
+            part.append(raw)
             size += len(raw)
-        return out + self.contract(held)
+        return out + self.contract(part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, each match of the pattern encoded separately."""
@@ -126,14 +126,8 @@ class Codec:
         return out
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    key = (path, pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(path, pattern)
-    return _CODECS[key]
+    return held(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, columns: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -160,14 +154,14 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, columns: list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            out, held, size = [], [], 0
+            out, part, size = [], [], 0
             for x in b.column("ids"):
-                held.append(x.as_py() or b"")
-                size += len(held[-1])
+                part.append(x.as_py() or b"")
+                size += len(part[-1])
                 if size >= 2 * PORTION:
-                    out += own.decode(held)
-                    held, size = [], 0
-            out += own.decode(held)
+                    out += own.decode(part)
+                    part, size = [], 0
+            out += own.decode(part)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(out, pa.binary())], names=[*columns, "decoded"])
 
     schema = encoded.select(*columns).schema.add("decoded", T.BinaryType())

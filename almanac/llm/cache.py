@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import gc
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 
+_HELD: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]):
+    """The one object a worker process keeps between its tasks; another key drops it.
+
+    Workers serve one job after another, so what an earlier operator remembers must not add to the next one's.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class Recent:
     """Values of the words met lately, at most about twice ``most`` of them.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almanac.llm.cache import Recent, numbered, portions
+from almanac.llm.cache import Recent, held, numbered, portions
 from almanac.session import materialise
 
 BETWEEN = r"[^\pL\pM]+"
@@ -28,7 +28,7 @@ LONGEST = 8  # code points of a piece
 FIT_ROWS = 20_000  # labelled rows the probabilities are learned on; a hash of the id draws them
 ROUNDS = 2
 FLOOR = 1e-9  # probability of a character that the vocabulary does not have
-CACHED_WORDS = 400_000  # words of a younger and of an older half
+CACHED_WORDS = 150_000  # words of a younger and of an older half
 PORTION = 4_000_000  # characters whose new words are scored together
 _PIECES: dict[str, dict[str, int]] = {}
 
@@ -68,7 +68,7 @@ class Trie:
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         letters = sorted(set().union(*vocabulary)) if vocabulary else []
-        self.code = np.zeros(0x110000, np.int64)
+        self.code = np.zeros(0x110000, np.int32)
         self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.base, self.other = len(letters) + 1, len(vocabulary)
         nodes = {p[:i] for p in vocabulary for i in range(1, len(p) + 1)}
@@ -256,16 +256,8 @@ def _expect(words: DataFrame, model: Model) -> DataFrame:
 class _Scored:
     """Scores of the words a worker process has met lately, for one model."""
 
-    last: _Scored | None = None
-
-    def __init__(self, token: str, model: Model) -> None:
-        self.token, self.model, self.known = token, model, Recent(CACHED_WORDS)
-
-    @classmethod
-    def of(cls, token: str, model: Model) -> _Scored:
-        if cls.last is None or cls.last.token != token:
-            cls.last = cls(token, model)
-        return cls.last
+    def __init__(self, model: Model) -> None:
+        self.model, self.known = model, Recent(CACHED_WORDS)
 
     def totals(self, texts: list[str]) -> list[np.ndarray | None]:
         """Summed scores of each text's words, the new words of all texts scored together; None without a word."""
@@ -283,7 +275,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scored = _Scored.of(token, model)
+        scored = held(("language", token), lambda: _Scored(model))
         for b in batches:
             labels, values = [], []
             for texts in portions(b.column("_text"), PORTION):

@@ -24,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.cache import Recent, gathered, numbered, portions
+from almanac.llm.cache import Recent, gathered, held, numbered, portions
 from almanac.session import scratch_path
 
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 20  # a shard closes behind the document that fills it
 BLOCK = 64  # bytes of a plane to a rank count
-CACHED_WORDS = 600_000  # words of a younger and of an older half
+CACHED_WORDS = 500_000  # words of a younger and of an older half
 JOINED_WORDS = 1_000  # words encoded in one call
 PORTION = 12_000_000  # characters whose new words are encoded together
 HEAD = struct.Struct("<4sBxxxQQ")
@@ -230,15 +230,6 @@ def _cut(words: list[str], ids: np.ndarray, cuts: np.ndarray) -> dict[str, bytes
     return {w: raw[i:j] for w, i, j in zip(words, at[:-1], at[1:], strict=True)}
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def word_encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes the shards of ``docs`` (doc_id, text) and returns them as read: part, seq, n_docs, n_tokens, blob.
 
@@ -252,25 +243,25 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shar
     dealt = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = held(("words", tokenizer_path), lambda: WordEncoder(tokenizer_path)), np.array([end_id], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
-        held, lengths, doc_ids, total = [], [], [], 0
+        kept, lengths, doc_ids, total = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(held), "<u4"))
+            matrix = WaveletMatrix.build(np.frombuffer(b"".join(kept), "<u4"))
             row = {"part": part, "seq": seq, "n_docs": len(doc_ids), "n_tokens": total}
             return pa.RecordBatch.from_pylist([row | {"blob": pack(matrix, doc_ids, np.array(lengths))}], SHARD_ARROW)
 
         for b in batches:
             encoded = (x for texts in portions(b.column("text"), PORTION) for x in encoder.encode(texts))
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoded, strict=True):
-                held += (ids, end)
+                kept += (ids, end)
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4 + 1)
                 total += lengths[-1]
                 if total >= shard_tokens:
                     yield shard()
-                    held, lengths, doc_ids, total, seq = [], [], [], 0, seq + 1
+                    kept, lengths, doc_ids, total, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield shard()
 
