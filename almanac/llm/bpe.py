@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 from almanac.llm.cache import Recent, held, portions
 
 CACHED_WORDS = 200_000  # words of a younger and of an older half
-BATCH_WORDS = 50_000  # distinct words of a recursive query
-BATCH_BYTES = 1_000_000  # and their bytes; a longer match is a query of its own
+BATCH_WORDS = 25_000  # distinct words of a recursive query
+BATCH_BYTES = 300_000  # and their bytes; a longer match is a query of its own
 STEPS = 64  # contractions of a word in one query; what is not finished then goes into the next
-PORTION = 4_000_000  # characters of text encoded and decoded together
+PORTION = 2_000_000  # characters of text encoded and decoded together
 
 #: Words whose last step found no pair are final; ``n`` counts the contractions of this query.
 CONTRACT = f"""
@@ -63,7 +63,7 @@ class Codec:
             (ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         ]
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merges = np.array(pairs, np.int32).reshape(-1, 3)
         self._table("merges", l=merges[:, 0], r=merges[:, 1], merged=merges[:, 2])
         # a byte is written as the character of that code point, so pieces that are no UTF-8 join as text
@@ -89,8 +89,9 @@ class Codec:
             w, pos, tok = (found[c].to_numpy() for c in ("w", "pos", "tok"))
             live = found["live"].to_numpy()
             done_w, done_tok = w[~live], tok[~live].astype("<u4")
-            starts = np.flatnonzero(np.r_[True, done_w[1:] != done_w[:-1]]) if len(done_w) else np.empty(0, np.int64)
-            for s, e in zip(starts, np.r_[starts[1:], len(done_w)], strict=True):
+            changes = np.flatnonzero(done_w[1:] != done_w[:-1]) + 1
+            cuts = np.r_[0, changes, len(done_w)] if len(done_w) else np.zeros(1, np.int64)
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 out[done_w[s]] = done_tok[s:e].tobytes()
             w, pos, tok = w[live], pos[live], tok[live]
         return out
