@@ -18,12 +18,18 @@ def held(key: Hashable, make: Callable[[], object]):
     Workers serve one job after another, so what an earlier operator remembers must not add to the next one's.
     """
     if key not in _HELD:
-        _HELD.clear()
-        gc.collect()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def release() -> None:
+    """Forgets what is held and gives Arrow's unused memory back, for a worker that may idle while others work."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 class Recent:
     """Values of the words met lately, at most about twice ``most`` of them.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almanac.llm.cache import Recent, held, numbered, portions
+from almanac.llm.cache import Recent, held, numbered, portions, release
 from almanac.session import materialise
 
 BETWEEN = r"[^\pL\pM]+"
@@ -293,6 +293,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(labels, pa.string()), pa.array(values, pa.float64())], names=[*columns, "lang_pred", "score"]
             )
+        release()
 
     schema = docs.select(*columns).schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
     return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema)
