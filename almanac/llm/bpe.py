@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.llm.cache import Recent, held, portions
+from almanac.llm.common import small_batches
 
 CACHED_WORDS = 200_000  # words of a younger and of an older half
 BATCH_WORDS = 25_000  # distinct words of a recursive query
@@ -145,6 +146,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, columns: list[str
             ids = [x for texts in portions(b.column("_text"), PORTION) for x in own.encode(texts)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(ids, pa.binary())], names=[*columns, "ids"])
 
+    small_batches(docs)
     schema = docs.select(*columns).schema.add("ids", T.BinaryType())
     return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema)
 
@@ -165,6 +167,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, columns: list[
             out += own.decode(part)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(out, pa.binary())], names=[*columns, "decoded"])
 
+    small_batches(encoded)
     schema = encoded.select(*columns).schema.add("decoded", T.BinaryType())
     return encoded.select(*columns, "ids").mapInArrow(run, schema)
 
@@ -187,6 +190,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             columns = [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_digests), pa.array(digests)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs)
     schema = docs.select("doc_id").schema.add("n_tokens", T.LongType())
     schema = schema.add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -37,3 +37,16 @@ def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner")
     for k, r in names.items():
         condition = condition & left[k].eqNullSafe(other[r])
     return left.join(other, condition, how).drop(*names.values())
+
+
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Texts reach Python a thousand rows at a time, as ten thousand whole documents fill a worker.
+
+    Spark reads this setting when the plan runs, so it is put into the session; a smaller one stays.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_CONF)) > BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))

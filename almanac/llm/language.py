@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.llm.cache import Recent, held, numbered, portions, release
+from almanac.llm.common import small_batches
 from almanac.session import materialise
 
 BETWEEN = r"[^\pL\pM]+"
@@ -295,6 +296,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text
             )
         release()
 
+    small_batches(docs)
     schema = docs.select(*columns).schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
     return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema)
 

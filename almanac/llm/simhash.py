@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almanac.llm.common import small_batches
 from almanac.session import materialise
 
 CHUNK = 4096  # fingerprints of a bucket that are compared at once
@@ -55,6 +56,7 @@ def with_fingerprint(docs: DataFrame, columns: list[str], words: int = 4, seed:
             kept = [b.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(fps, pa.int64())], names=[*columns, "fp"])
 
+    small_batches(docs)
     schema = docs.select(*columns).schema.add("fp", T.LongType())
     return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm.cache import Recent, gathered, held, numbered, portions
+from almanac.llm.common import small_batches
 from almanac.session import scratch_path
 
 MAGIC = b"WVM1"
@@ -265,6 +266,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shar
         if doc_ids:
             yield shard()
 
+    small_batches(docs)
     path = scratch_path(spark, "wavelet")
     dealt.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
     return spark.read.schema(SHARD_SCHEMA).parquet(path)
