@@ -103,7 +103,7 @@ def sub_label(raw: Column) -> Column:
     """Text after the first underscore, a doubled ``NA_`` prefix dropped; null for N/A labels."""
     lab = F.regexp_replace(F.coalesce(raw, F.lit("")), r'^[\s"]+|[\s"]+$', "")
     part = F.when(lab.contains("_"), F.regexp_replace(lab, "^[^_]*_", "")).otherwise(lab)
-    part = F.when(F.upper(part).startswith("NA_"), F.substring(part, 4, 1_000_000)).otherwise(part)
+    part = F.regexp_replace(part, "^(?i)NA_", "")
     norm = F.trim(F.regexp_replace(F.lower(part), r"\s+", " "))
     return F.when(~F.upper(lab).isin("N/A", "NA", ""), F.nullif(norm, F.lit("")))
 

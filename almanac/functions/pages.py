@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from almanac.functions.values import plausible_date
 
-TEXT_CAP = 500_000
 _HIDDEN = ("script", "style", "noscript", "head")
 # Meta keys that state when a page changed.
 META_DATE_KEYS = (
@@ -57,7 +56,7 @@ class _TextNodes(HTMLParser):
             self.run.append(data)
 
 
-def _text_of(html: str | None, cap: int) -> str:
+def _text_of(html: str | None, cap: int | None) -> str:
     if not html:
         return ""
     reader = _TextNodes()
@@ -67,8 +66,8 @@ def _text_of(html: str | None, cap: int) -> str:
     return " ".join(reader.parts)[:cap].replace("\x00", "")
 
 
-def page_text(pages: DataFrame, html: str = "html", out: str = "content_text", cap: int = TEXT_CAP) -> DataFrame:
-    """Replace ``html`` by its visible text, batch by batch, with the standard HTML parser."""
+def page_text(pages: DataFrame, html: str = "html", out: str = "content_text", cap: int | None = None) -> DataFrame:
+    """Replace ``html`` by its visible text, batch by batch, with the standard HTML parser; ``cap`` keeps a prefix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -80,7 +79,7 @@ def page_text(pages: DataFrame, html: str = "html", out: str = "content_text", c
     return pages.mapInPandas(run, f"{schema}, `{out}` string")
 
 
-def quick_text(html: Column, cap: int = TEXT_CAP) -> Column:
+def quick_text(html: Column, cap: int | None = None) -> Column:
     """Fast native variant: markup removed by patterns, common entities decoded, white space squeezed."""
     t = html
     for tag in _HIDDEN:
@@ -93,7 +92,8 @@ def quick_text(html: Column, cap: int = TEXT_CAP) -> Column:
     ):
         t = F.replace(t, F.lit(entity), F.lit(ch))
     t = F.replace(t, F.lit("\x00"), F.lit(""))
-    return F.substring(F.trim(F.regexp_replace(t, "[ \\t\\n\\r\\f]+", " ")), 1, cap)
+    t = F.trim(F.regexp_replace(t, "[ \\t\\n\\r\\f]+", " "))
+    return t if cap is None else F.substring(t, 1, cap)
 
 
 def stated_dates(html: Column) -> Column:

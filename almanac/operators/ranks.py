@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from almanac.session import join_counted, materialise
 
 SLICE_ROWS = 2_000_000
-MAX_SLICES = 512
 
 
 def order_bounds(df: DataFrame, order: str, slice_rows: int = SLICE_ROWS) -> list[float]:
     """Cut points along ``order`` for slices of about ``slice_rows`` rows; empty for a small frame."""
-    parts = min(MAX_SLICES, math.ceil(df.count() / slice_rows))
+    parts = math.ceil(df.count() / slice_rows)
     if parts <= 1:
         return []
     at = [i / parts for i in range(1, parts)]
@@ -29,10 +28,20 @@ def order_bounds(df: DataFrame, order: str, slice_rows: int = SLICE_ROWS) -> lis
 
 
 def slice_of(order: Column, bounds: Sequence[float]) -> Column:
+    """How many of the sorted bounds lie below the value: by blocks of bounds first, then inside one block."""
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(cuts, lambda b: b < order.cast("double")))
+
+    def literal(values: Sequence[float]) -> Column:  # one folded text, however many bounds there are
+        return F.split(F.lit(",".join(repr(float(b)) for b in values)), ",").cast("array<double>")
+
+    def below(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda b: b < order.cast("double")))
+
+    step = math.isqrt(len(bounds) - 1) + 1
+    ends = bounds[step - 1 :: step]
+    first = below(literal(ends)) * step if ends else F.lit(0)
+    return first + below(F.slice(literal(bounds), first + 1, F.lit(step)))
 
 
 def running_total(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.operators.ranks import row_number_within
+from almanac.session import materialise
 
 
 def shuffle_key(key: str | Column, seed: int = 42) -> Column:
@@ -22,7 +23,7 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("_r", shuffle_key(key, seed)).orderBy("_r", key).limit(n).drop("_r")
 
 
-GROUP_LIMIT = 1_000  # up to here Spark cuts each group before the shuffle
+GROUP_LIMIT = 1_000  # up to so many rows wanted, Spark cuts each group before the shuffle; the rows are the same either way
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -36,8 +37,14 @@ def seeded_sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: i
         order = Window.partitionBy(group).orderBy("_r", key)
         ranked = df.withColumn("_r", shuffle_key(key, seed)).withColumn("_n", F.row_number().over(order))
         return ranked.where(F.col("_n") <= n).drop("_r", "_n")
-    numbered = row_number_within(df.withColumn("_r", hash_order(key, seed)), [group], "_r", "_n", ties=[key])
-    return numbered.where(F.col("_n") <= n).drop("_r", "_n")
+    return _first_shuffled(df, [group], key, n, seed)
+
+
+def _first_shuffled(df: DataFrame, by: Sequence[str], key: str, n: int, seed: int) -> DataFrame:
+    """The ``n`` smallest shuffle keys of each group, numbered slice by slice; all of the key decides."""
+    keyed = df.withColumn("_r", hash_order(key, seed)).withColumn("_full", shuffle_key(key, seed))
+    numbered = row_number_within(keyed, by, "_r", "_n", ties=["_full", key])
+    return numbered.where(F.col("_n") <= n).drop("_r", "_full", "_n")
 
 
 def seeded_order(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -52,6 +59,21 @@ def report_order(df: DataFrame, priority: Column, *columns: str) -> DataFrame:
     return df.orderBy(priority, *columns)
 
 
+def numbered_report(df: DataFrame, priority: Column, *columns: str) -> DataFrame:
+    """All rows with their ``position`` in report order.
+
+    The sorted parts are written; a row's position is the size of the parts before its own
+    plus its place in it, so no task holds the report.  The joined table has a row per part.
+    """
+    sorted_rows = report_order(df, priority, *columns).withColumn("_at", F.monotonically_increasing_id())
+    rows = materialise(sorted_rows, "report").withColumn("_part", F.shiftright("_at", 33))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    position = F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1)) + 1
+    return rows.join(F.broadcast(before), "_part").select(*df.columns, position.alias("position"))
+
+
 def cohort_sample(
     cohorts: Sequence[tuple[str, DataFrame]], sampled: str, n: int, excluded: DataFrame, key: str, url: str, seed: int = 42
 ) -> DataFrame:
@@ -89,5 +111,5 @@ def undersample(df: DataFrame, label: str, key: str, positive_share: float = 0.1
     n_pos = df.where(F.col(label) == 1).count()
     keep = math.floor(n_pos * (1 - positive_share) / positive_share + 1e-9)
     positives = df.where(F.col(label) == 1)
-    negatives = seeded_sample(df.where(F.col(label) == 0), key, keep, seed)
+    negatives = _first_shuffled(df.where(F.col(label) == 0), [], key, keep, seed)
     return positives.unionByName(negatives)

@@ -11,9 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from almanac.operators.ranks import percentiles
 from almanac.session import join_counted, materialise
@@ -21,7 +24,7 @@ from almanac.session import join_counted, materialise
 MERGE_GAP = 15
 WINDOW_PAD = 500
 CHUNK_CHARS = 500
-OUTPUT_CHARS = 8_000_000  # text handed back to Spark at a time
+BLANK = r"(?U)[\s\x1c-\x1f]"
 
 
 def lexicon_pattern(exact: Sequence[str], prefixes: Sequence[str] = ()) -> str:
@@ -49,25 +52,30 @@ def distinct_keywords(text: Column, lexicon: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(lexicon), 0), lambda w: F.lower(w)))
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def _running_sums(steps: pa.Array) -> pa.Array:
+    """Running sum inside each list, for a whole batch of lists at once."""
+    offsets = steps.offsets.to_numpy().astype(np.int64)
+    total = np.r_[0, np.cumsum(steps.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)]
+    offsets = offsets - offsets[0]
+    sums = total[1:] - np.repeat(total[offsets[:-1]], np.diff(offsets))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sums, pa.int64()))
+
+
 def _offsets(df: DataFrame, key: str, text: str, pattern: str, carry: Sequence[str]) -> DataFrame:
     """One row per match with 0-based start and exclusive end.
 
-    Lengths of the pieces between matches and of the matches add up to offsets; the
-    text itself does not leave the scan, only lengths and matched words do.
+    Lengths of the pieces between matches and of the matches add up to offsets inside the
+    row, so nothing is shuffled; only the lengths pass through Arrow, the text does not.
     """
     gaps = F.transform(F.split(F.col(text), pattern, -1), lambda g: F.length(g))
     hits = F.regexp_extract_all(F.col(text), F.lit(pattern), 0)
-    pairs = F.transform(
-        hits, lambda h, i: F.struct(h.alias("found"), F.get(F.col("_gaps"), i).alias("before"))
-    )
-    rows = (
-        df.select(key, *carry, gaps.alias("_gaps"), text)
-        .select(key, *carry, F.posexplode(pairs).alias("pos", "_m"))
-        .select(key, *carry, "pos", "_m.found", "_m.before")
-    )
-    end = F.sum(F.col("before") + F.length("found")).over(Window.partitionBy(key).orderBy("pos"))
+    steps = F.transform("_found", lambda h, i: F.get(F.col("_gaps"), i) + F.length(h))
     return (
-        rows.withColumn("end", end)
+        df.select(key, *carry, gaps.alias("_gaps"), hits.alias("_found"))
+        .select(key, *carry, "_found", _running_sums(steps).alias("_ends"))
+        .select(key, *carry, F.posexplode(F.arrays_zip("_found", "_ends")).alias("pos", "_m"))
+        .select(key, *carry, "pos", F.col("_m._found").alias("found"), F.col("_m._ends").alias("end"))
         .withColumn("start", F.col("end") - F.length("found"))
         .select(key, *carry, "pos", "found", "start", "end")
     )
@@ -148,43 +156,16 @@ def context_windows(
     return cut.select(key, *carry, F.posexplode(F.transform("_spans", window)).alias("pos", "chunk_text"))
 
 
-def _chunks_of(text: str | None, size: int) -> Iterator[str]:
-    start, n = 0, len(text or "")
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            space = text.rfind(" ", start, end)
-            end = space if space > start else end
-        piece = text[start:end].strip()
-        if piece:
-            yield piece
-        start = end
-
-
 def fixed_chunks(df: DataFrame, key: str, text: str, size: int = CHUNK_CHARS) -> DataFrame:
     """Windows of ``size`` characters snapped back to the last space, as (key, chunk_index, chunk_text).
 
-    Each cut depends on the one before it, so the cutting runs once over the text in
-    Arrow batches; chunks go back to Spark after every few megabytes of text.
+    One pattern cuts the text: what is left if it fits, else up to the last space inside the
+    window, else the whole window.  Pieces are trimmed, blank ones have no index.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys, at, pieces, held = [], [], [], 0
-            for k, body in zip(b[key], b[text]):
-                for i, piece in enumerate(_chunks_of(body, size)):
-                    keys.append(k)
-                    at.append(i)
-                    pieces.append(piece)
-                held += len(body or "")
-                if held > OUTPUT_CHARS:
-                    yield pd.DataFrame({key: keys, "chunk_index": at, "chunk_text": pieces})
-                    keys, at, pieces, held = [], [], [], 0
-            if pieces:
-                yield pd.DataFrame({key: keys, "chunk_index": at, "chunk_text": pieces})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, chunk_index int, chunk_text string")
+    snapped = rf"|.{{1,{size - 1}}}(?= )" if size > 1 else ""
+    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"(?s).{{1,{size}}}\z{snapped}|.{{{size}}}"), F.lit(0))
+    trimmed = F.transform(pieces, lambda p: F.regexp_replace(p, rf"\A{BLANK}+|{BLANK}+\z", ""))
+    return df.select(key, F.posexplode(F.array_remove(trimmed, "")).alias("chunk_index", "chunk_text"))
 
 
 def site_rollup(df: DataFrame, site: str, text: str, lexicon: str, gap: int = MERGE_GAP) -> DataFrame:

@@ -676,18 +676,14 @@ def l03(spark, sf):
 
 @query(
     "l04_report_order",
-    """SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal < 0, c_mktsegment, lower(c_name), c_custkey) AS INTEGER) AS position
-    FROM customer QUALIFY position <= 100""",
+    """SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal < 0, c_mktsegment, lower(c_name), c_custkey) AS BIGINT) AS position
+    FROM customer""",
 )
 def l04(spark, sf):
-    from pyspark.sql import Window
-
     c = table(spark, sf, "customer").select(
         "c_custkey", (F.col("c_acctbal") < 0).alias("blank"), "c_mktsegment", F.lower("c_name").alias("low")
     )
-    top = sampling.report_order(c, F.col("blank"), "c_mktsegment", "low", "c_custkey").limit(100)
-    position = F.row_number().over(Window.orderBy("blank", "c_mktsegment", "low", "c_custkey"))
-    return top.select("c_custkey", position.alias("position"))
+    return sampling.numbered_report(c, F.col("blank"), "c_mktsegment", "low", "c_custkey").select("c_custkey", "position")
 
 
 @query(

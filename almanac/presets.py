@@ -149,3 +149,4 @@ DENSE_BOXES = (
     (25.5, 26.3, -80.5, -80.0), (37.3, 37.9, -122.6, -121.7), (38.7, 39.2, -77.5, -76.8), (42.2, 42.5, -71.3, -70.9),
 )
 FEATURE_KINDS = ("green_space", "env_hazard", "landfill", "industrial", "abattoir", "military", "airport")
+PAGE_TEXT_CAP = 500_000  # characters of page text the study stores; ``cap`` of page_text and quick_text

@@ -57,18 +57,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 
 
 def join_counted(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
     """Join many or wide rows with a frame that is narrow and has one row per key.
 
-    The narrow side is written and counted: up to ``BROADCAST_ROWS`` rows it is sent to
-    the rows, which then neither move nor pile up on a crowded key; beyond that the join
-    is left to the optimizer and its skew handling.
+    The narrow side is written and counted: up to ``BROADCAST_ROWS`` rows of together at most
+    ``BROADCAST_BYTES`` it is sent to the rows, which then neither move nor pile up on a crowded
+    key; beyond that the join is left to the optimizer and its skew handling.
     """
     side = materialise(small, "side")
-    return big.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
+    return big.join(F.broadcast(side) if _sendable(side) else side, on, how)
+
+
+def _sendable(side: DataFrame) -> bool:
+    if side.count() > BROADCAST_ROWS:
+        return False
+    written = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in side.columns]))))
+    return (side.agg(written).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def spread(df: DataFrame) -> DataFrame:

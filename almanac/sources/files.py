@@ -33,8 +33,11 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, fields: dict[st
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """One-row summary as nested JSON."""
-    df.limit(1).write.json(path)
+    """One-row summary as nested JSON; any other number of rows is an error, and nothing is written."""
+    found = df.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"a report has one row, not {'several' if found else 'none'}")
+    df.sparkSession.createDataFrame(found, df.schema).write.json(path)
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
