@@ -99,7 +99,7 @@ def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def bucket_edges(fps: DataFrame, distance: int, rows: int, chunk: int = CHUNK) -> DataFrame:
     """Distinct edges (u < v) that connect all fingerprints linked within ``distance``."""
     keyed = block_keys(fps, distance, block_count(rows, distance))
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    sizes = materialise(keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
     met = keyed.join(sizes, ["choice", "key"])
     parts = F.ceil(F.col("n") / chunk).cast("int")
     cut = met.select("choice", "key", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
@@ -141,20 +141,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): large-star and small-star rounds until every tree is a star.
 
     Each round is two joins over narrow rows, written to the shared folder; the number of rounds grows with
-    the logarithm of the longest chain.  A hub's neighbours are not gathered: its minimum is an aggregate.
+    the logarithm of the longest chain.  A hub's neighbours are not gathered: its minimum is an aggregate, written
+    before it is joined, as Spark splits a crowded key only where both sides of a join are plain exchanges.
     """
     now = materialise(edges, "edges")
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u")).toDF("x", "y")
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(low, "x").where(F.col("y") > F.col("x")).select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        large = materialise(large.where("x <> y"), "large")
-        down = large.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-        least = down.groupBy("x").agg(F.min("y").alias("m"))
-        joined = down.join(least, "x")
-        small = joined.where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        low = materialise(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "low")
+        # m <= x < y: every row points from the larger node to the smaller
+        large = both.join(low, "x").where(F.col("y") > F.col("x")).select(F.col("y").alias("x"), F.col("m").alias("y"))
+        large = materialise(large.distinct(), "large")
+        least = materialise(large.groupBy("x").agg(F.min("y").alias("m")), "least")
+        small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         after = materialise(small.union(least.toDF("x", "y")).distinct().toDF("v", "u").select("u", "v"), "small")
-        open_ends = after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+        open_ends = after.join(after.select(F.col("v").alias("u")), "u", "left_semi")
         manifold = after.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
         now = after
         if open_ends.isEmpty() and manifold.isEmpty():
@@ -174,7 +174,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", words: int = 4, distance:
     stars = components(bucket_edges(first.select("fp"), distance, first.count()))
     linked = materialise(stars, "stars")
     rooted = first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = materialise(rooted.join(least, "root").select("fp", "component_id"), "classes")
     return found.join(named, "fp")
 
@@ -193,8 +193,9 @@ def drop_near_copies(docs: DataFrame, words: int = 5, distance: int = 4) -> Data
     rooted = first.select("fp").join(stars.withColumnRenamed("node", "fp"), "fp", "left")
     named = materialise(rooted.select("fp", F.coalesce("root", "fp").alias("root")), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")
-    rooted = found.join(named, "fp").groupBy("root", "doc_id", "tie").agg(F.count("*").alias("rows"))
-    best = rooted.groupBy("root").agg(F.min(order).alias("b"))
+    rooted = materialise(found.join(named, "fp").groupBy("root", "doc_id", "tie").agg(F.count("*").alias("rows")), "rooted")
+    # a row alone in its group is not touched, so only the other groups are looked up
+    best = materialise(rooted.groupBy("root").agg(F.min(order).alias("b"), F.sum("rows").alias("n")).where("n > 1").drop("n"), "best")
     marked = rooted.join(best, "root").where((F.col("rows") > 1) | (order != F.col("b")))
     touched = materialise(marked.select("doc_id", "tie", (order == F.col("b")).alias("best")), "touched")
     return _without(docs, touched)
