@@ -12,7 +12,8 @@ chunks meet in a task of their own, so no task holds more than two chunks.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +29,11 @@ from almanac.session import materialise
 CHUNK = 4096  # fingerprints of a bucket that are compared at once
 SENT = 500_000  # counted rows of 17 bytes up to which the rows to drop are sent to the texts
 PIECE = 65_536  # shingles hashed at once, which bounds the memory for a very long text
+BANDS, ROWS = 20, 4  # at similarity 0.8 a pair shares no key with probability (1 - 0.8^4)^20 = 0.00003
+AGREE = 44  # of the 80 hashes; at 0.8 about 64 agree, with a deviation of 3.6
+LOAD, ROW_LOAD = 1_000_000, 64  # shingles of a group that are compared at once; what a row counts besides its shingles
+_DRAWS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+SALT, FACTOR = _DRAWS[0], _DRAWS[1] | np.uint64(1)
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -179,21 +185,187 @@ def near_groups(docs: DataFrame, key: str = "doc_id", words: int = 4, distance:
     return found.join(named, "fp")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 of all shingles, sorted; words and short texts as in ``fingerprint``, empty without words."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    last = max(1, len(tokens) - words + 1) if tokens else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), seed) for i in range(last)], np.uint64))
+
+
+def set_class(shingles: np.ndarray) -> int:
+    """Number of a shingle set; 0 for the empty one."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64)) if len(shingles) else 0
+
+
+def sketch(shingles: np.ndarray) -> tuple[list[int], bytes]:
+    """(keys, bytes): a key of each band of min-wise hashes, and the lowest byte of every hash."""
+    if not len(shingles):
+        return [], b""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 4096):
+        np.minimum(least, ((shingles[at : at + 4096] ^ SALT) * FACTOR).min(axis=1), out=least)
+    keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist(), least.astype(np.uint8).tobytes()
+
+
+def with_sketch(docs: DataFrame, columns: list[str], words: int) -> DataFrame:
+    """The columns, ``cls``, the number ``n`` of distinct shingles, ``keys`` and ``sketch`` of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words) for t in b.column("_text")]
+            made = [sketch(s) for s in sets]
+            found = [pa.array(map(set_class, sets), pa.int64()), pa.array(map(len, sets), pa.int64())]
+            found += [pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([x for _, x in made], pa.binary())]
+            kept = [b.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, *found], names=[*columns, "cls", "n", "keys", "sketch"])
+
+    small_batches(docs)
+    schema = docs.select(*columns).schema.add("cls", T.LongType()).add("n", T.LongType())
+    schema = schema.add("keys", T.ArrayType(T.LongType())).add("sketch", T.BinaryType())
+    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+
+
+def _linked(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of 0 .. count - 1; ``near(x, rest)`` tells which of ``rest`` are linked to ``x``."""
+    edges, rest = [], np.arange(count)
+    while len(rest) > 1:
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            found = near(x, rest)
+            if found.any():
+                edges += [(x, y) for y in rest[found]]
+                front += list(rest[found])
+                rest = rest[~found]
+    return edges
+
+
+def _alike(sketches: list[bytes]) -> list[tuple[int, int]]:
+    """Forest of the sketches that agree in ``AGREE`` hashes."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    return _linked(len(rows), lambda x, rest: np.count_nonzero(rows[rest] == rows[x], axis=1) >= AGREE)
+
+
+def _similar(sets: list[bytes], least: Fraction) -> list[tuple[int, int]]:
+    """Forest of the shingle sets whose shared part of their union is ``least`` or more; shared shingles are found by postings."""
+    shingles = [np.frombuffer(s, np.uint64) for s in sets]
+    sizes = np.array([len(s) for s in shingles])
+    flat = np.concatenate(shingles)
+    order = np.argsort(flat, kind="stable")
+    owner, flat = np.repeat(np.arange(len(sets)), sizes)[order], flat[order]
+    top, both = least.numerator, least.numerator + least.denominator
+
+    def near(x: int, rest: np.ndarray) -> np.ndarray:
+        start = np.searchsorted(flat, shingles[x], "left")
+        many = np.searchsorted(flat, shingles[x], "right") - start
+        at = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))[rest]
+        return shared * both >= top * (sizes[rest] + sizes[x])  # shared / (a + b - shared) >= least
+
+    return _linked(len(sets), near)
+
+
+def _tile_edges(rows: DataFrame, group: str, load: str, links: Callable[[list[bytes]], list[tuple[int, int]]]) -> DataFrame:
+    """Distinct edges (u < v) that ``links`` finds in every group of ``rows`` (group, parts, cls, load).
+
+    A group is cut into ``parts`` chunks; a chunk meets every chunk of its group, also itself: tile (i, j) with i <= j.
+    """
+    cut = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    tiled = cut.select(group, "cls", load, "part", F.explode(other).alias("with"))
+    tiled = tiled.select(group, F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "cls", load)
+    names = [group, "i", "j"]
+    dealt = tiled.repartition(*names).sortWithinPartitions(*names)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+        now, ids, loads = None, [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], axis=1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), b.num_rows]
+            classes, values = b.column("cls").to_pylist(), b.column(load).to_pylist()
+            for s, t in zip(starts[:-1], starts[1:], strict=True):
+                if (key := tuple(keys[s])) != now:
+                    if len(ids) > 1:
+                        yield ids, loads
+                    now, ids, loads = key, [], []
+                ids += classes[s:t]
+                loads += values[s:t]
+        if len(ids) > 1:
+            yield ids, loads
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for ids, loads in groups(batches):
+            out += [(ids[x], ids[y]) for x, y in links(loads) if ids[x] != ids[y]]
+            if len(out) > CHUNK:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
+
+    return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def candidate_edges(classes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges that connect all classes (cls, keys, sketch) which share a key and agree in their sketches."""
+    keyed = classes.select(F.explode("keys").alias("key"), "cls")
+    sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    met = keyed.join(sizes, "key").select("key", "cls", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
+    return _tile_edges(met.join(classes.select("cls", "sketch"), "cls"), "key", "sketch", _alike)
+
+
+def similar_edges(docs: DataFrame, chosen: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """Edges that connect all classes of similarity ``least`` within a group of ``chosen`` (doc_id, tie, cls, root, parts).
+
+    ``docs`` has doc_id, tie and text; the shingle sets are made where the text lies.
+    """
+    side = F.broadcast(chosen) if chosen.count() <= SENT else chosen
+    wanted = side.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
+    rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # a row that repeats in every column comes once a task
+        for b in batches:
+            new = []
+            for at, cls in enumerate(b.column("cls").to_pylist()):
+                if cls not in seen:
+                    seen.add(cls)
+                    new.append(at)
+            sets = pa.array([shingle_set(b.column("text")[at].as_py(), words).tobytes() for at in new], pa.binary())
+            kept = [b.column(c).take(pa.array(new, pa.int64())) for c in ("root", "parts", "cls")]
+            yield pa.RecordBatch.from_arrays([*kept, sets], names=["root", "parts", "cls", "shingles"])
+
+    small_batches(docs)
+    made = rows.select("root", "parts", "cls", "text").mapInArrow(run, "root bigint, parts int, cls bigint, shingles binary")
+    return _tile_edges(made, "root", "shingles", lambda sets: _similar(sets, least))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, load: int = LOAD) -> DataFrame:
     """One row of each group stays, with the columns of ``docs``: the smallest doc_id, of its rows the least by content.
 
-    The text does not move: the fingerprint is computed again where the row lies, and the chosen ids come to it.
+    Two texts are linked if their sets of shingles share ``similarity`` of their union or more, texts without words among
+    themselves.  Every link is verified on the whole sets.  Only candidates' texts are read again; the chosen ids come to them.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     tie = F.xxhash64(*columns)
     slim = docs.select("doc_id", "text", tie.alias("tie"))
-    found = materialise(with_fingerprint(slim, ["doc_id", "tie"], words), "fingerprints")
-    first = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    stars = components(bucket_edges(first.select("fp"), distance, first.count()))
-    rooted = first.select("fp").join(stars.withColumnRenamed("node", "fp"), "fp", "left")
-    named = materialise(rooted.select("fp", F.coalesce("root", "fp").alias("root")), "classes")
+    found = materialise(with_sketch(slim, ["doc_id", "tie"], words), "fingerprints")
+    row = F.min(F.struct("doc_id", "tie")).alias("row")
+    first = found.groupBy("cls").agg(row, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    first = materialise(first, "distinct")
+    near = materialise(components(candidate_edges(first)), "near")
+    near = near.union(near.select("root", "root").distinct()).toDF("cls", "root")
+    near = materialise(near.join(first.select("cls", "row", "n"), "cls"), "candidates")
+    loads = near.groupBy("root").agg(F.ceil(F.sum(F.col("n") + ROW_LOAD) / load).cast("int").alias("parts"))
+    chosen = near.join(materialise(loads, "loads"), "root").select("row.doc_id", "row.tie", "cls", "root", "parts")
+    stars = components(similar_edges(slim, materialise(chosen, "chosen"), words, Fraction(str(similarity))))
+    rooted = first.select("cls").join(stars.withColumnRenamed("node", "cls"), "cls", "left")
+    named = materialise(rooted.select("cls", F.coalesce("root", "cls").alias("root")), "classes")
+    found = found.select("doc_id", "tie", "cls")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")
-    rooted = materialise(found.join(named, "fp").groupBy("root", "doc_id", "tie").agg(F.count("*").alias("rows")), "rooted")
+    rooted = materialise(found.join(named, "cls").groupBy("root", "doc_id", "tie").agg(F.count("*").alias("rows")), "rooted")
     # a row alone in its group is not touched, so only the other groups are looked up
     best = materialise(rooted.groupBy("root").agg(F.min(order).alias("b"), F.sum("rows").alias("n")).where("n > 1").drop("n"), "best")
     marked = rooted.join(best, "root").where((F.col("rows") > 1) | (order != F.col("b")))

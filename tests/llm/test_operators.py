@@ -153,6 +153,61 @@ def test_simhash_awkward_rows(spark, docs, empty):
     assert simhash.drop_near_copies(copies).count() == kept.count()
 
 
+def shingles(text, words=5):
+    tokens = (text or "").encode().lower().split()
+    return {tuple(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
+
+
+def similar(a, b):
+    few, many = sorted((len(a), len(b)))
+    return a == b or 5 * few >= 4 * many and 5 * len(a & b) >= 4 * len(a | b)
+
+
+def kept_by_similarity(texts):
+    """Smallest ids of the groups that a similarity of 0.8 links, all pairs compared."""
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {}
+    for i in sorted(sets):
+        linked = {root[j] for j in root if similar(sets[i], sets[j])}
+        root[i] = min(linked, default=i)
+        root = {j: root[i] if r in linked else r for j, r in root.items()}
+    return set(root.values())
+
+
+@pytest.mark.parametrize("load", [1_000, simhash.LOAD])
+def test_near_copies_by_similarity(spark, load):
+    rng = random.Random(3)
+    texts = {}
+    for length in (7, 12, 30, 80, 200, 400):
+        for _ in range(8):
+            tokens = [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(length)]
+            for edits in (0, 0.01, 0.02, 0.04, 0.08):
+                copy = [f"new{rng.random()}" if rng.random() < edits else t for t in tokens]
+                texts[len(texts)] = " ".join(copy + ["more"] * rng.randrange(3))
+    # few bits differ where one passage repeats, whatever else is in the text
+    texts |= {len(texts) + i: " ".join(["the", "same", "line"] * 300 + [f"own{i}{j}" for j in range(20)]) for i in range(4)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in simhash.drop_near_copies(frame, load=load).collect()} == kept_by_similarity(texts)
+
+
+def test_near_copies_of_the_given_documents(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = dict(frame.collect())
+    assert {r["doc_id"] for r in simhash.drop_near_copies(frame).collect()} == kept_by_similarity(texts)
+
+
+def test_sketch_reaches_the_similarity():
+    rng = np.random.default_rng(5)
+    missed = 0
+    for size in (9, 90, 900):  # 8 of 10, 80 of 100, 800 of 1000 are shared
+        for _ in range(700):
+            a = rng.integers(0, 1 << 64, size, np.uint64)
+            b = np.r_[a[: (8 * size) // 9], rng.integers(0, 1 << 64, size // 9, np.uint64)]
+            (ka, sa), (kb, sb) = simhash.sketch(np.unique(a)), simhash.sketch(np.unique(b))
+            agree = sum(x == y for x, y in zip(sa, sb, strict=True))
+            missed += not set(ka) & set(kb) or agree < simhash.AGREE
+    assert missed <= 2
+
+
 @pytest.mark.parametrize("chunk", [3, 4096])
 def test_pigeonhole_finds_every_link(spark, chunk):
     rng = random.Random(1)
