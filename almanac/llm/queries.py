@@ -212,8 +212,8 @@ FROM files f LEFT JOIN own o ON o.path = f.path LEFT JOIN near u ON u.doc_id = f
 
 @query("op3_license_scan", OP3_SQL)
 def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents have no paths: the source stands for a repository, and ids are filed by thousands and hundreds."""
+    """The documents have no paths: the source stands for a repository, and ids are filed by thousands and hundreds.  The SQL takes lines with a cue only."""
     docs = table(spark, sf, "documents")
     path = F.expr(_document_path("doc_id", "source", "CAST({} AS STRING)").replace("//", "div"))
-    found = license_scan.scan(docs.select(F.col("doc_id").alias("rank"), path.alias("path"), "text"))
+    found = license_scan.scan(docs.select(F.col("doc_id").alias("rank"), path.alias("path"), "text"), license_scan.CUE)
     return found.withColumnRenamed("rank", "doc_id")

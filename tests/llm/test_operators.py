@@ -431,6 +431,19 @@ def test_license_inheritance(spark):
     assert license_scan.scan(frame.limit(0)).count() == 0
 
 
+def test_license_statements_without_a_cue(spark):
+    rows = [(f"t{i}/x", i, f"some code\n{t}\nmore code") for i, (_, t) in enumerate(license_scan.TEMPLATES)]
+    wrapped = "Permission is\nhereby granted, free\nof charge, to any person\nobtaining a\ncopy of this software"
+    rows += [("r/x", 50, "prose\nAll rights reserved."), ("w/x", 51, f"code\n\n{wrapped}\n\ncode"), ("n/x", 52, "The rights of any person to this copy.")]
+    rows += [(f"p{i}/x", 60 + i, f"Line {i} of the prose is to any person as it was.\nNo copy {i}.") for i in range(200)]
+    frame = spark.createDataFrame(rows, "path string, rank bigint, text string")
+    got = {r["path"]: (r["license"], r["score"]) for r in license_scan.scan(frame).collect()}
+    for i, (name, _) in enumerate(license_scan.TEMPLATES):
+        assert got[f"t{i}/x"] == (name, 1.0)
+    assert got["r/x"][0] == "proprietary" and got["w/x"] == ("MIT", 1.0)
+    assert all(got[f"p{i}/x"][0] is None for i in range(200))
+
+
 def test_portions_and_recent():
     from almanac.llm.cache import Recent, portions
 
