@@ -228,18 +228,18 @@ def m03(spark, sf):
 
 @query("m01_kmeans_sweep")
 def m01(spark, sf):
-    return modelling.kmeans_sweep(features(spark, sf), FEATURES, range(2, 9), n_init=2)[0]
+    return modelling.kmeans_sweep(features(spark, sf), FEATURES)[0]
 
 
 @query("m01_cluster_profiles")
 def m01_profiles(spark, sf):
-    _, rows = modelling.kmeans_sweep(features(spark, sf), FEATURES, range(2, 4), n_init=2)
+    _, rows = modelling.kmeans_sweep(features(spark, sf), FEATURES)
     return modelling.cluster_profiles(rows, CATS, "grp", "lean")
 
 
 @query("m02_davies_bouldin")
 def m02(spark, sf):
-    sweep, _ = modelling.kmeans_sweep(features(spark, sf), FEATURES, range(2, 5), n_init=1)
+    sweep, _ = modelling.kmeans_sweep(features(spark, sf), FEATURES)
     return sweep.select("k", "davies_bouldin", "inertia")
 
 

@@ -290,7 +290,7 @@ def x13(spark, sf):
 @query("x14_permutation_test")
 def x14(spark, sf):
     v, edges = spatial(spark, sf)
-    return st.permutation_test(v, edges, "x", "y", perms=199)
+    return st.permutation_test(v, edges, "x", "y", perms=9_999)
 
 
 @query(

@@ -97,3 +97,35 @@ def test_wide_side_is_not_sent(spark, monkeypatch):
     assert not session._sendable(side)
     assert session._sendable(spark.range(0))
     assert session.join_counted(big, side, "id", "inner").count() == 50
+
+
+@pytest.mark.parametrize("name", ["m01", "m01_profiles", "m02"])
+def test_sweeps_are_registered_whole(monkeypatch, name):
+    from inspect import signature
+
+    from almanac.plans import model_plans
+
+    plan, real, asked = getattr(model_plans, name), signature(model_plans.modelling.kmeans_sweep), {}
+
+    class Stop(Exception):
+        pass
+
+    def sweep(*args, **options):
+        bound = real.bind(*args, **options)
+        bound.apply_defaults()
+        asked.update(bound.arguments)
+        raise Stop
+
+    monkeypatch.setattr(model_plans.modelling, "kmeans_sweep", sweep)
+    monkeypatch.setattr(model_plans, "features", lambda spark, sf: None)
+    with pytest.raises(Stop):
+        plan(None, None)
+    assert list(asked["ks"]) == list(range(2, 9)) and asked["n_init"] == 10
+
+
+def test_permutations_are_registered_whole(monkeypatch):
+    from almanac.plans import statistics_plans
+
+    monkeypatch.setattr(statistics_plans, "spatial", lambda spark, sf: (None, None))
+    monkeypatch.setattr(statistics_plans.st, "permutation_test", lambda *args, perms=999, **options: perms)
+    assert statistics_plans.x14(None, None) == 9_999
