@@ -2,8 +2,9 @@
 
 A shard holds the ids of consecutive documents as bit-planes, most significant first.  After each
 plane the ids are dealt stably, those with a zero bit in front.  ``rank`` of a bit is a count per
-512-bit block plus the bits inside the block, so ids are accessed, counted and found without
-unpacking the shard.
+512-bit block plus the bits inside the block, so ids are accessed, counted and found in the planes
+without decoding the documents.  The file holds the planes in one compressed block and no counts: reading
+a shard inflates all of it, and the counts of a plane are made at its first access.
 
 Shards are written as Parquet rows (part, seq, counts, blob): Spark commits them, so a lost task
 leaves nothing behind, and any store Spark writes to will do.  ``part`` is the range of document ids,
