@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, chat, language, license_scan, mixing, prefix_forest, quality_rules, sharding, simhash, wavelet
+from almanac.llm import (
+    bpe, chat, language, license_scan, member_lloyd, mixing, prefix_forest, quality_rules, sharding, simhash, wavelet, whitening,
+)
 from almanac.llm.common import table
 from almanac.llm.registry import ORACLES, QUERIES, query
 
@@ -217,3 +219,46 @@ def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = F.expr(_document_path("doc_id", "source", "CAST({} AS STRING)").replace("//", "div"))
     found = license_scan.scan(docs.select(F.col("doc_id").alias("rank"), path.alias("path"), "text"), license_scan.CUE)
     return found.withColumnRenamed("rank", "doc_id")
+
+
+def _lloyd_sql() -> str:
+    """The rounds written out one after the other over the parts of the kept vectors."""
+    parts, entries, scale = member_lloyd.PARTS, member_lloyd.ENTRIES, member_lloyd.SCALE
+    squares = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        f"""kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+  list_transform(embedding, lambda v: CAST(floor({scale} * CAST(v AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)""",
+        f"parts AS (SELECT r, p, list_slice(x, p * len(x) // {parts} + 1, (p + 1) * len(x) // {parts}) AS x FROM kept, range({parts}) t(p))",
+        f"c0 AS (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= {entries})",
+    ]
+    for n in range(member_lloyd.ROUNDS + 1):
+        steps.append(
+            f"a{n} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min({{'d': {squares}, 'e': e}}) AS b "
+            f"FROM parts JOIN c{n} USING (p) GROUP BY r, p)"
+        )
+        if n < member_lloyd.ROUNDS:
+            steps.append(
+                f"s{n} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, b.e AS e, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS m "
+                f"FROM (SELECT p, b, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{n}) GROUP BY ALL) GROUP BY p, e)"
+            )
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT p, e, coalesce(s{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN s{n} USING (p, e))")
+    last = member_lloyd.ROUNDS
+    steps.append(
+        f"coded AS (SELECT r, string_agg(printf('%02x', b.e), '' ORDER BY p) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a{last} GROUP BY r)"
+    )
+    steps.append(f"books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{last})")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), books"""
+
+
+@query("op11_member_lloyd", _lloyd_sql())
+def op11_member_lloyd(spark: SparkSession, sf: str) -> DataFrame:
+    coded = member_lloyd.compress(table(spark, sf, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
