@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm import (
-    bpe, chat, language, license_scan, member_lloyd, mixing, prefix_forest, quality_rules, sharding, simhash, wavelet, whitening,
+    bpe, chat, language, license_scan, member_lloyd, mixing, prefix_forest, quality_rules, secret_scan, sharding, simhash, wavelet,
+    whitening,
 )
 from almanac.llm.common import table
 from almanac.llm.registry import ORACLES, QUERIES, query
@@ -262,3 +263,49 @@ def op11_member_lloyd(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_whitening")
 def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def _secret_sql() -> str:
+    """Matches and the pieces between them, unnested and summed by windows."""
+    token = secret_scan.TOKEN_KIND
+    patterns = [secret_scan.ASSIGN, secret_scan.ACCESS, secret_scan.HEX, secret_scan.TOKEN]
+    quoted = ["'" + p.replace("'", "''") + "'" for p in patterns]
+    found = " UNION ALL ".join(
+        f"SELECT key, {kind} AS kind, i, v, sum(length(gap) + length(v)) OVER (PARTITION BY key ORDER BY i) AS stop, "
+        + (f"regexp_extract(v, {p}, 2)" if kind == 0 else "v")
+        + f""" AS value FROM (SELECT key, unnest(m) AS v, unnest(string_split_regex(text, {p})[:len(m)]) AS gap, generate_subscripts(m, 1) AS i
+  FROM (SELECT key, text, regexp_extract_all(text, {p}) AS m FROM docs) WHERE len(m) > 0)"""
+        for kind, p in enumerate(quoted)
+    )
+    names = "[" + ", ".join(f"'{k}'" for k in secret_scan.KINDS) + "]"
+    written = f"string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner,
+  coalesce(source || '/' || (doc_id // 1000), '') AS repo FROM documents),
+found AS ({found}),
+spans AS (SELECT key, kind, CAST(stop - length(v) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, sha256(value) AS hash, value,
+  len(list_distinct(string_split(value, ''))) >= {secret_scan.LEAST_DISTINCT}
+    AND NOT regexp_matches(value, '{secret_scan.PLACEHOLDER}') AS looks FROM found),
+kept AS (SELECT * FROM spans WHERE CASE kind WHEN 0 THEN length(value) >= {secret_scan.ASSIGN_LEAST}
+  WHEN {token} THEN looks AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]') ELSE true END),
+held AS (SELECT hash, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM kept JOIN docs USING (key) GROUP BY hash),
+judged AS (SELECT kept.*, CASE WHEN owners >= {secret_scan.COPIED_OWNERS} OR repos >= {secret_scan.COPIED_REPOS} THEN 'example'
+  WHEN looks AND owners = 1 THEN 'live' ELSE 'unsure' END AS verdict FROM kept JOIN held USING (hash)),
+told AS (SELECT *, kind < {token} AS base, kind = {token} AND verdict = 'live' AND NOT EXISTS (SELECT 1 FROM judged b
+  WHERE b.key = judged.key AND b.kind < {token} AND b.start < judged.stop AND b.stop > judged.start) AS added FROM judged),
+summed AS (SELECT key, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  {written} FILTER (base) AS base_spans, {written} FILTER (base OR added) AS spans,
+  count(*) FILTER ((base OR added) AND verdict = 'live') AS n_live, count(*) FILTER ((base OR added) AND verdict = 'example') AS n_example
+  FROM told GROUP BY key)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+  coalesce(n_example, 0) AS n_example
+FROM docs LEFT JOIN summed USING (key)
+"""
+
+
+@query("op12_secret_scan", _secret_sql())
+def op12_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents name no repository: the source stands for the owner, and its ids by thousands for repositories."""
+    repo = F.concat("source", F.lit("/"), F.expr("doc_id div 1000").cast("string"))
+    return secret_scan.scan(table(spark, sf, "documents"), "doc_id", "text", F.col("source"), repo)
