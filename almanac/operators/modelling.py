@@ -6,10 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -23,8 +20,6 @@ from almanac.operators.sampling import hash_order
 from almanac.operators.statistics import group_histogram, ranked_groups, standardise
 from almanac.session import materialise
 
-SILHOUETTE_OK = 0.25
-
 
 def feature_table(matrix: DataFrame, categories: Sequence[str], group: str, order: Sequence[str], lean: str) -> DataFrame:
     """Counts, total, ordinal group rank (unknown groups last) and lean as 1, -1 or 0, all z-scored."""
@@ -41,87 +36,6 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
 
 
-# ---- k-means --------------------------------------------------------------------
-
-
-def silhouette(clustered: DataFrame, columns: Sequence[str], cluster: str, block: int = 2_000) -> float:
-    """Mean silhouette with plain Euclidean distances.
-
-    Equal rows are one weighted row.  Blocks of rows meet pairwise in tasks of fixed
-    size and give back only distance sums per row and cluster, never the pairs.
-    """
-    rows = clustered.groupBy(*columns, F.col(cluster).alias("c")).agg(F.count("*").alias("w"))
-    rows = materialise(rows.withColumn("id", F.monotonically_increasing_id()), "silhouette")
-    parts = max(1, math.ceil(rows.count() / block))
-    # A hash keeps blocks even, a part number per row keeps each row in one block.
-    rows = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    others = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    mine = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumnRenamed("p", "own").withColumnRenamed("q", "p")
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = np.zeros((len(a), len(b)))
-        for c in columns:
-            d += (a[c].to_numpy(float)[:, None] - b[c].to_numpy(float)[None, :]) ** 2
-        d = np.sqrt(d) * b["w"].to_numpy()[None, :]
-        out = [
-            pd.DataFrame({"id": a["id"], "c": a["c"], "w": a["w"], "other": k, "s": d[:, (b["c"] == k).to_numpy()].sum(axis=1)})
-            for k in sorted(b["c"].unique())
-        ]
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "c": [], "w": [], "other": [], "s": []})
-
-    met = mine.groupBy("own", "p").cogroup(others.groupBy("q", "p")).applyInPandas(sums, "id long, c int, w long, other int, s double")
-    sizes = rows.groupBy("c").agg(F.sum("w").alias("size"))
-    total = met.groupBy("id", "c", "w", "other").agg(F.sum("s").alias("s")).join(sizes.withColumnRenamed("c", "other"), "other")
-    same = F.col("other") == F.col("c")
-    per = total.groupBy("id", "c", "w").agg(
-        F.max(F.when(same, F.try_divide(F.col("s"), F.col("size") - 1))).alias("a"),
-        F.min(F.when(~same, F.col("s") / F.col("size"))).alias("b"),
-    )
-    score = F.when(F.col("a").isNotNull(), F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).otherwise(0.0)
-    return per.agg(F.sum(F.coalesce(score, F.lit(0.0)) * F.col("w")) / F.sum("w")).first()[0]
-
-
-def davies_bouldin(clustered: DataFrame, columns: Sequence[str], cluster: str, centres: Sequence[np.ndarray]) -> float:
-    """Mean over clusters of the worst (spread + spread) / centre distance; only centres are compared."""
-    flat = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
-    dist = F.lit(0.0)
-    for j, c in enumerate(columns):
-        dist = dist + F.pow(F.col(c) - F.element_at(flat, F.col(cluster) + 1)[j], 2)
-    spread = {r[0]: r[1] for r in clustered.groupBy(cluster).agg(F.avg(F.sqrt(dist))).collect()}  # one row per cluster
-    worst = [
-        max((spread[i] + spread[j]) / float(np.linalg.norm(np.asarray(centres[i]) - centres[j])) for j in spread if j != i)
-        for i in spread
-    ]
-    return float(np.mean(worst))
-
-
-def kmeans_sweep(
-    df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2, 9), n_init: int = 10, seed: int = 42
-) -> tuple[DataFrame, DataFrame]:
-    """Sweep table (k, silhouette, silhouette_sq, davies_bouldin, inertia, best, structure) and rows with the best clustering."""
-    ready = materialise(df, "kmeans")
-    vectors = assemble(ready, columns).persist()  # iterated by every fit; recomputed from the written table if lost
-    square = ClusteringEvaluator(featuresCol="features")
-    found = []
-    for k in ks:
-        models = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(vectors) for i in range(n_init)]
-        model = min(models, key=lambda m: m.summary.trainingCost)
-        rows = model.transform(vectors)
-        centres = [np.array(c) for c in model.clusterCenters()]
-        found.append(
-            (k, silhouette(rows, columns, "prediction"), square.evaluate(rows), davies_bouldin(rows, columns, "prediction", centres),
-             float(model.summary.trainingCost), model)
-        )
-    vectors.unpersist()
-    best = max(found, key=lambda f: f[1])
-    structure = "meaningful" if best[1] >= SILHOUETTE_OK else "weak/none"
-    sweep = df.sparkSession.createDataFrame(
-        [(*f[:5], f[0] == best[0], structure) for f in found],
-        "k int, silhouette double, silhouette_sq double, davies_bouldin double, inertia double, best boolean, structure string",
-    )
-    return sweep, best[5].transform(vectors).drop("features").withColumnRenamed("prediction", "cluster")
-
-
 def cluster_profiles(clustered: DataFrame, columns: Sequence[str], group: str, lean: str) -> DataFrame:
     """Size, means, most common group and lean shares per cluster."""
     share = lambda side: (F.count_if(F.col(lean) == side) * 100.0 / F.count("*"))

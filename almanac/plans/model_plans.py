@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from almanac import presets
 from almanac.functions.geo import fit_zoom, mercator_pixel
-from almanac.operators import elections, evaluation, modelling, sampling
+from almanac.operators import clusters, elections, evaluation, modelling, sampling
 from almanac.plans import tables as t
 from almanac.plans.aggregate_plans import CATS, CLICK_SQL, per_entity, rounded
 from almanac.plans.registry import query
 from almanac.plans.tables import table, with_views
+from almanac.session import materialise
 
 # ---- E ---------------------------------------------------------------------
 
@@ -192,18 +194,29 @@ def e10(spark, sf):
 ORDER = ["BUILDING", "MACHINERY", "HOUSEHOLD", "FURNITURE"]
 
 
-def features(spark, sf):
+def raw_features(spark, sf):
     """Entities with at least one action, their counts, group and district lean."""
     votes = t.race(spark, sf).groupBy("district", "party").agg(F.sum("votes").alias("votes"))
     won = elections.winners(votes, ["district"], "votes", "one", ids=["party"]).select(
         F.col("district").alias("state"), elections.party_side(F.col("party"), ("building", "household"), ("machinery",)).alias("lean")
     )
     rows = per_entity(spark, sf).where("n > 0").join(won, "state", "left")
-    return modelling.feature_table(rows.select("entity_id", *CATS, "grp", "lean"), CATS, "grp", ORDER, "lean")
+    return rows.select("entity_id", *CATS, "grp", "lean")
+
+
+def features(spark, sf):
+    return modelling.feature_table(raw_features(spark, sf), CATS, "grp", ORDER, "lean")
 
 
 FEATURES = [*CATS, "total", "group_rank", "lean_score"]
 
+FEATURE_SQL = """v AS (SELECT district, party, sum(votes) AS votes FROM race GROUP BY ALL),
+        w AS (SELECT district AS state, party FROM v QUALIFY row_number() OVER (PARTITION BY district ORDER BY votes DESC, party) = 1),
+        f AS (SELECT entity_id, click, error, purchase, signup, n AS total, CASE grp WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1
+            WHEN 'HOUSEHOLD' THEN 2 WHEN 'FURNITURE' THEN 3 ELSE 4 END AS group_rank,
+            CASE WHEN party IN ('BUILDING', 'HOUSEHOLD') THEN 1 WHEN party = 'MACHINERY' THEN -1 ELSE 0 END AS lean_score
+            FROM s JOIN entity USING (entity_id) LEFT JOIN w USING (state) WHERE n > 0)"""
+
 
 def _z(c: str) -> str:
     return f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6)"
@@ -213,12 +226,7 @@ def _z(c: str) -> str:
     "m03_feature_table",
     with_views(
         "action entity race",
-        f"""+ {CLICK_SQL}, v AS (SELECT district, party, sum(votes) AS votes FROM race GROUP BY ALL),
-        w AS (SELECT district AS state, party FROM v QUALIFY row_number() OVER (PARTITION BY district ORDER BY votes DESC, party) = 1),
-        f AS (SELECT entity_id, click, error, purchase, signup, n AS total, CASE grp WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1
-            WHEN 'HOUSEHOLD' THEN 2 WHEN 'FURNITURE' THEN 3 ELSE 4 END AS group_rank,
-            CASE WHEN party IN ('BUILDING', 'HOUSEHOLD') THEN 1 WHEN party = 'MACHINERY' THEN -1 ELSE 0 END AS lean_score
-            FROM s JOIN entity USING (entity_id) LEFT JOIN w USING (state) WHERE n > 0)
+        f"""+ {CLICK_SQL}, {FEATURE_SQL}
         SELECT entity_id, {', '.join(f'{_z(c)} AS {c}' for c in FEATURES)} FROM f""",
     ),
 )
@@ -228,19 +236,52 @@ def m03(spark, sf):
 
 @query("m01_kmeans_sweep")
 def m01(spark, sf):
-    return modelling.kmeans_sweep(features(spark, sf), FEATURES)[0]
+    return clusters.sweep(features(spark, sf), FEATURES, enough=presets.SILHOUETTE_OK)[0]
 
 
 @query("m01_cluster_profiles")
 def m01_profiles(spark, sf):
-    _, rows = modelling.kmeans_sweep(features(spark, sf), FEATURES)
+    _, rows = clusters.sweep(features(spark, sf), FEATURES)
     return modelling.cluster_profiles(rows, CATS, "grp", "lean")
 
 
+def _quality_sql() -> str:
+    """All pairs of the feature rows, by two given clusterings."""
+    x = f"[{', '.join(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()' for c in FEATURES)}]"
+    centre = f"[{', '.join(f'avg(x[{i + 1}])' for i in range(len(FEATURES)))}]"
+    return f"""+ {CLICK_SQL}, {FEATURE_SQL}, x AS (SELECT entity_id, {x} AS x, CAST(group_rank AS INT) AS g, CAST(lean_score + 1 AS INT) AS l FROM f),
+        lab AS (SELECT 'by_group' AS clustering, entity_id, x, g AS c FROM x UNION ALL SELECT 'by_lean', entity_id, x, l FROM x),
+        n AS (SELECT clustering, c, count(*) AS n, {centre} AS m FROM lab GROUP BY ALL),
+        d AS (SELECT a.clustering, a.entity_id, a.c, b.c AS o, sum(list_distance(a.x, b.x)) AS s, sum(pow(list_distance(a.x, b.x), 2)) AS q
+            FROM lab a JOIN lab b USING (clustering) GROUP BY ALL),
+        ab AS (SELECT d.clustering, entity_id, max(s / nullif(n - 1, 0)) FILTER (o = d.c) AS a, min(s / n) FILTER (o <> d.c) AS b,
+            max(q / nullif(n - 1, 0)) FILTER (o = d.c) AS qa, min(q / n) FILTER (o <> d.c) AS qb
+            FROM d JOIN n ON n.clustering = d.clustering AND n.c = d.o GROUP BY ALL),
+        sil AS (SELECT clustering, avg(coalesce((b - a) / greatest(a, b), 0)) AS silhouette,
+            avg(coalesce((qb - qa) / greatest(qa, qb), 0)) AS silhouette_sq FROM ab GROUP BY clustering),
+        sp AS (SELECT lab.clustering, lab.c, any_value(m) AS m, avg(list_distance(x, m)) AS s FROM lab JOIN n USING (clustering, c) GROUP BY ALL),
+        db AS (SELECT clustering, avg(w) AS davies_bouldin FROM (SELECT a.clustering, a.c, max((a.s + b.s) / list_distance(a.m, b.m)) AS w
+            FROM sp a JOIN sp b ON a.clustering = b.clustering AND a.c <> b.c GROUP BY ALL) GROUP BY clustering)
+        SELECT clustering, round(silhouette, 6) AS silhouette, round(silhouette_sq, 6) AS silhouette_sq, round(davies_bouldin, 6) AS davies_bouldin
+        FROM sil JOIN db USING (clustering)"""
+
+
+@query("m01_given_clusters", with_views("action entity race", _quality_sql()))
+def m01_given(spark, sf):
+    """Quality of two given clusterings of the feature rows; one cell per distinct row, so the mean distances are exact."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, ORDER)), F.col("grp")) - 1, F.lit(-1)).cast("int")
+    side = F.when(F.col("lean") == "Dem", 2).when(F.col("lean") == "Rep", 0).otherwise(1)
+    rows = raw_features(spark, sf).select("entity_id", F.when(rank < 0, len(ORDER)).otherwise(rank).alias("by_group"), side.alias("by_lean"))
+    rows = materialise(features(spark, sf).select("entity_id", *FEATURES).join(rows, "entity_id"), "features")
+    found = clusters.quality(rows, FEATURES, ["by_group", "by_lean"], leaves=clusters.SAMPLE_ROWS, tolerance=0.0)
+    out = [(name, q.silhouette, q.silhouette_sq, q.davies_bouldin) for name, q in found.items()]
+    out = spark.createDataFrame(out, "clustering string, silhouette double, silhouette_sq double, davies_bouldin double")
+    return rounded(out, "silhouette", "silhouette_sq", "davies_bouldin")
+
+
 @query("m02_davies_bouldin")
 def m02(spark, sf):
-    sweep, _ = modelling.kmeans_sweep(features(spark, sf), FEATURES)
-    return sweep.select("k", "davies_bouldin", "inertia")
+    return clusters.centre_quality(features(spark, sf), FEATURES)
 
 
 @query("m04_pca_projection")

@@ -150,3 +150,4 @@ DENSE_BOXES = (
 )
 FEATURE_KINDS = ("green_space", "env_hazard", "landfill", "industrial", "abattoir", "military", "airport")
 PAGE_TEXT_CAP = 500_000  # characters of page text the study stores; ``cap`` of page_text and quick_text
+SILHOUETTE_OK = 0.25  # fixed value: from this mean silhouette on the study calls a cluster structure meaningful

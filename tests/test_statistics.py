@@ -158,21 +158,6 @@ def test_lees_l_equals_matrices(spark):
     assert p.p_one_sided * 301 == pytest.approx(round(p.p_one_sided * 301))
 
 
-def test_silhouette_equals_all_pairs(spark):
-    rng = np.random.default_rng(6)
-    x = np.round(rng.normal(size=(50, 2)), 1)
-    c = (x[:, 0] > 0).astype(int)
-    df = spark.createDataFrame([(float(a), float(b), int(g)) for (a, b), g in zip(x, c)], "a double, b double, g int")
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-    s = []
-    for i in range(50):
-        same = (c == c[i]).sum() - 1
-        a = d[i, c == c[i]].sum() / same
-        b = d[i, c != c[i]].mean()
-        s.append((b - a) / max(a, b))
-    assert modelling.silhouette(df, ["a", "b"], "g") == pytest.approx(np.mean(s))
-    assert modelling.silhouette(df, ["a", "b"], "g", block=13) == pytest.approx(np.mean(s))
-
 
 def test_density_clusters_equal_brute_force(spark):
     rnd = random.Random(7)

@@ -99,13 +99,13 @@ def test_wide_side_is_not_sent(spark, monkeypatch):
     assert session.join_counted(big, side, "id", "inner").count() == 50
 
 
-@pytest.mark.parametrize("name", ["m01", "m01_profiles", "m02"])
-def test_sweeps_are_registered_whole(monkeypatch, name):
+@pytest.mark.parametrize("name, operator", [("m01", "sweep"), ("m01_profiles", "sweep"), ("m02", "centre_quality")])
+def test_sweeps_are_registered_whole(monkeypatch, name, operator):
     from inspect import signature
 
     from almanac.plans import model_plans
 
-    plan, real, asked = getattr(model_plans, name), signature(model_plans.modelling.kmeans_sweep), {}
+    plan, real, asked = getattr(model_plans, name), signature(getattr(model_plans.clusters, operator)), {}
 
     class Stop(Exception):
         pass
@@ -116,7 +116,7 @@ def test_sweeps_are_registered_whole(monkeypatch, name):
         asked.update(bound.arguments)
         raise Stop
 
-    monkeypatch.setattr(model_plans.modelling, "kmeans_sweep", sweep)
+    monkeypatch.setattr(model_plans.clusters, operator, sweep)
     monkeypatch.setattr(model_plans, "features", lambda spark, sf: None)
     with pytest.raises(Stop):
         plan(None, None)
