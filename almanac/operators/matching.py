@@ -1,4 +1,4 @@
-"""Entity resolution: greedy matching by distance, name matching, merging and survivorship."""
+"""Entity resolution: name matching, merging and survivorship."""
 
 from __future__ import annotations
 
@@ -10,86 +10,13 @@ from pyspark.sql import functions as F
 from almanac.functions.geo import haversine_km, unit_xyz
 from almanac.functions.names import GENERIC_STOP_WORDS, NAME_MATCH_SHARE, name_tokens, normal_name, token_share
 from almanac.functions.values import blank_to_null
-from almanac.operators.nearest import locations, nearest_places
+from almanac.operators.nearest import nearest_places
 from almanac.operators.ranks import order_bounds, row_number_within, slice_of
 from almanac.session import join_counted, materialise
 
 ANY_STATE = "*"
 
 
-# ---- one-to-one matching by distance ------------------------------------------
-
-
-def greedy_nearest_pairs(
-    left: DataFrame, right: DataFrame, key: str = "id", lat: str = "lat", lon: str = "lon", max_km: float = 1.0
-) -> DataFrame:
-    """One-to-one pairs as if all pairs were taken in order of (distance, left key, right key).
-
-    Works in rounds over places, not rows: a left and a right place that are each
-    other's nearest are final, and their members pair off by key order.  At equal
-    distances only the first members pair, which keeps the order exact.  Each round
-    removes the used rows; a round costs two nearest-place joins.
-    """
-    spark = left.sparkSession
-    cols = [F.col(key).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")]
-    has_place = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    left, right = (materialise(df.select(*cols).where(has_place), "side") for df in (left, right))
-    done: list[DataFrame] = []
-    while True:
-        l_loc, r_loc = (materialise(locations(s, "id", "lat", "lon"), "places") for s in (left, right))
-        to_right = materialise(nearest_places(l_loc, r_loc, 2, max_km), "near")
-        if to_right.isEmpty():
-            break
-        to_left = nearest_places(r_loc, l_loc, 2, max_km)
-        best = lambda df: df.groupBy("id").agg(
-            F.min_by("other", "rank").alias("other"),
-            F.min("d2").alias("d2"),
-            (F.count("*") > F.count_if(F.col("rank") == 1)).alias("_two"),
-            F.max("d2").alias("_second"),
-        )
-        a = best(to_right).withColumn("tied", F.col("_two") & (F.col("_second") == F.col("d2")))
-        b = best(to_left).withColumn("tied_b", F.col("_two") & (F.col("_second") == F.col("d2")))
-        mutual = a.select("id", "other", "tied").join(
-            b.select(F.col("id").alias("other"), F.col("other").alias("id"), "tied_b"), ["id", "other"]
-        )
-        place = lambda loc, name: loc.select(F.col("id").alias(name), F.col("lat").alias(f"{name}_lat"), F.col("lon").alias(f"{name}_lon"))
-        pairs = mutual.join(place(l_loc, "id"), "id").join(place(r_loc, "other"), "other").select(
-            "id_lat", "id_lon", "other_lat", "other_lon", (F.col("tied") | F.col("tied_b")).alias("only_first")
-        )
-        pairs = materialise(pairs, "mutual")
-
-        def members(side: DataFrame, name: str) -> DataFrame:
-            at = pairs.select(F.col(f"{name}_lat").alias("lat"), F.col(f"{name}_lon").alias("lon"))
-            paired = side.join(at, ["lat", "lon"], "left_semi")
-            return row_number_within(paired, ["lat", "lon"], "id").select(
-                F.col("id").alias(f"{name}_key"), F.col("lat").alias(f"{name}_lat"), F.col("lon").alias(f"{name}_lon"), "nth"
-            )
-
-        matched = (
-            pairs.join(members(left, "id"), ["id_lat", "id_lon"])
-            .join(members(right, "other"), ["other_lat", "other_lon", "nth"])
-            .where(~F.col("only_first") | (F.col("nth") == 1))
-            .select(
-                F.col("id_key").alias("left_id"),
-                F.col("other_key").alias("right_id"),
-                haversine_km(F.col("id_lat"), F.col("id_lon"), F.col("other_lat"), F.col("other_lon")).alias("km"),
-            )
-        )
-        matched = materialise(matched, "matched")
-        done.append(matched)
-        # Left places without any right place in reach can never match later either.
-        near = to_right.join(l_loc.select("id", "lat", "lon"), "id").select("lat", "lon").distinct()
-        left = left.join(near, ["lat", "lon"], "left_semi").join(
-            matched.select(F.col("left_id").alias("id")), "id", "left_anti"
-        )
-        right = right.join(matched.select(F.col("right_id").alias("id")), "id", "left_anti")
-        left, right = materialise(left.select("id", "lat", "lon"), "side"), materialise(right.select("id", "lat", "lon"), "side")
-    out = spark.createDataFrame([], "left_id bigint, right_id bigint, km double") if not done else done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
-
-
 # ---- name matching -------------------------------------------------------------
 
 

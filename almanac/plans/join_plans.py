@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.functions import urls
-from almanac.operators import chains, matching, nearest, regions, search, upsert
+from almanac.operators import chains, greedy, matching, nearest, regions, search, upsert
 from almanac.functions.geo import grid_points
 from almanac.plans import tables as t
 from almanac.plans.registry import query
@@ -88,10 +88,22 @@ def j05(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", "c_name").join(urgent, "c_custkey", "left_anti")
 
 
-@query("j06_greedy_nearest_pairs")
+@query(
+    "j06_greedy_nearest_pairs",
+    with_views(
+        "geo",
+        f"""+ e AS MATERIALIZED (SELECT a.id AS l, b.id AS r, {HAV_SQL.format('a.lat', 'b.lat', 'a.lon', 'b.lon')} AS km
+            FROM geo a JOIN geo b ON a.id % 2 = 0 AND b.id % 2 = 1 WHERE km <= 25),
+        g AS (SELECT 0 AS n, {{'km': NULL::DOUBLE, 'l': -1::BIGINT, 'r': -1::BIGINT}} AS b, [-1::BIGINT] AS ls, [-1::BIGINT] AS rs
+            UNION ALL SELECT n + 1, b, list_append(ls, b.l), list_append(rs, b.r) FROM (
+                SELECT any_value(n) AS n, any_value(ls) AS ls, any_value(rs) AS rs, min({{'km': e.km, 'l': e.l, 'r': e.r}}) AS b
+                FROM g, e WHERE NOT list_contains(ls, e.l) AND NOT list_contains(rs, e.r)) WHERE b IS NOT NULL)
+        SELECT b.l AS left_id, b.r AS right_id, round(b.km, 6) AS km FROM g WHERE n > 0""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def j06(spark, sf):
     g = t.geo(spark, sf)
-    return matching.greedy_nearest_pairs(g.where("id % 2 = 0"), g.where("id % 2 = 1"), max_km=25.0).withColumn(
+    return greedy.greedy_nearest_pairs(g.where("id % 2 = 0"), g.where("id % 2 = 1"), max_km=25.0).withColumn(
         "km", F.round("km", 6)
     )
 

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from almanac.operators import greedy as greedy_match
 from almanac.operators import matching, nearest, ranks
 
 
@@ -53,7 +54,7 @@ def greedy(left, right, max_km):
 def test_greedy_pairs_equal_sorted_loop(spark):
     left, right = crowd(26, 3), crowd(22, 4)
     schema = "id long, lat double, lon double"
-    got = matching.greedy_nearest_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
+    got = greedy_match.greedy_nearest_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
     assert {(r.left_id, r.right_id) for r in got.collect()} == greedy(left, right, 1.0)
 
 
@@ -61,10 +62,63 @@ def test_greedy_contested_pair(spark):
     schema = "id long, lat double, lon double"
     left = spark.createDataFrame([(1, 10.0, 10.0), (2, 10.002, 10.0)], schema)
     right = spark.createDataFrame([(7, 10.0005, 10.0), (8, 10.004, 10.0)], schema)
-    got = {(r.left_id, r.right_id) for r in matching.greedy_nearest_pairs(left, right).collect()}
+    got = {(r.left_id, r.right_id) for r in greedy_match.greedy_nearest_pairs(left, right).collect()}
     assert got == {(1, 7), (2, 8)}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_pairs_of_crowds_and_grids(spark, seed):
+    """Equal distances, crowded spots and lists that run dry give the pairs of the sorted loop."""
+    rng = random.Random(seed)
+    spot = lambda: (round(10 + rng.randint(0, 3) * 0.002, 6), round(10 + rng.randint(0, 3) * 0.002, 6))
+    left = [(i, *((10.0, 10.0) if rng.random() < 0.3 else spot())) for i in rng.sample(range(1000), 45)]
+    right = [(i, *((10.002, 10.0) if rng.random() < 0.3 else spot())) for i in rng.sample(range(1000), 40)]
+    schema = "id long, lat double, lon double"
+
+    def chord(a, b):  # the order the search sees, in which mirrored grid distances are exactly equal or clearly apart
+        xyz = lambda p: (
+            math.cos(math.radians(p[0])) * math.cos(math.radians(p[1])),
+            math.cos(math.radians(p[0])) * math.sin(math.radians(p[1])),
+            math.sin(math.radians(p[0])),
+        )
+        return sum((u - v) ** 2 for u, v in zip(xyz(a[1:]), xyz(b[1:])))
+
+    used_l, used_r, want = set(), set(), set()
+    for _, a, b in sorted((chord(a, b), a[0], b[0]) for a in left for b in right if hav(a[1:], b[1:]) <= 1.0):
+        if a not in used_l and b not in used_r:
+            used_l.add(a)
+            used_r.add(b)
+            want.add((a, b))
+    got = greedy_match.greedy_nearest_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
+    rows = [(r.left_id, r.right_id) for r in got.collect()]
+    assert len(rows) == len(set(rows)) == len(want)
+    assert set(rows) == want
+
+
+def test_greedy_chain_of_ten_thousand(spark):
+    """Each place is contested by the next: one round decides what a loop of nearest pairs takes 5,000 rounds for."""
+    at, places = 0.0, []
+    for i in range(10_000):
+        places.append((i, 0.0, at / 111.1949))
+        at += 0.010 + i * 1e-6  # kilometres, ever farther apart
+    schema = "id long, lat double, lon double"
+    left = spark.createDataFrame([p for p in places if p[0] % 2 == 0], schema)
+    right = spark.createDataFrame([p for p in places if p[0] % 2 == 1], schema)
+    got = greedy_match.greedy_nearest_pairs(left, right, max_km=0.024, rounds=2).collect()
+    assert {(r.left_id, r.right_id) for r in got} == {(i, i + 1) for i in range(0, 10_000, 2)}
+
+
+def test_greedy_stops_loudly(spark):
+    schema = "id long, lat double, lon double"
+    left, right = (spark.createDataFrame(crowd(26, s), schema) for s in (3, 4))
+    with pytest.raises(RuntimeError, match="places are left after 1 rounds"):
+        greedy_match.greedy_nearest_pairs(left, right, rounds=1)
+    empty = spark.createDataFrame([], schema)
+    assert greedy_match.greedy_nearest_pairs(left, empty).count() == 0
+    nowhere = spark.createDataFrame([(1, None, 2.0), (2, None, None)], schema)
+    assert greedy_match.greedy_nearest_pairs(nowhere, right).count() == 0
+
+
 def loop_merge(left, right):
     def tokens(s):
         return set(s.split()) - {"of", "the", "and", "a", "center", "community"}
