@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions.dist import chi2_p, normal_p, t_p
-from almanac.operators.ranks import average_ranks, later_minimum, order_bounds, running_total, slice_of
+from almanac.operators.ranks import average_ranks, later_minimum, order_bounds, row_number_within, running_total, slice_of
+from almanac.operators.shuffles import SHUFFLE_BLOCK, shuffle_sums
 from almanac.session import materialise
 
 
@@ -363,29 +364,20 @@ def local_lees_l(values: DataFrame, edges: DataFrame, x: str, y: str) -> DataFra
     return j.select("id", (F.col(f"w_{x}") * F.col(f"w_{y}") * scale).alias("local_l"))
 
 
-def permutation_test(values: DataFrame, edges: DataFrame, x: str, y: str, perms: int = 999, seed: int = 0) -> DataFrame:
-    """Pseudo p-values of Lee's L under shuffles of ``y``.
-
-    A shuffle numbers the y values by a seeded hash and deals them to the fixed
-    coefficients by number.  Hash ranges cut each shuffle into slices, so a shuffle of
-    any size is numbered in parallel.
-    """
-    j = spatial_lags(values, edges, [x, y])
+def permutation_test(
+    values: DataFrame, edges: DataFrame, x: str, y: str, perms: int = 999, seed: int = 0, block: int = SHUFFLE_BLOCK
+) -> DataFrame:
+    """Pseudo p-values of Lee's L under keyed shuffles of ``y`` over the places numbered by id (``shuffle_sums``)."""
+    j = materialise(spatial_lags(values, edges, [x, y]), "lags")
     n = j.count()
     back = edges.join(j.select("id", F.col(f"w_{x}").alias("_wx")), "id")
     coef = back.groupBy(F.col("neighbour").alias("id")).agg(F.sum(F.col("weight") * F.col("_wx")).alias("c"))
-    parts = max(1, n // 1_000_000)
-    span = float(2**62)
-    bounds = [-2 * span + i * 4 * span / parts for i in range(1, parts)]
-    coef = j.select("id").join(coef, "id", "left").na.fill({"c": 0.0}).withColumn("_o", F.xxhash64(F.lit(seed), "id")).withColumn("_all", F.lit(0))
-    places = running_total(coef, ["_all"], "_o", F.lit(1).cast("bigint"), "nth", bounds, ["id"]).select("nth", "c")
-    dealt = j.select("id", F.col(y).alias("v")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(perms))))
-    dealt = dealt.withColumn("_o", F.xxhash64(F.lit(seed + 1), "rep", "id"))
-    dealt = running_total(dealt, ["rep"], "_o", F.lit(1).cast("bigint"), "nth", bounds, ["id"]).select("rep", "nth", "v")
+    numbered = row_number_within(j.select("id", F.col(y).alias("v")), [], "id").withColumn("nth", F.col("nth") - 1)
+    numbered = materialise(numbered.join(coef, "id", "left").na.fill({"c": 0.0}).select("nth", "v", "c"), "numbered")
     bottom = j.select(F.sum(F.col("w_total") * F.col("w_total"))).scalar()
-    observed = lees_l(values, edges, x, y).select("lees_l").scalar()
-    sims = dealt.join(places, "nth").groupBy("rep").agg((F.sum(F.col("c") * F.col("v")) / bottom).alias("l"))
-    s = sims.withColumn("obs", observed)
+    observed = j.select(F.sum(F.col(f"w_{x}") * F.col(f"w_{y}"))).scalar()
+    sums = shuffle_sums(numbered.select("nth", "c"), numbered.select("nth", "v"), n, perms, seed, block)
+    s = sums.select((F.col("s") / bottom).alias("l")).withColumn("obs", observed / bottom)
     return s.agg(
         F.max("obs").alias("lees_l"), F.avg("l").alias("perm_mean"), F.stddev_pop("l").alias("perm_sd"),
         ((F.max("obs") - F.avg("l")) / F.stddev_pop("l")).alias("z"),

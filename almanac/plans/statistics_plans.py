@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators import aggregates as agg
 from almanac.operators import nearest
+from almanac.operators import shuffles
 from almanac.operators import statistics as st
 from almanac.plans import tables as t
 from almanac.plans.aggregate_plans import CATS, CLICK_SQL, COUNTS_SQL, FRAMING_SQL, customer_matrix, framed, order_counts, per_entity, rounded
@@ -287,10 +288,43 @@ def x13(spark, sf):
     return st.lees_l(v, edges, "x", "y").select(F.round("morans_i_y", 6).alias("morans_i"))
 
 
-@query("x14_permutation_test")
+PERMUTATIONS = 9_999
+
+
+def _feistel_sql(source: str, n: str = "n") -> str:
+    """One pass of the keyed network over the column ``v`` of ``source``, round by round; keys are in the list ``k``."""
+    sql = f"SELECT *, v // b AS l, v % b AS r FROM {source}"
+    for i in range(shuffles.SHUFFLE_ROUNDS):
+        to, of, side = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        sql = f"SELECT * REPLACE (({to} + ({of} * k[{2 * i + 1}] + k[{2 * i + 2}]) % {shuffles.SHUFFLE_PRIME}) % {side} AS {to}) FROM ({sql})"
+    return f"SELECT rep, nth, l * b + r AS v, k, a, b, n FROM ({sql})"
+
+
+def _keys_sql() -> str:
+    one = lambda r, at: f"CAST('0x' || substr(md5('0:' || rep || ':{r}'), {at}, 7) AS BIGINT)"
+    return ", ".join(f"{one(r, 1)} + 1, {one(r, 8)}" for r in range(shuffles.SHUFFLE_ROUNDS))
+
+
+@query(
+    "x14_permutation_test",
+    with_views(
+        "geo",
+        f"""{LEE_SQL}, coef AS (SELECT neighbour AS id, sum(wx / 8) AS c FROM knn JOIN j USING (id) GROUP BY neighbour),
+        num AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) - 1 AS nth, y, coalesce(c, 0) AS c FROM j LEFT JOIN coef USING (id)),
+        size AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT n, CAST(floor(sqrt(n - 1)) + 1 AS BIGINT) AS a FROM (SELECT count(*) AS n FROM num))),
+        keys AS MATERIALIZED (SELECT rep, [{_keys_sql()}] AS k FROM range(1, {PERMUTATIONS + 1}) t(rep)),
+        start AS (SELECT rep, nth, nth AS v, k, a, b, n FROM num, keys, size),
+        walk AS ({_feistel_sql('start')} UNION ALL ({_feistel_sql('(SELECT * FROM walk WHERE v >= n)')})),
+        perm AS (SELECT rep, sum(num.c * other.y) / any_value(n) AS l FROM walk JOIN num USING (nth) JOIN num other ON other.nth = v WHERE v < n GROUP BY rep),
+        obs AS (SELECT sum(wx * wy) / count(*) AS obs FROM j)
+        SELECT round(max(obs), 6) AS lees_l, round(avg(l), 6) AS perm_mean, round(stddev_pop(l), 6) AS perm_sd,
+        round((max(obs) - avg(l)) / stddev_pop(l), 6) AS z, (count(*) FILTER (l >= obs) + 1) / CAST({PERMUTATIONS + 1} AS DOUBLE) AS p_one_sided,
+        (count(*) FILTER (abs(l) >= abs(obs)) + 1) / CAST({PERMUTATIONS + 1} AS DOUBLE) AS p_two_sided FROM perm, obs""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def x14(spark, sf):
     v, edges = spatial(spark, sf)
-    return st.permutation_test(v, edges, "x", "y", perms=9_999)
+    return rounded(st.permutation_test(v, edges, "x", "y", perms=PERMUTATIONS), "lees_l", "perm_mean", "perm_sd", "z")
 
 
 @query(

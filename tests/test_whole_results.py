@@ -127,5 +127,6 @@ def test_permutations_are_registered_whole(monkeypatch):
     from almanac.plans import statistics_plans
 
     monkeypatch.setattr(statistics_plans, "spatial", lambda spark, sf: (None, None))
+    monkeypatch.setattr(statistics_plans, "rounded", lambda out, *columns: out)
     monkeypatch.setattr(statistics_plans.st, "permutation_test", lambda *args, perms=999, **options: perms)
     assert statistics_plans.x14(None, None) == 9_999
