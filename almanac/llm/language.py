@@ -9,6 +9,7 @@ the forward and backward sums over the distinct words of the training texts.
 from __future__ import annotations
 
 import base64
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,8 +26,7 @@ from almanac.llm.common import small_batches
 from almanac.session import materialise
 
 BETWEEN = r"[^\pL\pM]+"
-LONGEST = 8  # code points of a piece
-FIT_ROWS = 20_000  # labelled rows the probabilities are learned on; a hash of the id draws them
+FIT_ROWS = 20_000  # labelled rows the probabilities are learned on, spread over the languages; a hash of the id draws them
 ROUNDS = 2
 FLOOR = 1e-9  # probability of a character that the vocabulary does not have
 CACHED_WORDS = 150_000  # words of a younger and of an older half
@@ -58,7 +58,7 @@ def pieces(path: str) -> dict[str, int]:
                     piece = raw.decode().removeprefix(" ")
                 except UnicodeDecodeError:
                     continue
-                if piece.isalpha() and piece == piece.lower() and len(piece) <= LONGEST:
+                if piece.isalpha() and piece == piece.lower():
                     found.setdefault(piece, len(found))
         _PIECES[path] = found
     return _PIECES[path]
@@ -80,20 +80,27 @@ class Trie:
         self.keys, self.next = np.array(steps, np.int64).reshape(-1, 2).T.copy()
 
     def pieces_in(self, words: list[str]) -> np.ndarray:
-        """[word, i, k]: the piece of k + 1 characters that ends at i, or -1, of words of equal length."""
+        """[word, i, k]: the piece of k + 1 characters that ends at i, or -1, of words of equal length.
+
+        k goes as far as any piece of the vocabulary does in these words.
+        """
         length = len(words[0])
         code = self.code[np.array(words).view(np.uint32).reshape(len(words), length)]
-        ids = np.full((len(words), length, LONGEST), -1, np.int32)
+        layers: list[np.ndarray] = []
         node = np.zeros((len(words), length), np.int64)
-        for k in range(min(LONGEST, length)):
+        for k in range(length):
             key = node[:, : length - k] * self.base + code[:, k:]
             at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
             known = (self.keys[at] == key) if len(self.keys) else np.zeros(key.shape, bool)
+            if k and not known.any():
+                break
             node = np.where(known, self.next[at] if len(self.keys) else -1, -1)
-            ids[:, k:, k] = self.piece[node]
-        first = ids[:, :, 0]
+            layer = np.full((len(words), length), -1, np.int32)
+            layer[:, k:] = self.piece[node]
+            layers.append(layer)
+        first = layers[0]
         first[first < 0] = self.other
-        return ids
+        return np.stack(layers, axis=2)
 
 
 _TRIES: dict[str, Trie] = {}
@@ -127,21 +134,21 @@ class Model:
 
     def forward(self, ids: np.ndarray, terms: np.ndarray) -> np.ndarray:
         """Log sums [language, word, i] over all segmentations of the first i characters."""
-        rows, length, _ = ids.shape
+        rows, length, longest = ids.shape
         out = np.full((len(self.languages), rows, length + 1), -np.inf)
         out[:, :, 0] = 0.0
         for i in range(length):
-            reach = min(LONGEST, i + 1)
+            reach = min(longest, i + 1)
             before = out[:, :, i + 1 - reach : i + 1][:, :, ::-1]
             out[:, :, i + 1] = _logsum(before + terms[:, :, i, :reach])
         return out
 
     def backward(self, ids: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        rows, length, _ = ids.shape
+        rows, length, longest = ids.shape
         out = np.full((len(self.languages), rows, length + 1), -np.inf)
         out[:, :, length] = 0.0
         for i in range(length - 1, -1, -1):
-            reach = min(LONGEST, length - i)
+            reach = min(longest, length - i)
             steps = np.stack([terms[:, :, i + k, k] + out[:, :, i + k + 1] for k in range(reach)], axis=-1)
             out[:, :, i] = _logsum(steps)
         return out
@@ -161,7 +168,7 @@ class Model:
             terms = own._terms(ids)
             a, b = own.forward(ids, terms), own.backward(ids, terms)
             total = a[0, :, -1]
-            for k in range(min(LONGEST, ids.shape[1])):
+            for k in range(ids.shape[2]):
                 log_use = a[0, :, : ids.shape[1] - k] + terms[0, :, k:, k] + b[0, :, k + 1 :] - total[:, None]
                 used = ids[:, k:, k]
                 hit = used >= 0
@@ -177,11 +184,27 @@ def _logsum(x: np.ndarray) -> np.ndarray:
         return np.log(np.exp(x - safe).sum(axis=-1)) + safe[..., 0]
 
 
-def training_rows(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(lang, text) of the rows to learn from: labelled, not held out, about ``fit_rows`` of them by a hash."""
-    known = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
-    share = min(1.0, fit_rows / max(1, known.select("doc_id", "lang").count()))
-    return known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < F.lit(round(1_000_000 * share)))
+def quotas(sizes: dict[str, int], fit_rows: int) -> dict[str, int]:
+    """Rows to learn from by language, ``fit_rows`` together: equal shares, what a rare language leaves goes to the others."""
+    out: dict[str, int] = {}
+    rest = fit_rows
+    for at, (lang, n) in enumerate(sorted(sizes.items(), key=lambda item: (item[1], item[0]))):
+        out[lang] = min(n, math.ceil(rest / (len(sizes) - at)))
+        rest -= out[lang]
+    return out
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, text) of the rows with a label that are not held out."""
+    return docs.where(F.col("lang").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
+
+
+def training_rows(known: DataFrame, sizes: dict[str, int], fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(lang, text) of about ``quotas`` labelled rows per language, by a hash of the id; all rows of a rare one."""
+    wanted = quotas(sizes, fit_rows)
+    rates = [F.lit(v) for x in sorted(sizes) for v in (x, round(1_000_000 * wanted[x] / max(1, sizes[x])))]
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000))
+    return known.where(draw < F.create_map(*rates)[F.col("lang")]).select("lang", "text")
 
 
 def held_out(key: str) -> Column:
@@ -190,13 +213,13 @@ def held_out(key: str) -> Column:
 
 
 def learn(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Model:
-    """Learns from ``docs`` (doc_id, lang, text) as ``training_rows`` says.
+    """Learns from ``docs`` (doc_id, lang, text) as ``training_rows`` says; the priors are of all labelled rows.
 
     Words are counted by language once and written; each round sums expected uses by language and piece, so
     what comes to the driver has a row per language and piece at most.
     """
-    rows = training_rows(docs, fit_rows)
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    known = labelled(docs)
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     vocabulary = pieces(vocabulary_path)
     size = len(vocabulary) + 1
@@ -204,6 +227,8 @@ def learn(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS, round
         return Model(vocabulary_path, [], np.zeros(0), np.zeros((0, size)))
     priors = np.log(np.array([sizes[x] for x in languages], float) / sum(sizes.values()))
 
+    rows = training_rows(known, sizes, fit_rows)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang = np.array(b.column("lang").to_pylist(), object)

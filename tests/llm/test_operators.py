@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 
 import oracle
@@ -331,13 +332,15 @@ def test_language_forward_sums_all_segmentations():
     vocabulary = language.pieces(RANKS)
     rng = np.random.default_rng(0)
     model = language.Model(RANKS, ["x", "y"], np.zeros(2), np.log(rng.random((2, len(vocabulary) + 1)) / 100))
-    tested = ["then", "über", "a", "漢字", "thetionth"]
+    longest = sorted(vocabulary, key=len)[-3:]
+    assert min(map(len, longest)) > 12
+    tested = ["then", "über", "a", "漢字", "thetionth", "understandings", *longest, "x".join(longest)]
 
     def brute(word, row):
         total = np.zeros(len(word) + 1)
         total[0] = 1
         for j in range(1, len(word) + 1):
-            for i in range(max(0, j - language.LONGEST), j):
+            for i in range(j):
                 piece = vocabulary.get(word[i:j], len(vocabulary) if j - i == 1 else None)
                 if piece is not None:
                     total[j] += total[i] * np.exp(model.logp[row, piece])
@@ -346,6 +349,48 @@ def test_language_forward_sums_all_segmentations():
     assert model.score(tested) == pytest.approx(np.array([[brute(w, 0), brute(w, 1)] for w in tested]))
 
 
+def test_a_rare_language_is_learned(spark):
+    """A hundred rows among a hundred thousand: all of them are learned from, and its texts are told from the others."""
+    assert language.quotas({"a": 10, "b": 1_000, "c": 90_000}, 600) == {"a": 10, "b": 295, "c": 295}
+    assert language.quotas({"a": 10, "b": 20}, 600) == {"a": 10, "b": 20} and language.quotas({}, 5) == {}
+    common = spark.range(100_000).selectExpr("id as doc_id", "'en' as lang", "concat('the house and the street of number ', id % 97) as text")
+    rare = spark.range(100).selectExpr("id + 200000 as doc_id", "'fi' as lang", "concat('talo ja katu sekä kylä numero ', id % 97) as text")
+    sizes = {"en": 100_000, "fi": 100}
+    drawn = language.training_rows(common.unionByName(rare), sizes, 2_000).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in drawn}["fi"] == 100 and abs({r["lang"]: r["count"] for r in drawn}["en"] - 1_900) < 200
+    model = language.learn(common.unionByName(rare), RANKS, 2_000)
+    assert model.languages == ["en", "fi"] and np.exp(model.priors).sum() == pytest.approx(1)
+    assert np.exp(model.priors)[1] < 0.002
+    texts = spark.createDataFrame([(1, "kylä ja talo"), (2, "the house")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predict(texts, model, ["doc_id"]).collect()} == {1: "fi", 2: "en"}
+
+
+def test_predictions_equal_brute_force(spark, docs):
+    """Language and posterior of every text by a plain forward sum over the learned probabilities."""
+    model = language.learn(docs, RANKS)
+    vocabulary = language.pieces(RANKS)
+
+    def word_score(word, row):
+        total = np.zeros(len(word) + 1)
+        total[0] = 1
+        for j in range(1, len(word) + 1):
+            for i in range(j):
+                piece = vocabulary.get(word[i:j], len(vocabulary) if j - i == 1 else None)
+                total[j] += 0 if piece is None else total[i] * np.exp(model.logp[row, piece])
+        return np.log(total[-1])
+
+    found = {(r["doc_id"], r["text"]): r for r in language.predict(docs, model, ["doc_id", "text"]).collect()}
+    for (_, text), r in found.items():
+        words = [w for w in regex.split(r"[^\p{L}\p{M}]+", (text or "").lower()) if any(map(str.isalpha, w))]
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        uses = Counter(words)
+        known = [model.priors[x] + sum(n * word_score(w, x) for w, n in uses.items()) for x in range(len(model.languages))]
+        odds = np.exp(np.array(known) - max(known))
+        assert r["lang_pred"] == model.languages[int(odds.argmax())] and r["score"] == pytest.approx(odds.max() / odds.sum())
+
+
 def test_language_held_out(spark, docs, empty):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op7_language"](spark, SF).collect()
