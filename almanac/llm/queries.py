@@ -183,21 +183,22 @@ def _document_path(doc_id: str, source: str, text: str) -> str:
     return f"concat_ws('/', coalesce({source}, 'unnamed'), {text.format(f'{doc_id} // 1000')}, {text.format(f'{doc_id} // 100 % 10')}, {text.format(doc_id)})"
 
 
-_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(license_scan.TEMPLATES))
 OP3_SQL = rf"""
 WITH files AS (SELECT doc_id, {_document_path("doc_id", "source", "CAST({} AS VARCHAR)")} AS path, text FROM documents),
-stated AS (
-  SELECT DISTINCT doc_id, path, trim(line) AS line FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line FROM files)
-  WHERE regexp_matches(line, '(?i)licen[sc]|copyright|spdx')),
+seen AS (SELECT DISTINCT doc_id, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files) WHERE trim(line) <> ''),
 known AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) t(i, license, line)),
-lines AS (SELECT 's' || line AS k, line, count(*) AS n FROM stated GROUP BY line UNION ALL SELECT 't' || i, line, 1 FROM known),
-terms AS (SELECT k, n, term, count(*) AS tf
-  FROM (SELECT k, n, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM lines) GROUP BY ALL),
-idf AS (SELECT term, ln(((SELECT sum(n) FROM lines)::DOUBLE + 1) / (sum(n)::DOUBLE + 1)) + 1 AS idf FROM terms GROUP BY term),
+counted AS (SELECT line, count(*) AS n FROM seen GROUP BY line UNION ALL SELECT line, 1 FROM known),
+idf AS (SELECT term, ln(((SELECT sum(n) FROM counted)::DOUBLE + 1) / (sum(n)::DOUBLE + 1)) + 1 AS idf
+  FROM (SELECT n, unnest(list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+'))) AS term FROM counted) GROUP BY term),
+stated AS (SELECT DISTINCT doc_id, path, trim(regexp_replace(line, '[ \t\r\n]+', ' ', 'g')) AS line FROM (
+  SELECT doc_id, path, unnest(string_split(text, chr(10)) || string_split_regex(text, '\n[ \t\r]*\n') || [text]) AS line FROM files)),
+lines AS (SELECT DISTINCT 's' || line AS k, line FROM stated UNION ALL SELECT 't' || i, line FROM known),
+terms AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM lines) GROUP BY ALL),
 w AS (SELECT k, term, (1 + ln(tf::DOUBLE)) * idf AS w FROM terms JOIN idf USING (term)),
 norms AS (SELECT k, sqrt(sum(w * w)) AS norm FROM w GROUP BY k),
 dots AS (SELECT a.k, t.i, t.license, sum(a.w * b.w / bn.norm) AS dot FROM w a JOIN w b USING (term)
-  JOIN known t ON b.k = 't' || t.i JOIN norms bn ON bn.k = b.k WHERE a.k LIKE 's%' GROUP BY ALL),
+  JOIN known t ON b.k = 't' || t.i JOIN norms bn ON bn.k = b.k WHERE a.k LIKE 's%' AND b.k LIKE 't%' GROUP BY ALL),
 scored AS (SELECT substr(k, 2) AS line, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (k)),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
 own AS (SELECT doc_id, path, license, score FROM stated JOIN best USING (line) WHERE score >= {license_scan.LEAST}
@@ -215,10 +216,10 @@ FROM files f LEFT JOIN own o ON o.path = f.path LEFT JOIN near u ON u.doc_id = f
 
 @query("op3_license_scan", OP3_SQL)
 def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents have no paths: the source stands for a repository, and ids are filed by thousands and hundreds.  The SQL takes lines with a cue only."""
+    """The documents have no paths: the source stands for a repository, and ids are filed by thousands and hundreds."""
     docs = table(spark, sf, "documents")
     path = F.expr(_document_path("doc_id", "source", "CAST({} AS STRING)").replace("//", "div"))
-    found = license_scan.scan(docs.select(F.col("doc_id").alias("rank"), path.alias("path"), "text"), license_scan.CUE)
+    found = license_scan.scan(docs.select(F.col("doc_id").alias("rank"), path.alias("path"), "text"))
     return found.withColumnRenamed("rank", "doc_id")
 
 

@@ -489,6 +489,36 @@ def test_license_statements_without_a_cue(spark):
     assert all(got[f"p{i}/x"][0] is None for i in range(200))
 
 
+def test_license_files_and_awkward_texts(spark):
+    """Whole licence files wrapped anywhere, very long lines, extra columns; the query finds statements without a cue."""
+    bodies = [(name, text) for name, text in license_scan.TEMPLATES if len(text) > 200]
+    assert len(bodies) >= 10
+    rng = random.Random(2)
+    rows = []
+    for i, (_, text) in enumerate(bodies):
+        wrapped = "".join(("\n" if c == " " and rng.random() < 0.15 else c) for c in text)
+        rows.append((f"b{i}/LICENSE", i, f"Copyright (c) 2020 somebody\n\n{wrapped}\n", "s", "l"))
+    rows += [("long/x", 90, "word " * 200_000 + bodies[0][1][:30], "s", "l"), ("crlf/x", 91, "a\r\n\r\nAll rights reserved.\r\n", "s", "l")]
+    rows += [("quote/x", 92, "it's \"quoted\" \\ $1", None, None), ("null/x", 93, None, "s", "l")]
+    frame = spark.createDataFrame(rows, "path string, rank bigint, text string, score string, lines string")
+    found = license_scan.scan(frame.select("path", "rank", "text")).collect()
+    got = {r["path"]: (r["license"], r["score"]) for r in found}
+    for i, (name, _) in enumerate(bodies):
+        assert got[f"b{i}/LICENSE"][0] == name and got[f"b{i}/LICENSE"][1] > 0.95
+    assert got["crlf/x"][0] == "proprietary" and got["long/x"][0] is got["quote/x"][0] is got["null/x"][0] is None
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '(^|\\n)All rights reserved[.](\\n|$)'")
+    alone = {r["doc_id"] for r in docs.collect()}
+    told = {r["doc_id"]: r["license"] for r in QUERIES["op3_license_scan"](spark, "/root/testdata/sf0.01").collect() if r["origin"] == "own"}
+    assert len(alone) >= 7 and all(told[i] is not None for i in alone)
+
+
+def test_any_word():
+    words = {"a", "an", "and", "any", "b2", "the"}
+    found = re.compile(license_scan.any_word(words))
+    assert [m for m in found.findall("an and anyone any2 a b2 the2 the, b 2a")] == ["an", "and", "a", "b2", "the"]
+    assert not re.search(license_scan.any_word(set()), "a b")
+
+
 def test_portions_and_recent():
     from almanac.llm.cache import Recent, portions
 
