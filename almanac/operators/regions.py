@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions.geo import EARTH_KM, haversine_km
+from almanac.operators import quadtree
 from almanac.operators.nearest import knn_join, nearest_edge_km
+from almanac.session import join_counted, materialise
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -46,35 +48,31 @@ def inside_rings(x: Column, y: Column, rings: Column) -> Column:
     return total % 2 == 1
 
 
-def point_in_region(
-    points: DataFrame,
-    boundaries: DataFrame,
-    key: str,
-    region: str,
-    lon: str = "lon",
-    lat: str = "lat",
-    cell_deg: float = 1.0,
-    salts: int = 8,
-) -> DataFrame:
+def _spots(points: DataFrame, lon: str, lat: str) -> DataFrame:
+    """Distinct places of the points, numbered and written: a crowded spot is one place."""
+    x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
+    there = points.where(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    return materialise(there.select(x.alias("x"), y.alias("y")).distinct().withColumn("id", F.monotonically_increasing_id()), "spots")
+
+
+def _back(points: DataFrame, key: str, lon: str, lat: str, found: DataFrame) -> DataFrame:
+    """The rows of the points with what was found for their place."""
+    rows = points.select(key, F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"))
+    return join_counted(rows, found, ["x", "y"], "inner").drop("x", "y")
+
+
+def point_in_region(points: DataFrame, boundaries: DataFrame, key: str, region: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """First (smallest) region that holds each point, as (key, region); points outside all are dropped.
 
-    Boxes are laid over a grid and joined on the cell.  A crowded cell's points are
-    spread over ``salts`` tasks, to each of which the few boundaries of the cell are copied.
+    Distinct places meet the boundaries in the leaves of a quadtree (``quadtree.in_boxes``).
     """
-    cell = lambda c: F.floor(c / cell_deg).cast("bigint")
-    laid = (
-        boundaries.withColumn("_ci", F.explode(F.sequence(cell(F.col("min_x")), cell(F.col("max_x")))))
-        .withColumn("_cj", F.explode(F.sequence(cell(F.col("min_y")), cell(F.col("max_y")))))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    asked = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(
-        key, F.col(lon).alias("_x"), F.col(lat).alias("_y"), cell(F.col(lon)).alias("_ci"), cell(F.col(lat)).alias("_cj"),
-        F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt"),
-    )
-    x, y = F.col("_x"), F.col("_y")
-    in_box = x.between(F.col("min_x"), F.col("max_x")) & y.between(F.col("min_y"), F.col("max_y"))
-    hits = asked.join(laid, ["_ci", "_cj", "_salt"]).where(in_box & inside_rings(x, y, F.col("rings")))
-    return hits.groupBy(key).agg(F.min(region).alias(region))
+    x, y = F.col("x"), F.col("y")
+    # a region may come in several rows
+    boxes = materialise(boundaries.withColumn("box", F.monotonically_increasing_id()).withColumn("_region", F.col(region)).select(
+        "box", "_region", "rings", "min_x", "max_x", "min_y", "max_y"
+    ), "boundaries")
+    hits = quadtree.in_boxes(_spots(points, lon, lat), boxes).where(inside_rings(x, y, F.col("rings")))
+    return _back(points, key, lon, lat, hits.groupBy("x", "y").agg(F.min("_region").alias(region)))
 
 
 def ring_edges(boundaries: DataFrame, region: str) -> DataFrame:
@@ -116,24 +114,26 @@ def nearest_feature_km(
     return out.drop(lat, lon)
 
 
-def assign_to_grid(
-    points: DataFrame, centres: DataFrame, key: str, lat: str, lon: str, radius_km: float = 50.0, cell_deg: float = 1.0
-) -> DataFrame:
+def assign_to_grid(points: DataFrame, centres: DataFrame, key: str, lat: str, lon: str, radius_km: float = 50.0) -> DataFrame:
     """First grid centre in (lat, lon) order within the radius of each point; points out of reach are dropped.
 
-    Centres are a regular grid, so a cell holds a fixed number of them however crowded its points are.
+    Distinct places meet the bounds of the circles in the leaves of a quadtree.
     """
     reach = math.degrees(radius_km / EARTH_KM)
-    lon_reach = F.degrees(
-        F.asin(F.least(F.lit(1.0), F.sin(F.lit(radius_km / EARTH_KM)) / F.greatest(F.cos(F.radians(F.col(lat))), F.lit(1e-6))))
-    )
-    cell = lambda c: F.floor(c / cell_deg).cast("bigint")
-    held = centres.select(F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), cell(F.col("lat")).alias("_ci"), cell(F.col("lon")).alias("_cj"))
-    asked = (
-        points.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), lon_reach.alias("_w"))
-        .withColumn("_ci", F.explode(F.sequence(cell(F.col("_lat") - reach), cell(F.col("_lat") + reach))))
-        .withColumn("_cj", F.explode(F.sequence(cell(F.col("_lon") - F.col("_w")), cell(F.col("_lon") + F.col("_w")))))
+    c_lat, c_lon = F.col("c_lat"), F.col("c_lon")
+    # the widest longitude of a circle lies off its centre's parallel; a circle over a pole holds all longitudes
+    wide = F.sin(F.lit(radius_km / EARTH_KM)) / F.greatest(F.cos(F.radians(c_lat)), F.lit(1e-9))
+    width = F.when((F.abs(c_lat) + reach >= 90.0) | (wide >= 1.0), F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(wide, F.lit(1.0)))) + 1e-9)
+    boxes = centres.select(F.col("lat").cast("double").alias("c_lat"), F.col("lon").cast("double").alias("c_lon")).distinct()
+    boxes = boxes.select(
+        "c_lat", "c_lon", (c_lon - width).alias("min_x"), (c_lon + width).alias("max_x"),
+        (c_lat - reach - 1e-9).alias("min_y"), (c_lat + reach + 1e-9).alias("max_y"),
     )
-    d = haversine_km(F.col("c_lat"), F.col("c_lon"), F.col("_lat"), F.col("_lon"))
-    first = F.min(F.struct("c_lat", "c_lon")).alias("c")
-    return asked.join(held, ["_ci", "_cj"]).where(d <= radius_km).groupBy(key).agg(first).select(key, "c.*")
+    # a circle over the date line is laid on both sides of it
+    turned = F.explode(F.filter(F.array(*map(F.lit, (0.0, 360.0, -360.0))), lambda t: (t == 0) | ((t > 0) & (F.col("min_x") < -180)) | ((t < 0) & (F.col("max_x") > 180))))
+    boxes = boxes.withColumn("_t", turned).withColumn("min_x", F.col("min_x") + F.col("_t")).withColumn("max_x", F.col("max_x") + F.col("_t"))
+    boxes = boxes.drop("_t").withColumn("box", F.monotonically_increasing_id())
+    near = quadtree.in_boxes(_spots(points, lon, lat), materialise(boxes, "circles"))
+    near = near.where(haversine_km(c_lat, c_lon, F.col("y"), F.col("x")) <= radius_km)
+    first = near.groupBy("x", "y").agg(F.min(F.struct("c_lat", "c_lon")).alias("c"))
+    return _back(points, key, lon, lat, first).select(key, "c.*")

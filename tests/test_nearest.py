@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import nearest, regions
+from almanac.operators import nearest, quadtree, regions
 from test_matching import hav
 
 
@@ -82,3 +82,62 @@ def test_grid_assignment_takes_first_centre(spark):
     p = spark.createDataFrame([(1, 40.2, -74.7), (2, 50.0, 0.0)], "id long, lat double, lon double")
     got = regions.assign_to_grid(p, centres, "id", "lat", "lon", 60.0).collect()
     assert [(r.id, r.c_lat, r.c_lon) for r in got] == [(1, 40.0, -75.0)]
+
+
+def test_grid_assignment_around_the_date_line_and_poles(spark):
+    rnd = random.Random(8)
+    centres = [(rnd.choice([-89.9, -60.0, 0.0, 89.7, 45.5]), rnd.uniform(-180, 180)) for _ in range(30)] + [(10.0, 179.9), (10.0, -179.9), (89.95, 3.0)]
+    pts = [(i, rnd.choice([rnd.uniform(-90, 90), 89.9, 10.1]), rnd.choice([rnd.uniform(-180, 180), 179.95, -179.95])) for i in range(150)]
+    pts += [(900 + i, 10.0, 180.0) for i in range(20)] + [(950, None, 1.0), (951, float("nan"), 1.0)]
+    frame = spark.createDataFrame(pts, "id long, lat double, lon double")
+    got = {r.id: (r.c_lat, r.c_lon) for r in regions.assign_to_grid(frame, spark.createDataFrame(centres, "lat double, lon double"), "id", "lat", "lon", 80.0).collect()}
+    want = {}
+    for i, la, lo in pts[:-2]:
+        near = [c for c in centres if hav((la, lo), c) <= 80.0]
+        if near:
+            want[i] = min(near)
+    assert got == want and len(want) > 20
+
+
+def crowded(n, seed=5):
+    """Nine points of ten in one small cell, the rest far and wide; copies too."""
+    rnd = random.Random(seed)
+    close = [(7.0 + rnd.random() * 0.01, 50.0 + rnd.random() * 0.01) for _ in range(int(n * 0.9))]
+    wide = [(rnd.uniform(-20, 40), rnd.uniform(30, 70)) for _ in range(n - len(close))]
+    return close + wide
+
+
+def test_leaves_stay_small_in_a_crowd(spark):
+    spots = crowded(6_000)
+    places = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)], "id long, x double, y double")
+    rnd = random.Random(1)
+    rows = [(0, -180.0, 180.0, -90.0, 90.0), (1, 6.9, 7.1, 49.9, 50.1)]
+    rows += [(2 + i, x, x + w, y, y + w) for i, (x, y, w) in enumerate((rnd.uniform(6.9, 7.02), rnd.uniform(49.9, 50.02), rnd.random() * 0.02) for _ in range(200))]
+    boxes = spark.createDataFrame(rows, "box long, min_x double, max_x double, min_y double, max_y double")
+    held = 0
+    for part, laid in quadtree.leaves(places, boxes, 100, 20):
+        sizes = [r["count"] for r in part.groupBy("i", "j").count().collect()]
+        assert max(sizes, default=0) <= 100
+        held += sum(sizes)
+        cells = {(r.i, r.j) for r in part.collect()}
+        assert {(r.i, r.j) for r in laid.collect()} <= cells  # boxes are copied to cells with places only
+    assert held == len(spots)
+    got = sorted((r.id, r.box) for r in quadtree.in_boxes(places, boxes.withColumn("name", boxes.box), 100, 20).collect())
+    want = sorted((i, b[0]) for i, (x, y) in enumerate(spots) for b in rows if b[1] <= x <= b[2] and b[3] <= y <= b[4])
+    assert got == want
+
+
+def test_regions_of_a_crowd(spark):
+    """Nine points of ten in one cell and a third of them on one spot: each region as the plain loop finds it."""
+    spots = crowded(1_500) + [(7.004, 50.004)] * 700
+    shapes = [(i, [square(7.0 + (i % 4) * 0.003, 50.0 + (i // 4) * 0.003, 0.0035)]) for i in range(16)] + [(99, [square(-20.0, 30.0, 35.0)])]
+    bounds = regions.boundary_table(spark.createDataFrame(shapes, f"region long, rings {regions.RINGS}"), None, "region", "rings")
+    p = spark.createDataFrame([(i, y, x) for i, (x, y) in enumerate(spots)], "id long, lat double, lon double")
+    want = {}
+    for i, (x, y) in enumerate(spots):
+        held = [s for s, rings in shapes if rings[0][0][0] < x < rings[0][2][0] and rings[0][0][1] < y < rings[0][2][1]]
+        if held:
+            want[i] = min(held)
+    assert {r.id: r.region for r in regions.point_in_region(p, bounds, "id", "region").collect()} == want
+    assert regions.point_in_region(p.where("false"), bounds, "id", "region").count() == 0
+    assert regions.point_in_region(p, bounds.where("false"), "id", "region").count() == 0
