@@ -1,9 +1,9 @@
 """Exact nearest-neighbour joins that stay balanced on crowded places.
 
-Targets are cut into blocks of at most a few thousand distinct locations along a
-space-filling curve; only the small block table (bounding boxes and counts) is on
-the driver.  A query looks at the block table to get an upper bound of its answer
-and visits just the blocks whose box reaches into that bound.  A visit compares one
+Queries and targets are laid along a space-filling curve in range partitions (slabs), and targets are cut there into
+blocks of at most a few thousand distinct locations.  A query's distance to the targets beside it on the curve bounds
+its answer.  Only the boxes of the slabs, as many as the root of the number of blocks, are on the driver: they say which
+slabs reach into the bound, and a join with the frame of block boxes says which of their blocks do.  A visit compares one
 block with one block of queries, so no task ever holds an unbounded group, no cell
 emits all its pairs, and copies of one location are a single target.
 """
@@ -15,15 +15,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.geo import chord, haversine_km, unit_xyz
 from almanac.session import join_counted, materialise
 
-BLOCK = 2_000
+BLOCK, LEAST_BLOCK = 2_000, 32
 QUERY_BLOCK = 20_000
-MAX_BLOCKS = 20_000
+SLAB_ROWS = 4_000_000  # of both sides
 
 
 def _spread(v: Column, dims: int) -> Column:
@@ -49,31 +50,73 @@ def curve_key(coords: Sequence[Column], lo: float, hi: float) -> Column:
     return key
 
 
-def _range_blocks(df: DataFrame, key: str, size: int, out: str) -> tuple[DataFrame, int]:
-    """Number the rows' blocks, and say how many there are: about ``size`` rows each along ``key``; crowded keys split by hash."""
-    n = df.count()
-    parts = min(MAX_BLOCKS, math.ceil(n / size))
-    if parts <= 1:
-        return df.withColumn(out, F.lit(0).cast("bigint")), parts
-    size = max(size, math.ceil(n / parts))
-    at = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(df.agg(F.percentile_approx(key, at, 8 * parts)).first()[0]))
-    # Literal bounds make the numbering a pure function of the row, whatever is recomputed later.
-    edges = np.array(bounds, dtype=np.int64)
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[out] = np.searchsorted(edges, b[key].to_numpy(), side="left").astype(np.int64)
-            yield b
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    ranged = df.mapInPandas(number, f"{schema}, `{out}` bigint")
-    crowded = ranged.groupBy(out).count().where(F.col("count") > 2 * size).collect()  # at most one row per block
-    split = F.lit(0)
-    if crowded:
-        pairs = [F.lit(x) for r in crowded for x in (r[out], math.ceil(r["count"] / size))]
-        split = F.pmod(F.xxhash64("id"), F.coalesce(F.create_map(*pairs)[F.col(out)], F.lit(1)))
-    return ranged.withColumn(out, F.col(out) * 1_000_000 + split), parts
+def block_rows(n: int) -> int:
+    """Targets of a block: two thousand, fewer where that would make a few blocks only."""
+    return min(BLOCK, max(LEAST_BLOCK, math.ceil(n / 64)))
+
+
+def _laid(
+    queries: DataFrame, targets: DataFrame, coords: Sequence[str], tails: Sequence[str], k: int, lo: float, hi: float, rule: str | None,
+    block: int | None,
+) -> DataFrame:
+    """Both sides in order along the curve, written: coarse slab, block, and of queries a bound of their answer.
+
+    A slab is a range partition, a block the next so many rows of one side in it.  The bound is the ``k``-th smallest
+    distance to the targets that stand beside the query on the curve; infinity where there are too few.
+    """
+    c = [F.col(x) for x in coords]
+    n_targets, n_queries = targets.count(), queries.count()
+    size, most_queries = block or block_rows(n_targets), QUERY_BLOCK
+    slabs = max(1, math.isqrt(math.ceil(n_targets / size)), math.ceil((n_targets + n_queries) / SLAB_ROWS))
+    attr = ["attr"] if rule else []
+    none = lambda df, column: F.lit(None).cast(df.schema[column].dataType)
+    t = targets.select(
+        F.lit(False).alias("_q"), F.col("id").alias("_t"), none(queries, "id").alias("_i"), *coords, *tails, *attr, curve_key(c, lo, hi).alias("_key")
+    )
+    q = queries.select(
+        F.lit(True).alias("_q"), none(targets, "id").alias("_t"), F.col("id").alias("_i"), *coords,
+        *[F.lit(None).cast("double").alias(x) for x in tails], *attr, curve_key(c, lo, hi).alias("_key"),
+    )
+    order = ["_key", "_q", "_t", "_i"]
+    both = t.unionByName(q).repartitionByRange(slabs, *order).sortWithinPartitions(*order)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        seen_t = seen_q = 0
+        beside = np.empty((0, len(coords)))  # the last k targets before this batch, and their attributes
+        beside_attr = np.empty(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            is_query = batch.column("_q").to_numpy(zero_copy_only=False)
+            x = np.stack([batch.column(v).to_numpy(zero_copy_only=False) for v in coords], axis=1).astype(float)
+            a = batch.column("attr").to_numpy(zero_copy_only=False) if rule else np.zeros(len(x))
+            there = np.concatenate([beside, x[~is_query]])
+            there_attr = np.concatenate([beside_attr, a[~is_query]])
+            before = np.cumsum(~is_query)[is_query] + len(beside)
+            bound = np.full(len(x), np.inf)
+            at = before[:, None] + np.arange(-k, k)[None, :]
+            inside = (at >= 0) & (at < len(there))
+            at = np.where(inside, at, 0)
+            if len(there) and at.size:
+                d2 = ((there[at] - x[is_query][:, None, :]) ** 2).sum(axis=2)
+                mine = a[is_query][:, None]
+                if rule:
+                    inside &= (there_attr[at] != mine) if rule == "other" else (there_attr[at] > mine)
+                bound[is_query] = np.partition(np.where(inside, d2, np.inf), k - 1, axis=1)[:, k - 1]
+            number_t, number_q = seen_t + np.cumsum(~is_query) - 1, seen_q + np.cumsum(is_query) - 1
+            slot = np.where(is_query, number_q // most_queries, number_t // size)
+            seen_t, seen_q = seen_t + int((~is_query).sum()), seen_q + int(is_query.sum())
+            beside, beside_attr = there[-k:], there_attr[-k:]
+            kept = [batch.column(n) for n in names]
+            more = [pa.array(np.full(len(x), first, np.int64)), pa.array(first + slot.astype(np.int64)), pa.array(bound)]
+            yield pa.RecordBatch.from_arrays([*kept, *more], [*names, "_slab", "_block", "_bound"])
+
+    names = [n for n in both.columns if n != "_key"]
+    schema = ", ".join(f"`{n}` {both.schema[n].dataType.simpleString()}" for n in names)
+    return materialise(both.mapInArrow(number, f"{schema}, _slab bigint, _block bigint, _bound double"), "laid")
 
 
 def _block_search(coords: Sequence[str], k: int, max_dist: float, rule: str | None, segments: bool):
@@ -133,7 +176,7 @@ def nearest(
     max_dist: float = math.inf,
     rule: str | None = None,
     segments: bool = False,
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest targets of each query: (id, other, d2, rank), ties by target id.
 
@@ -143,79 +186,83 @@ def nearest(
     With ``segments`` a target is the straight line from its coordinates to those
     in the columns of the same name with a 2.
     """
-    cols = ["id", *coords] + (["attr"] if rule else [])
     tails = [f"{x}2" for x in coords] if segments else []
-    c = [F.col(x) for x in coords]
-    t, t_blocks = _range_blocks(targets.select(*cols, *tails, curve_key(c, lo, hi).alias("_key")), "_key", block, "_tb")
-    q, q_blocks = _range_blocks(queries.select(*cols, curve_key(c, lo, hi).alias("_key")), "_key", QUERY_BLOCK, "_qb")
-    t, q = t.drop("_key"), q.drop("_key")
-    best = _block_search(coords, k, max_dist, rule, segments)
-    if t_blocks <= 1 and q_blocks <= 1:
-        # One block on each side: nothing to route.
-        return _top(q.groupBy("_qb").cogroup(t.groupBy("_tb")), best, queries, targets, k)
-    stats = []
+    laid = _laid(queries, targets, coords, tails, k, lo, hi, rule, block)
+    t = laid.where("NOT _q").select(F.col("_t").alias("id"), *coords, *tails, *(["attr"] if rule else []), "_slab", F.col("_block").alias("_tb"))
+    q = laid.where("_q").select(F.col("_i").alias("id"), *coords, *(["attr"] if rule else []), F.col("_block").alias("_qb"), "_bound")
+    least, most = [], []
     for x in coords:
         less, more = (F.least(x, f"{x}2"), F.greatest(x, f"{x}2")) if segments else (F.col(x), F.col(x))
-        stats += [F.min(less).alias(f"lo_{x}"), F.max(more).alias(f"hi_{x}")]
+        least.append(F.min(less).alias(f"lo_{x}"))
+        most.append(F.max(more).alias(f"hi_{x}"))
     if rule:
-        stats += [F.min("attr").alias("lo_attr"), F.max("attr").alias("hi_attr")]
-    table = t.groupBy("_tb").agg(F.count("*").alias("n"), *stats).toPandas()  # bounded: one row per block
+        least.append(F.min("attr").alias("lo_attr"))
+        most.append(F.max("attr").alias("hi_attr"))
+    boxes = materialise(t.groupBy("_slab", "_tb").agg(F.count("*").alias("n"), *least, *most), "boxes")
+    up = [F.min(c).alias(c) for c in boxes.columns if c.startswith("lo_")] + [F.max(c).alias(c) for c in boxes.columns if c.startswith("hi_")]
+    slabs = boxes.groupBy("_slab").agg(F.sum("n").alias("n"), *up).toPandas()  # the root of the number of blocks
     id_type = queries.schema["id"].dataType.simpleString()
     other_type = targets.schema["id"].dataType.simpleString()
-    if table.empty:
+    if slabs.empty:
         return queries.sparkSession.createDataFrame([], f"id {id_type}, other {other_type}, d2 double, rank int")
-    low = np.stack([table[f"lo_{x}"].to_numpy(float) for x in coords])
-    high = np.stack([table[f"hi_{x}"].to_numpy(float) for x in coords])
-    sizes, names = table["n"].to_numpy(), table["_tb"].to_numpy()
-    attr_lo, attr_hi = (table["lo_attr"].to_numpy(), table["hi_attr"].to_numpy()) if rule else (None, None)
     limit2, slack = max_dist * max_dist * (1 + 1e-9), 1 + 1e-12
+    routed = _routed(q, slabs, coords, k, rule, limit2)
+    near2 = F.lit(0.0)
+    for x in coords:
+        near2 = near2 + F.pow(F.greatest(F.col(f"lo_{x}") - F.col(x), F.col(x) - F.col(f"hi_{x}"), F.lit(0.0)), 2)
+    visits = routed.join(boxes, "_slab").where(near2 <= F.least(F.col("_bound") * slack, F.lit(limit2)))
+    if rule:
+        possible = ((F.col("lo_attr") != F.col("attr")) | (F.col("hi_attr") != F.col("attr"))) if rule == "other" else F.col("hi_attr") > F.col("attr")
+        visits = visits.where(possible)
+    visits = materialise(visits.select("id", *coords, *(["attr"] if rule else []), "_qb", "_tb"), "visits")
+    wanted = visits.select(F.col("_tb").alias("_wt"), F.col("_qb").alias("_wq")).distinct()
+    copies = t.drop("_slab").join(wanted, F.col("_tb") == F.col("_wt"))
+    best = _block_search(coords, k, max_dist, rule, segments)
+    return _top(visits.groupBy("_tb", "_qb").cogroup(copies.groupBy("_wt", "_wq")), best, queries, targets, k)
+
 
-    def reach(b: pd.DataFrame) -> np.ndarray:
-        """Which blocks each query has to visit."""
-        near2 = np.zeros((len(b), len(names)))
+def _routed(q: DataFrame, slabs: pd.DataFrame, coords: Sequence[str], k: int, rule: str | None, limit2: float) -> DataFrame:
+    """The queries once per slab they have to look into (``_slab``), with the bound that the slabs' boxes may lower."""
+    low = np.stack([slabs[f"lo_{x}"].to_numpy(float) for x in coords])
+    high = np.stack([slabs[f"hi_{x}"].to_numpy(float) for x in coords])
+    sizes, names = slabs["n"].to_numpy(), slabs["_slab"].to_numpy()
+    attr_lo, attr_hi = (slabs["lo_attr"].to_numpy(), slabs["hi_attr"].to_numpy()) if rule else (None, None)
+    step = max(1, 2_000_000 // len(names))
+
+    def reach(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        near2 = np.zeros((b.num_rows, len(names)))
         far2 = np.zeros_like(near2)
         for d, x in enumerate(coords):
-            v = b[x].to_numpy(float)[:, None]
+            v = b.column(x).to_numpy(zero_copy_only=False)[:, None]
             near2 += np.maximum(np.maximum(low[d] - v, v - high[d]), 0) ** 2
             far2 += np.maximum(np.abs(v - low[d]), np.abs(high[d] - v)) ** 2
         possible = np.ones_like(near2, dtype=bool)
         if rule:
-            a = b["attr"].to_numpy()[:, None]
+            a = b.column("attr").to_numpy(zero_copy_only=False)[:, None]
             if rule == "other":
                 possible = (attr_lo != a) | (attr_hi != a)
                 certain = (a < attr_lo) | (a > attr_hi)
             else:
                 possible, certain = attr_hi > a, attr_lo > a
             far2 = np.where(certain, far2, np.inf)
-        if k == 1:
-            bound = far2.min(axis=1)
-        else:
-            order = np.argsort(far2, axis=1)
-            enough = np.cumsum(sizes[order], axis=1) >= k
-            first = enough.argmax(axis=1)
-            sorted_far = np.take_along_axis(far2, order, axis=1)
-            bound = np.where(enough.any(axis=1), sorted_far[np.arange(len(b)), first], np.inf)
-        return possible & (near2 <= np.minimum(bound * slack, limit2)[:, None])
-
-    step = max(1, 2_000_000 // len(names))
+        order = np.argsort(far2, axis=1)
+        enough = np.cumsum(sizes[order], axis=1) >= k
+        far = np.take_along_axis(far2, order, axis=1)[np.arange(b.num_rows), enough.argmax(axis=1)]
+        bound = np.minimum(b.column("_bound").to_numpy(zero_copy_only=False), np.where(enough.any(axis=1), far, np.inf))
+        return possible & (near2 <= np.minimum(bound * (1 + 1e-12), limit2)[:, None]), bound
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), step):
-                b = batch.iloc[at : at + step].reset_index(drop=True)
-                i, j = np.nonzero(reach(b))
-                out = b.iloc[i].reset_index(drop=True)
-                out["_tb"] = names[j]
-                yield out
-
-    attr_type = f", attr {queries.schema['attr'].dataType.simpleString()}" if rule else ""
-    xyz = ", ".join(f"`{x}` double" for x in coords)
-    visits = q.mapInPandas(visit, f"id {id_type}, {xyz}{attr_type}, _qb bigint, _tb bigint")
-    visits = materialise(visits, "visits")
-    wanted = visits.select(F.col("_tb").alias("_wt"), F.col("_qb").alias("_wq")).distinct()
-    copies = t.join(wanted, F.col("_tb") == F.col("_wt"))
-
-    return _top(visits.groupBy("_tb", "_qb").cogroup(copies.groupBy("_wt", "_wq")), best, queries, targets, k)
+            for at in range(0, batch.num_rows, step):
+                b = batch.slice(at, step)
+                looks, bound = reach(b)
+                i, j = np.nonzero(looks)
+                rows = b.take(pa.array(i))
+                columns = [pa.array(bound[i]) if c == "_bound" else rows.column(c) for c in b.schema.names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(names[j])], [*b.schema.names, "_slab"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields)
+    return q.mapInArrow(route, f"{schema}, _slab bigint")
 
 
 def locations(df: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
