@@ -52,7 +52,7 @@ def curve_key(coords: Sequence[Column], lo: float, hi: float) -> Column:
 
 def block_rows(n: int) -> int:
     """Targets of a block: two thousand, fewer where that would make a few blocks only."""
-    return min(BLOCK, max(LEAST_BLOCK, math.ceil(n / 64)))
+    return min(BLOCK, max(LEAST_BLOCK, math.ceil(n / 16)))
 
 
 def _laid(
@@ -65,7 +65,8 @@ def _laid(
     distance to the targets that stand beside the query on the curve; infinity where there are too few.
     """
     c = [F.col(x) for x in coords]
-    n_targets, n_queries = targets.count(), queries.count()
+    sizes = targets.select(F.lit(0).alias("_q")).unionByName(queries.select(F.lit(1).alias("_q"))).groupBy("_q").count().collect()
+    n_targets, n_queries = (next((r["count"] for r in sizes if r["_q"] == side), 0) for side in (0, 1))
     size, most_queries = block or block_rows(n_targets), QUERY_BLOCK
     slabs = max(1, math.isqrt(math.ceil(n_targets / size)), math.ceil((n_targets + n_queries) / SLAB_ROWS))
     attr = ["attr"] if rule else []
@@ -198,7 +199,7 @@ def nearest(
     if rule:
         least.append(F.min("attr").alias("lo_attr"))
         most.append(F.max("attr").alias("hi_attr"))
-    boxes = materialise(t.groupBy("_slab", "_tb").agg(F.count("*").alias("n"), *least, *most), "boxes")
+    boxes = t.groupBy("_slab", "_tb").agg(F.count("*").alias("n"), *least, *most)  # a scan of the written table, read twice
     up = [F.min(c).alias(c) for c in boxes.columns if c.startswith("lo_")] + [F.max(c).alias(c) for c in boxes.columns if c.startswith("hi_")]
     slabs = boxes.groupBy("_slab").agg(F.sum("n").alias("n"), *up).toPandas()  # the root of the number of blocks
     id_type = queries.schema["id"].dataType.simpleString()
