@@ -295,6 +295,24 @@ class _Scored:
         return [scores[number[i:j]].sum(axis=0) if j > i else None for i, j in spans]
 
 
+def _told(scored: _Scored, texts: pa.Array) -> pa.StructArray:
+    """lang_pred and score of texts: ``und`` and 0 without a letter."""
+    languages = scored.model.languages
+    labels, values = [], []
+    for part in portions(texts, PORTION):
+        for total in scored.totals(part) if languages else [None] * len(part):
+            if total is None:
+                labels.append("und")
+                values.append(0.0)
+                continue
+            total += scored.model.priors
+            odds = np.exp(total - total.max())
+            best = int(odds.argmax())
+            labels.append(languages[best])
+            values.append(float(odds[best] / odds.sum()))
+    return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(values, pa.float64())], ["lang_pred", "score"])
+
+
 def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
     """The columns with lang_pred and score (posterior) of every whole text; ``und`` and 0 without a letter."""
 
@@ -303,22 +321,8 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = held(("language", token), lambda: _Scored(model))
         for b in batches:
-            labels, values = [], []
-            for texts in portions(b.column("_text"), PORTION):
-                for total in scored.totals(texts) if model.languages else [None] * len(texts):
-                    if total is None:
-                        labels.append("und")
-                        values.append(0.0)
-                        continue
-                    total += model.priors
-                    odds = np.exp(total - total.max())
-                    best = int(odds.argmax())
-                    labels.append(model.languages[best])
-                    values.append(float(odds[best] / odds.sum()))
             kept = [b.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(labels, pa.string()), pa.array(values, pa.float64())], names=[*columns, "lang_pred", "score"]
-            )
+            yield pa.RecordBatch.from_arrays([*kept, *_told(scored, b.column("_text")).flatten()], names=[*columns, "lang_pred", "score"])
         release()
 
     small_batches(docs)
@@ -326,6 +330,19 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text
     return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
+def told(model: Model, text: Column) -> Column:
+    """(lang_pred, score) of a text as a column: only the text goes to Python, the row stays where it is."""
+    token = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scored = held(("language", token), lambda: _Scored(model))
+        for texts in batches:
+            yield _told(scored, texts)
+        release()
+
+    return F.arrow_udf(run, "lang_pred string, score double")(text)
+
+
 def identify(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, learned from the labelled ones among them.
 
@@ -340,6 +357,6 @@ def identify(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS) ->
 def keep_identified(docs: DataFrame, vocabulary_path: str, min_score: float = 0.5) -> DataFrame:
     """The rows whose text has a language with at least ``min_score``, columns as they are."""
     model = learn(docs, vocabulary_path)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("body"))
-    found = predict(packed, model, ["doc"], "body")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("doc.*")
+    small_batches(docs)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), told(model, F.col("text")).alias("told"))
+    return packed.where((F.col("told.lang_pred") != "und") & (F.col("told.score") >= min_score)).select("doc.*")

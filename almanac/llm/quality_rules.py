@@ -291,8 +291,11 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns as they are."""
-    rules = learn_from_labels(materialise(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics"), labels)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("body"))
-    judged = with_statistics(packed, "body")
-    return judged.where(~base_failed() & (rules.number() == 0)).select("doc.*")
+    """The rows of ``docs`` that are kept, with their columns as they are.
+
+    The documents are written once with their counts, which the list is learned on and applied to.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", F.col("text").alias("body"))
+    counted = materialise(with_statistics(packed, "body").drop("body"), "counted")
+    rules = learn_from_labels(counted.drop("doc"), labels)
+    return counted.where(~base_failed() & (rules.number() == 0)).select("doc.*")
