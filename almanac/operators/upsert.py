@@ -48,9 +48,18 @@ def skipped_count(target: DataFrame, source: DataFrame, keys: Sequence[str], ord
     return source.agg((F.count("*") - kept).alias("skipped"))
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Source rows replace target rows of the same key; among source rows the last one wins."""
+def upsert(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[Column | str], stamp: str | None = None, at: Column | None = None
+) -> DataFrame:
+    """Source rows replace target rows of the same key; among source rows the last one wins.
+
+    With ``stamp`` that column tells when a row was last written: ``at`` (the time of the run if not given) for rows from
+    the source, what the target has for all others (null if it has no such column).
+    """
     latest = last_per_key(source, keys, order)
+    if stamp is not None:
+        target = target if stamp in target.columns else target.withColumn(stamp, F.lit(None).cast("timestamp"))
+        latest = latest.withColumn(stamp, (F.current_timestamp() if at is None else at).cast(target.schema[stamp].dataType))
     return target.join(latest.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(
         latest.select(*target.columns)
     )

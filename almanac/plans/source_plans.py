@@ -178,17 +178,18 @@ def s10_skipped(spark, sf):
 
 @query(
     "s11_upsert",
-    """SELECT c_custkey AS key, coalesce('order ' || o, c_name) AS name, o IS NOT NULL AS updated FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0)
+    """SELECT c_custkey AS key, coalesce('order ' || o, c_name) AS name, o IS NOT NULL AS updated,
+    CAST(CASE WHEN o IS NULL THEN '2020-01-01' ELSE '2024-05-06' END AS TIMESTAMP) AS changed_at FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0)
     FULL JOIN (SELECT o_custkey, max(o_orderkey) AS o FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey IS NOT NULL
-    UNION ALL SELECT o_custkey, 'order ' || max(o_orderkey), true FROM orders WHERE o_custkey % 2 = 1 GROUP BY o_custkey""",
+    UNION ALL SELECT o_custkey, 'order ' || max(o_orderkey), true, TIMESTAMP '2024-05-06' FROM orders WHERE o_custkey % 2 = 1 GROUP BY o_custkey""",
 )
 def s11(spark, sf):
     target = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
-    target = target.withColumn("updated", F.lit(False))
+    target = target.withColumn("updated", F.lit(False)).withColumn("changed_at", F.lit("2020-01-01").cast("timestamp"))
     source = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("key"), F.concat(F.lit("order "), "o_orderkey").alias("name"), F.lit(True).alias("updated"), "o_orderkey"
     )
-    return upsert.upsert(target, source, ["key"], ["o_orderkey"])
+    return upsert.upsert(target, source, ["key"], ["o_orderkey"], "changed_at", F.lit("2024-05-06"))
 
 
 @query(
@@ -298,10 +299,11 @@ def s17(spark, sf):
 # ---- R ---------------------------------------------------------------------
 
 
-def arrived(spark, df, parts: int) -> str:
-    """The rows as several files, as a crawler would drop them."""
+def arrived(spark, *drops, parts: int = 2) -> str:
+    """The rows as several files, as a crawler would drop them one after the other."""
     path = scratch_path(spark, "arrivals")
-    df.repartition(parts).write.parquet(path)
+    for df in drops:
+        df.repartition(parts).write.mode("append").parquet(path)
     return path
 
 
@@ -309,32 +311,37 @@ def arrived(spark, df, parts: int) -> str:
 def r01(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     again = docs.where("doc_id % 7 = 0")  # pages that arrive twice
-    path = arrived(spark, docs.unionByName(again), 3)
     target, checkpoint = incremental.new_table(spark, "chunks", "doc_id bigint, chunk_index int, chunk_text string", ["doc_id", "chunk_index"])
-    stream = incremental.file_stream(spark, path, "doc_id bigint, text string")
-    return incremental.ingest_chunks(stream, "doc_id", "text", target, checkpoint)
+    seen = incremental.new_buckets(spark, "chunked", "doc_id bigint, epoch int", ["doc_id"])
+    stream = incremental.file_stream(spark, arrived(spark, docs, again), "doc_id bigint, text string")
+    return incremental.ingest_chunks(stream, "doc_id", "text", target, seen, checkpoint)
 
 
 @query("r02_seen_once", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id")
 def r02(spark, sf):
     e = table(spark, sf, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), "user_id")
-    target, checkpoint = incremental.new_table(spark, "seen", "key string, user_id bigint", ["key"])
-    stream = incremental.file_stream(spark, arrived(spark, e, 3), "key string, user_id bigint")
-    return incremental.seen_once(stream, "key", target, checkpoint).groupBy("user_id").agg(F.count("*").alias("n"))
+    target, checkpoint = incremental.new_table(spark, "first", "key string, user_id bigint", ["key"])
+    seen = incremental.new_buckets(spark, "seen", "key string, epoch int", ["key"])
+    stream = incremental.file_stream(spark, arrived(spark, e, parts=3), "key string, user_id bigint")
+    return incremental.seen_once(stream, "key", target, seen, checkpoint).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("r03_rolling_site_totals", f"WITH {SPANS_SQL} {ROLLUP_SQL}")
 def r03(spark, sf):
-    docs = table(spark, sf, "documents").select("source", "text")
-    target, checkpoint = incremental.new_table(
-        spark, "totals", "source string, pages_with_hits bigint, total_pages bigint, spans bigint", ["source"]
-    )
-    stream = incremental.file_stream(spark, arrived(spark, docs, 3), "source string, text string")
-    return incremental.rolling_site_totals(stream, "source", "text", LEXICON, target, checkpoint)
+    """Every fifth page was there before with another text, every third of these on another site."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text", F.lit(2).alias("version"))
+    old = docs.where("doc_id % 5 = 0").withColumn("text", F.concat("text", F.lit(" "), F.reverse("text"))).withColumn("version", F.lit(1))
+    old = old.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "elsewhere").otherwise(F.col("source")))
+    counts = "pages_with_hits bigint, total_pages bigint, spans bigint"
+    parts = incremental.new_buckets(spark, "parts", f"doc_id bigint, source string, version int, {counts}", ["doc_id"])
+    totals = incremental.new_buckets(spark, "totals", f"source string, {counts}", ["source"], 8)
+    checkpoint = scratch_path(spark, "totals-checkpoint")
+    stream = incremental.file_stream(spark, arrived(spark, old, docs), "doc_id bigint, source string, text string, version int")
+    return incremental.rolling_site_totals(stream, "doc_id", "source", "text", "version", LEXICON, parts, totals, checkpoint)
 
 
 def flaky_scorer(epoch: int, body: str) -> str:
-    """Refuses short texts in the first round only."""
+    """Refuses short texts in the first epoch only."""
     if epoch == 0 and len(body) < 500:
         raise TimeoutError("busy")
     return "long" if len(body) > 1000 else "short"
@@ -346,5 +353,8 @@ def flaky_scorer(epoch: int, body: str) -> str:
 )
 def r04(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    target, _ = incremental.new_table(spark, "judged", "doc_id bigint, label string, error string", ["doc_id"])
-    return incremental.judge_pending(docs, "doc_id", "text", flaky_scorer, target, rounds=3)
+    judged = incremental.new_buckets(spark, "judged", "doc_id bigint, label string, error string, attempts int, judged_at int", ["doc_id"])
+    pending, checkpoint = incremental.new_table(spark, "pending", "doc_id bigint, text string, attempts int", ["doc_id"])
+    stream = incremental.file_stream(spark, arrived(spark, docs, parts=3), "doc_id bigint, text string")
+    done = incremental.judge_stream(stream, "doc_id", "text", flaky_scorer, judged, pending, checkpoint)
+    return done.select("doc_id", "label", "error")

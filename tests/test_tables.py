@@ -48,9 +48,10 @@ def test_incremental_equals_batch_over_two_runs(spark):
     docs = spark.createDataFrame([(i, f"word {i} " * (40 + i)) for i in range(12)], "id long, body string")
     inbox = scratch_path(spark, "inbox")
     table, checkpoint = incremental.new_table(spark, "chunks", "id long, chunk_index int, chunk_text string", ["id", "chunk_index"])
+    seen = incremental.new_buckets(spark, "chunked", "id long, epoch int", ["id"])
     for part in (docs.where("id < 6"), docs.where("id >= 4")):  # two pages arrive again
         part.coalesce(1).write.mode("append").parquet(inbox)
-        got = incremental.ingest_chunks(incremental.file_stream(spark, inbox, "id long, body string"), "id", "body", table, checkpoint)
+        got = incremental.ingest_chunks(incremental.file_stream(spark, inbox, "id long, body string"), "id", "body", table, seen, checkpoint)
     want = text.fixed_chunks(docs, "id", "body")
     assert rows(got, "id", "chunk_index", "chunk_text") == rows(want, "id", "chunk_index", "chunk_text")
     assert table.history().count() == want.count()
