@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,11 +13,13 @@ from pyspark.sql.types import ArrayType, StringType
 
 from almanac.functions.stemming import stem
 from almanac.operators.text import has_keyword, lexicon_pattern
+from almanac.session import materialise
 
 WORD_SPLIT = r"(?U)[^\w]+"
 MAX_SIM = 0.25
 MEAN_SIM = 0.30
-MAX_PHRASES = 4096
+PHRASE_BLOCK, ROW_BLOCK = 1_024, 20_000  # phrases and rows whose products are made at a time
+SENT_BYTES = 32_000_000  # phrases of up to so many bytes are sent to every task
 
 # English stop words of the full-text configuration.
 STOP_WORDS = tuple(
@@ -90,56 +93,110 @@ def mean_vector(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame
     return out.withColumn(vector, unit(F.col(vector)))
 
 
-def phrase_matrix(phrases: DataFrame, phrase: str, vector: str) -> tuple[list, np.ndarray]:
-    """The query phrases as a matrix; refuses anything that is not a short list."""
-    rows = phrases.select(phrase, vector).limit(MAX_PHRASES + 1).collect()
-    if len(rows) > MAX_PHRASES:
-        raise ValueError(f"more than {MAX_PHRASES} phrases; score them in several lists")
-    rows.sort(key=lambda r: r[0])
-    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float)
-
-
 def _dense(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in vectors])
 
 
-def best_phrase(df: DataFrame, vector: str, names: Sequence, matrix: np.ndarray) -> DataFrame:
-    """Adds ``score`` (largest cosine over the phrases) and ``phrase``: one matrix product per batch."""
-    keep = [f for f in df.schema.fields if f.name != vector]
-    kind = "bigint" if isinstance(names[0], int) else "string"
+def _phrase_blocks(phrases: DataFrame, phrase: str, vector: str) -> list[tuple[list, np.ndarray]] | None:
+    """The phrases in order of their names, cut into blocks, if together they are small enough to be sent to every task."""
+    rows = phrases.where(F.col(phrase).isNotNull() & F.col(vector).isNotNull()).select(phrase, F.col(vector).cast("array<double>").alias(vector))
+    size = rows.agg(F.sum(F.size(vector) * 8 + F.length(F.col(phrase).cast("string")) + 16)).first()[0] or 0
+    if size > SENT_BYTES:
+        return None
+    found = sorted(rows.collect(), key=lambda r: r[0])  # bounded by the check above
+    parts = [found[at : at + PHRASE_BLOCK] for at in range(0, len(found), PHRASE_BLOCK)]
+    return [([r[0] for r in part], np.array([r[1] for r in part], dtype=float)) for part in parts]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                sims = _dense(b.pop(vector)) @ matrix.T
-                best = sims.argmax(axis=1)
-                b["score"], b["phrase"] = sims[np.arange(len(b)), best], [names[i] for i in best]
-                yield b
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    head = f"{schema}, " if keep else ""
-    return df.mapInPandas(run, f"{head}score double, phrase {kind}")
+def _met(df: DataFrame, carry: Sequence[str], vector: str, phrases: DataFrame, phrase: str, phrase_vector: str, of, schema: str) -> DataFrame:
+    """``of(rows, names, matrix)`` of every block of rows with every block of phrases, both dealt out by hashes.
+
+    A pair of blocks meets in one task of fixed size; a row moves once per block of phrases.
+    """
+    blocks = max(1, math.ceil(phrases.count() / PHRASE_BLOCK))
+    parts = max(1, math.ceil(df.count() / ROW_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    left = df.select(*carry, F.col(vector).alias("_v"), dealt(parts, *carry).alias("_p")).withColumn("_b", every(blocks))
+    right = phrases.select(F.col(phrase).alias("_n"), F.col(phrase_vector).alias("_w")).where("_n IS NOT NULL AND _w IS NOT NULL")
+    right = right.withColumn("_b", dealt(blocks, "_n")).withColumn("_p", every(parts))
 
+    def pair(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(block):
+            return pd.DataFrame({c.split()[0].strip("`"): [] for c in schema.split(", ")})
+        block = block.sort_values("_n")
+        return of(rows, block["_n"].tolist(), _dense(block["_w"]))
 
-def phrase_scores(df: DataFrame, key: str, vector: str, names: Sequence, matrix: np.ndarray, at_least: float) -> DataFrame:
+    return left.groupBy("_p", "_b").cogroup(right.groupBy("_p", "_b")).applyInPandas(pair, schema)
+
+
+def best_phrase(df: DataFrame, vector: str, phrases: DataFrame, phrase: str, phrase_vector: str) -> DataFrame:
+    """Adds ``score`` (largest cosine over all phrases, however many) and ``phrase`` (of equal scores the first by name).
+
+    Phrases that fit are sent to the rows, which then do not move; more meet the rows block by block.  Without phrases
+    there are no rows.
+    """
+    keep = [f for f in df.schema.fields if f.name != vector]
+    kind = phrases.schema[phrase].dataType.simpleString()
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], "score double", f"phrase {kind}"])
+    sent = _phrase_blocks(phrases, phrase, phrase_vector)
+    if sent is not None:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b) and sent:
+                    x = _dense(b.pop(vector))
+                    score, name = np.full(len(b), -np.inf), np.empty(len(b), object)
+                    for names, matrix in sent:
+                        sims = x @ matrix.T
+                        best = sims.argmax(axis=1)
+                        top = sims[np.arange(len(b)), best]
+                        better = top > score
+                        score[better], name[better] = top[better], [names[i] for i in best[better]]
+                    b["score"], b["phrase"] = score, name
+                    yield b
+
+        return df.mapInPandas(run, schema)
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+    def best_of(block: pd.DataFrame, names: list, matrix: np.ndarray) -> pd.DataFrame:
+        sims = _dense(block["_v"]) @ matrix.T
+        best = sims.argmax(axis=1)
+        return pd.DataFrame({"_row": block["_row"], "score": sims[np.arange(len(block)), best], "phrase": [names[i] for i in best]})
+
+    found = _met(rows, ["_row"], vector, phrases, phrase, phrase_vector, best_of, f"_row bigint, score double, phrase {kind}")
+    best = found.groupBy("_row").agg(F.min(F.struct((-F.col("score")).alias("minus"), "phrase")).alias("b"))
+    best = best.select("_row", (-F.col("b.minus")).alias("score"), "b.phrase")
+    return rows.drop(vector).join(best, "_row").drop("_row").select(*[f.name for f in keep], "score", "phrase")
+
+
+def phrase_scores(df: DataFrame, key: str, vector: str, phrases: DataFrame, phrase: str, phrase_vector: str, at_least: float) -> DataFrame:
     """All (key, phrase, score) at or above a threshold; rows are made only for kept scores."""
-    kind = "bigint" if isinstance(names[0], int) else "string"
-    key_kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, phrase {phrases.schema[phrase].dataType.simpleString()}, score double"
+    sent = _phrase_blocks(phrases, phrase, phrase_vector)
+
+    def above(keys: pd.Series, x: np.ndarray, names: list, matrix: np.ndarray) -> pd.DataFrame:
+        sims = x @ matrix.T
+        i, j = np.nonzero(sims >= at_least)
+        return pd.DataFrame({key: keys.to_numpy()[i], "phrase": [names[n] for n in j], "score": sims[i, j]})
+
+    if sent is None:
+        rows = df.select(key, vector)
+        return _met(rows, [key], vector, phrases, phrase, phrase_vector, lambda b, n, m: above(b[key], _dense(b["_v"]), n, m), schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                sims = _dense(b[vector]) @ matrix.T
-                i, j = np.nonzero(sims >= at_least)
-                yield pd.DataFrame({key: b[key].to_numpy()[i], "phrase": [names[x] for x in j], "score": sims[i, j]})
+                x = _dense(b[vector])
+                for names, matrix in sent:
+                    yield above(b[key], x, names, matrix)
 
-    return df.select(key, vector).mapInPandas(run, f"`{key}` {key_kind}, phrase {kind}, score double")
+    return df.select(key, vector).mapInPandas(run, schema)
 
 
-def mean_query_vector(matrix: np.ndarray) -> np.ndarray:
-    """Mean of the phrase vectors, scaled back to length one."""
-    m = matrix.mean(axis=0)
-    return m / np.linalg.norm(m)
+def mean_query_vector(phrases: DataFrame, vector: str) -> np.ndarray:
+    """Mean of the phrase vectors, scaled back to length one: one row, averaged where the phrases are."""
+    return np.array(mean_vector(phrases, vector).first()[0], dtype=float)
 
 
 def query_similarity(vector: Column, query: np.ndarray) -> Column:

@@ -11,6 +11,7 @@ from almanac.plans import tables as t
 from almanac.plans.registry import query
 from almanac.plans.scalar_plans import CANON_SQL, HAV_SQL
 from almanac.plans.tables import table, with_views
+from almanac.session import materialise
 from almanac.presets import DENSE_BOXES
 from almanac.plans.text_plans import CENTROID_SQL, phrases
 
@@ -450,8 +451,8 @@ def j21(spark, sf):
     f"WITH {CENTROID_SQL} SELECT vec_id, CAST(phrase AS BIGINT) AS phrase, round(score, 6) AS score FROM sims WHERE score >= 0.2",
 )
 def j22(spark, sf):
-    names, matrix = phrases(spark, sf)
-    scores = search.phrase_scores(table(spark, sf, "embeddings"), "vec_id", "embedding", names, matrix, 0.2)
+    found = materialise(phrases(spark, sf), "phrases")
+    scores = search.phrase_scores(table(spark, sf, "embeddings"), "vec_id", "embedding", found, "label", "phrase", 0.2)
     return scores.withColumn("score", F.round("score", 6))
 
 

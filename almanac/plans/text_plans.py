@@ -178,22 +178,21 @@ MEAN_QUERY_SQL = CENTROID_SQL + """,
 
 
 def phrases(spark, sf):
-    """Query phrases: the mean vector of each label, as a short list on the driver."""
+    """Query phrases: the mean vector of each label (label, phrase)."""
     centroids = search.mean_vector(table(spark, sf, "embeddings"), "embedding", ["label"])
-    return search.phrase_matrix(centroids, "label", "embedding")
+    return centroids.select(F.col("label").cast("bigint").alias("label"), F.col("embedding").alias("phrase"))
 
 
 @query("t11_max_similarity", f"WITH {CENTROID_SQL} SELECT vec_id, phrase, round(score, 6) AS score FROM best WHERE score >= 0.25")
 def t11(spark, sf):
-    names, matrix = phrases(spark, sf)
-    scored = search.best_phrase(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", names, matrix)
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    scored = search.best_phrase(vectors, "embedding", materialise(phrases(spark, sf), "phrases"), "label", "phrase")
     return scored.where(F.col("score") >= search.MAX_SIM).withColumn("score", F.round("score", 6))
 
 
 @query("t12_mean_query_similarity", f"WITH {MEAN_QUERY_SQL} SELECT vec_id, round(score, 6) AS score FROM qsim WHERE score >= 0.05")
 def t12(spark, sf):
-    _, matrix = phrases(spark, sf)
-    sim = search.query_similarity(F.col("embedding"), search.mean_query_vector(matrix))
+    sim = search.query_similarity(F.col("embedding"), search.mean_query_vector(phrases(spark, sf), "phrase"))
     scored = table(spark, sf, "embeddings").select("vec_id", sim.alias("score")).where(F.col("score") >= 0.05)
     return scored.withColumn("score", F.round("score", 6))
 
@@ -206,8 +205,7 @@ CELLS_SQL = """SELECT count(*) FILTER (a AND NOT b) AS first_only, count(*) FILT
 
 
 def hybrid_flags(spark, sf):
-    _, matrix = phrases(spark, sf)
-    sim = search.query_similarity(F.col("embedding"), search.mean_query_vector(matrix))
+    sim = search.query_similarity(F.col("embedding"), search.mean_query_vector(phrases(spark, sf), "phrase"))
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), sim.alias("score"))
     body = F.col("text")
     return (
@@ -252,13 +250,12 @@ def t15(spark, sf):
     owners = table(spark, sf, "documents").select("doc_id", "source")
     in_list = lambda cond: owners.join(lab.where(cond), "doc_id", "left_semi").select("source")
     overlap = in_list("toxic = 1").intersect(in_list("quality = 1"))
-    names, matrix = phrases(spark, sf)
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     missed = (
         docs.select("doc_id", "source", text.has_keyword(F.col("text"), NARROW_LEXICON).alias("caught"))
         .join(overlap, "source", "left_semi")
         .select("doc_id", "caught")
-        .join(search.best_phrase(vectors, "embedding", names, matrix), "doc_id")
+        .join(search.best_phrase(vectors, "embedding", materialise(phrases(spark, sf), "phrases"), "label", "phrase"), "doc_id")
     )
     top = search.top_missed(missed, "score", "doc_id", F.col("caught"), search.MAX_SIM, 40)
     return top.select("doc_id", "phrase", F.round("score", 6).alias("score"))

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -143,13 +144,44 @@ def test_vectors(spark):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     p = v[:3]
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
-    got = {r.id: (r.phrase, r.score) for r in search.best_phrase(df, "v", ["a", "b", "c"], p).collect()}
+    phrases = spark.createDataFrame([(n, x.tolist()) for n, x in zip("abc", p)], "name string, w array<double>")
+    got = {r.id: (r.phrase, r.score) for r in search.best_phrase(df, "v", phrases, "name", "w").collect()}
     sims = v @ p.T
     for i in range(30):
         assert got[i][0] == "abc"[sims[i].argmax()] and abs(got[i][1] - sims[i].max()) < 1e-12
-    q = search.mean_query_vector(p)
+    q = search.mean_query_vector(phrases, "w")
+    assert np.allclose(q, p.mean(axis=0) / np.linalg.norm(p.mean(axis=0)))
     one = {r.id: r.s for r in df.select("id", search.query_similarity(F.col("v"), q).alias("s")).collect()}
     assert max(abs(one[i] - float(v[i] @ q)) for i in range(30)) < 1e-12
     m = search.mean_vector(df, "v").first()[0]
     want = v.mean(axis=0)
     assert np.allclose(m, want / np.linalg.norm(want))
+
+
+@pytest.mark.parametrize("sent", [search.SENT_BYTES, 0])
+def test_ten_thousand_phrases(spark, monkeypatch, sent):
+    """Phrases that are sent and phrases that meet the rows block by block give the best of all, ties by name."""
+    import numpy as np
+
+    monkeypatch.setattr(search, "SENT_BYTES", sent)
+    monkeypatch.setattr(search, "ROW_BLOCK", 70)
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    v, p = unit(rng.normal(size=(200, 6))), unit(rng.normal(size=(10_000, 6)))
+    p[7_000:7_200] = v  # these score one, and so do their doubles of later names
+    p[9_000:9_200] = v
+    names = [f"n{i:05d}" for i in range(10_000)]
+    df = spark.createDataFrame([(i % 150, x.tolist(), "e") for i, x in enumerate(v)], "id long, v array<double>, extra string")
+    phrases = spark.createDataFrame([(n, x.tolist()) for n, x in zip(names, p)] + [(None, p[0].tolist()), ("none", None)], "name string, w array<double>")
+    got = search.best_phrase(df, "v", phrases.repartition(5), "name", "w")
+    assert got.columns == ["id", "extra", "score", "phrase"]
+    found = sorted((r.id, r.phrase, round(r.score, 9)) for r in got.collect())
+    sims = v @ p.T
+    near = np.abs(sims - sims.max(axis=1, keepdims=True)) < 1e-12
+    assert [f[0] for f in found] == sorted(i % 150 for i in range(200)) and all(f[2] == 1.0 for f in found)
+    assert {f[1] for f in found} <= {names[j] for j in np.flatnonzero(near.any(axis=0))}
+    scores = search.phrase_scores(df.where("id < 3"), "id", "v", phrases, "name", "w", 0.9)
+    want = [(i % 150, names[j]) for i in range(200) if i % 150 < 3 for j in np.flatnonzero(sims[i] >= 0.9)]
+    assert sorted((r.id, r.phrase) for r in scores.collect()) == sorted(want)
+    none = search.best_phrase(df, "v", phrases.where("false"), "name", "w")
+    assert none.count() == 0
