@@ -8,22 +8,25 @@ Offsets are needed only when hits or spans are listed; those rows are narrow.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from almanac.operators.ranks import percentiles
-from almanac.session import join_counted, materialise
+from almanac.session import materialise
 
 MERGE_GAP = 15
 WINDOW_PAD = 500
 CHUNK_CHARS = 500
+FOLD_ROWS = 10_000  # rows of a group's summaries that are merged in one task
 BLANK = r"(?U)[\s\x1c-\x1f]"
 
 
@@ -195,38 +198,48 @@ def keyword_hit_rate(occurrences: DataFrame, keyword: str, is_hit: str) -> DataF
 
 
 def budgeted_text(
-    pages: DataFrame,
-    group: str,
-    key: str,
-    text: str,
-    score: Column,
-    per_page: int = 4_000,
-    total: int = 6_000,
-    sep: str = "\n\n---\n\n",
-    salts: int = 1024,
+    pages: DataFrame, group: str, key: str, text: str, score: Column, per_page: int = 4_000, total: int = 6_000, sep: str = "\n\n---\n\n"
 ) -> DataFrame:
-    """One text per group from its best pages until the character budget is used up.
+    """One text per group from its best pages (numeric score, then key) until the character budget is used up.
 
-    Ranking moves only (group, key, score, length).  Rows past the budget within a
-    salted part of a group are past it in the whole group too, so a hot group is cut
-    down in parallel first; only the few chosen pages fetch their text.
+    A budget summary, the best pages of a part of a group cut at the budget, is never longer than the budget, and
+    summaries merge: every batch of pages makes one per group where it is read, and those of a crowded group are
+    folded in as many parts and levels as its rows ask for.  Texts are read once.
     """
-    length = F.least(F.length(text), F.lit(per_page))
-    narrow = pages.where(F.length(text) > 0).select(
-        group, key, score.alias("_score"), length.alias("_len"), F.pmod(F.xxhash64(key), F.lit(salts)).alias("_salt")
+    cut = F.substring(F.col(text), 1, per_page)
+    rows = pages.where(F.length(text) > 0).select(
+        F.col(group).alias("_g"), F.col(key).alias("_k"), score.cast("double").alias("_score"), cut.alias("_t"), F.length(cut).alias("_len")
     )
 
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # nulls last by score, first by key, as the windows below have them
+            keys = pa.table({"s": b.column("_score"), "n": b.column("_k").is_valid().cast(pa.int8()), "k": b.column("_k")})
+            order = pc.sort_indices(keys, sort_keys=[("s", "descending"), ("n", "ascending"), ("k", "ascending")])
+            b = b.take(order)
+            lengths = pd.Series(b.column("_len").to_numpy())
+            used = lengths.groupby(b.column("_g").to_pandas().to_numpy(), dropna=False, sort=False).cumsum() - lengths
+            yield b.filter(pa.array((used < total).to_numpy()))
+
     def within_budget(df: DataFrame, *by: str) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy(F.desc("_score"), key)
+        order = Window.partitionBy(*by).orderBy(F.desc("_score"), "_k")
         before = F.sum("_len").over(order.rowsBetween(Window.unboundedPreceding, -1))
         return df.withColumn("_used", F.coalesce(before, F.lit(0))).where(F.col("_used") < total)
 
-    chosen = within_budget(within_budget(narrow, group, "_salt").drop("_used"), group)
-    take = F.least(F.col("_len"), (F.lit(total) - F.col("_used")).cast("int"))
-    pieces = join_counted(pages.select(key, text), chosen.drop("_salt"), key, "inner")
-    piece = F.struct("_used", F.substring(F.col(text), F.lit(1), take).alias("t"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    kept = materialise(rows.mapInArrow(summaries, schema), "summaries")
+    most = lambda df: df.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
+    level, crowd = 0, most(kept)
+    while crowd > FOLD_ROWS:
+        part = F.pmod(F.xxhash64("_k", "_t", F.lit(level)), F.lit(math.ceil(crowd / FOLD_ROWS)))
+        kept = materialise(within_budget(kept.withColumn("_part", part), "_g", "_part").drop("_part", "_used"), "summaries")
+        level, before, crowd = level + 1, crowd, most(kept)
+        if 2 * crowd > before:  # pages of a few characters: the budget itself holds so many
+            break
+    chosen = within_budget(kept, "_g")
+    piece = F.struct("_used", F.substring("_t", F.lit(1), F.least(F.col("_len"), (F.lit(total) - F.col("_used")).cast("int"))).alias("t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), sep)
-    return pieces.groupBy(group).agg(joined.alias("agg_text"), F.count("*").alias("pages_used"))
+    return chosen.groupBy(F.col("_g").alias(group)).agg(joined.alias("agg_text"), F.count("*").alias("pages_used"))
 
 
 def label_distribution(sites: DataFrame, labelled: DataFrame, site: str, label: str) -> DataFrame:

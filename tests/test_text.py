@@ -113,6 +113,40 @@ def test_budgeted_text_takes_best_pages_first(spark):
     assert got["b"] == (["y"], 1)
 
 
+@pytest.mark.parametrize("fold", [40, 10_000])
+def test_budget_of_a_crowded_group(spark, monkeypatch, fold):
+    """A third of all pages in one group, tiny pages, ties, null keys and scores: the plain sorted loop's text."""
+    import random
+
+    monkeypatch.setattr(text, "FOLD_ROWS", fold)
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "a", "b", "hot", "hot"]), rng.choice([None, 2**60 + i, i]), rng.choice("xyzé") * rng.randint(0, 9), rng.choice([None, 1, 2])) for i in range(900)]
+    rows += [("tiny", i, "t", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "grp string, id long, text string, score int").repartition(7)
+    got = {r.grp: (r.agg_text, r.pages_used) for r in text.budgeted_text(df, "grp", "id", "text", F.col("score"), 6, 100, "|").collect()}
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g and r[2]), key=lambda r: (-(r[3] or 0), r[1] is not None, r[1] or 0))
+        used, pieces = 0, []
+        for r in mine:
+            if used < 100:
+                pieces.append(r[2][:6][: 100 - used])
+                used += len(r[2][:6])
+        if g is not None and g != "hot" and g != "a" and g != "b":
+            assert got[g] == ("|".join(pieces), len(pieces))
+        else:  # rows of null id and one score come in any order
+            assert got[g][1] == len(got[g][0].split("|")) and len(got[g][0].replace("|", "")) == min(100, used)
+    unique = df.where("id IS NOT NULL")
+    got = {r.grp: r.agg_text for r in text.budgeted_text(unique, "grp", "id", "text", F.col("score"), 6, 100, "|").collect()}
+    for g in {r[0] for r in rows if r[1] is not None}:
+        mine = sorted((r for r in rows if r[0] == g and r[2] and r[1] is not None), key=lambda r: (-(r[3] or 0), r[1]))
+        used, pieces = 0, []
+        for r in mine:
+            if used < 100:
+                pieces.append(r[2][:6][: 100 - used])
+                used += len(r[2][:6])
+        assert got[g] == "|".join(pieces)
+
+
 def test_full_text_terms(spark):
     df = frame(spark, ["The running dogs", "a dog ran", "nothing"])
     lex = search.stemmed(F.col("text"))
