@@ -9,14 +9,11 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.functions.dist import chi2_p, normal_two_sided
+from almanac.operators.logistic import out_of_fold
 from almanac.operators.nearest import nearest
-from almanac.operators.ranks import row_number_within
-from almanac.operators.sampling import hash_order
 from almanac.operators.statistics import group_histogram, ranked_groups, standardise
 from almanac.session import materialise
 
@@ -68,57 +65,14 @@ def pca_by_variance(train: DataFrame, other: DataFrame, vector: str, share: floa
     return cut(train), cut(other), keep
 
 
-# ---- logistic model -------------------------------------------------------------
-
-
-def logistic_fit(df: DataFrame, y: str, columns: Sequence[str]):
-    """Unpenalised logistic regression on z-scored columns, and the scored rows."""
-    ready = assemble(standardise(df, columns), columns)
-    model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol=y, regParam=0.0, maxIter=100, tol=1e-10).fit(ready)
-    return model, model.transform(ready)
-
-
-def logistic_table(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
-    """Coefficient, standard error, p, odds ratio per standard deviation and its 95 % interval per feature."""
-    model, _ = logistic_fit(df, y, columns)
-    errors = list(model.summary.coefficientStandardErrors)  # the intercept comes last
-    names, betas = [*columns, "const"], [*model.coefficients.toArray().tolist(), float(model.intercept)]
-    rows = [
-        (n, b, se, normal_two_sided(b / se), math.exp(b), math.exp(b - 1.96 * se), math.exp(b + 1.96 * se))
-        for n, b, se in zip(names, betas, errors)
-    ]
-    return df.sparkSession.createDataFrame(rows, "feature string, coef double, se double, p double, odds_ratio double, or_low double, or_high double")
-
-
-def likelihood_ratio(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
-    """Log-likelihoods of the fitted and the constant model, their ratio test and McFadden's R2."""
-    _, scored = logistic_fit(df, y, columns)
-    eps = 1e-12
-    t, p = F.col(y).cast("double"), F.col("prediction")
-    p0 = F.avg(t)
-    out = scored.agg(
-        F.count("*").alias("n"), F.sum(t * F.ln(p + eps) + (1 - t) * F.ln(1 - p + eps)).alias("ll_full"),
-        (F.sum(t) * F.ln(p0 + eps) + (F.count("*") - F.sum(t)) * F.ln(1 - p0 + eps)).alias("ll_null"),
-    )
-    out = out.withColumn("lr_chi2", 2 * (F.col("ll_full") - F.col("ll_null"))).withColumn("mcfadden", 1 - F.col("ll_full") / F.col("ll_null"))
-    return out.withColumn("p", chi2_p("lr_chi2", F.lit(len(columns))))
+# ---- classifiers ----------------------------------------------------------------
 
 
 def cross_validate(df: DataFrame, y: str, columns: Sequence[str], key: str, folds: int = 5, seed: int = 0) -> DataFrame:
-    """Accuracy, AUC and majority baseline of out-of-fold logistic predictions; folds are dealt inside each class."""
-    dealt = row_number_within(df.withColumn("_o", hash_order(key, seed)), [y], "_o", "_n", ties=[key]).withColumn("_fold", F.col("_n") % folds)
-    dealt = materialise(dealt.drop("_o", "_n"), "folds")
-    scored = None
-    for f in range(folds):
-        train, test = dealt.where(F.col("_fold") != f), dealt.where(F.col("_fold") == f)
-        mean_sd = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-        scale = lambda d: assemble(d.select(key, y, *[((F.col(c) - mean_sd[f"m_{c}"]) / mean_sd[f"s_{c}"]).alias(c) for c in columns]), columns)  # noqa: E731, B023
-        model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol=y, regParam=0.0).fit(scale(train))
-        part = model.transform(scale(test)).select(key, y, "prediction")
-        scored = part if scored is None else scored.unionByName(part)
+    """Accuracy, AUC and majority baseline of out-of-fold logistic predictions."""
+    scored = materialise(out_of_fold(df, y, columns, key, folds, seed), "scored")
     right = F.count_if((F.col("prediction") >= 0.5) == (F.col(y) == 1))
     base = F.greatest(F.avg(F.col(y).cast("double")), 1 - F.avg(F.col(y).cast("double")))
-    scored = materialise(scored, "scored")
     out = scored.agg(F.count("*").alias("n"), (right / F.count("*")).alias("accuracy"), base.alias("baseline"))
     return out.withColumn("auc", roc_auc(scored, y, "prediction").scalar())
 

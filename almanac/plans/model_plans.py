@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from almanac import presets
 from almanac.functions.geo import fit_zoom, mercator_pixel
-from almanac.operators import clusters, elections, evaluation, modelling, sampling
+from almanac.operators import clusters, elections, evaluation, logistic, modelling, sampling
 from almanac.plans import tables as t
 from almanac.plans.aggregate_plans import CATS, CLICK_SQL, per_entity, rounded
 from almanac.plans.registry import query
+from almanac.plans.statistics_plans import chi2_p_sql, normal_p_sql
 from almanac.plans.tables import table, with_views
 from almanac.session import materialise
 
@@ -311,21 +312,103 @@ def outcome_rows(spark, sf):
 
 
 PREDICTORS = ["balance", "month", "nation"]
-
-
-@query("m05_logistic_table")
+OUTCOME_SQL = """src AS (SELECT o_orderkey, CAST((o_totalprice + c_acctbal * 10) > 260000 AS INT) AS y, CAST(c_acctbal AS DOUBLE) AS balance,
+        CAST(month(o_orderdate) AS DOUBLE) AS month, CAST(c_nationkey AS DOUBLE) AS nation FROM orders JOIN customer ON o_custkey = c_custkey)"""
+NEWTON_STEPS = 9
+
+
+def newton_sql(x: list[str], where: str = "true", models: str = "SELECT 0 AS m") -> str:
+    """Newton steps over the rows ``z`` (y, the columns, what ``where`` asks for), from zero; the last are ``fit`` and ``info``.
+
+    Each step sums gradient and information matrix and solves by a Cholesky factor written out in scalars.
+    """
+    d = range(len(x) + 1)
+    term = lambda i: "1.0::DOUBLE" if i == 0 else x[i - 1]
+    pairs = [(i, j) for i in d for j in range(i + 1)]
+    ctes = [f"f0 AS (SELECT m, {', '.join(f'0.0::DOUBLE AS b{i}' for i in d)} FROM ({models}))"]
+    factor, solve = [], []
+    for j in d:
+        inner = "".join(f" - l{j}_{k} * l{j}_{k}" for k in range(j))
+        factor.append(f"sqrt(h{j}_{j}{inner}) AS l{j}_{j}")
+        for i in d[j + 1 :]:
+            inner = "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
+            factor.append(f"(h{i}_{j}{inner}) / l{j}_{j} AS l{i}_{j}")
+    for i in d:
+        solve.append(f"(g{i}{''.join(f' - l{i}_{k} * z{k}' for k in range(i))}) / l{i}_{i} AS z{i}")
+    for i in reversed(d):
+        solve.append(f"(z{i}{''.join(f' - l{k}_{i} * d{k}' for k in d[i + 1:])}) / l{i}_{i} AS d{i}")
+    for s in range(NEWTON_STEPS):
+        score = " + ".join(f"b{i} * {term(i)}" for i in d)
+        sums = [f"sum((y - p) * {term(i)}) AS g{i}" for i in d] + [f"sum(p * (1 - p) * {term(i)} * {term(j)}) AS h{i}_{j}" for i, j in pairs]
+        ctes.append(f"t{s} AS MATERIALIZED (SELECT m, {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({score}))) AS p FROM z JOIN f{s} ON {where}) GROUP BY m)")
+        ctes.append(
+            f"f{s + 1} AS MATERIALIZED (SELECT f{s}.m, {', '.join(f'b{i} + d{i} AS b{i}' for i in d)} "
+            f"FROM f{s} JOIN (SELECT m, {', '.join(factor + solve)} FROM t{s}) USING (m))"
+        )
+    inverse = []
+    for i in d:
+        inverse.append(f"1 / l{i}_{i} AS r{i}_{i}")
+        inverse += [f"-({' + '.join(f'l{k}_{j} * r{j}_{i}' for j in range(i, k))}) / l{k}_{k} AS r{k}_{i}" for k in d[i + 1 :]]
+    errors = [f"sqrt({' + '.join(f'r{k}_{i} * r{k}_{i}' for k in d[i:])}) AS se{i}" for i in d]
+    ctes.append(f"info AS (SELECT m, {', '.join(factor + inverse + errors)} FROM t{NEWTON_STEPS - 1})")
+    ctes.append(f"fit AS (SELECT * FROM f{NEWTON_STEPS})")
+    return ", ".join(ctes)
+
+
+def _scaled(over: str = "") -> str:
+    return ", ".join(f"({c} - avg({c}) OVER ({over})) / stddev_pop({c}) OVER ({over}) AS {c}" for c in PREDICTORS)
+
+
+def _logistic_sql() -> str:
+    row = lambda name, i: f"SELECT '{name}' AS feature, b{i} AS b, se{i} AS se FROM fit JOIN info USING (m)"
+    return f"""WITH {OUTCOME_SQL}, z AS MATERIALIZED (SELECT o_orderkey, y, {_scaled()} FROM src), {newton_sql(PREDICTORS)},
+        r AS ({' UNION ALL '.join([row(c, i + 1) for i, c in enumerate(PREDICTORS)] + [row('const', 0)])})
+        SELECT feature, round(b, 4) AS coef, round(se, 4) AS se, round({normal_p_sql('b / se')}, 4) AS p, round(exp(b), 4) AS odds_ratio,
+        round(exp(b - 1.96 * se), 4) AS or_low, round(exp(b + 1.96 * se), 4) AS or_high FROM r"""
+
+
+@query("m05_logistic_table", _logistic_sql())
 def m05(spark, sf):
-    return modelling.logistic_table(outcome_rows(spark, sf), "y", PREDICTORS)
+    out = logistic.logistic_table(outcome_rows(spark, sf), "y", PREDICTORS)
+    return rounded(out, "coef", "se", "p", "odds_ratio", "or_low", "or_high", places=4)
 
 
-@query("x15_likelihood_ratio")
-def x15(spark, sf):
-    return modelling.likelihood_ratio(outcome_rows(spark, sf), "y", PREDICTORS)
+def _ratio_sql() -> str:
+    score = " + ".join(["b0", *[f"b{i + 1} * {c}" for i, c in enumerate(PREDICTORS)]])
+    return f"""WITH {OUTCOME_SQL}, z AS MATERIALIZED (SELECT o_orderkey, y, {_scaled()} FROM src), {newton_sql(PREDICTORS)},
+        l AS (SELECT count(*) AS n, sum(y * ln(p + 1e-12) + (1 - y) * ln(1 - p + 1e-12)) AS ll_full,
+            sum(y) * ln(avg(y) + 1e-12) + (count(*) - sum(y)) * ln(1 - avg(y) + 1e-12) AS ll_null
+            FROM (SELECT y, 1 / (1 + exp(-({score}))) AS p FROM z, fit)),
+        c AS (SELECT *, 2 * (ll_full - ll_null) AS lr_chi2 FROM l)
+        SELECT n, round(ll_full, 4) AS ll_full, round(ll_null, 4) AS ll_null, round(lr_chi2, 4) AS lr_chi2,
+        round(1 - ll_full / ll_null, 4) AS mcfadden, round({chi2_p_sql('lr_chi2', len(PREDICTORS))}, 4) AS p FROM c"""
 
 
-@query("m06_cross_validation")
+@query("x15_likelihood_ratio", _ratio_sql())
+def x15(spark, sf):
+    out = logistic.likelihood_ratio(outcome_rows(spark, sf), "y", PREDICTORS)
+    return rounded(out, "ll_full", "ll_null", "lr_chi2", "mcfadden", "p", places=4)
+
+
+def _folds_sql() -> str:
+    mean_sd = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in PREDICTORS)
+    scaled = ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in PREDICTORS)
+    score = " + ".join(["b0", *[f"b{i + 1} * {c}" for i, c in enumerate(PREDICTORS)]])
+    return f"""WITH {OUTCOME_SQL}, dealt AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat(o_orderkey, ':0')), o_orderkey) % 5 AS fold FROM src),
+        scale AS (SELECT f.m, {mean_sd} FROM range(5) f(m) JOIN dealt ON fold <> f.m GROUP BY f.m),
+        z AS MATERIALIZED (SELECT scale.m AS of, o_orderkey, y, fold, {scaled} FROM dealt, scale),
+        {newton_sql(PREDICTORS, 'z.of = m AND fold <> m', 'SELECT m FROM range(5) t(m)')},
+        s AS (SELECT y, 1 / (1 + exp(-({score}))) AS p FROM z JOIN fit ON z.of = m AND fold = m),
+        r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM s),
+        a AS (SELECT (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0::DOUBLE)
+            / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc FROM r)
+        SELECT count(*) AS n, round(count(*) FILTER ((p >= 0.5) = (y = 1)) / count(*), 4) AS accuracy,
+        round(greatest(avg(y), 1 - avg(y)), 4) AS baseline, round(any_value(auc), 4) AS auc FROM s, a"""
+
+
+@query("m06_cross_validation", _folds_sql())
 def m06(spark, sf):
-    return modelling.cross_validate(outcome_rows(spark, sf), "y", PREDICTORS, "o_orderkey")
+    return rounded(modelling.cross_validate(outcome_rows(spark, sf), "y", PREDICTORS, "o_orderkey"), "accuracy", "baseline", "auc", places=4)
 
 
 @query("m07_boosted_trees")
