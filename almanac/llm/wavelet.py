@@ -1,12 +1,12 @@
-"""Token ids in wavelet matrices: one compressed blob per shard, documents in ascending order.
+"""Token ids in wavelet matrices: one compressed file per shard, documents in ascending order.
 
 A shard holds the ids of consecutive documents as bit-planes, most significant first.  After each
-plane the ids are dealt stably, those with a zero bit in front.  ``rank`` of a bit is a count per
-512-bit block plus the bits inside the block, so ids are accessed, counted and found in the planes
-without decoding the documents.  The file holds the planes in one compressed block and no counts: reading
-a shard inflates all of it, and the counts of a plane are made at its first access.
+plane the ids are dealt stably, those with a zero bit in front.  A plane is kept in chunks that are compressed one by one,
+each with its counts of ones per 512-bit block, and the file's directory has where each chunk lies and the ones before
+it.  So ``access``, ``rank``, ``count`` and ``select`` inflate only the chunks their positions fall into, one or two a
+plane, and nothing else of the file.
 
-Shards are written as Parquet rows (part, seq, counts, blob): Spark commits them, so a lost task
+Files are written as Parquet rows (part, seq, counts, blob): Spark commits them, so a lost task
 leaves nothing behind, and any store Spark writes to will do.  ``part`` is the range of document ids,
 ``seq`` the shard within it.
 """
@@ -29,21 +29,84 @@ from almanac.llm.cache import Recent, gathered, held, numbered, portions
 from almanac.llm.common import small_batches
 from almanac.session import scratch_path
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 SHARD_TOKENS = 1 << 20  # a shard closes behind the document that fills it
 BLOCK = 64  # bytes of a plane to a rank count
+CHUNK = 256 * BLOCK  # bytes of a plane that are compressed together
+CHUNK_BITS = 8 * CHUNK
 CACHED_WORDS = 500_000  # words of a younger and of an older half
 JOINED_WORDS = 1_000  # words encoded in one call
 PORTION = 12_000_000  # characters whose new words are encoded together
-HEAD = struct.Struct("<4sBxxxQQ")
+HEAD = struct.Struct("<4sBxxxQQQ")  # magic, planes, ids, documents, bytes of the part on documents
+
+
+class Plane:
+    """Bits in memory, with counts per block and chunk."""
+
+    def __init__(self, bits: np.ndarray, size: int) -> None:
+        self.bits, self.size = bits, size
+        padded = np.pad(bits, (0, -len(bits) % CHUNK)).reshape(-1, CHUNK // BLOCK, BLOCK)
+        ones = np.bitwise_count(padded).sum(axis=2, dtype=np.uint32)
+        self.chunk_ones = ones.sum(axis=1, dtype=np.int64)
+        self.blocks = np.cumsum(ones, axis=1, dtype=np.uint32) - ones  # ones of the chunk before each block
+        self.before = np.cumsum(self.chunk_ones) - self.chunk_ones
+
+    def chunk(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts per block and bytes of a chunk."""
+        return self.blocks[number], self.bits[number * CHUNK : (number + 1) * CHUNK]
+
+    def __len__(self) -> int:
+        return len(self.before)
+
+
+class PackedPlane:
+    """Bits of a file: chunks are inflated as they are asked for; the last few stay."""
+
+    KEPT = 8
+
+    def __init__(self, file: memoryview, ends: np.ndarray, start: int, before: np.ndarray, size: int) -> None:
+        self.file, self.ends, self.start, self.before, self.size = file, ends, start, before, size
+        self.inflated = 0
+        self._held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def chunk(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        if number not in self._held:
+            low = self.start if number == 0 else int(self.ends[number - 1])
+            raw = zstandard.decompress(self.file[low : int(self.ends[number])])
+            self.inflated += 1
+            blocks = np.frombuffer(raw, "<u4", CHUNK // BLOCK)
+            while len(self._held) >= self.KEPT:
+                self._held.pop(next(iter(self._held)))
+            self._held[number] = blocks, np.frombuffer(raw, np.uint8, offset=blocks.nbytes)
+        return self._held[number]
+
+    def __len__(self) -> int:
+        return len(self.before)
+
+
+def ones_before(plane: Plane | PackedPlane, at: np.ndarray) -> np.ndarray:
+    """Ones of a plane before each position."""
+    out = np.empty(len(at), np.int64)
+    number = np.minimum(at // CHUNK_BITS, len(plane) - 1)
+    for n in np.unique(number).tolist():
+        mine = number == n
+        rest = at[mine] - n * CHUNK_BITS
+        blocks, bits = plane.chunk(n)
+        block = np.minimum(rest // (8 * BLOCK), CHUNK // BLOCK - 1)
+        inside = rest - block * 8 * BLOCK
+        where = block[:, None] * BLOCK + np.arange(BLOCK)[None, :]
+        held = np.where(where < len(bits), bits[np.minimum(where, len(bits) - 1)], np.uint8(0))
+        left = np.clip(inside[:, None] - 8 * np.arange(BLOCK)[None, :], 0, 8)  # bits of each byte that lie before
+        mask = ((1 << left) - 1).astype(np.uint8)
+        out[mine] = plane.before[n] + blocks[block] + np.bitwise_count(held & mask).sum(axis=1, dtype=np.int64)
+    return out
 
 
 class WaveletMatrix:
     """Ids of one shard.  Positions count from 0; ``count`` and ``rank`` look at the ids before a position."""
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], size: int) -> None:
+    def __init__(self, planes: list[Plane | PackedPlane], zeros: list[int], size: int) -> None:
         self.planes, self.zeros, self.size = planes, zeros, size
-        self._ones: list[np.ndarray | None] = [None] * len(planes)
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -52,7 +115,7 @@ class WaveletMatrix:
         planes, zeros = [], []
         for b in reversed(range(bits)):
             one = (now & now.dtype.type(1 << b)) != 0
-            planes.append(np.packbits(one, bitorder="little"))
+            planes.append(Plane(np.packbits(one, bitorder="little"), len(ids)))
             low = np.flatnonzero(~one)
             zeros.append(len(low))
             now = np.concatenate((now.take(low), now.take(np.flatnonzero(one))))
@@ -63,7 +126,9 @@ class WaveletMatrix:
         bits = len(self.planes)
         now = np.zeros(self.size, np.uint16 if bits <= 16 else np.uint32)
         for level in reversed(range(bits)):
-            one = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
+            plane = self.planes[level]
+            packed = np.concatenate([plane.chunk(n)[1] for n in range(len(plane))]) if len(plane) else np.zeros(0, np.uint8)
+            one = np.unpackbits(packed, count=self.size, bitorder="little").view(bool)
             back = np.empty_like(now)
             zeros = self.zeros[level]
             back[np.flatnonzero(~one)] = now[:zeros]
@@ -72,21 +137,11 @@ class WaveletMatrix:
         return now
 
     def _rank1(self, level: int, at: int) -> int:
-        """Ones of a plane before a position."""
-        if self._ones[level] is None:
-            plane = self.planes[level]
-            padded = np.pad(plane, (0, -len(plane) % BLOCK)).reshape(-1, BLOCK)
-            self._ones[level] = np.r_[0, np.cumsum(np.bitwise_count(padded).sum(axis=1, dtype=np.int64))]
-        block, rest = divmod(at, 8 * BLOCK)
-        whole, odd = divmod(rest, 8)
-        start = block * BLOCK
-        inside = int(np.bitwise_count(self.planes[level][start : start + whole]).sum(dtype=np.int64))
-        if odd:
-            inside += (int(self.planes[level][start + whole]) & ((1 << odd) - 1)).bit_count()
-        return int(self._ones[level][block]) + inside
+        return int(ones_before(self.planes[level], np.array([at]))[0]) if self.size else 0
 
     def _bit(self, level: int, at: int) -> int:
-        return int(self.planes[level][at >> 3]) >> (at & 7) & 1
+        _, bits = self.planes[level].chunk(at // CHUNK_BITS)
+        return int(bits[at % CHUNK_BITS >> 3]) >> (at & 7) & 1
 
     def access(self, at: int) -> int:
         if not 0 <= at < self.size:
@@ -98,28 +153,32 @@ class WaveletMatrix:
             out = out << 1 | bit
         return out
 
-    def _range(self, token: int, start: int, stop: int) -> tuple[int, int]:
-        """Where the occurrences of a token in [start, stop) lie after the last plane."""
-        if token < 0 or token >> len(self.planes):
-            return 0, 0
+    def _ranges(self, token: int, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the occurrences of a token in each [start, stop) lie after the last plane."""
+        if token < 0 or token >> len(self.planes) or not self.size:
+            return np.zeros_like(start), np.zeros_like(stop)
         for level in range(len(self.planes)):
-            low, high = self._rank1(level, start), self._rank1(level, stop)
+            low, high = np.split(ones_before(self.planes[level], np.concatenate([start, stop])), 2)
             if token >> (len(self.planes) - 1 - level) & 1:
                 start, stop = self.zeros[level] + low, self.zeros[level] + high
             else:
                 start, stop = start - low, stop - high
         return start, stop
 
-    def count(self, token: int, start: int = 0, stop: int | None = None) -> int:
-        low, high = self._range(token, start, self.size if stop is None else stop)
+    def counts(self, token: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Occurrences of a token in each [start, stop)."""
+        low, high = self._ranges(token, np.asarray(start, np.int64), np.asarray(stop, np.int64))
         return high - low
 
+    def count(self, token: int, start: int = 0, stop: int | None = None) -> int:
+        return int(self.counts(token, np.array([start]), np.array([self.size if stop is None else stop]))[0])
+
     def rank(self, token: int, at: int) -> int:
         return self.count(token, 0, at)
 
     def select(self, token: int, nth: int) -> int:
         """Position of the nth occurrence, from 0."""
-        low, high = self._range(token, 0, self.size)
+        low, high = (int(v[0]) for v in self._ranges(token, np.array([0]), np.array([self.size])))
         if not 0 <= nth < high - low:
             raise IndexError(nth)
         at = low + nth
@@ -129,51 +188,65 @@ class WaveletMatrix:
         return at
 
     def _select(self, level: int, bit: int, nth: int) -> int:
-        """Position of the nth bit of a kind in a plane, by halving."""
-        low, high = 0, self.size
-        while high - low > 1:
-            mid = (low + high) // 2
-            ones = self._rank1(level, mid)
-            low, high = (mid, high) if (ones if bit else mid - ones) <= nth else (low, mid)
-        return low
+        """Position of the nth bit of a kind in a plane: the chunk by the directory, then the block by its counts."""
+        plane = self.planes[level]
+        starts = np.arange(len(plane)) * CHUNK_BITS
+        number = int(np.searchsorted(plane.before if bit else starts - plane.before, nth, "right")) - 1
+        before = int(plane.before[number]) if bit else number * CHUNK_BITS - int(plane.before[number])
+        blocks, bits = plane.chunk(number)
+        spans = np.arange(CHUNK // BLOCK) * 8 * BLOCK
+        inside = blocks.astype(np.int64) if bit else spans - blocks
+        block = int(np.searchsorted(inside, nth - before, "right")) - 1
+        of = np.unpackbits(bits[block * BLOCK : (block + 1) * BLOCK], bitorder="little")
+        place = np.flatnonzero(of == bit)[nth - before - int(inside[block])]
+        return number * CHUNK_BITS + block * 8 * BLOCK + int(place)
 
     def occurrences(self, token: int) -> list[int]:
         return [self.select(token, n) for n in range(self.count(token))]
 
 
 def pack(matrix: WaveletMatrix, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
-    """The file: a head, then compressed counts, document ids, lengths and planes."""
+    """The file: a head, the compressed part on documents, the directory of chunks, the compressed chunks.
+
+    The directory has, plane by plane, its zeros and of each chunk the ones before it and where it ends.
+    """
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     known = np.array([d is not None for d in doc_ids], bool)
     ids = np.array([d or 0 for d in doc_ids], "<i8")
-    body = b"".join(
-        [
-            np.array(matrix.zeros, "<u8").tobytes(),
-            np.packbits(known).tobytes(),
-            ids.tobytes(),
-            lengths.astype("<u8").tobytes(),
-            *[p.tobytes() for p in matrix.planes],
-        ]
-    )
-    return HEAD.pack(MAGIC, len(matrix.planes), matrix.size, len(doc_ids)) + zstandard.compress(body, 1)
+    about = squeeze(b"".join([np.packbits(known).tobytes(), ids.tobytes(), lengths.astype("<u8").tobytes()]))
+    chunks = -(-matrix.size // CHUNK_BITS)
+    at = HEAD.size + len(about) + 8 * len(matrix.planes) * (1 + 2 * chunks)
+    directory, body = [], []
+    for plane, zeros in zip(matrix.planes, matrix.zeros, strict=True):
+        ends = []
+        for n in range(chunks):
+            blocks, bits = plane.chunk(n)
+            body.append(squeeze(blocks.astype("<u4").tobytes() + bits.tobytes()))
+            at += len(body[-1])
+            ends.append(at)
+        directory += [np.array([zeros], "<u8").tobytes(), plane.before[:chunks].astype("<u8").tobytes(), np.array(ends, "<u8").tobytes()]
+    return b"".join([HEAD.pack(MAGIC, len(matrix.planes), matrix.size, len(doc_ids), len(about)), about, *directory, *body])
 
 
 def unpack(blob: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    magic, bits, size, docs = HEAD.unpack_from(blob)
+    """The matrix over the file, whose chunks stay compressed until they are asked for, and its documents."""
+    magic, bits, size, docs, length = HEAD.unpack_from(blob)
     if magic != MAGIC:
         raise ValueError("not a wavelet shard")
-    body, at = zstandard.decompress(blob[HEAD.size :]), 0
-
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(body, kind, count, at)
-        at += out.nbytes
-        return out
-
-    zeros = take("<u8", bits).tolist()
-    known = np.unpackbits(take("u1", -(-docs // 8)), count=docs)
-    ids, lengths = take("<i8", docs).tolist(), take("<u8", docs).astype(np.int64)
-    planes = [take("u1", -(-size // 8)) for _ in range(bits)]
-    return WaveletMatrix(planes, zeros, size), [d if k else None for d, k in zip(ids, known, strict=True)], lengths
+    file = memoryview(blob)
+    about = zstandard.decompress(file[HEAD.size : HEAD.size + length])
+    marks = -(-docs // 8)
+    known = np.unpackbits(np.frombuffer(about, np.uint8, marks), count=docs)
+    ids = np.frombuffer(about, "<i8", docs, marks).tolist()
+    lengths = np.frombuffer(about, "<u8", docs, marks + 8 * docs).astype(np.int64)
+    chunks = -(-size // CHUNK_BITS)
+    directory = np.frombuffer(blob, "<u8", bits * (1 + 2 * chunks), HEAD.size + length).reshape(bits, -1).astype(np.int64)
+    start = HEAD.size + length + 8 * directory.size
+    planes = []
+    for row in directory:
+        planes.append(PackedPlane(file, row[1 + chunks :], start, row[1 : 1 + chunks], size))
+        start = int(row[-1]) if chunks else start
+    return WaveletMatrix(planes, directory[:, 0].tolist(), size), [d if k else None for d, k in zip(ids, known, strict=True)], lengths
 
 
 class WordEncoder:
@@ -181,21 +254,27 @@ class WordEncoder:
 
     The vocabulary's splitting drops white space and never joins across it, so a text is encoded as its words
     are.  Words a task has not met are encoded together, as one text whose tokens are told apart by their places.
-    A-Z may be lower-cased before, as the tokenizer does so itself.  Strings of special tokens are text.
+    A-Z may be lower-cased before, as the tokenizer does so itself.  A text that holds the string of an added token, which
+    the library takes for that token wherever it stands, is encoded as it is.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known = Recent(CACHED_WORDS)
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[n for piece, n in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         lower = pc.ascii_lower(pa.array(texts, pa.large_string()).cast(pa.string()))
+        whole = [pc.match_substring(lower, t, ignore_case=True).to_numpy(zero_copy_only=False) for t in self.added]
+        if (special := np.any(whole, axis=0) if whole else np.zeros(len(texts), bool)).any():
+            plain = iter(self.encode([t for t, s in zip(texts, special, strict=True) if not s]))
+            as_they_are = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            return [as_they_are(t) if s else next(plain) for t, s in zip(texts, special, strict=True)]
         words, number, offsets = numbered(pc.ascii_split_whitespace(lower))
         # a comma or full stop behind a letter is a token of its own, which the words before it share
         stops = [w[-1] if w[-1:] in (",", ".") and "a" <= w[-2:-1] <= "z" else "" for w in words]
@@ -290,8 +369,11 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     return own.join(before, "part").select("part", "seq", (F.col("_own") + F.col("_before")).alias("start"))
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """Every document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+def read_documents(shards: DataFrame, end_id: int = 2) -> DataFrame:
+    """Every document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, n_ends.
+
+    ``n_ends`` counts ``end_id`` among the document's ids by rank in the planes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -299,6 +381,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 matrix, doc_ids, lengths = unpack(b.column("blob")[row].as_py())
                 ids = matrix.ids().astype("<u4")
                 ends = np.cumsum(lengths)
+                found = matrix.counts(end_id, ends - lengths, ends)
                 view = memoryview(ids).cast("B")
                 crcs = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -306,11 +389,11 @@ def read_documents(shards: DataFrame) -> DataFrame:
                         pa.array([b.column(c)[row].as_py()] * len(doc_ids), pa.int32()) if c else None
                         for c in ("part", "seq")
                     ]
-                    + [pa.array(doc_ids, pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
-                    names=["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"],
+                    + [pa.array(doc_ids, pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64()), pa.array(found)],
+                    names=["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32", "n_ends"],
                 )
 
-    schema = "part int, seq int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint"
+    schema = "part int, seq int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint, n_ends bigint"
     read = shards.select("part", "seq", "blob").mapInArrow(run, schema)
     placed = read.join(shard_starts(shards), ["part", "seq"])
-    return placed.select("doc_id", (F.col("start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return placed.select("doc_id", (F.col("start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "n_ends")

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 import oracle
 from almanac.llm import bpe, chat, language, license_scan, mixing, prefix_forest, quality_rules, sharding, simhash, wavelet
@@ -282,6 +283,31 @@ def test_wavelet_matrix():
         t = int(ids[0])
         assert matrix.occurrences(t) == np.flatnonzero(ids == t).tolist()
         assert matrix.count(99_999) == 0
+        cuts = np.sort(rng.integers(0, len(ids) + 1, 30))
+        assert matrix.counts(t, cuts[:-1], cuts[1:]).tolist() == [int((ids[a:b] == t).sum()) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+@pytest.mark.parametrize("size", [wavelet.CHUNK_BITS - 1, wavelet.CHUNK_BITS, 3 * wavelet.CHUNK_BITS + 700])
+def test_a_query_inflates_a_few_chunks(size):
+    """Rank, access and select read one or two chunks a plane, whatever the size of the file."""
+    rng = np.random.default_rng(size)
+    ids = rng.integers(0, 40_000, size).astype(np.uint32)
+    ids[rng.integers(0, size, size // 50)] = 7
+    blob = wavelet.pack(wavelet.WaveletMatrix.build(ids), [None, 5], np.array([1, size - 1]))
+    there = np.flatnonzero(ids == 7)
+    for ask, want in (
+        (lambda m: m.access(size // 2), int(ids[size // 2])), (lambda m: m.rank(7, size), len(there)),
+        (lambda m: m.count(7, size // 3, size // 2), int((ids[size // 3 : size // 2] == 7).sum())),
+        (lambda m: m.select(7, len(there) // 2), int(there[len(there) // 2])), (lambda m: m.select(7, 0), int(there[0])),
+        (lambda m: m.select(7, len(there) - 1), int(there[-1])),
+    ):
+        matrix, doc_ids, lengths = wavelet.unpack(blob)
+        assert ask(matrix) == want and max(p.inflated for p in matrix.planes) <= 4
+    assert doc_ids == [None, 5] and lengths.tolist() == [1, size - 1] and (matrix.ids() == ids).all()
+    for at in (0, 1, size - 1, *rng.integers(0, size, 20).tolist()):
+        assert matrix.access(at) == ids[at]
+    nothing, _, _ = wavelet.unpack(wavelet.pack(wavelet.WaveletMatrix.build(ids[:0]), [], np.zeros(0, np.int64)))
+    assert nothing.ids().tolist() == [] and nothing.count(7) == 0
 
 
 def test_wavelet_documents(spark, docs, empty):
@@ -289,7 +315,7 @@ def test_wavelet_documents(spark, docs, empty):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    docs = docs.unionByName(docs.limit(3).withColumn("doc_id", docs["doc_id"] + 70).withColumn("text", F.lit("so<|startoftext|>a <|endoftext|><|ENDOFTEXT|> b, c")))
     for shard_tokens in (1, wavelet.SHARD_TOKENS):
         got = wavelet.read_documents(wavelet.encode_documents(docs, path, shard_tokens=shard_tokens)).collect()
         rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, zlib.crc32((r["text"] or "").encode())))
@@ -302,6 +328,7 @@ def test_wavelet_documents(spark, docs, empty):
             w for w in want if w[0] is not None
         )
         assert {r["start"] for r in got} == {w[1] for w in want}
+        assert all(r["n_ends"] == 1 for r in got)
     assert wavelet.read_documents(wavelet.encode_documents(empty, path)).count() == 0
 
 
