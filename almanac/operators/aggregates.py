@@ -295,17 +295,20 @@ def crawl_outcome(manifest: DataFrame, pages: DataFrame, domain: str) -> DataFra
     )
 
 
-def listed_values(df: DataFrame, key: str, value: str, part_size: int = 1_000) -> DataFrame:
-    """Sorted distinct values per key as arrays of at most ``part_size``: (key, part, items).
+def listed_values(df: DataFrame, key: str, value: str, part_size: int | None = None) -> DataFrame:
+    """Sorted distinct values per key: (key, items), one array per key.
 
-    Values are spread over hash parts, so the array of a crowded key never becomes one
-    huge cell; a key with few values has exactly one array.
+    Distinct values are found before they are collected, so copies of one value do not meet.  With ``part_size`` a key comes
+    as several arrays of about so many values (key, part, items), spread by a hash, for keys whose array would not
+    fit into one cell.
     """
     distinct = df.select(key, value).distinct()
+    items = F.array_sort(F.collect_list(value)).alias("items")
+    if part_size is None:
+        return distinct.groupBy(key).agg(items)
     sizes = distinct.groupBy(key).agg(F.ceil(F.count("*") / part_size).cast("int").alias("_parts"))
     part = F.pmod(F.xxhash64(value), F.col("_parts")).cast("int")
-    spread = distinct.join(sizes, key).withColumn("part", part)
-    return spread.groupBy(key, "part").agg(F.array_sort(F.collect_list(value)).alias("items"))
+    return distinct.join(sizes, key).withColumn("part", part).groupBy(key, "part").agg(items)
 
 
 def dimension(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], seq: str) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators.logistic import out_of_fold
 from almanac.operators.nearest import nearest
+from almanac.operators.sampling import stratified_split
 from almanac.operators.statistics import group_histogram, ranked_groups, standardise
 from almanac.session import materialise
 
@@ -54,14 +55,20 @@ def pca_project(df: DataFrame, columns: Sequence[str], k: int = 2) -> DataFrame:
 
 
 def pca_by_variance(train: DataFrame, other: DataFrame, vector: str, share: float = 0.95) -> tuple[DataFrame, DataFrame, int]:
-    """Project both frames on as many components, fitted on ``train`` only, as reach the variance share."""
+    """Both frames with ``vector`` projected on as many components, fitted on ``train`` only, as reach the variance share.
+
+    The projection is centred on the training mean, so its columns have mean zero over the training rows.
+    """
     as_vec = lambda d: d.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
     width = len(train.select(vector).first()[0])
     model = PCA(k=width, inputCol="_v", outputCol="_pc").fit(as_vec(train))
     keep = int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), share)) + 1
     keep = min(keep, width)
-    # The projection is centred on the training mean, as the source analysis does.
-    cut = lambda d: model.transform(as_vec(d)).withColumn(vector, F.slice(vector_to_array("_pc"), 1, keep)).drop("_v", "_pc")
+    means = train.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).collect()  # a row per column
+    middle = np.array([r["m"] for r in sorted(means, key=lambda r: r["i"])]) @ model.pc.toArray()[:, :keep]
+    shift = F.array(*[F.lit(float(v)) for v in middle])
+    centred = F.zip_with(F.slice(vector_to_array("_pc"), 1, keep), shift, lambda a, b: a - b)
+    cut = lambda d: model.transform(as_vec(d)).withColumn(vector, centred).drop("_v", "_pc")
     return cut(train), cut(other), keep
 
 
@@ -77,14 +84,52 @@ def cross_validate(df: DataFrame, y: str, columns: Sequence[str], key: str, fold
     return out.withColumn("auc", roc_auc(scored, y, "prediction").scalar())
 
 
-def boosted_trees(train: DataFrame, test: DataFrame, vector: str, y: str, key: str, rounds: int = 20, seed: int = 42) -> DataFrame:
-    """Boosted trees on a vector column, with the rare class weighted up to balance."""
+def boosted_trees(
+    train: DataFrame,
+    test: DataFrame,
+    vector: str,
+    y: str,
+    key: str,
+    rounds: int = 500,
+    depth: int = 6,
+    step: float = 0.05,
+    row_share: float = 0.8,
+    column_share: float = 0.8,
+    validation: float = 0.15,
+    patience: int = 30,
+    seed: int = 42,
+) -> tuple[DataFrame, int]:
+    """Scores of ``test`` by boosted trees on a vector column, and the number of trees that were kept.
+
+    The rare class is weighted up to balance.  Each tree sees a share of the rows, each node a share of the columns.  A
+    stratified share of the training rows is held back, and the trees up to the smallest loss on it are kept: rounds are
+    doubled, up to ``rounds``, until that loss has not fallen for ``patience`` of them.  The seed fixes the trees, so more
+    rounds only add to them.
+    """
     counts = {r[0]: r[1] for r in train.groupBy(y).count().collect()}  # two classes
     weight = F.when(F.col(y) == 1, counts.get(0, 1) / max(1, counts.get(1, 1))).otherwise(1.0)
     as_vec = lambda d: d.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    model = GBTClassifier(featuresCol="features", labelCol=y, weightCol="_w", maxIter=rounds, maxDepth=4, seed=seed).fit(as_vec(train).withColumn("_w", weight))
+    dealt = stratified_split(train.drop("split"), y, key, [("fit", 1 - validation), ("held", validation)], seed)
+    rows = materialise(dealt.select(vector, y, weight.alias("_w"), (F.col("split") == "held").alias("_held")), "boosting")
+    fitted, held = as_vec(rows.where("NOT _held")), as_vec(rows.where("_held"))
+
+    def grow(trees: int) -> GBTClassificationModel:
+        return GBTClassifier(
+            featuresCol="features", labelCol=y, weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=row_share,
+            featureSubsetStrategy=str(column_share), seed=seed,
+        ).fit(fitted)
+
+    trees = min(rounds, 2 * patience)
+    while True:
+        model = grow(trees)
+        loss = model.evaluateEachIteration(held)
+        best = int(np.argmin(loss)) + 1
+        if best + patience <= trees or trees == rounds:
+            break
+        trees = min(rounds, 2 * trees)
+    model = model if best == trees else grow(best)
     out = model.transform(as_vec(test))
-    return out.select(key, y, vector_to_array("probability")[1].alias("score"))
+    return out.select(key, y, vector_to_array("probability")[1].alias("score")), best
 
 
 # ---- thresholds and ROC ----------------------------------------------------------

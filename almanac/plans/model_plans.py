@@ -299,7 +299,7 @@ def labelled_vectors(spark, sf):
 def m04_variance(spark, sf):
     rows = labelled_vectors(spark, sf)
     _, test, keep = modelling.pca_by_variance(rows.where("split = 'train'"), rows.where("split = 'test'"), "embedding")
-    return test.select("vec_id", "y", F.size("embedding").alias("components"), F.lit(keep).alias("kept"))
+    return test.select("vec_id", "y", "embedding", F.lit(keep).alias("kept"))
 
 
 def outcome_rows(spark, sf):
@@ -414,7 +414,9 @@ def m06(spark, sf):
 @query("m07_boosted_trees")
 def m07(spark, sf):
     rows = labelled_vectors(spark, sf)
-    return modelling.boosted_trees(rows.where("split = 'train'"), rows.where("split = 'test'"), "embedding", "y", "vec_id", rounds=10)
+    train, test = (rows.where(F.col("split") == part) for part in ("train", "test"))
+    scored, trees = modelling.boosted_trees(train, test, "embedding", "y", "vec_id")
+    return scored.withColumn("trees", F.lit(trees))
 
 
 SCORED_SQL = "sc AS (SELECT quality AS y, (n_chars % 997) / 1000.0::DOUBLE + quality * 0.1 AS score FROM labels JOIN documents USING (doc_id))"
