@@ -29,8 +29,8 @@ BETWEEN = r"[^\pL\pM]+"
 FIT_ROWS = 20_000  # labelled rows the probabilities are learned on, spread over the languages; a hash of the id draws them
 ROUNDS = 2
 FLOOR = 1e-9  # probability of a character that the vocabulary does not have
-CACHED_WORDS = 150_000  # words of a younger and of an older half
-PORTION = 4_000_000  # characters whose new words are scored together
+CACHED_WORDS = 100_000  # words of a younger and of an older half
+PORTION = 1_500_000  # characters whose new words are scored together
 _PIECES: dict[str, dict[str, int]] = {}
 
 
@@ -112,7 +112,7 @@ def _tables(words: list[str], path: str) -> Iterator[tuple[np.ndarray, np.ndarra
         _TRIES[path] = Trie(pieces(path))
     lengths = np.array([len(w) for w in words])
     for length in np.unique(lengths).tolist():
-        places, step = np.flatnonzero(lengths == length), max(1, 40_000 // length)
+        places, step = np.flatnonzero(lengths == length), max(1, 20_000 // length)
         for at in range(0, len(places), step):
             part = places[at : at + step]
             yield part, _TRIES[path].pieces_in([words[n] for n in part])
