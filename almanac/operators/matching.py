@@ -260,11 +260,13 @@ def survivorship(
     on: Column,
     fields: Mapping[str, str],
     labels: tuple[str, str, str] = ("both", "left", "right"),
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Full outer merge of two lists aliased ``l`` and ``r``.
 
     ``fields`` maps each output field to ``left`` or ``right``: the side whose value
-    is preferred; the other side fills in blanks.  ``source`` says where a row is from.
+    is preferred; the other side fills in blanks.  ``source`` says where a row is from.  ``extra`` are further columns
+    over ``l`` and ``r`` (``_l`` and ``_r`` are true where a side has a row), put in front.
     """
     l, r = left.withColumn("_l", F.lit(True)).alias("l"), right.withColumn("_r", F.lit(True)).alias("r")  # noqa: E741
     joined = l.join(r, on, "full_outer")
@@ -274,7 +276,30 @@ def survivorship(
         picked.append(F.coalesce(*[blank_to_null(F.col(f"{s}.{f}").cast("string")) for s in sides], F.lit("")).alias(f))
     both, only_l, only_r = labels
     source = F.when(F.col("_l") & F.col("_r"), both).when(F.col("_l"), only_l).otherwise(only_r)
-    return joined.select(*picked, source.alias("source"))
+    return joined.select(*[c.alias(n) for n, c in (extra or {}).items()], *picked, source.alias("source"))
+
+
+def merged_list(
+    left: DataFrame,
+    right: DataFrame,
+    pairs: DataFrame,
+    key: str,
+    fields: Mapping[str, str],
+    labels: tuple[str, str, str] = ("both", "left", "right"),
+    chosen: Mapping[str, tuple[Column, Column, Column]] | None = None,
+) -> DataFrame:
+    """One list of two, by the pairs (left_id, right_id, km) that were matched: every row of either side comes once.
+
+    Columns are ``left_id``, ``right_id`` and ``km`` (null where there is no partner), ``fields`` and ``source`` as
+    ``survivorship`` has them, and ``chosen``: values by a rule of their own for rows of both sides, of the left only, of the
+    right only, over the sides as ``l`` and ``r``.
+    """
+    one = pairs.select(F.col("left_id").alias("_pair"), F.col("right_id").alias("_right"), "km")
+    l = left.join(one, left[key] == one["_pair"], "left").withColumn("left_id", left[key]).drop("_pair")  # noqa: E741
+    r = right.withColumn("right_id", right[key])
+    rules = {name: F.when(F.col("_l") & F.col("_r"), both).when(F.col("_l"), only_l).otherwise(only_r) for name, (both, only_l, only_r) in (chosen or {}).items()}
+    extra = {"left_id": F.col("l.left_id"), "right_id": F.col("r.right_id"), "km": F.col("l.km"), **rules}
+    return survivorship(l, r, F.col("l._right") == F.col("r.right_id"), fields, labels, extra)
 
 
 def consolidate(rows: DataFrame, key: str, seq: str, fields: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.functions import urls
+from almanac.functions.values import blank_to_null
 from almanac.operators import chains, greedy, matching, nearest, regions, search, upsert
 from almanac.functions.geo import grid_points
 from almanac.plans import tables as t
@@ -180,15 +181,67 @@ def two_lists(spark, sf):
     return g.where("id % 2 = 0"), g.where("id % 2 = 1")
 
 
-@query("j09_merge_two_lists")
+MERGE_SQL = f"""+ side AS (SELECT id, lat, lon, p_name AS name, p_type AS state, p_brand AS brand, p_retailprice AS price,
+        list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda w: w NOT IN ('of', 'the', 'and', 'a', 'center', 'community')) AS ws
+        FROM geo JOIN part ON id = p_partkey),
+    near AS (SELECT a.id AS l, b.id AS r, {HAV_SQL.format('a.lat', 'b.lat', 'a.lon', 'b.lon')} AS km, upper(a.state) = upper(b.state)
+        AND len(list_intersect(a.ws, b.ws)) / CAST(greatest(len(a.ws), len(b.ws)) AS DOUBLE) >= 0.65 AS named
+        FROM side a JOIN side b ON a.id % 2 = 0 AND b.id % 2 = 1),
+    e AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY l) AS turn, * FROM near WHERE km <= 15 OR (km <= 60 AND named)),
+    g AS (SELECT 0::BIGINT AS turn, {{'km': NULL::DOUBLE, 'r': -1::BIGINT, 'l': -1::BIGINT}} AS b, [-1::BIGINT] AS used
+        UNION ALL SELECT turn + 1, b, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.r) END FROM (
+            SELECT any_value(g.turn) AS turn, any_value(g.used) AS used,
+            min({{'km': e.km, 'r': e.r, 'l': e.l}}) FILTER (NOT list_contains(g.used, e.r)) AS b
+            FROM g LEFT JOIN e ON e.turn = g.turn + 1) WHERE turn < (SELECT max(turn) FROM e)),
+    pairs AS (SELECT b.l AS left_id, b.r AS right_id, b.km AS km FROM g WHERE turn > 0 AND b IS NOT NULL)"""
+
+
+def merged_sql(body: str) -> str:
+    return with_views("geo", f"{MERGE_SQL} {body}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "j09_merge_two_lists",
+    merged_sql(
+        """SELECT id AS left_id, right_id, round(km, 6) AS km FROM side LEFT JOIN pairs ON left_id = id WHERE id % 2 = 0
+        UNION ALL SELECT NULL, id, NULL FROM side WHERE id % 2 = 1 AND id NOT IN (SELECT right_id FROM pairs)"""
+    ),
+)
 def j09(spark, sf):
     left, right = two_lists(spark, sf)
-    pairs = matching.merge_two_lists(left, right, near_km=15.0, max_km=60.0)
+    pairs = matching.merge_two_lists(left, right, near_km=15.0, max_km=60.0).withColumn("km", F.round("km", 6))
     merged = left.select(F.col("id").alias("left_id")).join(pairs, "left_id", "left")
     only_right = right.select(F.col("id").alias("right_id")).join(pairs, "right_id", "left_anti")
     return merged.unionByName(only_right, allowMissingColumns=True)
 
 
+@query(
+    "j09_merged_list",
+    merged_sql(
+        """, l AS (SELECT *, CASE WHEN id % 3 = 0 THEN ' ' ELSE 'l' || id END AS site FROM side WHERE id % 2 = 0),
+        r AS (SELECT *, CASE WHEN id % 5 = 0 THEN NULL ELSE 'r' || id END AS site FROM side WHERE id % 2 = 1)
+        SELECT l.id AS left_id, r.id AS right_id, round(km, 6) AS km, coalesce(l.name, r.name) AS name, coalesce(l.state, r.state) AS state,
+        coalesce(nullif(trim(r.site), ''), nullif(trim(l.site), ''), '') AS site, coalesce(r.brand, '') AS brand,
+        CASE WHEN l.id IS NULL THEN CASE WHEN r.site IS NULL THEN '' ELSE 'right' END WHEN r.id IS NULL THEN 'own'
+            WHEN trim(r.site) <> '' THEN 'right' ELSE 'own' END AS site_source,
+        CASE WHEN r.id IS NULL THEN 'left' WHEN l.id IS NULL THEN 'right' ELSE 'both' END AS source
+        FROM l LEFT JOIN pairs ON left_id = l.id FULL JOIN r ON r.id = right_id"""
+    ),
+)
+def j09_list(spark, sf):
+    """Match, survivorship and source of two lists in one table."""
+    left, right = two_lists(spark, sf)
+    brands = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
+    pairs = matching.merge_two_lists(left, right, near_km=15.0, max_km=60.0)
+    left = left.withColumn("site", F.when(F.col("id") % 3 == 0, " ").otherwise(F.concat(F.lit("l"), F.col("id").cast("string"))))
+    right = right.withColumn("site", F.when(F.col("id") % 5 != 0, F.concat(F.lit("r"), F.col("id").cast("string")))).join(brands, "id")
+    has = blank_to_null(F.col("r.site")).isNotNull()
+    rule = (F.when(has, "right").otherwise("own"), F.lit("own"), F.when(has, "right").otherwise(""))
+    fields = {"name": "left", "state": "left", "site": "right", "brand": "right"}
+    out = matching.merged_list(left, right, pairs, "id", fields, chosen={"site_source": rule})
+    return out.withColumn("km", F.round("km", 6))
+
+
 @query(
     "j09_eligible_nearest",
     with_views(

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from almanac.operators import greedy as greedy_match
 from almanac.operators import matching, nearest, ranks
@@ -189,3 +190,16 @@ def test_sliced_row_numbers_and_ranks(spark):
     for v in set(ordered):
         at = [i + 1 for i, x in enumerate(ordered) if x == v]
         assert ranked[v] == sum(at) / len(at)
+
+
+def test_merged_list_has_every_row_once(spark):
+    left = spark.createDataFrame([(1, "a", ""), (2, "b", "x"), (3, None, "y")], "id long, name string, site string")
+    right = spark.createDataFrame([(10, "z", "s", "addr"), (11, "", None, "here"), (12, "w", "t", None)], "id long, name string, site string, address string")
+    pairs = spark.createDataFrame([(1, 10, 0.1), (3, 12, 0.2)], "left_id long, right_id long, km double")
+    rule = (F.concat("l.site", F.lit("/"), "r.site"), F.col("l.site"), F.lit("only"))
+    out = matching.merged_list(left, right, pairs, "id", {"name": "left", "address": "right"}, ("B", "L", "R"), {"both_sites": rule})
+    assert out.columns == ["left_id", "right_id", "km", "both_sites", "name", "address", "source"]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([
+        (1, 10, 0.1, "/s", "a", "addr", "B"), (3, 12, 0.2, "y/t", "w", "", "B"), (2, None, None, "x", "b", "", "L"), (None, 11, None, "only", "", "here", "R"),
+    ], key=repr)
+    assert matching.merged_list(left, right, pairs.where("false"), "id", {"name": "left"}).count() == 6
