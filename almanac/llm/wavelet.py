@@ -13,6 +13,7 @@ leaves nothing behind, and any store Spark writes to will do.  ``part`` is the r
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,6 +41,10 @@ PORTION = 12_000_000  # characters whose new words are encoded together
 HEAD = struct.Struct("<4sBxxxQQQ")  # magic, planes, ids, documents, bytes of the part on documents
 
 
+#: Masks of the bits of a block that lie before each place in it.
+BEFORE = ((1 << np.clip(np.arange(8 * BLOCK + 1)[:, None] - 8 * np.arange(BLOCK)[None, :], 0, 8)) - 1).astype(np.uint8)
+
+
 class Plane:
     """Bits in memory, with counts per block and chunk."""
 
@@ -92,13 +97,10 @@ def ones_before(plane: Plane | PackedPlane, at: np.ndarray) -> np.ndarray:
         mine = number == n
         rest = at[mine] - n * CHUNK_BITS
         blocks, bits = plane.chunk(n)
-        block = np.minimum(rest // (8 * BLOCK), CHUNK // BLOCK - 1)
-        inside = rest - block * 8 * BLOCK
-        where = block[:, None] * BLOCK + np.arange(BLOCK)[None, :]
-        held = np.where(where < len(bits), bits[np.minimum(where, len(bits) - 1)], np.uint8(0))
-        left = np.clip(inside[:, None] - 8 * np.arange(BLOCK)[None, :], 0, 8)  # bits of each byte that lie before
-        mask = ((1 << left) - 1).astype(np.uint8)
-        out[mine] = plane.before[n] + blocks[block] + np.bitwise_count(held & mask).sum(axis=1, dtype=np.int64)
+        rows = (bits if len(bits) % BLOCK == 0 else np.pad(bits, (0, -len(bits) % BLOCK))).reshape(-1, BLOCK)
+        block = np.minimum(rest // (8 * BLOCK), len(rows) - 1)
+        inside = np.bitwise_count(rows[block] & BEFORE[rest - block * 8 * BLOCK])
+        out[mine] = plane.before[n] + blocks[block] + inside.sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -264,14 +266,17 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known = Recent(CACHED_WORDS)
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.start = os.path.commonprefix(self.added)  # which few texts hold
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[n for piece, n in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         lower = pc.ascii_lower(pa.array(texts, pa.large_string()).cast(pa.string()))
-        whole = [pc.match_substring(lower, t, ignore_case=True).to_numpy(zero_copy_only=False) for t in self.added]
-        if (special := np.any(whole, axis=0) if whole else np.zeros(len(texts), bool)).any():
+        special = pc.match_substring(lower, self.start).to_numpy(zero_copy_only=False)
+        if self.added and special.any():
+            special &= np.any([pc.match_substring(lower, t).to_numpy(zero_copy_only=False) for t in self.added], axis=0)
+        if self.added and special.any():
             plain = iter(self.encode([t for t, s in zip(texts, special, strict=True) if not s]))
             as_they_are = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
             return [as_they_are(t) if s else next(plain) for t, s in zip(texts, special, strict=True)]
