@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,64 +15,39 @@ META_DATE_KEYS = (
 )
 
 
-class _TextNodes(HTMLParser):
-    """Collects stripped text nodes outside hidden elements."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.hidden: list[str] = []
-        self.parts: list[str] = []
-        self.run: list[str] = []
-
-    def flush(self) -> None:
-        node = "".join(self.run).strip()
-        self.run = []
-        if node:
-            self.parts.append(node)
+# Entities that pages write instead of the character; the ampersand comes last.
+ENTITIES = (
+    ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"),
+    ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"),
+    ("&eacute;", "é"), ("&amp;", "&"),
+)
 
-    def handle_starttag(self, tag, attrs):
-        self.flush()
-        if tag in _HIDDEN:
-            self.hidden.append(tag)
 
-    def handle_startendtag(self, tag, attrs):
-        self.flush()
-
-    def handle_endtag(self, tag):
-        self.flush()
-        if tag in self.hidden:
-            while self.hidden.pop() != tag:
-                pass
+def shown(html: Column) -> Column:
+    """The markup without hidden elements and comments; a hidden element that is never closed hides the rest."""
+    t = html
+    for tag in _HIDDEN:
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", "<>")
+    return F.regexp_replace(t, r"(?s)<!--.*?(?:-->|\z)", "<>")
 
-    def handle_comment(self, data):
-        self.flush()
 
-    def handle_data(self, data):
-        if not self.hidden:
-            self.run.append(data)
+def node_text(html: Column, cap: int | None = None) -> Column:
+    """The visible text nodes of a page, trimmed and joined by spaces; empty for null.  ``cap`` keeps a prefix."""
 
+    def decoded(node: Column) -> Column:
+        for entity, ch in ENTITIES:
+            node = F.replace(node, F.lit(entity), F.lit(ch))
+        return F.regexp_replace(node, r"^[\s\x{A0}]+|[\s\x{A0}]+$", "")
 
-def _text_of(html: str | None, cap: int | None) -> str:
-    if not html:
-        return ""
-    reader = _TextNodes()
-    reader.feed(html)
-    reader.close()
-    reader.flush()
-    return " ".join(reader.parts)[:cap].replace("\x00", "")
+    nodes = F.transform(F.split(shown(F.coalesce(html, F.lit(""))), r"(?s)</?[a-zA-Z!?][^>]*>|<>", -1), decoded)
+    t = F.replace(F.array_join(F.filter(nodes, lambda n: n != ""), " "), F.lit("\x00"), F.lit(""))
+    return t if cap is None else F.substring(t, 1, cap)
 
 
 def page_text(pages: DataFrame, html: str = "html", out: str = "content_text", cap: int | None = None) -> DataFrame:
-    """Replace ``html`` by its visible text, batch by batch, with the standard HTML parser; ``cap`` keeps a prefix."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[out] = [_text_of(h, cap) for h in b.pop(html)]
-            yield b
-
-    kept = [f for f in pages.schema.fields if f.name != html]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return pages.mapInPandas(run, f"{schema}, `{out}` string")
+    """Replace ``html`` by its visible text, without leaving the row."""
+    kept = [c for c in pages.columns if c != html]
+    return pages.select(*kept, node_text(F.col(html), cap).alias(out))
 
 
 def quick_text(html: Column, cap: int | None = None) -> Column:

@@ -514,7 +514,20 @@ def f20_quick(spark, sf):
     return table(spark, sf, "pages").select("page_id", pages.quick_text(F.col("html")).alias("content_text"))
 
 
-@query("f20_page_text")
+def _node_text_sql() -> str:
+    e = "coalesce(html, '')"
+    for tag in ("script", "style", "noscript", "head"):
+        e = rf"regexp_replace({e}, '(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)', '<>', 'g')"
+    e = rf"regexp_replace({e}, '(?s)<!--.*?(?:-->|\z)', '<>', 'g')"
+    node = "n"
+    for a, b in pages.ENTITIES:
+        node = "replace({}, '{}', '{}')".format(node, a, b.replace("'", "''"))
+    node = rf"regexp_replace({node}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')"
+    nodes = rf"list_transform(string_split_regex({e}, '(?s)</?[a-zA-Z!?][^>]*>|<>'), lambda n: {node})"
+    return f"SELECT page_id, array_to_string(list_filter({nodes}, lambda n: n <> ''), ' ') AS content_text FROM pages"
+
+
+@query("f20_page_text", _node_text_sql())
 def f20(spark, sf):
     return pages.page_text(spread(table(spark, sf, "pages")).select("page_id", "html"))
 
