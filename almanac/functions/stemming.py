@@ -1,11 +1,15 @@
-"""English suffix stemming (the published Porter2 rules) for full-text lexemes."""
+"""English suffix stemming (the published Porter2 rules) of a frame of distinct words, as native column expressions.
+
+Each rule is a column over the word so far, so a corpus is stemmed once per distinct word and joined back by word.
+"""
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-_V = "aeiouy"
 # Words the published rules treat as exceptions.
 _WHOLE = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl",
@@ -14,6 +18,7 @@ _WHOLE = {
 _KEEP = {"sky", "news", "howe", "atlas", "cosmos", "bias", "andes"}
 _KEEP_AFTER_PLURAL = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
 # Suffix replacements of the two region-1 steps and removals of the region-2 step.
+# Longer suffixes come first.
 _STEP2 = (
     ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"),
     ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"), ("alism", "al"),
@@ -28,81 +33,89 @@ _STEP4 = (
     "ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion",
     "al", "er", "ic",
 )
-_REGION = re.compile(f"[{_V}][^{_V}]")
-_SHORT_END = re.compile(f"(?:[^{_V}][{_V}][^{_V}wxY]|^[{_V}][^{_V}])$")
-
-
-def _regions(w: str) -> tuple[int, int]:
-    head = next((len(p) for p in ("gener", "commun", "arsen") if w.startswith(p)), None)
-    if head is None:
-        m = _REGION.search(w)
-        head = m.end() if m else len(w)
-    m = _REGION.search(w, head)
-    return head, m.end() if m else len(w)
-
-
-def _has_vowel(part: str) -> bool:
-    return any(c in _V for c in part)
-
-
-@lru_cache(maxsize=200_000)
-def stem(word: str) -> str:
-    w = word.lower().replace("’", "'")
-    if len(w) <= 2 or w in _KEEP:
-        return w
-    if w in _WHOLE:
-        return _WHOLE[w]
-    w = w.lstrip("'")
-    w = re.sub(f"(^|[{_V}])y", r"\1Y", w)
-    r1, r2 = _regions(w)
-    w = re.sub("('s'|'s|')$", "", w)
+_VOWEL, _OTHER = "[aeiouy]", "[^aeiouy]"
+_SHORT_END = f"(?:{_OTHER}{_VOWEL}[^aeiouywxY]|^{_VOWEL}{_OTHER})$"
+_HEADS = "^(?:gener|commun|arsen)"
+
+
+def _cut(w: Column, suffix: str) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - len(suffix))
+
+
+def _first_suffix(w: Column, rules: Sequence[tuple[str, Column]], otherwise: Column) -> Column:
+    """What the rule of the first suffix that the word ends with makes of it."""
+    out = otherwise
+    for suffix, made in reversed(rules):
+        out = F.when(w.endswith(suffix), made).otherwise(out)
+    return out
+
+
+def _after_first_syllable(w: Column) -> Column:
+    """Length up to and with the first consonant behind a vowel; the whole length if there is none."""
+    found = F.regexp_extract(w, f"^.*?{_VOWEL}{_OTHER}", 0)
+    return F.when(found == "", F.length(w)).otherwise(F.length(found))
+
+
+def stem_words(words: DataFrame, word: str = "word", out: str = "stem") -> DataFrame:
+    """Adds the stem of every lower-case word.  Words of one or two letters stay."""
+    w, r1, r2 = F.col("_w"), F.col("_r1"), F.col("_r2")
+    head = F.regexp_extract(w, _HEADS, 0)
+    in_r1 = lambda suffix: F.length(w) - len(suffix) >= r1
+    in_r2 = lambda suffix: F.length(w) - len(suffix) >= r2
+    short = lambda c: (F.length(c) <= r1) & c.rlike(_SHORT_END)
+    df = words.withColumn("_w", F.regexp_replace(F.regexp_replace(F.col(word), "^y", "Y"), "([aeiouy])y", "$1Y"))
+    df = df.withColumn("_r1", F.when(head != "", F.length(head)).otherwise(_after_first_syllable(w)))
+    df = df.withColumn("_r2", r1 + _after_first_syllable(F.substring(w, r1 + 1, F.length(w))))
+
     # plurals
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith(("ied", "ies")):
-        w = w[:-2] if len(w) > 4 else w[:-1]
-    elif w.endswith("s") and not w.endswith(("us", "ss")) and _has_vowel(w[:-2]):
-        w = w[:-1]
-    if w in _KEEP_AFTER_PLURAL:
-        return w
-    # past and present participles
-    m = re.search("(eedly|eed|edly|ingly|ed|ing)$", w)
-    if m and m[1].startswith("eed"):
-        if m.start() >= r1:
-            w = w[: m.start()] + "ee"
-    elif m and _has_vowel(w[: m.start()]):
-        w = w[: m.start()]
-        if w.endswith(("at", "bl", "iz")):
-            w += "e"
-        elif re.search("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$", w):
-            w = w[:-1]
-        elif r1 >= len(w) and _SHORT_END.search(w):
-            w += "e"
-    if len(w) > 2 and w[-1] in "yY" and w[-2] not in _V:
-        w = w[:-1] + "i"
-    for suffix, new in _STEP2:
-        if w.endswith(suffix):
-            at = len(w) - len(suffix)
-            ok = at >= r1 and not (suffix == "ogi" and w[at - 1] != "l")
-            if ok and not (suffix == "li" and w[at - 1] not in "cdeghkmnrt"):
-                w = w[:at] + new
-            break
-    for suffix, new in _STEP3:
-        if w.endswith(suffix):
-            at = len(w) - len(suffix)
-            if at >= (r2 if suffix == "ative" else r1):
-                w = w[:at] + new
-            break
-    for suffix in _STEP4:
-        if w.endswith(suffix):
-            at = len(w) - len(suffix)
-            if at >= r2 and not (suffix == "ion" and w[at - 1] not in "st"):
-                w = w[:at]
-            break
-    if w.endswith("e"):
-        at = len(w) - 1
-        if at >= r2 or (at >= r1 and not _SHORT_END.search(w[:at])):
-            w = w[:at]
-    elif w.endswith("ll") and len(w) - 1 >= r2:
-        w = w[:-1]
-    return w.replace("Y", "y")
+    ie = F.when(F.length(w) > 4, _cut(w, "es")).otherwise(_cut(w, "s"))
+    ied = F.when(F.length(w) > 4, _cut(w, "ed")).otherwise(_cut(w, "d"))
+    plural = F.when(w.rlike(f"{_VOWEL}.+s$"), _cut(w, "s")).otherwise(w)
+    df = df.withColumn("_w", _first_suffix(w, [("sses", _cut(w, "es")), ("ied", ied), ("ies", ie), ("us", w), ("ss", w), ("s", plural)], w))
+    kept = w.isin(*sorted(_KEEP_AFTER_PLURAL))
+    df = df.withColumn("_done", kept)
+
+    # past and progressive forms
+    def without(suffix: str) -> Column:
+        part = _cut(w, suffix)
+        mended = (
+            F.when(part.rlike("(?:at|bl|iz)$"), F.concat(part, F.lit("e")))
+            .when(part.rlike("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.substring(part, F.lit(1), F.length(part) - 1))
+            .when(short(part), F.concat(part, F.lit("e")))
+            .otherwise(part)
+        )
+        return F.when(part.rlike(_VOWEL), mended).otherwise(w)
+
+    eed = lambda suffix: F.when(in_r1(suffix), F.concat(_cut(w, suffix), F.lit("ee"))).otherwise(w)
+    forms = [("eedly", eed("eedly")), ("eed", eed("eed"))] + [(x, without(x)) for x in ("ingly", "edly", "ing", "ed")]
+    df = df.withColumn("_w", F.when(F.col("_done"), w).otherwise(_first_suffix(w, forms, w)))
+    df = df.withColumn("_w", F.when(F.col("_done"), w).otherwise(F.regexp_replace(w, f"^(.+{_OTHER})[yY]$", "$1i")))
+
+    # derivations
+    def replaced(suffix: str, new: str) -> Column:
+        fits = in_r1(suffix)
+        if suffix == "ogi":
+            fits = fits & w.endswith("logi")
+        if suffix == "li":
+            fits = fits & w.rlike("[cdeghkmnrt]li$")
+        if suffix == "ative":
+            fits = fits & in_r2(suffix)
+        return F.when(fits, F.concat(_cut(w, suffix), F.lit(new))).otherwise(w)
+
+    for step in (_STEP2, _STEP3):
+        df = df.withColumn("_w", F.when(F.col("_done"), w).otherwise(_first_suffix(w, [(a, replaced(a, b)) for a, b in step], w)))
+
+    def removed(suffix: str) -> Column:
+        fits = in_r2(suffix) & w.rlike("[st]ion$") if suffix == "ion" else in_r2(suffix)
+        return F.when(fits, _cut(w, suffix)).otherwise(w)
+
+    df = df.withColumn("_w", F.when(F.col("_done"), w).otherwise(_first_suffix(w, [(a, removed(a)) for a in _STEP4], w)))
+    last_e = F.when(in_r2("e") | (in_r1("e") & ~_cut(w, "e").rlike(_SHORT_END)), _cut(w, "e")).otherwise(w)
+    last_l = F.when(in_r2("l") & w.endswith("ll"), _cut(w, "l")).otherwise(w)
+    df = df.withColumn("_w", F.when(F.col("_done"), w).otherwise(_first_suffix(w, [("e", last_e), ("l", last_l)], w)))
+
+    given = F.col(word)
+    stem = F.when((F.length(given) <= 2) | given.isin(*sorted(_KEEP)), given)
+    for a, b in _WHOLE.items():
+        stem = stem.when(given == a, b)
+    return df.withColumn(out, stem.otherwise(F.lower(w))).drop("_w", "_r1", "_r2", "_done")

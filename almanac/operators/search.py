@@ -9,11 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-from almanac.functions.stemming import stem
+from almanac.functions.stemming import stem_words
 from almanac.operators.text import has_keyword, lexicon_pattern
-from almanac.session import materialise
+from almanac.session import join_counted, materialise
 
 WORD_SPLIT = r"(?U)[^\w]+"
 MAX_SIM = 0.25
@@ -38,14 +37,22 @@ def lexemes(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
     return F.array_except(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_SPLIT), drop)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stems(words: pd.Series) -> pd.Series:
-    """English stems of a word list; each worker remembers the stems it has seen."""
-    return words.map(lambda ws: sorted({stem(w) for w in ws}))
+def stemmed_index(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(lexeme, key) rows of English stems: the distinct words of the corpus are stemmed once and joined back by word."""
+    words = materialise(df.select(F.col(key), F.explode(lexemes(F.col(text), stop)).alias("word")), "words")
+    stems = materialise(stem_words(words.select("word").distinct()), "stems")
+    return join_counted(words, stems, "word", "inner").select(F.col("stem").alias("lexeme"), key).distinct()
 
 
-def stemmed(text: Column) -> Column:
-    return stems(lexemes(text))
+def with_any(index: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
+    """Keys of rows that have any of the lexemes."""
+    return index.where(F.col("lexeme").isin(*terms)).select(key).distinct()
+
+
+def with_all(index: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
+    """Keys of rows that have all of the lexemes."""
+    found = index.where(F.col("lexeme").isin(*terms)).groupBy(key).agg(F.count_distinct("lexeme").alias("n"))
+    return found.where(F.col("n") == len(set(terms))).select(key)
 
 
 def matches_any(lex: Column, terms: Sequence[str]) -> Column:
