@@ -93,15 +93,19 @@ def _tree_sql(leaves) -> str:
 
 
 OP6_SQL = f"""
-WITH rows AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, strlen(coalesce(text, '')) + 1 AS size FROM documents),
-placed AS (SELECT doc_id, size, CAST('0x' || substr(md5(k), 1, 13) AS BIGINT) AS o,
+WITH crc AS (SELECT list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+rows AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, strlen(coalesce(text, '')) + 1 AS size,
+  xor(4294967295, list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+    lambda h: CAST('0x' || h AS BIGINT)), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]))) AS text_crc32 FROM documents, crc),
+placed AS (SELECT doc_id, size, text_crc32, CAST('0x' || substr(md5(k), 1, 13) AS BIGINT) AS o,
   CAST({_tree_sql(sharding.topology(8))} AS INT) AS shard, CAST({_tree_sql(sharding.topology(9))} AS INT) AS grown_shard FROM rows)
-SELECT doc_id, CAST(size AS BIGINT) AS size, 'key' AS law, shard, grown_shard,
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard, grown_shard,
        CAST(row_number() OVER (PARTITION BY shard ORDER BY o, doc_id, size) - 1 AS BIGINT) AS slot FROM placed
 """
 
 
-@query("op6_sharding")
+@query("op6_sharding", OP6_SQL)
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"))
 
