@@ -338,7 +338,34 @@ def j13(spark, sf):
     return out.select("id", *[F.round(c, 6).alias(c) for c in ("dist_0", "dist_1", "dist_99")])
 
 
-@query("j13_nearest_polygon")
+def _polygon_sql() -> str:
+    """Every point with every 0.1 degree piece of the squares: the nearest by its chord on the sphere, then its distance in place."""
+    xyz = lambda lat, lon, to: f"cos(radians({lat})) * cos(radians({lon})) AS x{to}, cos(radians({lat})) * sin(radians({lon})) AS y{to}, sin(radians({lat})) AS z{to}"
+    dot = lambda a, b: " + ".join(f"({a.format(c)}) * ({b.format(c)})" for c in "xyz")
+    way, to = "{0}2 - {0}1", "{0} - {0}1"
+    gap = "{0} - {0}1 - t * ({0}2 - {0}1)"
+    return f"""+ {BOXES_SQL}, sq AS (SELECT i, i * 2.0::DOUBLE - 0.5::DOUBLE AS x0, j * 2.0::DOUBLE - 0.5::DOUBLE AS y0, 2.7::DOUBLE AS side FROM box
+            UNION ALL SELECT i, i * 2.0::DOUBLE - 0.5::DOUBLE + 0.5::DOUBLE, j * 2.0::DOUBLE - 0.5::DOUBLE + 0.5::DOUBLE, 1.0::DOUBLE FROM box WHERE i % 3 = 0),
+        edge AS (SELECT x0 + a * side AS lon1, y0 + b * side AS lat1, x0 + c * side AS lon2, y0 + d * side AS lat2
+            FROM sq, (VALUES (0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0)) v(a, b, c, d)),
+        n AS (SELECT *, CAST(greatest(ceil(greatest(abs(lat2 - lat1), abs(lon2 - lon1)) / 0.1::DOUBLE), 1) AS BIGINT) AS n FROM edge),
+        piece AS (SELECT DISTINCT lat1 + (lat2 - lat1) * k / n AS lat1, lon1 + (lon2 - lon1) * k / n AS lon1,
+            lat1 + (lat2 - lat1) * (k + 1) / n AS lat2, lon1 + (lon2 - lon1) * (k + 1) / n AS lon2 FROM n, range(28) r(k) WHERE k < n),
+        p3 AS MATERIALIZED (SELECT *, {xyz('lat1', 'lon1', '1')}, {xyz('lat2', 'lon2', '2')} FROM piece),
+        q3 AS (SELECT id, lat, lon, {xyz('lat', 'lon', '')} FROM geo),
+        held AS (SELECT DISTINCT id FROM geo JOIN box ON lon > i * 2 - 0.5 AND lon < i * 2 + 2.2 AND lat > j * 2 - 0.5 AND lat < j * 2 + 2.2
+            AND NOT (i % 3 = 0 AND lon > i * 2 AND lon < i * 2 + 1 AND lat > j * 2 AND lat < j * 2 + 1)),
+        d AS (SELECT id, lat, lon, lat1, lon1, lat2, lon2, {dot(gap, gap)} AS d2 FROM (SELECT *, greatest(0, least(1,
+            coalesce(({dot(to, way)}) / nullif({dot(way, way)}, 0), 0))) AS t FROM q3, p3 WHERE id NOT IN (FROM held))),
+        best AS (SELECT id, any_value(lat) AS lat, any_value(lon) AS lon, arg_min({{'a': lat1, 'b': lon1, 'c': lat2, 'd': lon2}}, d2) AS e FROM d GROUP BY id),
+        s AS (SELECT *, cos(radians(lat)) AS w FROM best),
+        u AS (SELECT *, greatest(0, least(1, -((e.b - lon) * w * (e.d - e.b) * w + (e.a - lat) * (e.c - e.a))
+            / (pow((e.d - e.b) * w, 2) + pow(e.c - e.a, 2)))) AS t FROM s),
+        f AS (SELECT id, lat, lon, e.a + (e.c - e.a) * t AS flat, e.b + (e.d - e.b) * t AS flon FROM u)
+        SELECT id, round({HAV_SQL.format('lat', 'flat', 'lon', 'flon')}, 6) AS dist_0 FROM f UNION ALL SELECT id, 0.0::DOUBLE FROM held"""
+
+
+@query("j13_nearest_polygon", with_views("geo", _polygon_sql()))
 def j13_polygon(spark, sf):
     g = t.geo(spark, sf)
     shapes = boxes(spark, sf).withColumn("label", F.lit(0))
