@@ -47,11 +47,13 @@ def cluster_profiles(clustered: DataFrame, columns: Sequence[str], group: str, l
 
 
 def pca_project(df: DataFrame, columns: Sequence[str], k: int = 2) -> DataFrame:
-    """First ``k`` principal components as ``pc1..``."""
+    """First ``k`` principal components of centred columns as ``pc1..``; the largest loading of each is positive."""
     vectors = assemble(df, columns)
     model = PCA(k=k, inputCol="features", outputCol="_pc").fit(vectors)
+    loadings = model.pc.toArray()
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
     out = model.transform(vectors).withColumn("_a", vector_to_array("_pc"))
-    return out.select(*df.columns, *[F.col("_a")[i].alias(f"pc{i + 1}") for i in range(k)])
+    return out.select(*df.columns, *[(F.col("_a")[i] * float(signs[i])).alias(f"pc{i + 1}") for i in range(k)])
 
 
 def pca_by_variance(train: DataFrame, other: DataFrame, vector: str, share: float = 0.95) -> tuple[DataFrame, DataFrame, int]:

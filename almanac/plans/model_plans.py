@@ -285,9 +285,27 @@ def m02(spark, sf):
     return clusters.centre_quality(features(spark, sf), FEATURES)
 
 
-@query("m04_pca_projection")
+def _pca_sql() -> str:
+    """The two leading eigenvectors of the covariance by power iteration, the second after the first is taken out."""
+    d = len(FEATURES)
+    x = f"[{', '.join(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()' for c in FEATURES)}]"
+    matrix = f"[{', '.join('[' + ', '.join(f'avg(x[{i + 1}] * x[{j + 1}])' for j in range(d)) + ']' for i in range(d))}]"
+    start = f"[{', '.join(f'{1 + 0.37 * i}::DOUBLE' for i in range(d))}]"
+    power = lambda name, of: f"""{name}_it AS (SELECT 0 AS k, {start} AS v, 0.0::DOUBLE AS size UNION ALL
+            SELECT k + 1, list_transform(w, lambda z: z / sqrt(list_dot_product(w, w))), sqrt(list_dot_product(w, w))
+            FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM {name}_it, {of} WHERE k < 1500)),
+        {name}_raw AS (SELECT v, size FROM {name}_it WHERE k = 1500),
+        {name} AS (SELECT size, CASE WHEN list_max(list_transform(v, lambda z: abs(z))) = list_max(v) THEN v
+            ELSE list_transform(v, lambda z: -z) END AS v FROM {name}_raw)"""
+    return f"""+ {CLICK_SQL}, {FEATURE_SQL}, x AS MATERIALIZED (SELECT entity_id, {x} AS x FROM f), cov AS (SELECT {matrix} AS m FROM x), {power('a', 'cov')},
+        rest AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda z, j: z - size * v[i] * v[j])) AS m FROM cov, a), {power('b', 'rest')}
+        SELECT entity_id, round(list_dot_product(x, a.v), 4) AS pc1, round(list_dot_product(x, b.v), 4) AS pc2 FROM x, a, b"""
+
+
+@query("m04_pca_projection", with_views("action entity race", _pca_sql()).replace("WITH ", "WITH RECURSIVE ", 1))
 def m04(spark, sf):
-    return modelling.pca_project(features(spark, sf).select("entity_id", *FEATURES), FEATURES).select("entity_id", "pc1", "pc2")
+    out = modelling.pca_project(features(spark, sf).select("entity_id", *FEATURES), FEATURES).select("entity_id", "pc1", "pc2")
+    return rounded(out, "pc1", "pc2", places=4)
 
 
 def labelled_vectors(spark, sf):
