@@ -10,9 +10,6 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no identity in a name, for the two matching jobs.
-GENERIC_STOP_WORDS = ("of", "the", "and", "a", "center", "community")
-
 NAME_MATCH_SHARE = 0.65
 
 
@@ -42,7 +39,7 @@ def normal_name(col: Column) -> Column:
     return F.trim(words)
 
 
-def name_tokens(normal: Column, stop: Sequence[str] = GENERIC_STOP_WORDS) -> Column:
+def name_tokens(normal: Column, stop: Sequence[str] = ()) -> Column:
     """Distinct words of a normalised name without stop words."""
     drop = F.array(*[F.lit(w) for w in ("", *stop)])
     return F.array_except(F.split(normal, " "), drop)
@@ -58,7 +55,7 @@ def token_share(a: Column, b: Column) -> Column:
 def names_match(
     normal_a: Column,
     normal_b: Column,
-    stop: Sequence[str] = GENERIC_STOP_WORDS,
+    stop: Sequence[str] = (),
     share: float = NAME_MATCH_SHARE,
     equal_first: bool = True,
 ) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.geo import haversine_km, unit_xyz
-from almanac.functions.names import GENERIC_STOP_WORDS, NAME_MATCH_SHARE, name_tokens, normal_name, token_share
+from almanac.functions.names import NAME_MATCH_SHARE, name_tokens, normal_name, token_share
 from almanac.functions.values import blank_to_null
 from almanac.operators.nearest import nearest_places
 from almanac.operators.ranks import order_bounds, row_number_within, slice_of
@@ -39,7 +39,7 @@ def _prefix_tokens(classes: DataFrame, share: float) -> DataFrame:
 
 
 def name_class_pairs(
-    left: DataFrame, right: DataFrame, stop: Sequence[str] = GENERIC_STOP_WORDS, share: float = NAME_MATCH_SHARE
+    left: DataFrame, right: DataFrame, stop: Sequence[str] = (), share: float = NAME_MATCH_SHARE
 ) -> DataFrame:
     """Pairs (l_norm, r_norm, state) of distinct names that match within one state key.
 
@@ -77,7 +77,7 @@ def first_match_fill(
     state: str,
     seq: str,
     payload: Sequence[str],
-    stop: Sequence[str] = GENERIC_STOP_WORDS,
+    stop: Sequence[str] = (),
     share: float = NAME_MATCH_SHARE,
 ) -> DataFrame:
     """For each row the first reference record (by ``seq``) with a fitting state and name.
@@ -158,7 +158,7 @@ def merge_two_lists(
     lon: str = "lon",
     near_km: float = 0.2,
     max_km: float = 1.0,
-    stop: Sequence[str] = GENERIC_STOP_WORDS,
+    stop: Sequence[str] = (),
 ) -> DataFrame:
     """Match two lists as a loop over the left list would: each left row, in ``seq`` order, takes
     the nearest unused right row that is within ``near_km``, or within ``max_km`` with the same

@@ -13,7 +13,7 @@ from almanac.plans.registry import query
 from almanac.plans.scalar_plans import CANON_SQL, HAV_SQL
 from almanac.plans.tables import table, with_views
 from almanac.session import materialise
-from almanac.presets import DENSE_BOXES
+from almanac.presets import DENSE_BOXES, FILL_STOP_WORDS, MERGE_STOP_WORDS
 from almanac.plans.text_plans import CENTROID_SQL, phrases
 
 
@@ -154,7 +154,7 @@ FILL_SQL = """rows_ AS (SELECT p_partkey AS id, string_split(lower(concat(p_type
 @query("j07_first_match_fill", f"WITH {FILL_SQL} SELECT id, min(seq) AS seq FROM cand GROUP BY id")
 def j07(spark, sf):
     rows, ref = fill_rows(spark, sf)
-    return matching.first_match_fill(rows, ref, "id", "name", "state", "seq", ["site"]).select("id", "seq")
+    return matching.first_match_fill(rows, ref, "id", "name", "state", "seq", ["site"], FILL_STOP_WORDS).select("id", "seq")
 
 
 @query(
@@ -167,7 +167,7 @@ def j07(spark, sf):
 )
 def j08(spark, sf):
     rows, ref = fill_rows(spark, sf)
-    found = lambda r: matching.first_match_fill(rows, r, "id", "name", "state", "seq", []).select(
+    found = lambda r: matching.first_match_fill(rows, r, "id", "name", "state", "seq", [], FILL_STOP_WORDS).select(
         "id", F.col("seq").cast("string").alias("seq")
     )
     base = rows.select("id", F.when(F.col("id") % 5 == 0, "0").otherwise(" ").alias("seq"))
@@ -182,7 +182,7 @@ def two_lists(spark, sf):
 
 
 MERGE_SQL = f"""+ side AS (SELECT id, lat, lon, p_name AS name, p_type AS state, p_brand AS brand, p_retailprice AS price,
-        list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda w: w NOT IN ('of', 'the', 'and', 'a', 'center', 'community')) AS ws
+        list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda w: w NOT IN {MERGE_STOP_WORDS}) AS ws
         FROM geo JOIN part ON id = p_partkey),
     near AS (SELECT a.id AS l, b.id AS r, {HAV_SQL.format('a.lat', 'b.lat', 'a.lon', 'b.lon')} AS km, upper(a.state) = upper(b.state)
         AND len(list_intersect(a.ws, b.ws)) / CAST(greatest(len(a.ws), len(b.ws)) AS DOUBLE) >= 0.65 AS named
@@ -209,7 +209,7 @@ def merged_sql(body: str) -> str:
 )
 def j09(spark, sf):
     left, right = two_lists(spark, sf)
-    pairs = matching.merge_two_lists(left, right, near_km=15.0, max_km=60.0).withColumn("km", F.round("km", 6))
+    pairs = matching.merge_two_lists(left, right, near_km=15.0, max_km=60.0, stop=MERGE_STOP_WORDS).withColumn("km", F.round("km", 6))
     merged = left.select(F.col("id").alias("left_id")).join(pairs, "left_id", "left")
     only_right = right.select(F.col("id").alias("right_id")).join(pairs, "right_id", "left_anti")
     return merged.unionByName(only_right, allowMissingColumns=True)
@@ -232,7 +232,7 @@ def j09_list(spark, sf):
     """Match, survivorship and source of two lists in one table."""
     left, right = two_lists(spark, sf)
     brands = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
-    pairs = matching.merge_two_lists(left, right, near_km=15.0, max_km=60.0)
+    pairs = matching.merge_two_lists(left, right, near_km=15.0, max_km=60.0, stop=MERGE_STOP_WORDS)
     left = left.withColumn("site", F.when(F.col("id") % 3 == 0, " ").otherwise(F.concat(F.lit("l"), F.col("id").cast("string"))))
     right = right.withColumn("site", F.when(F.col("id") % 5 != 0, F.concat(F.lit("r"), F.col("id").cast("string")))).join(brands, "id")
     has = blank_to_null(F.col("r.site")).isNotNull()

@@ -9,6 +9,7 @@ from almanac.operators import rollups
 from almanac.plans import tables as t
 from almanac.plans.registry import query
 from almanac.plans.tables import table, with_views
+from almanac.presets import FILL_STOP_WORDS
 from almanac.session import spread
 
 # ---- names -----------------------------------------------------------------
@@ -25,12 +26,12 @@ def f01(spark, sf):
     "f02_name_tokens",
     f"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(
         string_split({NORMAL_SQL.format("concat(p_type, ' of the ', p_name)")}, ' '),
-        lambda x: x NOT IN ('', 'of','the','and','a','center','community')))), ' ') AS tokens FROM part""",
+        lambda x: x NOT IN {('', *FILL_STOP_WORDS)}))), ' ') AS tokens FROM part""",
 )
 def f02(spark, sf):
     full = names.normal_name(F.concat("p_type", F.lit(" of the "), "p_name"))
     return table(spark, sf, "part").select(
-        "p_partkey", F.array_join(F.array_sort(names.name_tokens(full)), " ").alias("tokens")
+        "p_partkey", F.array_join(F.array_sort(names.name_tokens(full, FILL_STOP_WORDS)), " ").alias("tokens")
     )
 
 
@@ -49,8 +50,8 @@ def f03(spark, sf):
     nxt = p.select((F.col("k") - 1).alias("k"), F.col("n").alias("m"))
     return p.join(nxt, "k").select(
         "k",
-        F.round(names.token_share(names.name_tokens(F.col("n")), names.name_tokens(F.col("m"))), 6).alias("share"),
-        names.names_match(F.col("n"), F.col("m")).alias("is_match"),
+        F.round(names.token_share(names.name_tokens(F.col("n"), FILL_STOP_WORDS), names.name_tokens(F.col("m"), FILL_STOP_WORDS)), 6).alias("share"),
+        names.names_match(F.col("n"), F.col("m"), FILL_STOP_WORDS).alias("is_match"),
     )
 
 

@@ -28,8 +28,9 @@ def test_normal_name_equals_nfd_rule(spark):
 
 
 def test_name_match_rule(spark):
+    stop = presets.FILL_STOP_WORDS
     rows = [("hill house", "house of the hill"), ("a b c", "a b d"), ("the center", "the center"), ("the center", "of"), ("x y z", "x y q")]
-    got = each(spark, rows, "a string, b string", m=names.names_match(F.col("a"), F.col("b")), s=names.token_share(names.name_tokens(F.col("a")), names.name_tokens(F.col("b"))))
+    got = each(spark, rows, "a string, b string", m=names.names_match(F.col("a"), F.col("b"), stop), s=names.token_share(names.name_tokens(F.col("a"), stop), names.name_tokens(F.col("b"), stop)))
     assert [r.m for r in got] == [True, False, True, False, True]
     assert got[3].s is None
 
