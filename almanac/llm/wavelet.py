@@ -263,7 +263,8 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # for words, which hold none: the library does not look for them
         self.known = Recent(CACHED_WORDS)
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.start = os.path.commonprefix(self.added)  # which few texts hold
@@ -278,7 +279,7 @@ class WordEncoder:
             special &= np.any([pc.match_substring(lower, t).to_numpy(zero_copy_only=False) for t in self.added], axis=0)
         if self.added and special.any():
             plain = iter(self.encode([t for t, s in zip(texts, special, strict=True) if not s]))
-            as_they_are = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            as_they_are = lambda t: np.array(self.plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
             return [as_they_are(t) if s else next(plain) for t, s in zip(texts, special, strict=True)]
         words, number, offsets = numbered(pc.ascii_split_whitespace(lower))
         # a comma or full stop behind a letter is a token of its own, which the words before it share
