@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.cache import Recent, gathered, held, numbered, portions
+from almanac.llm.cache import Recent, gathered, held, numbered
 from almanac.llm.common import small_batches
 from almanac.session import scratch_path
 
@@ -317,6 +317,22 @@ def _cut(words: list[str], ids: np.ndarray, cuts: np.ndarray) -> dict[str, bytes
     return {w: raw[i:j] for w, i, j in zip(words, at[:-1], at[1:], strict=True)}
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of about ``PORTION`` characters, over the ends of batches; a longer text is a portion of its own."""
+    keys, texts, size = [], [], 0
+    for b in batches:
+        for key, value in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            text = value.as_py()
+            if texts and size + len(text) > PORTION:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+            keys.append(key)
+            texts.append(text)
+            size += len(text)
+    if texts:
+        yield keys, texts
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes the shards of ``docs`` (doc_id, text) and returns them as read: part, seq, n_docs, n_tokens, blob.
 
@@ -339,9 +355,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shar
             row = {"part": part, "seq": seq, "n_docs": len(doc_ids), "n_tokens": total}
             return pa.RecordBatch.from_pylist([row | {"blob": pack(matrix, doc_ids, np.array(lengths))}], SHARD_ARROW)
 
-        for b in batches:
-            encoded = (x for texts in portions(b.column("text"), PORTION) for x in encoder.encode(texts))
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoded, strict=True):
+        for keys, texts in _portions(batches):
+            for doc_id, ids in zip(keys, encoder.encode(texts), strict=True):
                 kept += (ids, end)
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4 + 1)
