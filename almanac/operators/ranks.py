@@ -12,19 +12,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from almanac.session import join_counted, materialise
 
-SLICE_ROWS = 2_000_000
+SLICE_ROWS, LEAST_SLICE = 2_000_000, 1_000
 
 
-def order_bounds(df: DataFrame, order: str, slice_rows: int = SLICE_ROWS) -> list[float]:
-    """Cut points along ``order`` for slices of about ``slice_rows`` rows; empty for a small frame."""
-    parts = math.ceil(df.count() / slice_rows)
+def order_bounds(df: DataFrame, order: str, slice_rows: int | None = None) -> list[float]:
+    """Cut points along ``order`` for slices of at most about ``SLICE_ROWS`` rows, sixteen slices if there are rows enough.
+
+    Only numbers are cut; along any other order a group stays in one slice.
+    """
+    if not isinstance(df.schema[order].dataType, NumericType):
+        return []
+    n = df.count()
+    parts = math.ceil(n / (slice_rows or min(SLICE_ROWS, max(LEAST_SLICE, math.ceil(n / 16)))))
     if parts <= 1:
         return []
     at = [i / parts for i in range(1, parts)]
-    return sorted(set(df.agg(F.percentile_approx(F.col(order).cast("double"), at, 10 * parts)).first()[0]))
+    return sorted(set(df.agg(F.percentile_approx(F.col(order).cast("double"), at, 10 * parts)).first()[0] or []))
 
 
 def slice_of(order: Column, bounds: Sequence[float]) -> Column:
