@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators import greedy as greedy_match
 from almanac.operators import matching, nearest, ranks
+from almanac.presets import FILL_STOP_WORDS
 
 
 def hav(a, b):
@@ -173,7 +174,7 @@ def test_first_match_fill_takes_first_fitting_record(spark):
         [(1, "Hill House", "NJ", "a"), (2, "hill  hóuse", "NY", "b"), (3, "The Community Center", "NJ", "c"), (4, "X", "", "d")],
         "seq long, name string, state string, site string",
     )
-    got = matching.first_match_fill(rows, ref, "id", "name", "state", "seq", ["site"]).collect()
+    got = matching.first_match_fill(rows, ref, "id", "name", "state", "seq", ["site"], FILL_STOP_WORDS).collect()
     assert {r.id: r.site for r in got} == {1: "b", 2: "a", 3: "c"}
 
 
