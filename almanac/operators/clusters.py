@@ -1,9 +1,11 @@
 """k-means for many cluster counts at once, and the quality of clusterings from a tree of cells.
 
-All starts of all counts advance together: a pass over the rows updates every model that still moves, and gives one row
-per centre.  Silhouettes never pair rows with rows.  A tree cuts the feature space into cells; per cell and cluster three
-sums are kept (weight, coordinates, squares), from which the mean distance of any row to the members lies between two
-exact bounds.  A row walks the tree and opens only the cells whose bounds are apart by more than the tolerance.
+Equal rows are one row with a weight, so passes grow with the number of distinct rows.  All starts of all counts advance
+together: a pass over the rows updates every model that still moves, and gives one row per centre.  For silhouettes a tree
+cuts the feature space into cells; per cell and cluster three sums are kept (weight, coordinates, squares), from which the
+mean distance of any row to the members lies between two exact bounds.  Cells are opened while their bounds may be apart by
+more than the tolerance.  Only a tolerance of 0 asks for all pairs of distinct rows: they meet as tiles, each in a group of
+its own.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from almanac.session import materialise
 SAMPLE_ROWS = 20_000  # distinct rows, by smallest hash, that place the first centres and the cuts of the tree
 LEAVES = 4_096  # cells of the tree
 TOLERANCE = 0.01  # a cell is opened if its mean distance is known less exactly than that
+BLOCK = 1 << 19  # distances computed at once
+CHUNK_ROWS, CHUNKS = 2_048, 32  # rows of a chunk of all pairs while there are few; most chunks
+WEIGHT = "_w"  # column: how many rows a distinct row stands for
 ROUNDS, STILL = 300, 1e-4  # most passes; a model rests when its centres move by less than this share of the mean variance
 
 
@@ -45,6 +50,14 @@ class Quality:
     davies_bouldin: float
 
 
+def weighted(rows: DataFrame, columns: Sequence[str], labels: Sequence[str] = ()) -> DataFrame:
+    """Distinct rows of the columns (and labels) with their number ``_w``, dealt out to all cores; of such a frame itself."""
+    if WEIGHT in rows.columns:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return materialise(rows.groupBy(*columns, *labels).agg(F.count("*").alias(WEIGHT)).repartition(cores), "distinct")
+
+
 def hash_sample(rows: DataFrame, columns: Sequence[str], size: int = SAMPLE_ROWS) -> np.ndarray:
     """Distinct rows of the smallest hashes: a bounded sample that does not depend on partitions."""
     distinct = rows.select(*columns).distinct().withColumn("_h", F.xxhash64(*columns))
@@ -67,11 +80,15 @@ def first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.nd
     return np.array(centres)
 
 
-def _assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest centre (ties to the first) and squared distance."""
-    square = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
-    best = square.argmin(axis=1)
-    return best, square[np.arange(len(x)), best]
+def _assigned(x: np.ndarray, all_centres: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per model the index of the nearest centre (ties to the first) and squared distance; one product for all models."""
+    every = np.concatenate(all_centres)
+    half = (every**2).sum(axis=1) / 2 - x @ every.T
+    at = 0
+    for centres in all_centres:
+        best = half[:, at : at + len(centres)].argmin(axis=1)
+        at += len(centres)
+        yield best, ((x - centres[best]) ** 2).sum(axis=1)
 
 
 def _pass(rows: DataFrame, columns: Sequence[str], models: Sequence[Model]) -> dict[tuple[int, int], tuple[int, float, float, np.ndarray]]:
@@ -82,17 +99,17 @@ def _pass(rows: DataFrame, columns: Sequence[str], models: Sequence[Model]) -> d
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            x = b.to_numpy(float)
-            for m, centres in enumerate(all_centres):
-                best, square = _assigned(x, centres)
+            x, w = b[list(columns)].to_numpy(float), b[WEIGHT].to_numpy(float)
+            for m, (best, square) in enumerate(_assigned(x, all_centres)):
+                share = np.zeros((len(x), len(all_centres[m])))
+                share[np.arange(len(x)), best] = w
+                parts = share.T @ np.column_stack([np.ones(len(x)), square, np.sqrt(square), x])
                 for c in np.unique(best):
-                    mine = best == c
-                    part = np.concatenate([[mine.sum(), square[mine].sum(), np.sqrt(square[mine]).sum()], x[mine].sum(axis=0)])
-                    held[m, int(c)] = held.get((m, int(c)), 0) + part
+                    held[m, int(c)] = held.get((m, int(c)), 0) + parts[c]
         if held:
             yield pd.DataFrame([(m, c, int(v[0]), *v[1:]) for (m, c), v in held.items()], columns=["m", "c", "n", "cost", "spread", *names])
 
-    made = rows.select(*columns).mapInPandas(sums, f"m int, c int, n long, cost double, spread double, {', '.join(f'{s} double' for s in names)}")
+    made = weighted(rows, columns).select(*columns, WEIGHT).mapInPandas(sums, f"m int, c int, n long, cost double, spread double, {', '.join(f'{s} double' for s in names)}")
     total = made.groupBy("m", "c").agg(*[F.sum(v).alias(v) for v in ("n", "cost", "spread", *names)])
     return {(r["m"], r["c"]): (r["n"], r["cost"], r["spread"], np.array([r[s] for s in names])) for r in total.collect()}
 
@@ -101,6 +118,7 @@ def fit_models(
     rows: DataFrame, columns: Sequence[str], ks: Sequence[int], n_init: int = 10, seed: int = 42, rounds: int = ROUNDS
 ) -> dict[int, Model]:
     """The start of least inertia for every number of clusters (the first of equal ones)."""
+    rows = weighted(rows, columns)
     sample = hash_sample(rows, columns)
     if not len(sample):
         return {}
@@ -207,19 +225,20 @@ def _leaf_sums(rows: DataFrame, columns: Sequence[str], labels: Sequence[str], t
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = b[list(columns)].to_numpy(float)
+            x, w = b[list(columns)].to_numpy(float), b[WEIGHT]
             leaf = tree.leaf_of(x)
             for g, label in enumerate(labels):
-                frame = pd.DataFrame(x).groupby([leaf, b[label].to_numpy()])
-                part = pd.concat([frame.sum(), (pd.DataFrame(x**2).groupby([leaf, b[label].to_numpy()])).sum(), frame.min(), frame.max()], axis=1)
+                by = [leaf, b[label].to_numpy()]
+                each, of = pd.DataFrame(x).groupby(by), w.to_numpy()[:, None]
+                part = pd.concat([*[pd.DataFrame(v * of).groupby(by).sum() for v in (x, x**2)], each.min(), each.max()], axis=1)
                 part.columns = names
-                part.insert(0, "w", frame.size())
+                part.insert(0, "w", w.groupby(by).sum())
                 part.index.names = ["leaf", "c"]
                 part = part.reset_index()
                 part.insert(0, "g", g)
                 yield part
 
-    made = rows.select(*columns, *labels).mapInPandas(sums, f"g int, leaf int, c int, w long, {', '.join(f'{n} double' for n in names)}")
+    made = weighted(rows, columns, labels).select(*columns, *labels, WEIGHT).mapInPandas(sums, f"g int, leaf int, c int, w long, {', '.join(f'{n} double' for n in names)}")
     combine = {"s": F.sum, "q": F.sum, "lo": F.min, "hi": F.max}
     return made.groupBy("g", "leaf", "c").agg(
         F.sum("w").alias("w"), *[combine[n.rstrip("0123456789")](n).alias(n) for n in names]
@@ -255,29 +274,80 @@ def mean_distances(x: np.ndarray, tree: Tree, sums: Sums, tolerance: float) -> t
     """Least and largest possible summed distance of every row to the members of every cluster.
 
     Distance is convex, so the members' mean distance is at least that to their mean; its square is at most the mean
-    square, so it is at most the root of squared distance plus variance.
+    square, so it is at most the root of squared distance plus variance.  These bounds are apart by the root of the variance
+    at most, so the nodes to open are the same for all rows.
     """
+    node, cluster = _cells(tree, sums, tolerance)
+    mean, variance, weight = sums.mean[node, cluster], sums.variance[node, cluster], sums.weight[node, cluster]
+    into = np.zeros((len(node), sums.weight.shape[1]))
+    into[np.arange(len(node)), cluster] = weight
     least, most = np.zeros((2, len(x), sums.weight.shape[1]))
-    open_ = [(0, np.arange(len(x)), np.flatnonzero(sums.weight[0] > 0))]
-    while open_:
-        node, rows, clusters = open_.pop()
-        leaf = tree.axis[node] < 0
-        near = np.sqrt(((x[rows][:, None, :] - sums.mean[node, clusters][None]) ** 2).sum(axis=2))
-        far = np.sqrt(near**2 + sums.variance[node, clusters])
-        done = np.ones_like(near, bool) if leaf else far - near <= tolerance
-        w = sums.weight[node, clusters]
-        settled = done.all(axis=1)  # a row takes the node for all its clusters, or opens it
-        least[np.ix_(rows[settled], clusters)] += near[settled] * w
-        most[np.ix_(rows[settled], clusters)] += far[settled] * w
-        rest = rows[~settled]
-        if len(rest):
-            for below in tree.child[node]:
-                inside = np.flatnonzero(sums.weight[below] > 0)
-                if len(inside):
-                    open_.append((int(below), rest, inside))
+    step = max(1, BLOCK // max(1, len(node)))
+    for i in range(0, len(x), step):
+        square = _squares(x[i : i + step], mean)
+        least[i : i + step] = np.sqrt(square) @ into
+        most[i : i + step] = np.sqrt(square + variance) @ into
     return least, most
 
 
+def _cells(tree: Tree, sums: Sums, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Node and cluster of the highest cells whose bounds are apart by no more than the tolerance, else of leaves."""
+    out, open_ = [], [0]
+    while open_:
+        node = open_.pop()
+        inside = np.flatnonzero(sums.weight[node] > 0)
+        if tree.axis[node] < 0 or (np.sqrt(sums.variance[node, inside]) <= tolerance).all():
+            out += [(node, c) for c in inside]
+        else:
+            open_ += [int(below) for below in tree.child[node]]
+    return tuple(np.array(out, int).reshape(-1, 2).T)
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances as one product; those near zero, where it would cancel, by differences."""
+    xx, yy = (x**2).sum(axis=1), (y**2).sum(axis=1)
+    out = np.column_stack([x, xx, np.ones(len(x))]) @ np.column_stack([-2 * y, np.ones(len(y)), yy]).T
+    a, b = np.nonzero(out < 1e-6 * (xx.max(initial=0.0) + yy.max(initial=0.0)))
+    out[a, b] = ((x[a] - y[b]) ** 2).sum(axis=1)
+    return out
+
+
+def _pair_sums(rows: DataFrame, columns: Sequence[str], labels: Sequence[str], counts: dict[str, int]) -> DataFrame:
+    """``rows`` (weighted, distinct) with ``_s_<label>``: summed distances to the members of every cluster, by all pairs.
+
+    The rows are dealt out to at most ``CHUNKS`` chunks; chunk meets chunk in a tile, a group of its own, so no task holds more than two.
+    """
+    n = rows.count()
+    chunks = max(1, min(CHUNKS, -(-n // CHUNK_ROWS)))
+    key = [*columns, *labels]
+    cut = rows.select(*key, WEIGHT, F.pmod(F.xxhash64(*key), F.lit(chunks)).cast("int").alias("_i"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_j")
+    tiles = min(chunks * chunks, 8 * rows.sparkSession.sparkContext.defaultParallelism)
+    mine = cut.select(*key, "_i", each).repartition(tiles, "_i", "_j")
+    other = cut.select(*key, WEIGHT, F.col("_i").alias("_k"), each).select(*key, WEIGHT, F.col("_j").alias("_i"), F.col("_k").alias("_j"))
+    other = other.repartition(tiles, "_i", "_j")
+    wide = [f"_s{g}_{c}" for g, label in enumerate(labels) for c in range(counts[label])]
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = a[list(columns)].to_numpy(float), b[list(columns)].to_numpy(float)
+        into, at = np.zeros((len(y), len(wide))), 0
+        for label in labels:
+            into[np.arange(len(y)), at + b[label].to_numpy(int)] = b[WEIGHT]
+            at += counts[label]
+        out, step = np.zeros((len(x), len(wide))), max(1, BLOCK // max(1, len(y)))
+        for i in range(0, len(x), step):
+            out[i : i + step] = np.sqrt(_squares(x[i : i + step], y)) @ into
+        return pd.concat([a[key].reset_index(drop=True), pd.DataFrame(out, columns=wide)], axis=1)
+
+    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key)
+    schema = f"{types}, {', '.join(f'{c} double' for c in wide)}"
+    made = mine.groupBy("_i", "_j").cogroup(other.groupBy("_i", "_j")).applyInPandas(sums, schema)
+    total = made.groupBy(*key).agg(*[F.sum(c).alias(c) for c in wide])
+    told = [F.array(*[F.col(f"_s{g}_{c}") for c in range(counts[label])]).alias(f"_s_{label}") for g, label in enumerate(labels)]
+    found = materialise(total.select(*key, *told), "pairs")
+    return materialise(rows.join(found, key).repartition(rows.sparkSession.sparkContext.defaultParallelism), "distinct")
+
+
 def _score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     top = np.maximum(a, b)
     return np.divide(b - a, top, out=np.zeros_like(a), where=top > 0)
@@ -288,11 +358,13 @@ def quality(
 ) -> dict[str, Quality]:
     """Quality of each clustering (a column of cluster numbers from 0, without nulls) over all rows.
 
-    Two passes over the rows, no shuffle of rows: the true mean silhouette lies within ``error`` of the one given.  With
-    a tolerance of 0 and at most ``leaves`` distinct rows it is exact to rounding.
+    Equal rows are counted once and weighted.  Two passes over the distinct ones, no shuffle: the true mean silhouette lies
+    within ``error`` of the one given.  A tolerance of 0 is exact to rounding: all pairs of distinct rows are compared in tiles.
     """
     d = len(columns)
-    tree = cell_tree(hash_sample(rows, columns), leaves)
+    rows = weighted(rows, columns, labels)
+    exact = tolerance == 0
+    tree = cell_tree(hash_sample(rows, columns), 1 if exact else leaves)
     found = _leaf_sums(rows, columns, labels, tree)
     every = {label: _node_sums(found[found["g"] == g], d, tree) for g, label in enumerate(labels) if (found["g"] == g).any()}
     moments = {}
@@ -301,15 +373,21 @@ def quality(
         n = mine["w"].sum().to_numpy(float)
         moments[label] = (n, mine[[f"s{i}" for i in range(d)]].sum().to_numpy(), mine[[f"q{i}" for i in range(d)]].sum().to_numpy().sum(axis=1), list(mine.groups))
 
+    sums: list[str] = []
+    if exact:
+        rows = _pair_sums(rows, columns, list(every), {label: int(max(moments[label][3])) + 1 for label in every})
+        sums = [f"_s_{label}" for label in every]
+
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = b[list(columns)].to_numpy(float)
+            x, w = b[list(columns)].to_numpy(float), b[WEIGHT].to_numpy(float)
             out = []
             for g, label in enumerate(every):
                 n, total, square, present = moments[label]
                 own = np.searchsorted(present, b[label].to_numpy())
                 at, each = np.arange(len(x)), np.arange(len(present))[None, :]
-                least, most = (v[:, present] for v in mean_distances(x, tree, every[label], tolerance))
+                both = (np.stack(b[f"_s_{label}"].to_numpy()),) * 2 if exact else mean_distances(x, tree, every[label], tolerance)
+                least, most = (v[:, present] for v in both)
                 other = np.where(each != own[:, None], n[None, :], np.inf)
                 single = (n[own] <= 1) | (len(present) < 2)
                 mine = np.maximum(n[own] - 1, 1)
@@ -322,11 +400,12 @@ def quality(
                 centre = total / n[:, None]
                 for c in np.unique(own):
                     rows_of = own == c
-                    spread = np.sqrt(((x[rows_of] - centre[c]) ** 2).sum(axis=1)).sum()
-                    out.append((g, int(c), int(rows_of.sum()), low[rows_of].sum(), high[rows_of].sum(), flat[rows_of].sum(), spread))
+                    times = w[rows_of]
+                    spread = np.sqrt(((x[rows_of] - centre[c]) ** 2).sum(axis=1))
+                    out.append((g, int(c), int(times.sum()), *[float(times @ v) for v in (low[rows_of], high[rows_of], flat[rows_of], spread)]))
             yield pd.DataFrame(out, columns=["g", "c", "n", "low", "high", "flat", "spread"])
 
-    made = rows.select(*columns, *labels).mapInPandas(scores, "g int, c int, n long, low double, high double, flat double, spread double")
+    made = rows.select(*columns, *labels, WEIGHT, *sums).mapInPandas(scores, "g int, c int, n long, low double, high double, flat double, spread double")
     names = ["n", "low", "high", "flat", "spread"]
     summed = made.groupBy("g", "c").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # one row per cluster
     out = {}
@@ -372,9 +451,10 @@ def sweep(
     ``structure`` says whether the best silhouette reaches ``enough``.
     """
     ready = materialise(df, "kmeans")
-    models = fit_models(ready, columns, ks, n_init, seed)
+    distinct = weighted(ready, columns)
+    models = fit_models(distinct, columns, ks, n_init, seed)
     rows = labelled(ready, columns, models)
-    told = quality(rows, columns, [f"k{k}" for k in models], tolerance=tolerance)
+    told = quality(labelled(distinct, columns, models), columns, [f"k{k}" for k in models], tolerance=tolerance)
     best = max(models, key=lambda k: (told[f"k{k}"].silhouette, -k), default=None)
     structure = "meaningful" if best is not None and told[f"k{best}"].silhouette >= enough else "weak/none"
     table = [
@@ -392,7 +472,7 @@ def sweep(
 
 def centre_quality(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2, 9), n_init: int = 10, seed: int = 42) -> DataFrame:
     """(k, davies_bouldin, inertia): from the centres and one pass, without silhouettes."""
-    ready = materialise(df, "kmeans")
+    ready = weighted(df, columns)
     models = fit_models(ready, columns, ks, n_init, seed)
     found = _pass(ready, columns, list(models.values()))
     out = []

@@ -269,12 +269,12 @@ def _quality_sql() -> str:
 
 @query("m01_given_clusters", with_views("action entity race", _quality_sql()))
 def m01_given(spark, sf):
-    """Quality of two given clusterings of the feature rows; one cell per distinct row, so the mean distances are exact."""
+    """Quality of two given clusterings of the feature rows; without a tolerance, so the mean distances are exact."""
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, ORDER)), F.col("grp")) - 1, F.lit(-1)).cast("int")
     side = F.when(F.col("lean") == "Dem", 2).when(F.col("lean") == "Rep", 0).otherwise(1)
     rows = raw_features(spark, sf).select("entity_id", F.when(rank < 0, len(ORDER)).otherwise(rank).alias("by_group"), side.alias("by_lean"))
     rows = materialise(features(spark, sf).select("entity_id", *FEATURES).join(rows, "entity_id"), "features")
-    found = clusters.quality(rows, FEATURES, ["by_group", "by_lean"], leaves=clusters.SAMPLE_ROWS, tolerance=0.0)
+    found = clusters.quality(rows, FEATURES, ["by_group", "by_lean"], tolerance=0.0)
     out = [(name, q.silhouette, q.silhouette_sq, q.davies_bouldin) for name, q in found.items()]
     out = spark.createDataFrame(out, "clustering string, silhouette double, silhouette_sq double, davies_bouldin double")
     return rounded(out, "silhouette", "silhouette_sq", "davies_bouldin")

@@ -131,3 +131,25 @@ def test_empty_and_single(spark):
     one = frame(spark, np.ones((4, 3)), np.zeros(4))
     got = clusters.quality(one, COLUMNS, ["g"])["g"]
     assert (got.silhouette, got.silhouette_sq, got.davies_bouldin) == (0.0, 0.0, 0.0)
+
+
+def test_equal_rows_are_one_row(spark):
+    """Passes read distinct rows: copies change weights only."""
+    x, label = blobs(300, seed=5)
+    rows = frame(spark, x, label)
+    many = rows.union(rows).union(rows)
+    held = clusters.weighted(many, COLUMNS, ["g"])
+    assert held.count() == 300 and {r[clusters.WEIGHT] for r in held.collect()} == {3}
+    one, three = (clusters.fit_models(df, COLUMNS, [3], n_init=2)[3] for df in (rows, many))
+    assert np.allclose(one.centres, three.centres) and three.inertia == pytest.approx(3 * one.inertia)
+
+
+def test_exact_silhouettes_by_tiles(spark, monkeypatch):
+    """More distinct rows than cells: without a tolerance all pairs are compared, tile by tile."""
+    monkeypatch.setattr(clusters, "CHUNK_ROWS", 100)
+    monkeypatch.setattr(clusters, "SAMPLE_ROWS", 50)
+    x, label = blobs(700, seed=6, copies=90)
+    got = clusters.quality(frame(spark, x, label), COLUMNS, ["g"], leaves=50, tolerance=0.0)["g"]
+    want, square = all_pairs(x, label)
+    assert got.silhouette == pytest.approx(want, abs=1e-9) and got.error == 0
+    assert got.silhouette_sq == pytest.approx(square, abs=1e-9)
