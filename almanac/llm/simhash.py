@@ -185,6 +185,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", words: int = 4, distance:
     return found.join(named, "fp")
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """Bit by bit the majority of the distinct shingles; 0 for the empty set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), PIECE):
+        ones += np.unpackbits(shingles[at : at + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     """The distinct XXH64 of all shingles, sorted; words and short texts as in ``fingerprint``, empty without words."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
@@ -209,19 +217,19 @@ def sketch(shingles: np.ndarray) -> tuple[list[int], bytes]:
 
 
 def with_sketch(docs: DataFrame, columns: list[str], words: int) -> DataFrame:
-    """The columns, ``cls``, the number ``n`` of distinct shingles, ``keys`` and ``sketch`` of every document."""
+    """The columns, ``cls``, ``fp``, the number ``n`` of distinct shingles, ``keys`` and ``sketch`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), words) for t in b.column("_text")]
             made = [sketch(s) for s in sets]
-            found = [pa.array(map(set_class, sets), pa.int64()), pa.array(map(len, sets), pa.int64())]
+            found = [pa.array(map(f, sets), pa.int64()) for f in (set_class, set_fingerprint, len)]
             found += [pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([x for _, x in made], pa.binary())]
             kept = [b.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, *found], names=[*columns, "cls", "n", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([*kept, *found], names=[*columns, "cls", "fp", "n", "keys", "sketch"])
 
     small_batches(docs)
-    schema = docs.select(*columns).schema.add("cls", T.LongType()).add("n", T.LongType())
+    schema = docs.select(*columns).schema.add("cls", T.LongType()).add("fp", T.LongType()).add("n", T.LongType())
     schema = schema.add("keys", T.ArrayType(T.LongType())).add("sketch", T.BinaryType())
     return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
 
@@ -308,6 +316,17 @@ def _tile_edges(rows: DataFrame, group: str, load: str, links: Callable[[list[by
     return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def fingerprint_edges(classes: DataFrame, distance: int = 4, chunk: int = CHUNK) -> DataFrame:
+    """Edges that connect all classes (cls, fp) whose fingerprints differ in ``distance`` bits or less, by pigeonhole blocks."""
+    first = materialise(classes.groupBy("fp").agg(F.min("cls").alias("first")), "prints")
+    equal = classes.join(first, "fp").where("cls <> first").select("first", "cls")
+    near = bucket_edges(first.select("fp"), distance, first.count(), chunk)
+    ends = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"_{name}"))
+    linked = near.join(ends("u"), "u").join(ends("v"), "v").select("_u", "_v")
+    both = linked.union(equal).toDF("u", "v")
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def candidate_edges(classes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Edges that connect all classes (cls, keys, sketch) which share a key and agree in their sketches."""
     keyed = classes.select(F.explode("keys").alias("key"), "cls")
@@ -342,20 +361,23 @@ def similar_edges(docs: DataFrame, chosen: DataFrame, words: int, least: Fractio
     return _tile_edges(made, "root", "shingles", lambda sets: _similar(sets, least))
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, load: int = LOAD) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, load: int = LOAD, distance: int = 4) -> DataFrame:
     """One row of each group stays, with the columns of ``docs``: the smallest doc_id, of its rows the least by content.
 
-    Two texts are linked if their sets of shingles share ``similarity`` of their union or more, texts without words among
-    themselves.  Every link is verified on the whole sets.  Only candidates' texts are read again; the chosen ids come to them.
+    Candidates are texts whose SimHash fingerprints differ in ``distance`` bits or less.  At a similarity of 0.8 about ten of the
+    64 bits differ, so texts that share a min-wise key are candidates too.  Every link is then verified on the whole
+    sets: two texts are linked if their shingles share ``similarity`` of their union or more, texts without words among
+    themselves.  Only candidates' texts are read again; the chosen ids come to them.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     tie = F.xxhash64(*columns)
     slim = docs.select("doc_id", "text", tie.alias("tie"))
     found = materialise(with_sketch(slim, ["doc_id", "tie"], words), "fingerprints")
     row = F.min(F.struct("doc_id", "tie")).alias("row")
-    first = found.groupBy("cls").agg(row, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    first = found.groupBy("cls").agg(row, *[F.first(c).alias(c) for c in ("fp", "n", "keys", "sketch")])
     first = materialise(first, "distinct")
-    near = materialise(components(candidate_edges(first)), "near")
+    edges = fingerprint_edges(first.select("cls", "fp"), distance).union(candidate_edges(first))
+    near = materialise(components(edges.distinct()), "near")
     near = near.union(near.select("root", "root").distinct()).toDF("cls", "root")
     near = materialise(near.join(first.select("cls", "row", "n"), "cls"), "candidates")
     loads = near.groupBy("root").agg(F.ceil(F.sum(F.col("n") + ROW_LOAD) / load).cast("int").alias("parts"))

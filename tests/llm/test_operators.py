@@ -193,6 +193,19 @@ def test_near_copies_of_the_given_documents(spark):
     assert {r["doc_id"] for r in simhash.drop_near_copies(frame).collect()} == kept_by_similarity(texts)
 
 
+def test_near_copies_come_from_fingerprints(spark):
+    """Classes up to four bits apart are linked by their fingerprints alone, copies of a fingerprint as well, five bits not."""
+    assert simhash.set_fingerprint(np.array([0b111, 0b011, 0b001], np.uint64)) == 0b011 and simhash.set_fingerprint(np.empty(0, np.uint64)) == 0
+    base = 0x0123456789ABCDEF
+    fps = {10: base, 20: base ^ 0b1111, 30: base ^ (0b11111 << 40), 40: base, 50: ~base}
+    frame = spark.createDataFrame(list(fps.items()), "cls bigint, fp bigint")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.fingerprint_edges(frame)).collect()}
+    assert roots == {20: 10, 40: 10}
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(400)))], "doc_id bigint, text string")
+    made = simhash.with_sketch(docs, ["doc_id"], 5).first()
+    assert made["fp"] == simhash.set_fingerprint(simhash.shingle_set(docs.first()["text"]))
+
+
 def test_sketch_reaches_the_similarity():
     rng = np.random.default_rng(5)
     missed = 0
