@@ -1,9 +1,12 @@
 """Bucket tables and the streams kept on them: replays, re-arrivals, expiry and retries."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from almanac.operators import text, upsert
+from almanac.plans import source_plans
 from almanac.session import scratch_path
 from almanac.sources.buckets import replace_rows
 from almanac.streaming import incremental
@@ -119,3 +122,13 @@ def test_pages_arrive_more_than_once(name):
 
     body = inspect.getsource(getattr(source_plans, name[:3]))
     assert "arrived(spark, docs, again)" in body or "arrived(spark, old, docs)" in body
+
+
+def test_arrivals_are_as_many_files_as_the_scan_has_splits(spark):
+    """A large drop is not gathered into a few files, and an epoch takes its share of them."""
+    df = spark.range(0, 1_000, 1, 12)
+    path, files = source_plans.arrived(spark, df, df)
+    assert len(list(Path(path).glob("*.parquet"))) == 24 and files == 6
+    assert max(r["count"] for r in spark.read.parquet(path).groupBy("_metadata.file_name").count().collect()) <= 84
+    path, files = source_plans.arrived(spark, df.coalesce(1), parts=3)
+    assert len(list(Path(path).glob("*.parquet"))) == 3 and files == 1
