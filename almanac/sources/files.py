@@ -79,14 +79,31 @@ def read_coding_sheet(
     return long.where(F.upper(F.trim("c.mark")) == "TRUE").select("link", "c.category", "c.label")
 
 
-def read_html_tree(spark: SparkSession, root: str, sites: DataFrame, domain: str = "domain") -> DataFrame:
-    """Pages of a directory tree: the first part of the path is the domain; unknown domains are dropped."""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+def _of_known_sites(files: DataFrame, root: str, sites: DataFrame, domain: str) -> DataFrame:
+    """Adds domain (first part of a file's path below ``root``) and ``file`` (that path); files of unknown domains are dropped."""
     rest = F.regexp_extract(F.col("_metadata.file_path"), "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/(.*)$", 1)
     path = F.coalesce(F.try_url_decode(rest), rest)
     top = F.regexp_replace(F.split(path, "/")[0], "^[A-Za-z_]+=", "")
-    pages = files.select(F.lower(top).alias(domain), path.alias("page_path"), F.col("value").alias("html"))
-    return pages.join(sites.select(domain).distinct(), domain)
+    return files.select(F.lower(top).alias(domain), path.alias("file"), "value").join(sites.select(domain).distinct(), domain)
+
+
+def read_html_tree(spark: SparkSession, root: str, sites: DataFrame, domain: str = "domain") -> DataFrame:
+    """Pages of a directory tree of one file each: the first part of the path is the domain; unknown domains are dropped."""
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    return _of_known_sites(files, root, sites, domain).select(domain, F.col("file").alias("page_path"), F.col("value").alias("html"))
+
+
+def write_page_bundles(pages: DataFrame, root: str, domain: str = "domain") -> None:
+    """Pages (domain, page_path, html) as a tree of one folder per domain, in files of many pages: one JSON line each."""
+    pages.select(domain, "page_path", "html").write.partitionBy(domain).json(root)
+
+
+def read_page_bundles(spark: SparkSession, root: str, sites: DataFrame, domain: str = "domain") -> DataFrame:
+    """``read_html_tree`` of a tree whose files hold many pages, as ``write_page_bundles`` makes it: files are opened and listed
+    per domain and writer, not per page, and large ones are cut."""
+    lines = spark.read.text(root, recursiveFileLookup=True)
+    page = F.from_json("value", "page_path string, html string", {"maxStringLen": str(2**31 - 1)})
+    return _of_known_sites(lines, root, sites, domain).select(domain, page.alias("_page")).select(domain, "_page.page_path", "_page.html")
 
 
 def read_matrix(docs: DataFrame, body: str, carry: Sequence[str] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from almanac.operators import sampling, text, upsert
+from almanac.plans import source_plans
 from almanac.session import scratch_path
 from almanac.sources import files, snapshots
 from almanac.streaming import incremental
@@ -88,6 +89,29 @@ def test_html_tree_drops_unknown_domains(spark, tmp_path):
     ]
 
 
+def test_page_bundles_hold_whole_pages_in_few_files(spark, tmp_path):
+    html = F.when(F.col("id") % 50 == 0, None).otherwise(F.concat(F.lit('<p>"é\n\r\u2028\u001e\\</p>\n'), F.col("id").cast("string")))
+    domain = F.when(F.col("id") % 3 == 0, "bad.org").otherwise("ex.org")
+    pages = spark.range(300).select(domain.alias("domain"), (F.floor(F.col("id") / 2)).cast("string").alias("page_path"), html.alias("html"))
+    root = str(tmp_path / "tree")
+    files.write_page_bundles(pages.coalesce(2), root)
+    assert len(list((tmp_path / "tree").rglob("part-*.json"))) <= 4
+    got = files.read_page_bundles(spark, root, spark.createDataFrame([("ex.org",)], "domain string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, pages.where("domain = 'ex.org'").collect()), key=repr)
+    assert got.count() == 200
+
+
+def test_html_tree_query_takes_no_file_per_page(spark, tmp_path, monkeypatch):
+    n = 400
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.lit("http://www.ex.org/a").alias("url"), F.concat(F.lit("<p>\n"), "id").alias("html"))
+    pages.write.parquet(str(tmp_path / "sf" / "pages.parquet"))
+    root = tmp_path / "made"
+    monkeypatch.setattr(source_plans, "scratch_path", lambda spark, name: str(root))
+    got = source_plans.s04(spark, str(tmp_path / "sf"))
+    assert rows(got, "domain", "page_id", "html") == [("ex.org", i, f"<p>\n{i}") for i in range(n)]
+    assert len([f for f in root.rglob("part-*") if not f.name.startswith(".")]) <= 50
+
+
 def test_split_sizes_and_repeatability(spark):
     df = spark.range(100).select(F.col("id"), (F.col("id") % 10 == 0).cast("int").alias("y"))
     parts = [("train", 0.6), ("valid", 0.2), ("test", 0.2)]
