@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -178,32 +178,25 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
 # ---- density clusters -------------------------------------------------------------
 
 
-def density_clusters(points: DataFrame, key: str, x: str, y: str, eps: float, min_points: int, extent: float) -> DataFrame:
-    """DBSCAN labels (key, cluster): the smallest core key of the cluster, -1 for noise.
+CELL_PARTS = 8  # parts of a cell along each axis
 
-    Points on one spot are one weighted spot.  Core spots of one small cell belong
-    together from the start; then each spot looks for the nearest core spot of another
-    cluster within reach, and clusters that see each other merge, until none do.
+
+def _merged(core: DataFrame, near: Callable[..., DataFrame]) -> DataFrame:
+    """Core spots (id, x, y, attr) after clusters that see each other have taken the smallest label, until none do.
+
+    The largest cluster need not look: whoever is in its reach sees it.
     """
-    spots = points.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(
-        F.min(key).alias("id"), F.count("*").alias("size")
-    )
-    spots = materialise(spots, "spots")
-    near = lambda q, t, k, rule=None: nearest(q, t, ["x", "y"], k, 0.0, extent, eps, rule)
-    weight = near(spots, spots, min_points).join(spots.select(F.col("id").alias("other"), "size"), "other")
-    cores = weight.groupBy("id").agg(F.sum("size").alias("w")).where(F.col("w") >= min_points).select("id")
-    side = eps / math.sqrt(2.0) * (1 - 1e-9)
-    core = spots.join(cores, "id").withColumn("ci", F.floor(F.col("x") / side)).withColumn("cj", F.floor(F.col("y") / side))
-    first = core.groupBy("ci", "cj").agg(F.min("id").alias("attr"))
-    core = materialise(core.join(first, ["ci", "cj"]).select("id", "x", "y", "attr"), "cores")
     while True:
-        seen = near(core, core, 1, "other").select("id", "other")
+        largest = core.groupBy("attr").count().orderBy(F.desc("count"), "attr").select("attr").first()
+        if largest is None:
+            return core
+        seen = near(core.where(F.col("attr") != largest["attr"]), core, 1, "other").select("id", "other")
         label = core.select("id", "attr")
         links = seen.join(label, "id").join(label.select(F.col("id").alias("other"), F.col("attr").alias("b")), "other")
         links = links.select(F.col("attr").alias("a"), "b").distinct()
         links = materialise(links.union(links.select("b", "a")).distinct(), "links")
         if links.isEmpty():
-            break
+            return core
         parent = links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
         parent = materialise(parent, "parents")
         while True:  # follow parents to their root
@@ -215,6 +208,34 @@ def density_clusters(points: DataFrame, key: str, x: str, y: str, eps: float, mi
                 break
         core = core.join(parent.withColumnRenamed("a", "attr"), "attr", "left").select("id", "x", "y", F.coalesce("p", "attr").alias("attr"))
         core = materialise(core, "cores")
+
+
+def density_clusters(points: DataFrame, key: str, x: str, y: str, eps: float, min_points: int, extent: float) -> DataFrame:
+    """DBSCAN labels (key, cluster): the smallest core key of the cluster, -1 for noise.
+
+    Points on one spot are one weighted spot.  Core spots of one small cell belong
+    together from the start; then spots look for the nearest core spot of another
+    cluster within reach, and clusters that see each other merge, until none do: first
+    with one spot of each part of a cell, which leaves little, then with all.
+    """
+    spots = points.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(
+        F.min(key).alias("id"), F.count("*").alias("size")
+    )
+    spots = materialise(spots, "spots")
+    near = lambda q, t, k, rule=None: nearest(q, t, ["x", "y"], k, 0.0, extent, eps, rule)
+    weight = near(spots, spots, min_points).join(spots.select(F.col("id").alias("other"), "size"), "other")
+    cores = weight.groupBy("id").agg(F.sum("size").alias("w")).where(F.col("w") >= min_points).select("id")
+    side = eps / math.sqrt(2.0) * (1 - 1e-9)
+    core = spots.join(cores, "id").withColumn("ci", F.floor(F.col("x") / side)).withColumn("cj", F.floor(F.col("y") / side))
+    first = core.groupBy("ci", "cj").agg(F.min("id").alias("attr"))
+    core = materialise(core.join(first, ["ci", "cj"]).select("id", "x", "y", "attr"), "cores")
+    # One core spot of each small part of a cell stands for it: as many as the area holds, however crowded it is.
+    part = side / CELL_PARTS
+    one = core.groupBy("attr", F.floor(F.col("x") / part), F.floor(F.col("y") / part)).agg(F.min_by(F.struct("id", "x", "y"), "id").alias("s"))
+    one = materialise(one.select("s.*", "attr"), "parts")
+    names = _merged(one, near).select("id", F.col("attr").alias("p")).join(one.select("id", "attr"), "id").groupBy("attr").agg(F.min("p").alias("p"))
+    core = core.join(names, "attr").select("id", "x", "y", F.col("p").alias("attr"))
+    core = _merged(materialise(core, "cores"), near)
     # A border spot takes the smallest label in reach: look for ever smaller ones.
     low = core.withColumn("attr", -F.col("attr"))
     rest = spots.join(core, "id", "left_anti").select("id", "x", "y").withColumn("attr", F.lit(-(2**62)).cast("bigint"))

@@ -50,3 +50,22 @@ def test_listed_values_are_one_array_per_key(spark):
 def test_all_tiers_hold_rows(spark, metres, tier):
     got = {r["tier"]: r["n"] for r in aggregates.tier_table(spark.createDataFrame([(metres, 1)], "m double, n int"), "m", "n").collect()}
     assert got[tier] == 1 and sum(got.values()) == 1
+
+
+def test_density_clusters_of_a_crowd_send_few_rows_to_look_for_other_clusters(spark, monkeypatch):
+    """Spots of one dense area are one cluster already by one spot for each part of a cell."""
+    rng = np.random.default_rng(3)
+    x, y = rng.uniform(10, 30, 6000), rng.uniform(10, 30, 6000)
+    x, y = np.append(x, [50.0, 50.1, 50.2, 33.0]), np.append(y, [50.0, 50.0, 50.0, 20.0])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    asked, plain = [], modelling.nearest
+
+    def counted(q, t, coords, k, lo, hi, dist, rule):
+        if rule == "other":
+            asked.append(q.count())
+        return plain(q, t, coords, k, lo, hi, dist, rule)
+
+    monkeypatch.setattr(modelling, "nearest", counted)
+    got = {r.id: r.cluster for r in modelling.density_clusters(df, "id", "x", "y", 10.0, 3, 64.0).collect()}
+    assert {got[i] for i in range(6000)} == {0} and [got[i] for i in range(6000, 6004)] == [6000] * 3 + [0]
+    assert sum(asked) < 3000
