@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.functions.geo import haversine_km, unit_xyz
+from almanac.functions.geo import chord, haversine_km, unit_xyz
 from almanac.functions.names import NAME_MATCH_SHARE, name_tokens, normal_name, token_share
 from almanac.functions.values import blank_to_null
-from almanac.operators.nearest import nearest_places
+from almanac.operators.nearest import curve_key, nearest_places
 from almanac.operators.ranks import order_bounds, row_number_within, slice_of
 from almanac.session import join_counted, materialise
 
 ANY_STATE = "*"
+LIST, LONGEST = 16, 64  # units on the lists of a merge, at first and at most
+TILE_UNITS, TILE_ROWS = 32_000, 250_000  # units of a tile, and rows that one task settles
+OPEN_END = 2**62
 
 
 # ---- name matching -------------------------------------------------------------
@@ -127,23 +133,26 @@ def _name_edges(left: DataFrame, right: DataFrame, near_km: float, max_km: float
     """Edges (left id, place and class keys) admitted by the state and name rule beyond ``near_km``."""
     cls = lambda df: df.select("norm", "state", "lat", "lon").distinct()
     pairs = name_class_pairs(left, right, stop)
-    deg = max_km / 111.0
-    cell = lambda c: F.floor(c / deg).cast("bigint")
+    reach = chord(max_km) * (1 + 1e-9) + 1e-9
+    at = lambda: dict(zip(("cx", "cy", "cz"), unit_xyz(F.col("lat"), F.col("lon"))))
+    cell = lambda c: F.floor(c / (2 * reach)).cast("bigint")  # noqa: E731  a place reaches into two cells each way at most
     l = cls(left).select(  # noqa: E741
         F.col("norm").alias("l_norm"), "state", F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"),
-        F.explode(F.sequence(cell(F.col("lat")) - 1, cell(F.col("lat")) + 1)).alias("ci"),
+        *[F.sequence(cell(c - reach), cell(c + reach)).alias(n) for n, c in at().items()],
     )
+    for c in at():
+        l = l.withColumn(c, F.explode(c))  # noqa: E741
     r = cls(right).select(
-        F.col("norm").alias("r_norm"), "state", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), cell(F.col("lat")).alias("ci")
+        F.col("norm").alias("r_norm"), "state", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"),
+        *[cell(c).alias(n) for n, c in at().items()],
     )
     d = haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
     return (
         l.join(pairs, ["l_norm", "state"])
-        .join(r, ["r_norm", "state", "ci"])
+        .join(r, ["r_norm", "state", *at()])
         .withColumn("km", d)
         .where((F.col("km") <= max_km) & (F.col("km") > near_km))
         .select("l_norm", "state", "l_lat", "l_lon", "r_norm", "r_lat", "r_lon", "km")
-        .distinct()
     )
 
 
@@ -165,8 +174,9 @@ def merge_two_lists(
     state and a matching name.  Returns (left_id, right_id, km).
 
     The loop is a stable matching in which every right row prefers the smallest ``seq``.  It is
-    found by proposals: rows propose to their nearest unit that would still take them, a unit
-    keeps its smallest proposers, the rest go on.  A unit is a run of right rows of one place,
+    found by proposals: rows propose to the units of their lists in turn, a unit keeps its
+    smallest proposers, the rest go on; a row at the end of its list asks for the next units that
+    would still take it.  A unit is a run of right rows of one place,
     in ``seq`` order, that act alike: those no name rule reaches, or those of one name and
     state.  So a crowded place or a group of copies is one target with room for many.  Equal
     distances are taken in right ``seq`` order.
@@ -200,58 +210,142 @@ def merge_two_lists(
         ["r_norm", "state", "r_lat", "r_lon"],
     ).select("norm", "state", "lat", "lon", "unit", "km")
     edges, units = materialise(edges, "edges"), materialise(units, "rooms")
-    open_end = 2**62
-    held = left.sparkSession.createDataFrame([], "seq bigint, unit bigint, km double")
-    bar = units.select("unit", F.lit(open_end).cast("bigint").alias("bar"))
-    asking = left
-    while not asking.isEmpty():
-        # A unit's bar is the largest seq it holds once full: it takes only smaller ones.
-        at_unit = units.join(bar, "unit")
-        near = _nearest_open(asking, at_unit, near_km)
-        rest = asking.join(near.select("seq"), "seq", "left_anti")
-        named = (
-            rest.join(edges, ["norm", "state", "lat", "lon"])
-            .join(bar, "unit")
-            .where(F.col("bar") > F.col("seq"))
-            .groupBy("seq")
-            .agg(F.min(F.struct("km", "unit")).alias("b"))
-            .select("seq", "b.unit", "b.km")
-        )
-        asked = near.select("seq", "unit", "km").unionByName(named)
-        asked = materialise(asked, "proposals")
-        if asked.isEmpty():
+    places = _tiled(units).withColumn("bar", F.lit(OPEN_END).cast("bigint"))
+    length, asking, state = LIST, left, None
+    while True:
+        lists = _lists(asking, places, edges, near_km, length)
+        state = _settled(lists if state is None else state.where("unit IS NOT NULL").unionByName(lists))
+        # Rows that came to the end of a list that may go on ask again; those at the end of a whole one stay unmatched.
+        dry = state.where("unit IS NULL AND NOT complete").select("seq")
+        asking = materialise(left.join(dry, "seq", "left_semi").select(left.columns), "asking")
+        if asking.isEmpty():
             break
-        claims = materialise(held.unionByName(asked), "claims")
-        placed = row_number_within(claims, ["unit"], "seq").join(units.select("unit", "room"), "unit")
-        placed = materialise(placed, "placed")
-        kept = placed.where(F.col("nth") <= F.col("room"))
-        bar = units.select("unit").join(
-            kept.where(F.col("nth") == F.col("room")).select("unit", F.col("seq").alias("bar")), "unit", "left"
-        ).na.fill({"bar": open_end})
-        bar = materialise(bar, "bar")
-        held = kept.select("seq", "unit", "km")
-        # Refused rows ask again; rows that found nothing stay unmatched for good.
-        asking = materialise(left.join(placed.where(F.col("nth") > F.col("room")).select("seq"), "seq", "left_semi").select(left.columns), "asking")
+        # A unit's bar is the largest seq it holds once full: it takes only smaller ones.
+        full = _held(state).groupBy("unit").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+        bar = F.when(F.col("n") >= F.col("room"), F.col("last")).otherwise(OPEN_END).alias("bar")
+        places = materialise(places.drop("bar").join(full, "unit", "left").select(*places.drop("bar").columns, bar), "rooms")
+        length = min(4 * length, LONGEST)
     members = row_number_within(labelled, ["unit"], "seq", bounds=bounds).select("unit", "nth", F.col("id").alias("right_id"))
-    winners = row_number_within(held, ["unit"], "seq")
+    winners = row_number_within(_held(state), ["unit"], "seq")
+    at = units.select("unit", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     return (
         winners.join(members, ["unit", "nth"])
-        .join(left.select("seq", F.col("id").alias("left_id")), "seq")
-        .select("left_id", "right_id", "km")
+        .join(left.select("seq", F.col("id").alias("left_id"), "lat", "lon"), "seq")
+        .join(at, "unit")
+        .select("left_id", "right_id", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")).alias("km"))
     )
 
 
-def _nearest_open(asking: DataFrame, at_unit: DataFrame, near_km: float) -> DataFrame:
-    """Nearest unit within ``near_km`` whose bar is above the asking row's seq, as (seq, unit, km)."""
+def _tiled(units: DataFrame) -> DataFrame:
+    """Units with their tile in two layouts: stretches of two space-filling curves, one shifted by a third of the other's box.
+
+    Thus a border of one layout lies inside a tile of the other, whatever the size of its cells.
+    """
+    xyz = unit_xyz(F.col("lat"), F.col("lon"))
+    keyed = materialise(units.withColumns({f"_key{i}": curve_key(xyz, lo, lo + 4.0) for i, lo in enumerate((-1.0, -1.0 - 4 / 3))}), "keys")
+    tiles = {f"tile{i}": slice_of(F.col(f"_key{i}"), order_bounds(keyed, f"_key{i}", TILE_UNITS)) for i in (0, 1)}
+    return materialise(keyed.withColumns(tiles).drop("_key0", "_key1"), "rooms")
+
+
+def _lists(asking: DataFrame, places: DataFrame, edges: DataFrame, near_km: float, length: int) -> DataFrame:
+    """Of every asking row the next units whose bar is above its seq, best first, with their rooms and tiles.
+
+    ``complete`` says that there are no others.  Units of the name rule come behind all near ones, so they are looked
+    up for rows whose near ones are all listed.
+    """
     x, y, z = unit_xyz(F.col("lat"), F.col("lon"))
     xyz = [x.alias("x"), y.alias("y"), z.alias("z")]
-    q = asking.select(F.col("seq").alias("id"), "lat", "lon", *xyz, F.col("seq").alias("attr"))
-    t = at_unit.select(F.col("unit").alias("id"), "lat", "lon", *xyz, F.col("bar").alias("attr"))
-    hit = nearest_places(q, t, 1, near_km, rule="above").select(F.col("id").alias("seq"), F.col("other").alias("unit"))
-    at = hit.join(asking.select("seq", F.col("lat").alias("a"), F.col("lon").alias("b")), "seq").join(
-        at_unit.select("unit", F.col("lat").alias("c"), F.col("lon").alias("d")), "unit"
+    q = asking.select(F.col("seq").alias("id"), *xyz, F.col("seq").alias("attr"))
+    t = places.select(F.col("unit").alias("id"), *xyz, F.col("bar").alias("attr"))
+    near = nearest_places(q, t, length, near_km, rule="above").select(F.col("id").alias("seq"), F.col("other").alias("unit"), "rank")
+    near = materialise(near, "near")
+    whole = near.groupBy("seq").count().where(F.col("count") >= length)
+    by_km = Window.partitionBy("seq").orderBy("km", "unit")
+    named = (
+        asking.join(whole, "seq", "left_anti")
+        .join(edges, ["norm", "state", "lat", "lon"])
+        .join(places.select("unit", "bar"), "unit")
+        .where(F.col("bar") > F.col("seq"))
+        .withColumn("rank", F.row_number().over(by_km))
+        .where(F.col("rank") <= length)
+    )
+    both = near.select("seq", "unit", "rank", F.lit(0).alias("tier")).unionByName(named.select("seq", "unit", "rank", F.lit(1).alias("tier")))
+    ends = F.max(F.when(F.col("rank") >= length, True).otherwise(False))  # a list that is full may go on
+    entry = F.struct("tier", "rank", "unit", "room", "tile0", "tile1")
+    listed = both.join(places.select("unit", "room", "tile0", "tile1"), "unit").groupBy("seq").agg(
+        F.array_sort(F.collect_list(entry)).alias("_l"), (~ends).alias("complete")
+    )  # at most two lengths
+    listed = listed.select(
+        "seq", *[F.col(f"_l.{c}").alias(f"{c}s") for c in ("unit", "room", "tile0", "tile1")], "complete", F.lit(0).alias("pos"),
+        F.lit(True).alias("moved"),
     )
-    return at.select("seq", "unit", haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("km"))
+    return materialise(listed.withColumn("unit", F.get("units", F.col("pos"))), "lists")
+
+
+def _held(state: DataFrame) -> DataFrame:
+    """seq and unit of the rows that a unit holds."""
+    return state.where("unit IS NOT NULL").select("seq", "unit")
+
+
+def _settled(state: DataFrame) -> DataFrame:
+    """The rows at their places in their lists (``pos``) once no unit refuses any more; ``unit`` is null at the end of a list.
+
+    The outcome of proposals does not depend on their order, so a task follows those inside its tile to their end;
+    rows refused there whose next unit is in another tile go on in the next round, which has the other layout of tiles.
+    In a tile with more than ``TILE_ROWS`` rows every unit ranks its rows by itself, one proposal a round.
+    """
+    columns = state.columns
+    layout = 0
+    while True:
+        tiles = f"tile{layout}s"
+        laid = state.withColumn("_tile", F.get(tiles, F.col("pos")))
+        load = laid.where("unit IS NOT NULL").groupBy("_tile").agg(F.count("*").alias("_n"), F.max("moved").alias("_new"))
+        load = materialise(load.where("_new").select("_tile", (F.col("_n") > TILE_ROWS).alias("_crowded")), "load")
+        crowded = load.agg(F.max("_crowded")).first()[0]
+        if crowded is None:
+            return state
+        marked = laid.join(F.broadcast(load), "_tile", "left")  # a row per tile
+        still = marked.where(F.col("_crowded").isNull()).select(columns).withColumn("moved", F.lit(False))
+        calm = marked.where(~F.col("_crowded")).select("_tile", *columns)
+        moving = calm.groupBy("_tile").applyInArrow(_settle_tile(tiles, columns), state.schema)
+        if crowded:
+            rows = materialise(marked.where("_crowded").select(columns), "crowded")
+            out = F.col("nth") > F.get("rooms", F.col("pos"))
+            ranked = row_number_within(rows, ["unit"], "seq").withColumn("moved", out)
+            moving = moving.unionByName(ranked.withColumn("pos", F.col("pos") + out.cast("int")).select(columns))
+        state = materialise(still.unionByName(moving.withColumn("unit", F.get("units", F.col("pos")))), "state")
+        layout = 1 - layout
+
+
+def _settle_tile(tile_lists: str, columns: Sequence[str]):
+    """Proposals to the units of one tile: a unit holds its smallest seqs, a refused row goes on in its list."""
+
+    def settle(rows: pa.Table) -> pa.Table:
+        here = rows.column("_tile")[0].as_py()
+        units, rooms, tiles = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("units", "rooms", tile_lists))
+        ends = np.cumsum(rows.column("units").combine_chunks().value_lengths().to_numpy())
+        seq, pos = rows.column("seq").to_pylist(), rows.column("pos").to_numpy()
+        first = np.concatenate([[0], ends[:-1]])
+        at, end = (first + pos).tolist(), ends.tolist()
+        moved = [False] * len(seq)
+        held: dict[int, list[tuple[int, int]]] = {}
+        asking = list(range(len(seq)))
+        while asking:
+            i = asking.pop()
+            unit = held.setdefault(int(units[at[i]]), [])
+            heapq.heappush(unit, (-seq[i], i))
+            if len(unit) > rooms[at[i]]:
+                i = heapq.heappop(unit)[1]
+                at[i] += 1
+                if at[i] < end[i]:
+                    if tiles[at[i]] == here:
+                        asking.append(i)
+                    else:
+                        moved[i] = True
+        made = {"pos": pa.array(np.asarray(at) - first, pa.int32()), "moved": pa.array(moved, pa.bool_())}
+        return pa.table({c: made.get(c, rows.column(c)) for c in columns})
+
+    return settle
 
 
 def survivorship(

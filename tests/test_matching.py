@@ -165,6 +165,33 @@ def test_merge_equals_sequential_loop(spark):
     assert got == loop_merge(left, right)
 
 
+def test_merge_follows_a_chain_of_refusals_in_few_rounds(spark, monkeypatch):
+    """Every row takes the place the next one asked for: refusal by refusal that would be a round per row."""
+    km = 1 / 111.1949
+    right = [(i, f"r{i}", "NY", 0.1 * i * km, 0.0) for i in range(40)]
+    left = [(i, f"l{i}", "NJ", 0.1 * (i - 0.6) * km if i else 0.0, 0.0) for i in range(40)]
+    schema = "id long, name string, state string, lat double, lon double"
+    written = []
+    monkeypatch.setattr(matching, "materialise", lambda df, name, old=matching.materialise: written.append(name) or old(df, name))
+    frames = [spark.createDataFrame(rows, schema).withColumn("seq", F.col("id")) for rows in (left, right)]
+    got = {(r.left_id, r.right_id) for r in matching.merge_two_lists(*frames).collect()}
+    assert got == loop_merge(left, right) == {(i, i) for i in range(40)}
+    assert len(written) < 40
+
+
+def test_merge_does_not_depend_on_lists_and_tiles(spark, monkeypatch):
+    """Lists that run out, rows that go from tile to tile, and tiles with too many rows for one task."""
+    for name, value in (("LIST", 2), ("LONGEST", 3), ("TILE_UNITS", 5), ("TILE_ROWS", 6)):
+        monkeypatch.setattr(matching, name, value)
+    rnd = random.Random(4)
+    side = lambda n, seed: [(i, rnd.choice(["hill house", "river garden"]), rnd.choice(["NY", "nj"]), la, lo) for i, la, lo in crowd(n, seed, 0.3)]
+    left, right = side(40, 21), side(36, 22)
+    schema = "id long, name string, state string, lat double, lon double"
+    frames = [spark.createDataFrame(rows, schema).withColumn("seq", F.col("id")) for rows in (left, right)]
+    got = {(r.left_id, r.right_id) for r in matching.merge_two_lists(*frames).collect()}
+    assert got == loop_merge(left, right)
+
+
 def test_first_match_fill_takes_first_fitting_record(spark):
     rows = spark.createDataFrame(
         [(1, "House of the Hill", "NY"), (2, "House of the Hill", ""), (3, "The Community Center", "NJ"), (4, "X", "TX")],
